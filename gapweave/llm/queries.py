@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gapweave.llm import chat, decontaminate
+from gapweave.llm import chat, decontaminate, secrets
 
 QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op9_secret_scan": secrets.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
