@@ -57,3 +57,30 @@ def discard(df: DataFrame) -> None:
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows that a Python operator turns into objects at once.
+SLICE = 256
+
+
+def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
+    """Runs ``fn(rows) -> rows`` over lists of at most SLICE row tuples in Arrow batches.  Rows map to
+    rows one by one or in bounded numbers, partitions never meet, and memory holds a slice."""
+    import pyspark.sql.types as T
+
+    names = T._parse_datatype_string(schema).fieldNames()
+    types = T._parse_datatype_string(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(types)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = fn(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, types)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gapweave.llm import chat, decontaminate, secrets
+from gapweave.llm import bpe, chat, decontaminate, pii, secrets
 
 QUERIES = {
+    "op3_pii": pii.op3_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_bpe": bpe.op7_bpe,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_chat_format": chat.op10_chat_format,
 }
