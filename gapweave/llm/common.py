@@ -10,8 +10,10 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once for each context: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gapweave_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(os.path.dirname(here))
+    path = os.path.join(tempfile.mkdtemp(prefix="gapweave-zip-"), "gapweave_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.write(os.path.join(top, "gapweave", "__init__.py"), "gapweave/__init__.py")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"gapweave/llm/{name}")
+    sc.addPyFile(path)
+    sc._gapweave_shipped = True
+
+
 #: Rows that a Python operator turns into objects at once.
 SLICE = 256
 
@@ -68,6 +87,7 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     rows one by one or in bounded numbers, partitions never meet, and memory holds a slice."""
     import pyspark.sql.types as T
 
+    ship_package(df.sparkSession)
     names = T._parse_datatype_string(schema).fieldNames()
     types = T._parse_datatype_string(schema)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gapweave.llm import bpe, chat, decontaminate, pii, secrets
+from gapweave.llm import bpe, chat, decontaminate, neardup, pii, secrets
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
     "op3_pii": pii.op3_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
