@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gapweave.llm import bpe, chat, decontaminate, neardup, pii, secrets
+from gapweave.llm import bpe, chat, decontaminate, langid, neardup, pii, secrets, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language_id": langid.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_chat_format": chat.op10_chat_format,
 }
