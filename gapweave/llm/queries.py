@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gapweave.llm import bpe, chat, decontaminate, langid, neardup, pii, secrets, toxicity
+from gapweave.llm import ann, bpe, chat, decontaminate, html, langid, neardup, pii, secrets, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
+    "op4_html_text": html.op4_html_text,
+    "op5_nearest": ann.op5_nearest,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": langid.op8_language_id,
