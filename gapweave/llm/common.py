@@ -78,6 +78,18 @@ def ship_package(spark: SparkSession) -> None:
     sc._gapweave_shipped = True
 
 
+#: Bounds of an Arrow batch; texts and sets may be long, and an executor holds a batch more than once.
+BATCH_BYTES, BATCH_ROWS = "8m", "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch bounds where they are still Spark's own."""
+    for key, default, value in (("maxBytesPerBatch", "67108864b", BATCH_BYTES), ("maxRecordsPerBatch", "10000", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 #: Rows that a Python operator turns into objects at once.
 SLICE = 256
 
@@ -88,6 +100,7 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     import pyspark.sql.types as T
 
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     names = T._parse_datatype_string(schema).fieldNames()
     types = T._parse_datatype_string(schema)
 
