@@ -34,3 +34,170 @@ def pairwise_gaps(gaps: DataFrame, samples: DataFrame, keys: list[str], ref_len:
         *keys, "a", "b", union.cast("long").alias("gap_union"), F.col("i").cast("long").alias("gap_intersection"), F.when(union == 0, 1.0).otherwise(F.col("i") / union).alias("quality"),
         (F.col("na") - F.col("i")).cast("long").alias("unique_a"), (F.col("nb") - F.col("i")).cast("long").alias("unique_b"), (F.lit(ref_len) - union).cast("long").alias("core"),
     )
+
+
+def pair_metrics(pairs: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sample, avg_quality, total_unique, avg_core) over the pairs with a sample: quality 1 without
+    pairs, core an integer mean."""
+    both = pairs.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("sample"), F.col("unique_a").alias("u")), F.struct(F.col("b").alias("sample"), F.col("unique_b").alias("u")))).alias("x"), "quality", "core")
+    agg = both.groupBy(*keys, F.col("x.sample").alias("sample")).agg(F.avg("quality").alias("q"), F.sum("x.u").alias("u"), F.expr("sum(core) div count(*)").alias("c"), F.min("quality").alias("m"))
+    out = samples.join(agg, [*keys, "sample"], "left")
+    return out.select(*keys, "sample", F.coalesce("q", F.lit(1.0)).alias("avg_quality"), F.coalesce("u", F.lit(0)).cast("long").alias("total_unique"), F.coalesce("c", F.lit(0)).cast("long").alias("avg_core"), F.coalesce("m", F.lit(1.0)).alias("min_quality"))
+
+
+def dataset_quality(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean quality, the worst and the best pair (ties: first by name), pairs over 0.8 and under 0.2."""
+    order = lambda sign: F.struct((F.col("quality") * sign).alias("q"), F.col("a"), F.col("b"))
+    worst, best = F.min(order(1)), F.min(order(-1))
+    return pairs.groupBy(*keys).agg(
+        F.avg("quality").alias("mean_quality"), F.min("quality").alias("min_quality"), F.max("quality").alias("max_quality"),
+        F.concat_ws("-", worst["a"], worst["b"]).alias("worst_pair"), F.concat_ws("-", best["a"], best["b"]).alias("best_pair"),
+        F.count_if(F.col("quality") > 0.8).alias("high_quality_pairs"), F.count_if(F.col("quality") < 0.2).alias("low_quality_pairs"),
+    )
+
+
+def thresholds(gaps: DataFrame, keys: DataFrame, names: list[str], n: int, ref_len: int, percents=(100.0, 95.0, 90.0, 80.0, 70.0, 50.0, 25.0)) -> DataFrame:
+    """(keys, threshold, min_samples, core_size, empty_size): positions covered by enough samples."""
+    cover = iv.sweep(gaps, names).groupBy(*names, "k").agg(F.sum(F.col("end") - F.col("start")).alias("m"))
+    spark = gaps.sparkSession
+    t = spark.createDataFrame([(p,) for p in percents], "threshold double").withColumn("min_samples", F.greatest(F.ceil(F.col("threshold") / 100 * n), F.lit(1)).cast("long"))
+    grid = keys.crossJoin(F.broadcast(t))
+    empty = grid.join(cover, names, "left").groupBy(*names, "threshold", "min_samples").agg(F.coalesce(F.sum(F.when(F.lit(n) - F.col("k") < F.col("min_samples"), F.col("m"))), F.lit(0)).alias("e"))
+    return empty.select(*names, "threshold", "min_samples", (F.lit(ref_len) - F.col("e")).cast("long").alias("core_size"), F.col("e").cast("long").alias("empty_size"))
+
+
+def full_histogram(gaps: DataFrame, keys: DataFrame, names: list[str], n: int, ref_len: int) -> DataFrame:
+    """(keys, covered, positions): positions covered by exactly 0..n samples, zeros included."""
+    cover = iv.sweep(gaps, names).groupBy(*names, "k").agg(F.sum(F.col("end") - F.col("start")).alias("m"))
+    grid = keys.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    rows = grid.join(cover, [*names, "k"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    w = Window.partitionBy(*names)
+    rest = F.lit(ref_len) - F.sum("m").over(w)
+    return rows.select(*names, (F.lit(n) - F.col("k")).cast("long").alias("covered"), F.when(F.col("k") == 0, rest).otherwise(F.col("m")).cast("long").alias("positions"))
+
+
+def fragile_regions(gaps: DataFrame, names: list[str], n: int, least: int = 100) -> DataFrame:
+    """(keys, start, end, max_coverage, samples): runs of ``least`` positions or more that fewer than
+    ceil(n / 2) samples cover, with the samples gapped in them."""
+    low = iv.sweep(gaps, names).where(F.lit(n) - F.col("k") < (n + 1) // 2)
+    runs = iv.merge(low, names).where(F.col("end") - F.col("start") >= least)
+    tag = F.concat_ws("\x1f", *names) if names else F.lit("")
+    tagged = runs.withColumn("_key", tag)
+    hit = iv.overlapping(tagged, gaps.select(tag.alias("_g"), "start", "end", "sample"), ["_g", "sample"]).where("_key = _g")
+    samples = hit.groupBy(*names, "start", "end").agg(F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("samples"))
+    seg = iv.overlapping(tagged, low.select(tag.alias("_g"), "start", "end", "k"), ["_g", "k"]).where("_key = _g")
+    most = seg.groupBy(*names, "start", "end").agg((F.lit(n) - F.min("k")).cast("long").alias("max_coverage"))
+    return most.join(samples, [*names, "start", "end"])
+
+
+def zscore(value: str, names: list[str]):
+    """Distance from the mean in population standard deviations, 0 if they are 0."""
+    w = Window.partitionBy(*names)
+    sd = F.stddev_pop(value).over(w)
+    return F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0)
+
+
+def n50(contigs: DataFrame) -> DataFrame:
+    """(sample, n_contigs, total_length, n50): the length at which half of the total (whole division) is reached."""
+    w = Window.partitionBy("sample").orderBy(F.desc("length"), "contig")
+    c = contigs.withColumn("run", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("length").over(Window.partitionBy("sample")))
+    return c.groupBy("sample").agg(F.count(F.lit(1)).alias("n_contigs"), F.max("total").cast("long").alias("total_length"), F.max(F.when(F.expr("run >= total div 2"), F.col("length"))).alias("n50"))
+
+
+def content_duplicates(contigs: DataFrame) -> DataFrame:
+    """(sample, digest, keep): md5 of the sorted upper-cased contigs; the first sample of each is kept."""
+    d = contigs.groupBy("sample").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.upper("sequence"))), "")).alias("digest"))
+    return d.withColumn("keep", F.row_number().over(Window.partitionBy("digest").orderBy("sample")) == 1)
+
+
+def median_upper(values: str):
+    """The upper median: the element at n div 2 of the sorted values."""
+    return F.expr(f"element_at(array_sort(collect_list({values})), CAST(count({values}) div 2 AS INT) + 1)")
+
+
+#: Flags of the score with their conditions and weights, in order.
+FLAGS = (
+    ("LowIdentity", "ref_identity < min_identity", 0.3),
+    ("LowCoverage", "ref_coverage < 0.9", 0.2),
+    ("HighUnaligned", "avg_quality < 0.3", 0.25),
+    ("IdentityOutlier", "coverage_z < -2", 0.2),
+    ("UnalignedOutlier", "quality_z < -2", 0.2),
+    ("HighFragmentation", "median_n50 > 0 AND n50 < median_n50 div 2", 0.15),
+    ("LowRefIdentity", "unique_ratio > 0.02", 0.3),
+)
+
+
+def score(metrics: DataFrame, min_identity: float) -> DataFrame:
+    """Adds score (0 to 1), flags and recommendation (EXCLUDE, REVIEW, OK).
+
+    ``metrics`` has sample, ref_identity, ref_coverage, avg_quality, n50, total_length, total_unique."""
+    median = metrics.select(median_upper("n50").alias("median_n50"))
+    m = metrics.crossJoin(F.broadcast(median)).withColumn("min_identity", F.lit(min_identity))
+    m = m.withColumn("coverage_z", zscore("ref_coverage", [])).withColumn("quality_z", zscore("avg_quality", []))
+    m = m.withColumn("unique_ratio", F.when(F.col("total_length") > 0, F.col("total_unique") / F.col("total_length")).otherwise(0.0))
+    total = F.when((F.col("unique_ratio") > 0.005) & (F.col("unique_ratio") <= 0.02), 0.1).otherwise(0.0)
+    for _, cond, weight in FLAGS:
+        total = total + F.when(F.expr(cond), weight).otherwise(0.0)
+    flags = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(name)) for name, c, _ in FLAGS]))
+    m = m.withColumn("score", F.least(total, F.lit(1.0))).withColumn("flags", flags)
+    rec = F.when(F.col("score") >= 0.5, "EXCLUDE").when((F.col("score") >= 0.2) | (F.size("flags") > 0), "REVIEW").otherwise("OK")
+    return m.withColumn("recommendation", rec).drop("min_identity")
+
+
+def summary(scored: DataFrame) -> DataFrame:
+    r = F.col("recommendation")
+    return scored.agg(F.count(F.lit(1)).alias("total"), F.count_if(r == "OK").alias("ok"), F.count_if(r == "REVIEW").alias("review"), F.count_if(r == "EXCLUDE").alias("exclude"), F.avg("ref_coverage").alias("avg_coverage"), F.min("ref_coverage").alias("min_coverage"))
+
+
+def outliers(samples: DataFrame) -> DataFrame:
+    """(sample, severity, reason) of samples (sample, ref_coverage, avg_quality, mean_quality) that stand out."""
+    c, q, m = F.col("ref_coverage"), F.col("avg_quality"), F.col("mean_quality")
+    severity = F.when(c < 0.90, "Major").when(c < 0.95, "Moderate").when((q < 0.2) & (m > 0.5), "Major").when(q < m - 0.3, "Moderate")
+    reason = (
+        F.when(c < 0.90, F.format_string("Low reference coverage: %.1f%%", c * 100))
+        .when(c < 0.95, F.format_string("Moderate reference coverage: %.1f%%", c * 100))
+        .when((q < 0.2) & (m > 0.5), F.format_string("Low gap quality: %.2f (mean: %.2f)", q, m))
+        .when(q < m - 0.3, F.format_string("Below average gap quality: %.2f", q))
+    )
+    return samples.withColumn("severity", severity).withColumn("reason", reason).where("severity IS NOT NULL")
+
+
+TIERS = (("HighCoverage", 0.99), ("GoodCoverage", 0.95), ("ModerateCoverage", 0.90), ("LowCoverage", -1.0))
+
+
+def clusters(samples: DataFrame) -> DataFrame:
+    """(id, cluster_type, n_samples, min_coverage, avg_coverage, avg_quality): coverage tiers with more than
+    one sample, numbered from 0 from the highest tier."""
+    tier = None
+    for i, (_, least) in enumerate(TIERS):
+        c = F.col("ref_coverage") >= least
+        tier = F.when(c, i) if tier is None else tier.when(c, i)
+    g = samples.withColumn("t", tier).groupBy("t").agg(F.count(F.lit(1)).alias("n_samples"), F.min("ref_coverage").alias("min_coverage"), F.avg("ref_coverage").alias("avg_coverage"), F.avg("avg_quality").alias("avg_quality"))
+    names = F.array(*[F.lit(n) for n, _ in TIERS])
+    return g.where("n_samples > 1").select((F.row_number().over(Window.orderBy("t")) - 1).cast("long").alias("id"), F.element_at(names, F.col("t") + 1).alias("cluster_type"), "n_samples", "min_coverage", "avg_coverage", "avg_quality")
+
+
+def pattern(samples: DataFrame, found: DataFrame, quality: DataFrame) -> DataFrame:
+    """(pattern) of the set: Insufficient, AllHighCoverage, HighCoverageWithOutliers, HighGapDiversity or
+    VariableCoverage."""
+    a = samples.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ref_coverage") >= 0.95).alias("high"))
+    b = found.agg(F.count(F.lit(1)).alias("outliers"), F.count_if(F.col("severity") == "Major").alias("major"))
+    p = (
+        F.when(F.col("n") < 2, "Insufficient")
+        .when((F.col("high") == F.col("n")) & (F.col("outliers") == 0), "AllHighCoverage")
+        .when((F.col("high") > 0) & (F.col("major") > 0), "HighCoverageWithOutliers")
+        .when(F.col("low_quality_pairs") > F.col("high_quality_pairs"), "HighGapDiversity")
+        .otherwise("VariableCoverage")
+    )
+    return a.crossJoin(b).crossJoin(quality.select("low_quality_pairs", "high_quality_pairs")).select(p.alias("pattern"))
+
+
+def impact(gaps: DataFrame, samples: DataFrame, quality: DataFrame, ref_len: int) -> DataFrame:
+    """(sample, gap_bases, unique_bases, shared_bases, core_loss_pct, risk) of each sample: the share of the
+    reference that only its gaps take, and Critical, High, Medium or Low."""
+    own = gaps.groupBy("sample").agg(F.sum(F.col("end") - F.col("start")).alias("gap_bases"))
+    m = samples.join(own, "sample", "left").join(unique_shared(gaps, []), "sample", "left").join(quality.select("sample", "avg_quality"), "sample", "left")
+    m = m.select("sample", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gap_bases", "unique_bases", "shared_bases")], F.coalesce("avg_quality", F.lit(1.0)).alias("avg_quality"))
+    pct = F.col("unique_bases") / ref_len * 100
+    risk = F.when(pct > 5, "Critical").when(pct > 2, "High").when((pct > 0.5) | (F.col("avg_quality") < 0.3), "Medium").otherwise("Low")
+    return m.withColumn("core_loss_pct", pct).withColumn("risk", risk).drop("avg_quality")

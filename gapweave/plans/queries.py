@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
-from gapweave.operators import sites, truth
+from gapweave.operators import callsets, distances, features, qc, reader_v1, sites, truth
 from gapweave.plans.views import Views, oracle
 
 QUERIES: dict = {}
@@ -88,8 +88,6 @@ def gap_union_intersect(v):
     "SELECT pipeline, sample, CAST(count(*) FILTER (k = 1) AS BIGINT) AS unique_bases, CAST(count(*) FILTER (k > 1) AS BIGINT) AS shared_bases FROM gp JOIN gk USING (pipeline, pos) GROUP BY pipeline, sample",
 )
 def unique_gaps(v):
-    from gapweave.operators import qc
-
     return qc.unique_shared(merged(v), ["pipeline"])
 
 
@@ -138,8 +136,6 @@ def calls_in_gaps_inclusive(v):
     FROM own x JOIN own y ON x.pipeline = y.pipeline AND x.sample < y.sample CROSS JOIN n LEFT JOIN sh ON sh.pipeline = x.pipeline AND sh.a = x.sample AND sh.b = y.sample""",
 )
 def pairwise_gap_quality(v):
-    from gapweave.operators import qc
-
     return qc.pairwise_gaps(merged(v), pipelines(v).crossJoin(v.samples()), ["pipeline"], v.ref_len)
 
 
@@ -313,3 +309,315 @@ def truth_vs_calls(v):
 )
 def truth_vs_calls_pairs(v):
     return truth.calls_pairs(site_table(v), merged(v), "gt", v.samples())
+
+
+# Call sets
+
+CALLSET = """ca AS (SELECT sample, 'c' || CAST(pos % 3 AS VARCHAR) AS chrom, pos, alt, qual, dp AS depth, CAST(pos % 10 AS DOUBLE) / 10 AS af FROM call WHERE pipeline = 'p1' AND sample <> 'S5'),
+cb AS (SELECT sample, 'c' || CAST(pos % 3 AS VARCHAR) AS chrom, pos, alt, qual, dp AS depth, CAST(pos % 10 AS DOUBLE) / 10 AS af FROM call WHERE pipeline = 'p2'),
+gs AS (SELECT sample, s, e FROM gap WHERE pipeline = 'gt'),
+cj AS (
+  SELECT coalesce(a.sample, b.sample) AS sample, coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, a.alt AS a_alt, b.alt AS b_alt, a.qual AS a_qual, b.qual AS b_qual, a.depth AS a_depth, b.depth AS b_depth,
+    a.af AS a_af, b.af AS b_af, CASE WHEN a.alt IS NULL THEN 'OnlyPipelineB' WHEN b.alt IS NULL THEN 'OnlyPipelineA' WHEN a.alt = b.alt THEN 'Concordant' ELSE 'DiscordantAllele' END AS status
+  FROM ca a FULL JOIN (SELECT * FROM cb WHERE sample <> 'S5') b ON a.sample = b.sample AND a.chrom = b.chrom AND a.pos = b.pos
+), cg AS (SELECT *, EXISTS (SELECT 1 FROM gs WHERE gs.sample = cj.sample AND cj.pos >= gs.s AND cj.pos <= gs.e) AS in_gap FROM cj),
+cps AS (
+  SELECT sample, count(a_alt) AS snps_a, count(b_alt) AS snps_b, count(*) FILTER (status = 'Concordant') AS concordant, count(*) FILTER (status = 'OnlyPipelineA') AS only_a, count(*) FILTER (status = 'OnlyPipelineB') AS only_b,
+    count(*) FILTER (status = 'DiscordantAllele') AS discordant_allele, count(*) FILTER (status = 'OnlyPipelineA' AND in_gap) AS a_only_in_gaps, count(*) FILTER (status = 'OnlyPipelineB' AND in_gap) AS b_only_in_gaps,
+    count(*) FILTER (status = 'Concordant') / CAST(count(*) AS DOUBLE) * 100 AS concordance_rate
+  FROM cg GROUP BY sample
+)"""
+
+
+def callset_positions(v):
+    call = v.call().select("pipeline", "sample", F.concat(F.lit("c"), (F.col("pos") % 3).cast("string")).alias("chrom"), "pos", "alt", "qual", F.col("dp").alias("depth"), ((F.col("pos") % 10).cast("double") / 10).alias("af"))
+    a, b = call.where("pipeline = 'p1' AND sample != 'S5'"), call.where("pipeline = 'p2'")
+    return callsets.positions(a, b, merged(v).where("pipeline = 'gt'"), "p1", "p2")
+
+
+@query(
+    "callset_positions",
+    """ SELECT sample, chrom, pos, a_alt, b_alt, status, in_gap, CASE status WHEN 'Concordant' THEN NULL WHEN 'DiscordantAllele' THEN 'Different alleles called' ELSE
+      coalesce(nullif(concat_ws('; ', CASE WHEN in_gap THEN 'In gap region (low coverage)' END, CASE WHEN coalesce(a_depth, b_depth) < 10 THEN 'Low read depth (<10)' END,
+        CASE WHEN coalesce(a_qual, b_qual) < 100 THEN 'Low quality score (<100)' END, CASE WHEN coalesce(a_af, b_af) < 0.9 THEN 'Allele frequency <90%' END), ''), 'Pipeline-specific filter or algorithm difference') END AS likely_cause FROM cg""",
+    CALLSET,
+)
+def callset_positions_query(v):
+    return callset_positions(v).select("sample", "chrom", "pos", "a_alt", "b_alt", "status", "in_gap", "likely_cause")
+
+
+@query("callset_per_sample", " SELECT * FROM cps", CALLSET)
+def callset_per_sample(v):
+    return callsets.per_sample(callset_positions(v))
+
+
+@query(
+    "callset_totals",
+    """ SELECT count(*) AS num_samples, CAST(sum(greatest(snps_a, snps_b)) AS BIGINT) AS total_positions, CAST(sum(concordant) AS BIGINT) AS concordant, CAST(sum(only_a) AS BIGINT) AS only_a, CAST(sum(only_b) AS BIGINT) AS only_b,
+      CAST(sum(a_only_in_gaps) AS BIGINT) AS a_only_in_gaps, CAST(sum(b_only_in_gaps) AS BIGINT) AS b_only_in_gaps, CAST(0 AS BIGINT) AS discordant_allele, sum(concordant) / CAST(sum(greatest(snps_a, snps_b)) AS DOUBLE) * 100 AS concordance_rate FROM cps""",
+    CALLSET,
+)
+def callset_totals(v):
+    return callsets.totals(callset_per_sample(v), "p1", "p2").drop("interpretation")
+
+
+@query("callset_top_missed", " SELECT sample, chrom, pos, a_alt, a_qual FROM cg WHERE status = 'OnlyPipelineA' AND a_qual > 100 AND a_depth > 10 ORDER BY a_qual DESC, sample, chrom, pos LIMIT 50", CALLSET)
+def callset_top_missed(v):
+    return callsets.top_missed(callset_positions(v), "a").select("sample", "chrom", "pos", "a_alt", "a_qual")
+
+
+@query("callset_page", " SELECT sample, chrom, pos, status, (SELECT count(*) FROM cg WHERE sample = 'S1' AND status = 'OnlyPipelineB') AS total FROM cg WHERE sample = 'S1' AND status = 'OnlyPipelineB' ORDER BY sample, chrom, pos LIMIT 20 OFFSET 40", CALLSET)
+def callset_page(v):
+    return callsets.page(callset_positions(v), 2, 20, "S1", "OnlyPipelineB").select("sample", "chrom", "pos", "status", "total")
+
+
+@query("snp_retention", " SELECT c.sample, count(*) AS total_snps, count(g.pos) AS snps_in_gaps, count(*) - count(g.pos) AS snps_retained, (count(*) - count(g.pos)) / CAST(count(*) AS DOUBLE) * 100 AS retention_pct FROM snp c LEFT JOIN (SELECT DISTINCT sample, pos FROM gp WHERE pipeline = 'gt') g USING (sample, pos) WHERE c.pipeline = 'p1' GROUP BY c.sample")
+def snp_retention(v):
+    return callsets.retention(snps(v).where("pipeline = 'p1'").select("sample", "pos"), merged(v).where("pipeline = 'gt'"))
+
+
+@query(
+    "filtered_concordance",
+    """, a AS (SELECT DISTINCT sample, pos FROM gp WHERE pipeline = 'p1'), b AS (SELECT DISTINCT sample, pos FROM gp WHERE pipeline = 'p2'),
+    x AS (SELECT coalesce(a.sample, b.sample) AS sample, count(a.pos) AS na, count(b.pos) AS nb, count(a.pos) FILTER (b.pos IS NOT NULL) AS c FROM a FULL JOIN b ON a.sample = b.sample AND a.pos = b.pos GROUP BY 1)
+    SELECT sample, na AS gap_bases, nb AS filtered_bases, c AS concordant_bases, na - c AS gap_only_bases, nb - c AS filtered_only_bases, c / CAST(na + nb - c AS DOUBLE) * 100 AS concordance_pct FROM x""",
+)
+def filtered_concordance(v):
+    g = merged(v)
+    return callsets.compare_filtered(g.where("pipeline = 'p1'").drop("pipeline"), g.where("pipeline = 'p2'").drop("pipeline"))
+
+
+@query("core_difference", """, g AS (SELECT sample, count(DISTINCT pos) AS b FROM gp WHERE pipeline = 'p1' GROUP BY sample), s AS (SELECT 'S' || CAST(range AS VARCHAR) AS sample, n - 100 * range AS aligned, 90 * range AS lowcov FROM range(6), n)
+    SELECT sample, n - b AS core_size, b AS gap_bases, n - b - aligned AS core_diff, (n - b - aligned) / CAST(n AS DOUBLE) * 100 AS core_diff_pct, greatest(b - lowcov, 0) AS gaps_not_lowcov, greatest(lowcov - b, 0) AS lowcov_not_in_gaps FROM g JOIN s USING (sample), n""")
+def core_difference(v):
+    n = v.ref_len
+    stats = v.spark.range(6).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("sample"), (F.lit(n) - 100 * F.col("id")).alias("aligned"), (90 * F.col("id")).alias("lowcov"))
+    return callsets.core_difference(merged(v).where("pipeline = 'p1'"), stats, n)
+
+
+@query("alignment_validation", """, o AS (SELECT 'c' AS chrom, pos, sample, CASE WHEN pos % 5 = 0 THEN NULL ELSE alt END AS base FROM call WHERE pipeline = 'gt')
+    SELECT chrom, pos, count(base) AS samples, count(DISTINCT base) AS bases, CASE WHEN count(base) = 0 THEN 'no_data' WHEN count(base) >= 2 AND count(DISTINCT base) = 1 THEN 'artifact' ELSE 'real' END AS verdict FROM o GROUP BY chrom, pos""")
+def alignment_validation(v):
+    o = v.call().where("pipeline = 'gt'").select(F.lit("c").alias("chrom"), "pos", "sample", F.when(F.col("pos") % 5 != 0, F.col("alt")).alias("base"))
+    return callsets.validate(o)
+
+
+# Distances
+
+DIST = """al AS (SELECT pos, sample, CASE WHEN pos % 7 = 0 THEN 'N' ELSE alt END AS allele FROM call WHERE pipeline = 'p1'), pr AS (SELECT a.sample AS a, b.sample AS b FROM smp a JOIN smp b ON a.sample < b.sample)"""
+
+
+def alleles(v):
+    return v.call().where("pipeline = 'p1'").select("pos", "sample", F.expr("CASE WHEN pos % 7 = 0 THEN 'N' ELSE alt END AS allele"))
+
+
+@query("snp_distance", " SELECT pr.a, pr.b, count(*) FILTER (x.allele <> y.allele AND x.allele IN ('A','C','G','T') AND y.allele IN ('A','C','G','T')) AS distance FROM pr JOIN al x ON x.sample = pr.a LEFT JOIN al y ON y.sample = pr.b AND y.pos = x.pos GROUP BY ALL", DIST)
+def snp_distance(v):
+    return distances.hamming(alleles(v), v.samples())
+
+
+@query("snp_comparable", " SELECT pr.a, pr.b, count(*) FILTER (x.allele <> 'N' AND y.allele <> 'N') AS comparable FROM pr JOIN al x ON x.sample = pr.a LEFT JOIN al y ON y.sample = pr.b AND y.pos = x.pos GROUP BY ALL", DIST)
+def snp_comparable(v):
+    return distances.comparable(alleles(v), v.samples())
+
+
+@query("snp_distance_matrix", """, d AS (SELECT pr.a, pr.b, count(*) FILTER (x.allele <> y.allele AND x.allele <> 'N' AND y.allele <> 'N') AS distance FROM pr JOIN al x ON x.sample = pr.a LEFT JOIN al y ON y.sample = pr.b AND y.pos = x.pos GROUP BY ALL)
+    SELECT a AS "row", b AS "col", distance FROM d UNION ALL SELECT b, a, distance FROM d UNION ALL SELECT sample, sample, 0 FROM smp""", DIST)
+def snp_distance_matrix(v):
+    return distances.square(snp_distance(v), v.samples())
+
+
+# Features
+
+FEAT = """gz AS (SELECT DISTINCT sample, s, e FROM gap WHERE pipeline = 'gt'), gm AS (
+  SELECT sample, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT sample, pos, pos - row_number() OVER (PARTITION BY sample ORDER BY pos) AS g FROM gp WHERE pipeline = 'gt') GROUP BY sample, g),
+ov AS (SELECT sample, gene AS name, feature_type, product, f.s AS fs, gm.s AS gs, least(f.e, gm.e) - greatest(f.s - 1, gm.s) AS overlap_bp, (least(f.e, gm.e) - greatest(f.s - 1, gm.s)) / CAST(f.e - f.s + 1 AS DOUBLE) * 100 AS overlap_pct
+  FROM feature f JOIN gm ON f.s - 1 < gm.e AND gm.s < f.e),
+af AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample, name ORDER BY overlap_pct DESC, overlap_bp DESC, feature_type DESC, fs, gs) AS r FROM ov) WHERE r = 1)"""
+
+
+def affected_features(v):
+    return features.affected(v.feature().withColumn("name", F.col("gene")), merged(v).where("pipeline = 'gt'"))
+
+
+@query("features_in_gaps", " SELECT sample, name, feature_type, product, overlap_bp, overlap_pct FROM af", FEAT)
+def features_in_gaps(v):
+    return affected_features(v)
+
+
+@query("gene_zones", """ SELECT m.sample, count(*) FILTER (feature_type = 'gene') AS affected_genes, count(*) FILTER (feature_type = 'CDS') AS affected_cds, count(*) FILTER (feature_type = 'gene' AND overlap_pct >= 99.9) AS removed_genes,
+    count(*) FILTER (feature_type = 'gene' AND overlap_pct >= 50) AS significantly_affected FROM smp m LEFT JOIN af USING (sample) GROUP BY m.sample""", FEAT)
+def gene_zones(v):
+    return features.zones(affected_features(v), v.samples())
+
+
+@query("gene_search", " SELECT sample, name, product FROM af WHERE sample = 'S2' AND (contains(lower(name), 'g1') OR contains(lower(product), 'brand#3'))", FEAT)
+def gene_search(v):
+    both = features.search(affected_features(v), "S2", "g1").union(features.search(affected_features(v), "S2", "Brand#3")).select("sample", "name", "product")
+    return both.distinct()
+
+
+# Quality control
+
+QUAL = """own AS (SELECT m.sample, count(DISTINCT g.pos) AS n FROM smp m LEFT JOIN gp g ON g.pipeline = 'gt' AND g.sample = m.sample GROUP BY ALL),
+sh AS (SELECT a.sample AS a, b.sample AS b, count(*) AS i FROM gp a JOIN gp b ON a.pos = b.pos AND a.sample < b.sample WHERE a.pipeline = 'gt' AND b.pipeline = 'gt' GROUP BY ALL),
+pq AS (SELECT x.sample AS a, y.sample AS b, x.n - coalesce(i, 0) AS unique_a, y.n - coalesce(i, 0) AS unique_b, n.n - (x.n + y.n - coalesce(i, 0)) AS core, coalesce(i, 0) / CAST(x.n + y.n - coalesce(i, 0) AS DOUBLE) AS quality
+  FROM own x JOIN own y ON x.sample < y.sample CROSS JOIN n LEFT JOIN sh ON sh.a = x.sample AND sh.b = y.sample),
+pm AS (SELECT sample, avg(quality) AS avg_quality, CAST(sum(u) AS BIGINT) AS total_unique, CAST(sum(core) // count(*) AS BIGINT) AS avg_core, min(quality) AS min_quality
+  FROM (SELECT a AS sample, quality, unique_a AS u, core FROM pq UNION ALL SELECT b, quality, unique_b, core FROM pq) GROUP BY sample),
+nf AS (SELECT sample, count(*) AS n_contigs, CAST(max(total) AS BIGINT) AS total_length, max(length) FILTER (run >= total // 2) AS n50 FROM (
+  SELECT *, sum(length) OVER (PARTITION BY sample ORDER BY length DESC, contig ROWS UNBOUNDED PRECEDING) AS run, sum(length) OVER (PARTITION BY sample) AS total FROM contig) GROUP BY sample),
+mt AS (SELECT pm.sample, 0.9 + (nf.total_length % 100) / 1000.0::DOUBLE AS ref_identity, (n.n - own.n) / CAST(n.n AS DOUBLE) AS ref_coverage, avg_quality, n50, total_length, total_unique FROM pm JOIN nf USING (sample) JOIN own USING (sample), n),
+md AS (SELECT list_sort(list(n50))[count(*) // 2 + 1] AS median_n50 FROM mt),
+zs AS (SELECT mt.*, median_n50, CASE WHEN stddev_pop(ref_coverage) OVER () > 0 THEN (ref_coverage - avg(ref_coverage) OVER ()) / stddev_pop(ref_coverage) OVER () ELSE 0 END AS cz,
+  CASE WHEN stddev_pop(avg_quality) OVER () > 0 THEN (avg_quality - avg(avg_quality) OVER ()) / stddev_pop(avg_quality) OVER () ELSE 0 END AS qz, total_unique / CAST(total_length AS DOUBLE) AS ur FROM mt, md),
+sc AS (SELECT *, least(1.0, CASE WHEN ur > 0.005 AND ur <= 0.02 THEN 0.1 ELSE 0 END + CASE WHEN ref_identity < 0.95 THEN 0.3 ELSE 0 END + CASE WHEN ref_coverage < 0.9 THEN 0.2 ELSE 0 END + CASE WHEN avg_quality < 0.3 THEN 0.25 ELSE 0 END
+  + CASE WHEN cz < -2 THEN 0.2 ELSE 0 END + CASE WHEN qz < -2 THEN 0.2 ELSE 0 END + CASE WHEN median_n50 > 0 AND n50 < median_n50 // 2 THEN 0.15 ELSE 0 END + CASE WHEN ur > 0.02 THEN 0.3 ELSE 0 END) AS score,
+  concat_ws(',', CASE WHEN ref_identity < 0.95 THEN 'LowIdentity' END, CASE WHEN ref_coverage < 0.9 THEN 'LowCoverage' END, CASE WHEN avg_quality < 0.3 THEN 'HighUnaligned' END, CASE WHEN cz < -2 THEN 'IdentityOutlier' END,
+    CASE WHEN qz < -2 THEN 'UnalignedOutlier' END, CASE WHEN median_n50 > 0 AND n50 < median_n50 // 2 THEN 'HighFragmentation' END, CASE WHEN ur > 0.02 THEN 'LowRefIdentity' END) AS flags FROM zs)"""
+
+
+def gt_gaps(v):
+    return merged(v).where("pipeline = 'gt'").drop("pipeline")
+
+
+def gt_pairs(v):
+    return qc.pairwise_gaps(gt_gaps(v), v.samples(), [], v.ref_len)
+
+
+@query("pair_metrics", " SELECT * FROM pm", QUAL)
+def pair_metrics(v):
+    return qc.pair_metrics(gt_pairs(v), v.samples(), [])
+
+
+@query("dataset_quality", " SELECT avg(quality) AS mean_quality, min(quality) AS min_quality, max(quality) AS max_quality, (SELECT a || '-' || b FROM pq ORDER BY quality, a, b LIMIT 1) AS worst_pair, (SELECT a || '-' || b FROM pq ORDER BY quality DESC, a, b LIMIT 1) AS best_pair, count(*) FILTER (quality > 0.8) AS high_quality_pairs, count(*) FILTER (quality < 0.2) AS low_quality_pairs FROM pq", QUAL)
+def dataset_quality(v):
+    return qc.dataset_quality(gt_pairs(v), [])
+
+
+@query("contig_n50", " SELECT * FROM nf", QUAL)
+def contig_n50(v):
+    return qc.n50(v.contig())
+
+
+@query("contig_offsets", """ SELECT sample, contig, contig_idx, length, CAST(coalesce(sum(length) OVER (PARTITION BY sample ORDER BY contig_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM contig""")
+def contig_offsets(v):
+    return iv.offsets(v.contig())
+
+
+def metrics(v):
+    n = v.ref_len
+    own = v.samples().join(gt_gaps(v).groupBy("sample").agg(F.sum(F.col("end") - F.col("start")).alias("g")), "sample", "left")
+    m = pair_metrics(v).join(contig_n50(v), "sample").join(own, "sample")
+    return m.select("sample", (0.9 + (F.col("total_length") % 100) / F.lit(1000.0)).alias("ref_identity"), ((F.lit(n) - F.coalesce("g", F.lit(0))) / F.lit(float(n))).alias("ref_coverage"), "avg_quality", "n50", "total_length", "total_unique")
+
+
+@query("sample_scores", " SELECT sample, round(score, 6)::DOUBLE AS score, flags, CASE WHEN score >= 0.5 THEN 'EXCLUDE' WHEN score >= 0.2 OR flags <> '' THEN 'REVIEW' ELSE 'OK' END AS recommendation FROM sc", QUAL)
+def sample_scores(v):
+    return qc.score(metrics(v), 0.95).select("sample", F.round("score", 6).alias("score"), F.array_join("flags", ",").alias("flags"), "recommendation")
+
+
+@query("qc_summary", " SELECT count(*) AS total, count(*) FILTER (score < 0.2 AND flags = '') AS ok, count(*) FILTER (score < 0.5 AND (score >= 0.2 OR flags <> '')) AS review, count(*) FILTER (score >= 0.5) AS exclude, avg(ref_coverage) AS avg_coverage, min(ref_coverage) AS min_coverage FROM sc", QUAL)
+def qc_summary(v):
+    return qc.summary(qc.score(metrics(v), 0.95))
+
+
+def spread(v):
+    """Coverage that differs enough for tiers and outliers."""
+    m = metrics(v).select("sample", (F.lit(0.88) + F.substring("sample", 2, 1).cast("int") * F.lit(0.025)).alias("ref_coverage"), "avg_quality")
+    return m.crossJoin(F.broadcast(dataset_quality(v).select("mean_quality")))
+
+
+SPREAD = QUAL + """, sp AS (SELECT sample, CAST(0.88 AS DOUBLE) + CAST(substr(sample, 2, 1) AS INT) * CAST(0.025 AS DOUBLE) AS ref_coverage, avg_quality, (SELECT avg(quality) FROM pq) AS mean_quality FROM mt),
+ol AS (SELECT sample, CASE WHEN ref_coverage < 0.9 THEN 'Major' WHEN ref_coverage < 0.95 THEN 'Moderate' WHEN avg_quality < 0.2 AND mean_quality > 0.5 THEN 'Major' WHEN avg_quality < mean_quality - 0.3 THEN 'Moderate' END AS severity FROM sp)"""
+
+
+@query("outliers", " SELECT * FROM ol WHERE severity IS NOT NULL", SPREAD)
+def outliers(v):
+    return qc.outliers(spread(v)).select("sample", "severity")
+
+
+@query("clusters", """, t AS (SELECT *, CASE WHEN ref_coverage >= 0.99 THEN 0 WHEN ref_coverage >= 0.95 THEN 1 WHEN ref_coverage >= 0.9 THEN 2 ELSE 3 END AS t FROM sp)
+    SELECT row_number() OVER (ORDER BY t) - 1 AS id, ['HighCoverage', 'GoodCoverage', 'ModerateCoverage', 'LowCoverage'][t + 1] AS cluster_type, count(*) AS n_samples, min(ref_coverage) AS min_coverage, avg(ref_coverage) AS avg_coverage, avg(avg_quality) AS avg_quality FROM t GROUP BY t HAVING count(*) > 1""", SPREAD)
+def clusters(v):
+    return qc.clusters(spread(v))
+
+
+@query("cluster_pattern", """ SELECT CASE WHEN (SELECT count(*) FROM sp) < 2 THEN 'Insufficient' WHEN (SELECT count(*) FROM sp WHERE ref_coverage < 0.95) = 0 AND (SELECT count(severity) FROM ol) = 0 THEN 'AllHighCoverage'
+    WHEN (SELECT count(*) FROM sp WHERE ref_coverage >= 0.95) > 0 AND (SELECT count(*) FROM ol WHERE severity = 'Major') > 0 THEN 'HighCoverageWithOutliers'
+    WHEN (SELECT count(*) FROM pq WHERE quality < 0.2) > (SELECT count(*) FROM pq WHERE quality > 0.8) THEN 'HighGapDiversity' ELSE 'VariableCoverage' END AS pattern""", SPREAD)
+def cluster_pattern(v):
+    return qc.pattern(spread(v), qc.outliers(spread(v)), dataset_quality(v))
+
+
+@query("gap_impact", """, un AS (SELECT sample, count(*) FILTER (k = 1) AS u, count(*) FILTER (k > 1) AS s FROM gp JOIN gk USING (pipeline, pos) WHERE pipeline = 'gt' GROUP BY sample)
+    SELECT own.sample, own.n AS gap_bases, coalesce(u, 0) AS unique_bases, coalesce(s, 0) AS shared_bases, coalesce(u, 0) / CAST(n.n AS DOUBLE) * 100 AS core_loss_pct,
+      CASE WHEN coalesce(u, 0) / CAST(n.n AS DOUBLE) * 100 > 5 THEN 'Critical' WHEN coalesce(u, 0) / CAST(n.n AS DOUBLE) * 100 > 2 THEN 'High' WHEN coalesce(u, 0) / CAST(n.n AS DOUBLE) * 100 > 0.5 OR avg_quality < 0.3 THEN 'Medium' ELSE 'Low' END AS risk
+    FROM own LEFT JOIN un USING (sample) LEFT JOIN pm USING (sample), n""", QUAL)
+def gap_impact(v):
+    return qc.impact(gt_gaps(v), v.samples(), pair_metrics(v), v.ref_len)
+
+
+@query("coverage_thresholds", f""", cov AS (SELECT p.pipeline, {N} - coalesce(k, 0) AS c, count(*) AS m FROM pipe p CROSS JOIN ref_base r LEFT JOIN gk ON gk.pipeline = p.pipeline AND gk.pos = r.pos GROUP BY ALL),
+    th AS (SELECT unnest([100.0, 95.0, 90.0, 80.0, 70.0, 50.0, 25.0])::DOUBLE AS threshold)
+    SELECT pipeline, threshold, CAST(greatest(ceil(threshold / 100 * {N}), 1) AS BIGINT) AS min_samples, CAST(coalesce(sum(m) FILTER (c >= greatest(ceil(threshold / 100 * {N}), 1)), 0) AS BIGINT) AS core_size, CAST(coalesce(sum(m) FILTER (c < greatest(ceil(threshold / 100 * {N}), 1)), 0) AS BIGINT) AS empty_size FROM cov CROSS JOIN th GROUP BY pipeline, threshold""")
+def coverage_thresholds(v):
+    return qc.thresholds(merged(v), pipelines(v), ["pipeline"], N, v.ref_len)
+
+
+@query("sample_coverage_histogram", f""", cov AS (SELECT p.pipeline, {N} - coalesce(k, 0) AS covered FROM pipe p CROSS JOIN ref_base r LEFT JOIN gk ON gk.pipeline = p.pipeline AND gk.pos = r.pos)
+    SELECT p.pipeline, CAST(x.range AS BIGINT) AS covered, count(c.covered) AS positions FROM pipe p CROSS JOIN range({N + 1}) x LEFT JOIN cov c ON c.pipeline = p.pipeline AND c.covered = x.range GROUP BY ALL""")
+def sample_coverage_histogram(v):
+    return qc.full_histogram(merged(v), pipelines(v), ["pipeline"], N, v.ref_len)
+
+
+@query("fragile_regions", """, lo AS (SELECT pipeline, pos, k, pos - row_number() OVER (PARTITION BY pipeline ORDER BY pos) AS g FROM gk WHERE 4 - least(k, 4) < 2),
+    rg AS (SELECT pipeline, min(pos) AS s, max(pos) + 1 AS e, min(k) AS mk FROM lo GROUP BY pipeline, g HAVING count(*) >= 2)
+    SELECT r.pipeline, r.s AS start, r.e AS "end", 4 - mk AS max_coverage, (SELECT string_agg(DISTINCT gp.sample, ',' ORDER BY gp.sample) FROM gp WHERE gp.pipeline = r.pipeline AND gp.pos >= r.s AND gp.pos < r.e) AS samples FROM rg r""")
+def fragile_regions(v):
+    # Four samples and runs of two positions, so that the small tables have some.
+    return qc.fragile_regions(merged(v), ["pipeline"], 4, 2)
+
+
+# The first reader version
+
+V1 = f"""c1 AS (SELECT c.*, r.base FROM call c JOIN ref_base r USING (pos)), pn AS (SELECT pipeline, count(DISTINCT sample) AS n FROM call GROUP BY pipeline),
+co AS (SELECT c.pipeline, c.pos, count(DISTINCT alt) = 1 AND count(*) FILTER (alt = base) = 0 AS cons FROM c1 c JOIN pn USING (pipeline) GROUP BY c.pipeline, c.pos, pn.n HAVING count(DISTINCT sample) = pn.n),
+gg AS (SELECT DISTINCT pos FROM gp WHERE pipeline = 'gt')"""
+
+
+@query(
+    "v1_kpis",
+    """ SELECT p.pipeline, (SELECT count(*) FROM snp s WHERE s.pipeline = p.pipeline) AS snps, (SELECT CAST(coalesce(sum(e - s), 0) AS BIGINT) FROM gap g WHERE g.pipeline = p.pipeline AND e > s) AS gaps,
+      (SELECT count(*) FROM co WHERE co.pipeline = p.pipeline) AS core_snps, (SELECT count(*) FROM co WHERE co.pipeline = p.pipeline AND cons) AS consensus_snps,
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM call t WHERE t.pipeline = 'gt' AND NOT EXISTS (SELECT 1 FROM call c WHERE c.pipeline = p.pipeline AND c.sample = t.sample AND c.pos = t.pos)) END AS gt_snps_missing,
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM call t WHERE t.pipeline = 'gt' AND EXISTS (SELECT 1 FROM call c WHERE c.pipeline = p.pipeline AND c.sample = t.sample AND c.pos = t.pos)) END AS gt_snps_called,
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co t WHERE t.pipeline = 'gt' AND NOT EXISTS (SELECT 1 FROM co c WHERE c.pipeline = p.pipeline AND c.pos = t.pos)) END AS core_gt_missing,
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co t WHERE t.pipeline = 'gt' AND t.cons AND NOT EXISTS (SELECT 1 FROM co c WHERE c.pipeline = p.pipeline AND c.cons AND c.pos = t.pos)) END AS consensus_gt_missing,
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM call c WHERE c.pipeline = p.pipeline AND EXISTS (SELECT 1 FROM gp WHERE gp.pipeline = 'gt' AND gp.sample = c.sample AND gp.pos = c.pos)) END AS snps_in_gt_gaps_total,
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co c JOIN gg USING (pos) WHERE c.pipeline = p.pipeline) END AS snps_in_gt_gaps_core,
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co c JOIN gg USING (pos) WHERE c.pipeline = p.pipeline AND cons) END AS snps_in_gt_gaps_consensus FROM pipe p WHERE p.pipeline <> 'gt'""",
+    V1,
+)
+def v1_kpis(v):
+    return reader_v1.kpis(v.call(), iv.nonempty(v.gap()), v.ref_base(), pipelines(v), "gt").where("pipeline != 'gt'")
+
+
+@query("v1_concordance", """ SELECT x.pipeline AS a, y.pipeline AS b, (SELECT count(*) FROM call a JOIN call b ON a.sample = b.sample AND a.pos = b.pos AND a.pipeline = x.pipeline AND b.pipeline = y.pipeline) AS shared,
+    (SELECT count(*) FROM call a JOIN call b ON a.sample = b.sample AND a.pos = b.pos AND a.alt = b.alt AND a.pipeline = x.pipeline AND b.pipeline = y.pipeline) AS same_allele,
+    (SELECT count(*) FROM call a WHERE a.pipeline = x.pipeline AND NOT EXISTS (SELECT 1 FROM call b WHERE b.pipeline = y.pipeline AND a.sample = b.sample AND a.pos = b.pos)) AS only_a,
+    (SELECT count(*) FROM call b WHERE b.pipeline = y.pipeline AND NOT EXISTS (SELECT 1 FROM call a WHERE a.pipeline = x.pipeline AND a.sample = b.sample AND a.pos = b.pos)) AS only_b FROM pipe x JOIN pipe y ON x.pipeline < y.pipeline""")
+def v1_concordance(v):
+    return reader_v1.pipeline_concordance(v.call())
+
+
+@query("v1_region", """ SELECT 'snp' AS kind, pipeline, sample, pos AS start, pos AS "end", alt FROM call WHERE pos BETWEEN 100 AND 400
+    UNION ALL SELECT 'gap', pipeline, sample, greatest(s, 100), least(e, 400), NULL FROM runs WHERE e >= 100 AND s <= 400""", ISLAND)
+def v1_region(v):
+    return reader_v1.region(v.call(), merged(v), 100, 400)
+
+
+@query("v1_filtered_positions", """, f AS (SELECT pos, pipeline, count(DISTINCT sample) AS m FROM call WHERE sample IN ('S0', 'S1') GROUP BY ALL HAVING count(DISTINCT sample) = 2)
+    SELECT f.pos, count(*) AS n_all FROM f GROUP BY f.pos HAVING count(*) < 3 AND f.pos IN (SELECT pos FROM gp WHERE pipeline = 'gt')""")
+def v1_filtered_positions(v):
+    return reader_v1.filter_positions(v.call().where("sample IN ('S0', 'S1')"), merged(v), ["gt", "p1", "p2"], 2, ["discord", "gaps:gt"])
