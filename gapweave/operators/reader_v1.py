@@ -31,7 +31,7 @@ def kpis(calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, pipelines: Data
     shared = core.join(gt_core, "pos").groupBy("pipeline").agg(F.count(F.lit(1)).alias("cs"), F.count_if(F.col("consensus") & F.col("gc")).alias("ns"))
     own = iv.merge(gaps.where(F.col("pipeline") == gt), ["sample"])
     hit = iv.locate(calls, own, ["sample"], []).groupBy("pipeline").agg(F.count_if("inside").alias("snps_in_gt_gaps_total"))
-    any_gap = iv.merge(own.select("start", "end"), [])
+    any_gap = iv.sweep(own.select("start", "end"), [])
     in_core = iv.locate(core, any_gap, [], []).groupBy("pipeline").agg(F.count_if("inside").alias("snps_in_gt_gaps_core"), F.count_if(F.col("inside") & F.col("consensus")).alias("snps_in_gt_gaps_consensus"))
     out = pipelines
     for t in (snps, size, cores, called, shared, hit, in_core):
@@ -62,7 +62,7 @@ def filter_positions(calls: DataFrame, gaps: DataFrame, pipelines: list[str], n_
     wide = g.groupBy("pos").agg(*[F.max(F.when(F.col("pipeline") == p, F.col("all"))).alias(f"all_{p}") for p in pipelines], F.count_distinct(F.when(F.col("all") & (F.col("alts") == 1), F.col("alt"))).alias("kinds"), F.count_if("all").alias("n_all"))
     flags = {p: F.coalesce(f"all_{p}", F.lit(False)) for p in pipelines}
     for p in {f.split(":", 1)[1] for f in filters if f.startswith("gaps:")}:
-        cover = iv.merge(gaps.where(F.col("pipeline") == p).select("start", "end"), [])
+        cover = iv.sweep(gaps.where(F.col("pipeline") == p).select("start", "end"), [])
         wide = iv.locate(wide, cover, [], []).withColumnRenamed("inside", f"gap_{p}")
     tests = []
     for f in filters:
