@@ -61,6 +61,21 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of the highest counts, at most ``limit``: all rows from a bound on that a histogram of the
+    counts gives.  Only those rows come to the driver, however many tasks there are."""
+    bins = counts.groupBy(F.floor(F.log2(count) * 16).cast("int").alias("b")).count().collect()
+    total, bound = 0, None
+    for r in sorted(bins, key=lambda r: -r.b):
+        total += r["count"]
+        if total > limit:
+            break
+        bound = r.b
+    if bound is None:
+        return counts.limit(0)
+    return counts.where(F.floor(F.log2(count) * 16) >= bound)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives the Python workers this package, once for each context: they need not have it installed."""
     sc = spark.sparkContext
@@ -90,8 +105,8 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-#: Rows that a Python operator turns into objects at once.
-SLICE = 256
+#: Rows, and about as many bytes, that a Python operator turns into objects at once.
+SLICE, SLICE_BYTES = 256, 2 << 20
 
 
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -110,8 +125,9 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
 
         out = to_arrow_schema(types)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 rows = fn(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)

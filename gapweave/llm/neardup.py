@@ -4,8 +4,8 @@
    band keys over MinHash minima, and the low bits of the minima packed into a signature.
 2. Equal sets collapse into a class, so copies never meet in pairs.
 3. Classes that share a band key are candidates.  A bucket is first tested as a star around its least
-   member; after the components are known, only members of different components in a bucket are still
-   to be compared.  Signatures give a collision-corrected estimate of the similarity by
+   member; after the components are known, members of different components in a bucket are
+   compared by their rarest shingles.  Signatures give a collision-corrected estimate of the similarity by
    counting bits, which drops pairs far below the threshold.
 4. What is left is confirmed on the full sets.  Components of confirmed links are the groups.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.llm.common import map_rows, materialize, table
@@ -145,6 +145,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.join(b, "v").join(a, "u").select("u", "v", "us", "vs"), rows, f"u {kind}, v {kind}")
 
 
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of ``rest`` (node, c) in different components c that can still be similar enough.
+
+    Two sets that are share a shingle among the rarest of each, the first size - ceil(percent of size) + 1
+    in order of their counts.  What a large group has in common is frequent there, so a text that
+    differs from a group in more than that meets none of it.  For each shingle, the component with most
+    rows is never paired with itself."""
+    kind = rest.schema["node"].dataType.simpleString()
+
+    def rows(batch):
+        out = []
+        for node, c, s in batch:
+            x = np.frombuffer(s, np.int64)
+            first = len(x) - -(-percent * len(x) // 100) + 1
+            out.append((node, c, len(x), first, x.tolist()))
+        return out
+
+    with_sets = rest.join(sets, "node").select("node", "c", "s")
+    each = map_rows(with_sets, rows, f"node {kind}, c {kind}, n long, first long, ts array<long>")
+    tokens = materialize(each.select("node", "c", "n", "first", F.explode("ts").alias("t")), "shingles")
+    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    seen = tokens.join(shared, "t")
+    w = Window.partitionBy("node")
+    ranked = seen.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("df", "t")))
+    prefix = materialize(ranked.where("r <= first - alone").select("node", "c", "n", "t", (F.col("alone") + F.col("r") - 1).alias("p")), "prefixes")
+    by = prefix.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m"))
+    most = by.groupBy("t").agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("t", F.col("x.c").alias("big"))
+    live = prefix.join(most, "t")
+    other = live.select("t", F.col("node").alias("b"), F.col("c").alias("d"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("big").alias("b_big"))
+    # What can still be common from the first common shingle on must reach the intersection needed.
+    near = f"least(n, bn) * 100 >= {percent} * greatest(n, bn) AND (n - p) * {100 + percent} >= (n + bn) * {percent} AND (bn - bp) * {100 + percent} >= (n + bn) * {percent}"
+    # Both outside the largest component: one order of the pair; one inside: the outsider comes first.
+    pairs = live.where("c != big").join(other, "t").where(f"c != d AND (d = b_big OR node < b) AND {near}")
+    return pairs.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v")).distinct()
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -171,10 +207,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # Members of a bucket that are still in different components.
     placed = members.join(parts.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    rest = materialize(placed.join(split, "key"), "rest")
-    other = rest.select("key", F.col("v").alias("u"), F.col("c").alias("d"))
-    more = rest.join(other, "key").where("u < v AND c != d").select("u", "v").distinct()
-    more = more.join(stars, ["u", "v"], "left_anti")
+    rest = materialize(placed.join(split, "key").select(F.col("v").alias("node"), "c").distinct(), "rest")
+    more = _across(rest, sets, percent).join(stars, ["u", "v"], "left_anti")
     late = materialize(_confirmed(_promising(more, classes, threshold), sets, percent), "links")
     if late.limit(1).count():
         parts = materialize(components(links.union(late)), "parts")
