@@ -92,3 +92,38 @@ def region(calls: DataFrame, gaps: DataFrame, start: int = 1, end: int | None =
     c = calls.where(F.col("pos").between(start, end)).select(F.lit("snp").alias("kind"), "pipeline", "sample", F.col("pos").alias("start"), F.col("pos").alias("end"), "alt")
     g = gaps.where((F.col("end") >= start) & (F.col("start") <= end)).select(F.lit("gap").alias("kind"), "pipeline", "sample", F.greatest("start", F.lit(start)).cast("long").alias("start"), F.least("end", F.lit(end)).cast("long").alias("end"), F.lit(None).cast("string").alias("alt"))
     return c.unionByName(g)
+
+
+def global_stats(sites: DataFrame, gaps: DataFrame, calls: DataFrame, gt: str, n_samples: int, ref_len: int) -> DataFrame:
+    """(pipeline, variant, usable_space, total_snps, consensus_snps, discriminating_snps, gap_affected, gt_consensus,
+    majority_rule, confirmed, missing_calls): a missing call is a value of its own.
+
+    strict leaves out positions gapped in any sample and looks at all samples, relaxed those gapped in all and
+    looks at the others.  A majority needs three samples and exactly two values.  ``sites`` as from
+    ``sites.site_table``, ``calls`` as from ``sites.snps``."""
+    from gapweave.operators.sites import gap_sizes
+
+    t = calls.where(F.col("pipeline") == gt).groupBy("pos").agg(F.count_distinct("alt").alias("t_alts"), F.count_distinct("sample").alias("t_n"))
+    s = sites.join(t, "pos", "left")
+    agree = (F.col("pipeline") != gt) & (F.col("t_n").isNull() | ((F.col("t_alts") == 1) & (F.col("t_n") == n_samples)))
+    out = None
+    for variant, cols, size in (("strict", "called", "gap_union"), ("relaxed", "carriers", "gap_intersect")):
+        live = s.where("k = 0" if variant == "strict" else "k < n").withColumn("c", F.col(cols)).withColumn("a", F.col("n") - F.col("k"))
+        counts = F.expr("transform(array_distinct(transform(c, x -> x.alt)), v -> size(filter(c, x -> x.alt = v)))")
+        live = live.withColumn("w", counts).withColumn("none", (F.col("a") - F.size("c")).cast("int"))
+        kinds = F.size("w") + F.when(F.col("none") > 0, 1).otherwise(0)
+        most = F.greatest(F.coalesce(F.array_max("w"), F.lit(0)), F.col("none"))
+        enough = F.col("a") >= 2 if variant == "relaxed" else F.lit(True)
+        consensus = enough & (F.size("w") == 1) & (F.col("none") == 0)
+        disc = enough & ~consensus & ((F.size("w") > 0) if variant == "relaxed" else F.lit(True))
+        gapped = disc & (F.col("k") > 0)
+        majority = (F.col("a") >= 3) & (most == F.col("a") - 1) & (kinds == 2)
+        free = disc & ~gapped
+        agg = live.groupBy("pipeline").agg(
+            F.count(F.lit(1)).alias("total_snps"), F.count_if(consensus).alias("consensus_snps"), F.count_if(disc).alias("discriminating_snps"), F.count_if(gapped).alias("gap_affected"), F.count_if(free & agree).alias("gt_consensus"),
+            F.count_if(free & ~agree & majority).alias("majority_rule"), F.count_if(free & ~agree & ~majority).alias("confirmed"), F.count_if(enough & (F.size("w") > 0) & (F.col("none") > 0)).alias("missing_calls"),
+        )
+        rows = agg.join(gap_sizes(gaps, n_samples), "pipeline", "left").withColumn("usable_space", (F.lit(ref_len) - F.coalesce(size, F.lit(0))).cast("long"))
+        rows = rows.select("pipeline", F.lit(variant).alias("variant"), "usable_space", *[c for c in agg.columns if c != "pipeline"])
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
-from gapweave.operators import callsets, distances, features, qc, reader_v1, sites, truth
+from gapweave.operators import callsets, distances, features, qc, reader_v1, sites, truth, viewer
 from gapweave.plans.views import Views, oracle
 
 QUERIES: dict = {}
@@ -621,3 +621,44 @@ def v1_region(v):
     SELECT f.pos, count(*) AS n_all FROM f GROUP BY f.pos HAVING count(*) < 3 AND f.pos IN (SELECT pos FROM gp WHERE pipeline = 'gt')""")
 def v1_filtered_positions(v):
     return reader_v1.filter_positions(v.call().where("sample IN ('S0', 'S1')"), merged(v), ["gt", "p1", "p2"], 2, ["discord", "gaps:gt"])
+
+
+V1S = f"""vt AS (SELECT r.pos, count(DISTINCT coalesce(s.alt, '.')) = 1 AS agree FROM ref_base r CROSS JOIN smp m LEFT JOIN snp s ON s.pipeline = 'gt' AND s.sample = m.sample AND s.pos = r.pos GROUP BY r.pos),
+vv AS (SELECT unnest(['strict', 'relaxed']) AS variant),
+vd AS (SELECT d.*, variant, count(*) FILTER (gapped) OVER (PARTITION BY pipeline, pos, variant) AS k FROM dense d CROSS JOIN vv),
+va1 AS (SELECT pipeline, variant, pos, k, coalesce(alt, '.') AS v, count(*) AS c FROM vd WHERE CASE variant WHEN 'strict' THEN k = 0 ELSE k < {N} AND NOT gapped END GROUP BY ALL),
+vs AS (SELECT pipeline, variant, pos, k, sum(c) AS a, count(*) AS kinds, max(c) AS mx, count(*) FILTER (v <> '.') AS alts, coalesce(sum(c) FILTER (v = '.'), 0) AS nn FROM va1 GROUP BY ALL),
+vc AS (SELECT vs.*, variant = 'strict' OR a >= 2 AS en, agree AND pipeline <> 'gt' AS ag, alts = 1 AND nn = 0 AS cons, a >= 3 AND mx = a - 1 AND kinds = 2 AS mj FROM vs JOIN vt USING (pos)),
+vf AS (SELECT *, en AND NOT cons AND (alts > 0 OR variant = 'strict') AS disc FROM vc)"""
+
+
+@query(
+    "v1_global_stats",
+    f""" SELECT f.pipeline, f.variant, CAST((SELECT n FROM n) - (SELECT count(*) FROM gk WHERE gk.pipeline = f.pipeline AND (f.variant = 'strict' OR gk.k = {N})) AS BIGINT) AS usable_space, count(*) AS total_snps, count(*) FILTER (en AND cons) AS consensus_snps,
+      count(*) FILTER (disc) AS discriminating_snps, count(*) FILTER (disc AND k > 0) AS gap_affected, count(*) FILTER (disc AND k = 0 AND ag) AS gt_consensus, count(*) FILTER (disc AND k = 0 AND NOT ag AND mj) AS majority_rule,
+      count(*) FILTER (disc AND k = 0 AND NOT ag AND NOT mj) AS confirmed, count(*) FILTER (en AND alts > 0 AND nn > 0) AS missing_calls FROM vf f GROUP BY f.pipeline, f.variant""",
+    V1S,
+)
+def v1_global_stats(v):
+    return reader_v1.global_stats(site_table(v), merged(v), snps(v), "gt", N, v.ref_len)
+
+
+@query("what_if_core", """, a AS (SELECT pos, count(DISTINCT sample) AS k, min(sample) AS s FROM gp WHERE pipeline = 'gt' GROUP BY pos)
+    SELECT 'unique' AS kind, CAST((SELECT n FROM n) - count(*) AS BIGINT) AS core FROM a WHERE k = 1 AND s IN ('S1', 'S2') UNION ALL
+    SELECT 'all', CAST((SELECT n FROM n) - count(DISTINCT pos) AS BIGINT) FROM gp WHERE pipeline = 'gt' AND sample IN ('S1', 'S2')""")
+def what_if_core(v):
+    g = gt_gaps(v)
+    one = lambda kind, unique: viewer.what_if_core(g, ["S1", "S2"], v.ref_len, unique).select(F.lit(kind).alias("kind"), "core")
+    return one("unique", True).union(one("all", False))
+
+
+@query("all_sample_kpis", """, f AS (SELECT pipeline, pos FROM call WHERE pipeline <> 'gt' AND sample IN ('S0', 'S1', 'S2') GROUP BY ALL HAVING count(DISTINCT sample) = 3)
+    SELECT count(*) FILTER (pipeline = 'p1') AS all_a, count(*) FILTER (pipeline = 'p2') AS all_b, count(*) FILTER (pipeline = 'p1' AND pos IN (SELECT pos FROM f WHERE pipeline = 'p2')) AS both FROM f""")
+def all_sample_kpis(v):
+    c = v.call().where("pipeline != 'gt' AND sample IN ('S0', 'S1', 'S2')").withColumn("pipeline", F.when(F.col("pipeline") == "p1", "a").otherwise("b"))
+    return viewer.all_sample_kpis(c, 3)
+
+
+@query("pair_bands", " SELECT a, b, (n.n - core) / CAST(n.n AS DOUBLE) * 100 AS reduction_pct, CASE WHEN quality >= 0.8 THEN 'high' WHEN quality >= 0.5 THEN 'good' WHEN quality >= 0.2 THEN 'moderate' ELSE 'low' END AS band FROM pq, n WHERE (n.n - core) / CAST(n.n AS DOUBLE) * 100 > 5", QUAL)
+def pair_bands(v):
+    return viewer.filter_pairs(gt_pairs(v), v.ref_len, 5).select("a", "b", "reduction_pct", "band")
