@@ -11,13 +11,15 @@ from __future__ import annotations
 import html
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import map_rows, table
+from gapweave.llm.common import map_rows, materialize, table
 
 #: A subtree is template if it occurs on this many different pages of the host.
 LEAST_PAGES = 5
+#: Most templates (host and hash) that are broadcast, about 100 bytes each.
+BROADCAST_ROWS = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select".split())
@@ -219,13 +221,17 @@ def main_text(page: str | None, template: frozenset | set = frozenset()) -> str:
     return "\n".join(block_texts(roots))
 
 
-def template_hashes(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """(page_id, th, template array<long>): for each page (th is xxhash64 of the html) the hashes of its subtrees
-    that occur on ``least`` different pages of its host or more.  Copies of a page count once.
+def page_host(url) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def find_templates(pages: DataFrame, least: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
+    """(subtrees, templates): (page_id, th, host, hs) of each page, th being xxhash64 of the html and hs the hashes of its
+    subtrees, and (host, h) of the hashes that occur on ``least`` different pages of a host or more.  Copies of a
+    page count once.
 
     Counts are made per (host, hash) over distinct pages, so a host with a third of all pages is
     spread over its hashes."""
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def rows(batch):
@@ -235,31 +241,46 @@ def template_hashes(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
             out.append((page_id, th, host, sorted({h for h, _ in hash_subtrees(root, find_roots(root))})))
         return out
 
-    found = map_rows(pages.select("page_id", F.xxhash64("html").alias("th"), host.alias("host"), "html"), rows, f"page_id {kind}, th long, host string, hs array<long>")
-    from gapweave.llm.common import materialize
+    found = map_rows(pages.select("page_id", F.xxhash64("html").alias("th"), page_host(F.col("url")).alias("host"), "html"), rows, f"page_id {kind}, th long, host string, hs array<long>")
+    subtrees = materialize(found, "subtrees")
+    each = subtrees.select("host", F.explode("hs").alias("h"), "th").distinct()
+    return subtrees, materialize(each.groupBy("host", "h").count().where(F.col("count") >= least).select("host", "h"), "templates")
 
-    each = materialize(found, "subtrees").select("page_id", "th", "host", F.explode("hs").alias("h"))
-    often = each.select("host", "h", "th").distinct().groupBy("host", "h").count().where(F.col("count") >= least).select("host", "h")
-    return each.join(often, ["host", "h"]).groupBy("page_id", "th").agg(F.collect_set("h").alias("template"))
 
-
-def extract(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text, n_chars of each page; empty text where there is no article text.
 
-    A null html counts as empty, a null url as a host of its own name.  Rows that repeat a page whole
+    Up to ``broadcast_rows`` templates are broadcast and no page moves; more are joined to the pages that have
+    them.  A null html counts as empty, a null url as a host of its own name.  Rows that repeat a page whole
     give a row each."""
-    hits = template_hashes(pages, least).select(F.col("page_id").alias("_p"), F.col("th").alias("_t"), "template")
-    p = pages.select("page_id", "url", "html", F.xxhash64("html").alias("_th"))
+    subtrees, templates = find_templates(pages, least)
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+    p = pages.select("page_id", "url", "html", F.xxhash64("html").alias("_th"), page_host(F.col("url")).alias("_host"))
+    if templates.count() <= broadcast_rows:
+        by_host: dict[str, set[int]] = {}
+        for host, h in templates.collect():
+            by_host.setdefault(host, set()).add(h)
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+
+        def rows(batch):
+            known = shared.value
+            texts = [main_text(page, known.get(host, ())) for _, _, page, host in batch]
+            return [(page_id, url, text, len(text)) for (page_id, url, _, _), text in zip(batch, texts, strict=True)]
+
+        return map_rows(p.select("page_id", "url", "html", "_host"), rows, schema)
+
+    hits = subtrees.select("page_id", "th", "host", F.explode("hs").alias("h")).join(templates, ["host", "h"]).groupBy("page_id", "th").agg(F.collect_set("h").alias("template"))
+    hits = hits.select(F.col("page_id").alias("_p"), F.col("th").alias("_t"), "template")
     joined = p.join(hits, p["page_id"].eqNullSafe(hits["_p"]) & (p["_th"] == hits["_t"]), "left").select("page_id", "url", "html", "template")
 
-    def rows(batch):
+    def joined_rows(batch):
         out = []
         for page_id, url, page, template in batch:
             text = main_text(page, set(template or ()))
             out.append((page_id, url, text, len(text)))
         return out
 
-    return map_rows(joined, rows, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return map_rows(joined, joined_rows, schema)
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
