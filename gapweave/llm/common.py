@@ -109,27 +109,96 @@ def small_batches(spark: SparkSession) -> None:
 SLICE, SLICE_BYTES = 256, 2 << 20
 
 
-def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
+_slot: dict = {}
+
+
+def held(key: str, build):
+    """A large object of a worker, such as a model.  A worker holds one: another key drops the one before."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = build()
+    return _slot[key]
+
+
+def _tidy() -> None:
+    """Gives freed memory back to the system, so that idle workers stay small."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_batches(df: DataFrame, fn, types, keep: str | None = None) -> DataFrame:
+    """Runs ``fn(batch) -> batches`` over Arrow batches; ``keep`` is the key of the held object that it uses."""
+    ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        from gapweave.llm import common
+
+        if keep not in common._slot:
+            common._slot.clear()
+        try:
+            for batch in batches:
+                yield from fn(batch)
+        finally:
+            common._tidy()
+
+    return df.mapInArrow(run, types)
+
+
+def slices(batch):
+    step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def map_rows(df: DataFrame, fn, schema: str, keep: str | None = None) -> DataFrame:
     """Runs ``fn(rows) -> rows`` over lists of at most SLICE row tuples in Arrow batches.  Rows map to
     rows one by one or in bounded numbers, partitions never meet, and memory holds a slice."""
     import pyspark.sql.types as T
 
-    ship_package(df.sparkSession)
-    small_batches(df.sparkSession)
-    names = T._parse_datatype_string(schema).fieldNames()
     types = T._parse_datatype_string(schema)
 
-    def run(batches):
+    def run(batch):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(types)
-        for batch in batches:
-            step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                rows = fn(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        for part in slices(batch):
+            rows = fn(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, types)
+    return map_batches(df, run, types, keep)
+
+
+def filter_texts(df: DataFrame, test, keep: str | None = None) -> DataFrame:
+    """The rows whose ``text`` passes ``test``, all columns as they are."""
+    at = df.columns.index("text")
+
+    def run(batch):
+        import pyarrow as pa
+
+        for part in slices(batch):
+            yield part.filter(pa.array([bool(test(t)) for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return map_batches(df, run, df.schema, keep)
+
+
+def change_texts(df: DataFrame, change, keep: str | None = None) -> DataFrame:
+    """All rows with ``text`` changed, the other columns as they are."""
+    at = df.columns.index("text")
+
+    def run(batch):
+        import pyarrow as pa
+
+        for part in slices(batch):
+            text = pa.array([change(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(part.columns)], schema=part.schema)
+
+    return map_batches(df, run, df.schema, keep)

@@ -6,24 +6,24 @@ back to its character n-grams, from the longest down to the first length of whic
 
 from __future__ import annotations
 
-import functools
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import map_rows, table
+from gapweave.llm.common import filter_texts, held, map_rows, materialize, most_frequent, table
 
 #: The model's bound: words, n-grams, and cells (entries times languages) of each table.  Rarer words
 #: count as unseen, rarer n-grams as unknown; the counts themselves cover every learning text.
-WORDS, GRAMS, CELLS = 200_000, 200_000, 4_000_000
+WORDS, GRAMS, CELLS = 100_000, 100_000, 2_000_000
 #: Longest n-gram; words get a mark at both ends.
 LONGEST = 5
 #: Pseudo-count of a word or n-gram in each language, and least count of a known one.
 PRIOR, LEAST = 0.5, 3
 #: Unseen words that a worker remembers before it starts anew.
-CACHE = 200_000
+CACHE = 100_000
 UND = "und"
 
 find_words = re.compile(r"[^\W\d_]+").findall
@@ -64,8 +64,8 @@ def learn(docs: DataFrame) -> dict:
     def frequent(counts: DataFrame, most: int):
         n = max(1, min(most, CELLS // len(langs)))
         by = [F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-        top = counts.groupBy("w").agg(F.sum("c").alias("all"), *by).where(F.col("all") >= LEAST).orderBy(F.desc("all"), "w").limit(n)
-        rows = top.collect()
+        known = materialize(counts.groupBy("w").agg(F.sum("c").alias("all"), *by).where(F.col("all") >= LEAST), "counts")
+        rows = sorted(most_frequent(known, "all", n).collect(), key=lambda r: (-r[1], r[0]))
         names = [r[0] for r in rows]
         c = np.array([r[2:] for r in rows], np.float64).reshape(len(rows), len(langs)) + PRIOR
         p = np.log(c / c.sum(0)) if len(rows) else c
@@ -130,42 +130,20 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-@functools.lru_cache(maxsize=1)
-def _scorer(key: str, shipped) -> Scorer:
-    return Scorer(shipped.value)
-
-
-class _Shipped:
-    def __init__(self, broadcast):
-        self.broadcast = broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __hash__(self):
-        return 0
-
-    def __eq__(self, other):
-        return isinstance(other, _Shipped)
-
-
 def identify(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns, lang_pred and score (0 to 1) of each row; no row moves.
 
     A null text or one without a letter is ``und`` with score 0.  Equal totals go to the language
     that is first by name."""
-    import uuid
-
     key = uuid.uuid4().hex
-    shipped = _Shipped(docs.sparkSession.sparkContext.broadcast(model))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batch):
-        scorer = _scorer(key, shipped)
+        scorer = held(key, lambda: Scorer(shipped.value))
         return [(*r[:-1], *scorer.score(r[-1])) for r in batch]
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return map_rows(docs.select(*carry, "text"), rows, ", ".join([*fields, "lang_pred string", "score double"]))
+    return map_rows(docs.select(*carry, "text"), rows, ", ".join([*fields, "lang_pred string", "score double"]), key)
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -180,19 +158,14 @@ def keep_identified(docs: DataFrame, least: float = 0.5, columns: list[str] | No
     """The documents whose language is found with at least the given score; columns as in ``docs``.
 
     The label column ``lang`` is learned from, not used to score."""
-    from gapweave.llm.common import ship_package
-
     model = learn(learning_rows(docs))
-    ship_package(docs.sparkSession)
-    import uuid
-
-    key, shipped = uuid.uuid4().hex, _Shipped(docs.sparkSession.sparkContext.broadcast(model))
+    key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
-    def ok(text: str) -> bool:
-        lang, score = _scorer(key, shipped).score(text)
+    def ok(text: str | None) -> bool:
+        lang, score = held(key, lambda: Scorer(shipped.value)).score(text)
         return lang != UND and score >= least
 
-    return docs.where(F.udf(ok, "boolean", useArrow=True)("text"))
+    return filter_texts(docs, ok, key)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import string
 
 from pyspark.sql import DataFrame
 
-from gapweave.llm.common import map_rows, ship_package, table
+from gapweave.llm.common import change_texts, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "ssn")
 N_BASE = 4
@@ -286,11 +286,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with redacted texts, all columns kept in order."""
-    from pyspark.sql import functions as F
-
-    ship_package(docs.sparkSession)
-    mask = F.udf(redact, "string", useArrow=True)
-    return docs.withColumn("text", mask("text"))
+    return change_texts(docs, redact)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

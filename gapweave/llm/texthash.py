@@ -7,7 +7,7 @@ import functools
 import numpy as np
 
 #: Bytes of text for which the arrays are made at once (about 60 bytes each).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 5  # 5 modulo 8, so powers differ in their low bits
 U = np.uint64
 

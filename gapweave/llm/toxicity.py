@@ -10,7 +10,7 @@ evidence of the significant ones is calibrated on the learning rows.
 
 from __future__ import annotations
 
-import functools
+import bisect
 import math
 import re
 import uuid
@@ -18,8 +18,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import map_rows, materialize, table
-from gapweave.llm.langid import _Shipped, fold
+from gapweave.llm.common import held, map_rows, materialize, table
+from gapweave.llm.langid import fold
 
 #: Prefix lengths, shortest first; the base rate stands above them.
 PREFIXES = (3, 4, 5, 6)
@@ -29,9 +29,12 @@ ALPHA, LEAST = 4.0, 4
 #: most UNITS of them.  A unit counts once for each text, so one long text proves little.
 LEAST_SCORE, LEAST_Z, UNITS = 2.0, 4.5, 100_000
 #: What any other word costs; keeps the expected score of clean text negative.
-DRIFT = 0.25
+DRIFT = 0.03
 THRESHOLD = 0.7
-CACHE = 200_000
+#: Most labelled rows that are learned from, chosen by the hash of doc_id.  They are broadcast to the
+#: texts, 16 bytes each, so texts are never shuffled.
+LABELLED = 200_000
+CACHE = 100_000
 
 find_words = re.compile(r"[^\W\d_]+")
 
@@ -113,33 +116,29 @@ class Scorer:
         self.cache[w] = s
         return s
 
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """(number of words, maximal segments over word positions)."""
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float, int]]]:
+        """(number of words, maximal segments over word positions with their number of scoring words)."""
         words = find_words.findall((text or "").lower())
         get, word = self.cache.get, self.word
         hits = [(i, s) for i, w in enumerate(words) if (s := (x if (x := get(w)) is not None else word(w)))]
-        return len(words), maximal_segments(hits, DRIFT)
-
-
-@functools.lru_cache(maxsize=1)
-def _scorer(key: str, shipped) -> Scorer:
-    return Scorer(shipped.value)
+        at = [i for i, _ in hits]
+        return len(words), [(a, b, s, bisect.bisect_left(at, b) - bisect.bisect_left(at, a)) for a, b, s in maximal_segments(hits, DRIFT)]
 
 
 def segment_scores(docs: DataFrame, units: dict[str, float]) -> DataFrame:
-    """(doc_id, n, segs array<struct<a,b,s>>) of each row; no row moves."""
-    key, shipped = uuid.uuid4().hex, _Shipped(docs.sparkSession.sparkContext.broadcast(units))
+    """(doc_id, n, segs array<struct<a,b,s,h>>) of each row; no row moves."""
+    key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(units)
 
     def rows(batch):
-        scorer = _scorer(key, shipped)
+        scorer = held(key, lambda: Scorer(shipped.value))
         out = []
         for doc_id, text in batch:
             n, segs = scorer.segments(text)
-            out.append((doc_id, n, [{"a": a, "b": b, "s": s} for a, b, s in segs]))
+            out.append((doc_id, n, [{"a": a, "b": b, "s": s, "h": h} for a, b, s, h in segs]))
         return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), rows, f"doc_id {kind}, n long, segs array<struct<a:int,b:int,s:double>>")
+    return map_rows(docs.select("doc_id", "text"), rows, f"doc_id {kind}, n long, segs array<struct<a:int,b:int,s:double,h:int>>", key)
 
 
 def solve_lambda(hist: list[tuple[float, float]]) -> float:
@@ -183,11 +182,15 @@ def fit_steps(bins: list[tuple[int, float, float]]) -> list[float]:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, n_segments, worst array<struct<a,b,s>>): the significant segments, by word
-    positions.  ``labels`` (doc_id, toxic) are learned from whole; hold rows out before.
+    positions.  ``labels`` (doc_id, toxic) are learned from, up to LABELLED rows; hold rows out before.
 
     Repeated labels of a doc_id count once, as toxic if one of them is.  Without labels of both
     kinds every score is 0.5.  Null and empty texts get the score of no evidence."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.count()
+    if n > LABELLED:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.98 * LABELLED / n))
+    known = F.broadcast(known)
     d = docs.select("doc_id", "text")
     units = learn_units(d.join(known, "doc_id").select("text", "toxic"))
     found = materialize(segment_scores(d, units), "segments")
@@ -195,10 +198,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learned = found.join(known, "doc_id").select("n", "toxic", "segs", best.alias("best"))
     if units:
         clean = learned.where("toxic != 1 AND n > 0")
-        # Shares of clean words by score: segments of one word give the words that score.
-        words, hits = clean.agg(F.sum("n"), F.sum(F.size("segs"))).first()
-        by = clean.select(F.explode("segs").alias("x")).groupBy(F.round("x.s", 1).alias("s")).count().collect()
-        hist = [(float(r["s"]), r["count"] / words) for r in by] if words else []
+        # Shares of clean words by score, each scoring word of a segment at the segment's mean: some
+        # labels are wrong, and single words tell less of that than whole segments would.
+        words = clean.agg(F.sum("n")).first()[0]
+        by = clean.select(F.explode("segs").alias("x")).groupBy(F.round(F.col("x.s") / F.col("x.h"), 1).alias("s")).agg(F.sum("x.h").alias("c")).collect()
+        hist = [(float(r.s), r.c / words) for r in by] if words else []
         lam = solve_lambda([*hist, (-DRIFT, 1 - sum(p for _, p in hist)), (3.0, 1e-6)])
         k = clean.agg((F.count(F.lit(1)) / F.sum(F.col("n") * F.exp(-lam * F.col("best")))).alias("k")).first()["k"] or 0.1
         k = min(max(float(k), 1e-4), 1.0)
