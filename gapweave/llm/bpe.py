@@ -21,11 +21,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import map_rows, table
+from gapweave.llm.common import held, map_rows, materialize, most_frequent, table
 from gapweave.llm.lexicon import Lexicon, compile_words
 
-#: Words in the lexicon (about 1 MB); rarer ones are merged when they come.
-LEXICON_WORDS = 50_000
+#: Words in the lexicon (about 1 MB) and their least count; rarer ones are merged when they come.
+LEXICON_WORDS, FREQUENT = 50_000, 8
 #: Words that a worker remembers before it starts anew, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 300_000, 64
 NO_MERGE = 1 << 60
@@ -139,38 +139,39 @@ class WordBPE:
             yield p in self.special, p
 
 
-class Encoder:
-    """Encodes with a lexicon, remembering a bounded number of words."""
+class Words(dict):
+    """What the words of a worker encode to, a bounded number of them: (ids as little-endian words of 32
+    bits, the tokens joined by one space)."""
 
     def __init__(self, bpe: WordBPE, lexicon: Lexicon | None):
-        self.bpe, self.lexicon, self.cache = bpe, lexicon, {}
-
-    def word(self, w: str) -> tuple[bytes, str]:
-        """(ids as little-endian words of 32 bits, the tokens joined by one space)."""
-        found = self.cache.get(w)
-        if found is None:
-            ids = (self.lexicon.get(w) if self.lexicon else None) or self.bpe.merge(w)
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.bpe.token.__getitem__, ids))
-            if len(w) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[w] = found
+        super().__init__()
+        self.bpe, self.lexicon = bpe, lexicon
+
+    def __missing__(self, w: str) -> tuple[bytes, str]:
+        ids = (self.lexicon.get(w) if self.lexicon else None) or self.bpe.merge(w)
+        found = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.bpe.token.__getitem__, ids))
+        if len(w) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[w] = found
         return found
 
+
+class Encoder:
+    """Encodes with a lexicon."""
+
+    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None):
+        self.bpe, self.known = bpe, Words(bpe, lexicon)
+
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """(ids, decoded text); a null text counts as empty."""
-        ids, decoded = [], []
-        get, word = self.cache.get, self.word
+        found: list[tuple[bytes, str]] = []
         for special, piece in self.bpe.pieces(text or ""):
             if special:
-                ids.append(struct.pack("<I", self.bpe.special[piece]))
-                decoded.append(piece)
-                continue
-            for w in self.bpe.words(self.bpe.normalize(piece)):
-                b, s = get(w) or word(w)
-                ids.append(b)
-                decoded.append(s)
-        return b"".join(ids), " ".join(decoded)
+                found.append((struct.pack("<I", self.bpe.special[piece]), piece))
+            else:
+                found += map(self.known.__getitem__, self.bpe.words(self.bpe.normalize(piece)))
+        return b"".join([x for x, _ in found]), " ".join([x for _, x in found])
 
 
 def decode(bpe: WordBPE, ids) -> str:
@@ -179,10 +180,11 @@ def decode(bpe: WordBPE, ids) -> str:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The n most frequent letter runs over the whole corpus, ties by the word.  Counts are summed
-    per task before they are shuffled, so a word with a third of all occurrences is a row per task."""
+    """The most frequent letter runs over the whole corpus, at most n.  Counts are summed per task
+    before they are shuffled, so a word with a third of all occurrences is a row per task."""
     w = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != '' AND length(w) <= 32")
-    return [r.w for r in w.groupBy("w").count().orderBy(F.desc("count"), "w").limit(n).select("w").collect()]
+    counts = materialize(w.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT), "word-counts")
+    return sorted(r.w for r in most_frequent(counts, "c", n).collect())
 
 
 def tokenizer_definition(path: str | None = None) -> str:
@@ -206,42 +208,23 @@ def ship_lexicon(spark: SparkSession, bpe: WordBPE, words: list[str]) -> str:
     return name
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(name: str, key: str, shipped) -> Encoder:
-    from pyspark import SparkFiles
-
-    return Encoder(WordBPE(shipped.value), Lexicon(SparkFiles.get(name)))
-
-
-class _Shipped:
-    """A broadcast that can be a cache key."""
-
-    def __init__(self, broadcast):
-        self.broadcast = broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __hash__(self):
-        return 0
-
-    def __eq__(self, other):
-        return isinstance(other, _Shipped)
-
-
 def encode_rows(docs: DataFrame, row, schema: str, path: str | None = None) -> DataFrame:
     """``row(doc_id, ids, decoded)`` for each document."""
     spark = docs.sparkSession
     definition = tokenizer_definition(path)
     name = ship_lexicon(spark, WordBPE(definition), frequent_words(docs))
-    shipped = _Shipped(spark.sparkContext.broadcast(definition))
+    shipped = spark.sparkContext.broadcast(definition)
+
+    def build():
+        from pyspark import SparkFiles
+
+        return Encoder(WordBPE(shipped.value), Lexicon(SparkFiles.get(name)))
 
     def rows(batch):
-        encoder = _encoder(name, name, shipped)
+        encoder = held(name, build)
         return [row(doc_id, *encoder.encode(text)) for doc_id, text in batch]
 
-    return map_rows(docs.select("doc_id", "text"), rows, schema)
+    return map_rows(docs.select("doc_id", "text"), rows, schema, name)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
