@@ -177,19 +177,6 @@ def map_rows(df: DataFrame, fn, schema: str, keep: str | None = None) -> DataFra
     return map_batches(df, run, types, keep)
 
 
-def filter_texts(df: DataFrame, test, keep: str | None = None) -> DataFrame:
-    """The rows whose ``text`` passes ``test``, all columns as they are."""
-    at = df.columns.index("text")
-
-    def run(batch):
-        import pyarrow as pa
-
-        for part in slices(batch):
-            yield part.filter(pa.array([bool(test(t)) for t in part.column(at).to_pylist()], pa.bool_()))
-
-    return map_batches(df, run, df.schema, keep)
-
-
 def change_texts(df: DataFrame, change, keep: str | None = None) -> DataFrame:
     """All rows with ``text`` changed, the other columns as they are."""
     at = df.columns.index("text")

@@ -6,34 +6,38 @@ back to its character n-grams, from the longest down to the first length of whic
 
 from __future__ import annotations
 
+import math
+import os
 import re
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import filter_texts, held, map_rows, materialize, most_frequent, table
+from gapweave.llm.common import discard, held, map_batches, map_rows, materialize, shared_dir, ship_package, slices, table
 
-#: The model's bound: words, n-grams, and cells (entries times languages) of each table.  Rarer words
-#: count as unseen, rarer n-grams as unknown; the counts themselves cover every learning text.
-WORDS, GRAMS, CELLS = 100_000, 100_000, 2_000_000
 #: Longest n-gram; words get a mark at both ends.
 LONGEST = 5
 #: Pseudo-count of a word or n-gram in each language, and least count of a known one.
 PRIOR, LEAST = 0.5, 3
-#: Unseen words that a worker remembers before it starts anew.
-CACHE = 100_000
+#: Words, and n-grams, that a worker remembers before it starts anew.
+CACHE = 200_000
+#: Entries of a file of the model; a task holds the entries of one.
+FILE_ROWS = 250_000
 UND = "und"
 
 find_words = re.compile(r"[^\W\d_]+").findall
 
 
 def learn(docs: DataFrame) -> dict:
-    """The model of documents (text, lang), rows without either left out: languages, and log
-    frequencies of words and n-grams less their mean over the languages.
+    """The model of documents (text, lang), rows without either left out: languages, and the folders of
+    log frequencies of words and n-grams less their mean over the languages.  Every word and n-gram of
+    count LEAST or more is kept.
 
-    Words are counted per task before they are shuffled; n-grams are taken from the distinct words."""
+    Words are counted per task before they are shuffled; n-grams are taken from the distinct words.
+    Executors write the entries, so the driver holds none; the shared folder must be mounted on all."""
     w = (
         docs.where("text IS NOT NULL AND lang IS NOT NULL")
         .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
@@ -46,7 +50,7 @@ def learn(docs: DataFrame) -> dict:
     langs = sorted(totals)
     if not langs:
         w.unpersist()
-        return {"langs": [], "prior": [], "words": ([], b""), "grams": ([], b"")}
+        return {"langs": [], "prior": [], "words": None, "grams": None}
     g = (
         w.where("length(w) <= 64")
         .select("lang", "c", F.concat(F.lit("^"), "w", F.lit("$")).alias("p"))
@@ -60,72 +64,148 @@ def learn(docs: DataFrame) -> dict:
         .groupBy("lang", "w")
         .agg(F.sum("c").alias("c"))
     )
-
-    def frequent(counts: DataFrame, most: int):
-        n = max(1, min(most, CELLS // len(langs)))
-        by = [F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-        known = materialize(counts.groupBy("w").agg(F.sum("c").alias("all"), *by).where(F.col("all") >= LEAST), "counts")
-        rows = sorted(most_frequent(known, "all", n).collect(), key=lambda r: (-r[1], r[0]))
-        names = [r[0] for r in rows]
-        c = np.array([r[2:] for r in rows], np.float64).reshape(len(rows), len(langs)) + PRIOR
-        p = np.log(c / c.sum(0)) if len(rows) else c
-        return names, (p - p.mean(1, keepdims=True)).astype(np.float32).tobytes()
-
-    out = {"langs": langs, "prior": [float(np.log(totals[x] / sum(totals.values()))) for x in langs], "words": frequent(w, WORDS), "grams": frequent(g, GRAMS)}
+    out = {"langs": langs, "prior": [float(np.log(totals[x] / sum(totals.values()))) for x in langs], "words": write_entries(w, langs), "grams": write_entries(g, langs)}
     w.unpersist()
     return out
 
 
+def write_entries(counts: DataFrame, langs: list[str]) -> tuple[str, int]:
+    """(folder, number of files) of the entries of (lang, w, c): w and a float32 for each language, dealt to
+    files by the hash of w and sorted by it."""
+    spark = counts.sparkSession
+    where = urlparse(shared_dir(spark))
+    if where.scheme not in ("", "file"):
+        raise ValueError("spark.checkpoint.dir must be a mounted folder: workers map the files of the model")
+    folder = f"{where.path}/gapweave/model-{uuid.uuid4().hex}"
+    names = [f"c{i}" for i in range(len(langs))]
+    by = [F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(c) for x, c in zip(langs, names, strict=True)]
+    known = materialize(counts.groupBy("w").agg(F.sum("c").alias("all"), *by).where(F.col("all") >= LEAST).drop("all"), "counts")
+    n, *sums = known.agg(F.count(F.lit(1)), *[F.sum(c) for c in names]).first()
+    files = max(1, math.ceil(n / FILE_ROWS))
+    if n:
+        whole = np.array(sums, np.float64) + PRIOR * n
+        ship_package(spark)
+
+        def write(key, part):
+            import pyarrow as pa
+
+            words = part["w"].to_pylist()
+            h = np.array([hash_word(w) for w in words], np.uint64)
+            p = np.log((np.column_stack([part[c].to_numpy() for c in names]) + PRIOR) / whole)
+            order = np.argsort(h, kind="stable")
+            rows = (p - p.mean(1, keepdims=True)).astype(np.float32)[order]
+            out = pa.table({"h": h[order], "w": part["w"].combine_chunks().take(pa.array(order)), "row": pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(names))})
+            os.makedirs(folder, exist_ok=True)
+            path = f"{folder}/{key[0].as_py()}.arrow"
+            aside = f"{path}.{uuid.uuid4().hex}"
+            with pa.OSFile(aside, "wb") as f, pa.ipc.new_file(f, out.schema) as to:
+                to.write_table(out)
+            os.replace(aside, path)
+            return pa.table({"n": pa.array([len(words)], pa.int64())})
+
+        dealt = known.withColumn("file", F.pmod(F.xxhash64("w"), F.lit(files)).cast("int"))
+        wrote = dealt.groupBy("file").applyInArrow(write, "n long").agg(F.sum("n")).first()[0]
+        if wrote != n:
+            raise RuntimeError(f"{wrote} of {n} entries written")
+    discard(known)
+    return folder, files
+
+
+def hash_word(word: str) -> int:
+    """xxhash64 of Spark SQL as an unsigned number."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+class Entries:
+    """Looks words up in the mapped files of a folder."""
+
+    def __init__(self, folder: str, files: int, k: int):
+        import pyarrow as pa
+
+        self.files, self.k, self.parts = files, k, {}
+        for i in range(files):
+            if os.path.exists(path := f"{folder}/{i}.arrow"):
+                t = pa.ipc.open_file(pa.memory_map(path)).read_all().combine_chunks()
+                h, w, row = (t[c].chunk(0) for c in ("h", "w", "row"))
+                self.parts[i] = h.to_numpy(), w, row.flatten().to_numpy().reshape(-1, k)
+
+    def get(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(known, rows): whether each word is there, and its row, zeros where not."""
+        known, rows = np.zeros(len(words), bool), np.zeros((len(words), self.k), np.float32)
+        h = np.array([hash_word(w) for w in words], np.uint64)
+        file = h.view(np.int64) % self.files
+        for f in np.unique(file):
+            if f not in self.parts:
+                continue
+            hashes, names, cells = self.parts[f]
+            asked = np.nonzero(file == f)[0]
+            at = np.searchsorted(hashes, h[asked])
+            for j, i in zip(asked.tolist(), at.tolist(), strict=True):
+                while i < len(hashes) and hashes[i] == h[j]:
+                    if names[i].as_py() == words[j]:
+                        known[j], rows[j] = True, cells[i]
+                        break
+                    i += 1
+        return known, rows
+
+
 class Scorer:
     def __init__(self, model: dict):
         self.langs = model["langs"]
         self.prior = np.array(model["prior"])
         k = max(1, len(self.langs))
-        words, cells = model["words"]
-        self.known = {w: i for i, w in enumerate(words)}
-        self.n = len(words)
-        self.rows = np.zeros((self.n + CACHE + 1, k), np.float32)
-        self.rows[: self.n] = np.frombuffer(cells, np.float32).reshape(-1, k)
-        self.ids = dict(self.known)
-        self.grams = {g: i for i, g in enumerate(model["grams"][0])}
-        self.gram_rows = np.frombuffer(model["grams"][1], np.float32).reshape(-1, k)
-
-    def unseen(self, word: str) -> np.ndarray:
-        p = f"^{word[:64]}$"
-        for n in range(min(LONGEST, len(p)), 0, -1):
-            found = [i for a in range(len(p) - n + 1) if (i := self.grams.get(p[a : a + n])) is not None]
-            if found:
-                return self.gram_rows[found].mean(0)
-        return np.zeros(self.rows.shape[1], np.float32)
-
-    def add(self, word: str) -> int:
-        i = len(self.ids)
-        if i >= len(self.rows):
-            self.ids = dict(self.known)
-            i = self.n
-        self.rows[i] = self.unseen(word)
-        self.ids[word] = i
-        return i
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = find_words((text or "").lower())
-        if not self.langs or not any(c.isalpha() for w in words for c in w[:1]):
-            return UND, 0.0
+        if self.langs:
+            self.words, self.grams = Entries(*model["words"], k), Entries(*model["grams"], k)
+        self.rows = np.zeros((CACHE, k), np.float32)
+        self.ids: dict[str, int] = {}
+        self.met: dict[str, np.ndarray | None] = {}
+
+    def unseen(self, words: list[str]) -> list[np.ndarray]:
+        out = [np.zeros(self.rows.shape[1], np.float32)] * len(words)
+        left = {i: f"^{w[:64]}$" for i, w in enumerate(words)}
+        for n in range(LONGEST, 0, -1):
+            own = {i: [p[a : a + n] for a in range(len(p) - n + 1)] for i, p in left.items()}
+            if len(self.met) > CACHE:
+                self.met = {}
+            new = list(dict.fromkeys(g for gs in own.values() for g in gs if g not in self.met))
+            known, rows = self.grams.get(new)
+            self.met.update((g, rows[i].copy() if known[i] else None) for i, g in enumerate(new))
+            for i, gs in own.items():
+                found = [r for g in gs if (r := self.met[g]) is not None]
+                if found:
+                    out[i] = np.array(found).mean(0)
+                    del left[i]
+        return out
+
+    def fetch(self, lists: list[list[str]]) -> None:
+        """Puts the words of the lists into the cache."""
+        new = list(dict.fromkeys(w for ws in lists for w in ws if w not in self.ids))
+        if len(self.ids) + len(new) > len(self.rows):
+            self.ids = {}
+            new = list(dict.fromkeys(w for ws in lists for w in ws))
+            self.rows = np.zeros((max(CACHE, len(new)), self.rows.shape[1]), np.float32)
+        if not new:
+            return
+        known, rows = self.words.get(new)
+        other = np.nonzero(~known)[0].tolist()
+        for i, row in zip(other, self.unseen([new[i] for i in other]), strict=True):
+            rows[i] = row
+        at = len(self.ids)
+        self.rows[at : at + len(new)] = rows
+        self.ids.update((w, at + i) for i, w in enumerate(new))
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        lists = [find_words((t or "").lower()) for t in texts]
+        lists = [ws if self.langs and any(c.isalpha() for w in ws for c in w[:1]) else [] for ws in lists]
+        self.fetch(lists)
+        return [self.one(ws) if ws else (UND, 0.0) for ws in lists]
+
+    def one(self, words: list[str]) -> tuple[str, float]:
         total = self.prior.copy()
         for at in range(0, len(words), 20_000):
-            get, add = self.ids.get, self.add
-            part, rows = words[at : at + 20_000], []
-            for w in part:
-                i = get(w)
-                if i is None:
-                    before = self.ids
-                    i = add(w)
-                    if self.ids is not before:  # the cache began anew: what was gathered counts now
-                        total += self.rows[rows].sum(0, dtype=np.float64) if rows else 0
-                        rows, get = [], self.ids.get
-                        i = self.ids[w]
-                rows.append(i)
-            total += self.rows[rows].sum(0, dtype=np.float64)
+            total += self.rows[[self.ids[w] for w in words[at : at + 20_000]]].sum(0, dtype=np.float64)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -140,7 +220,7 @@ def identify(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",))
 
     def rows(batch):
         scorer = held(key, lambda: Scorer(shipped.value))
-        return [(*r[:-1], *scorer.score(r[-1])) for r in batch]
+        return [(*r[:-1], *s) for r, s in zip(batch, scorer.score([r[-1] for r in batch]), strict=True)]
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
     return map_rows(docs.select(*carry, "text"), rows, ", ".join([*fields, "lang_pred string", "score double"]), key)
@@ -161,11 +241,17 @@ def keep_identified(docs: DataFrame, least: float = 0.5, columns: list[str] | No
     model = learn(learning_rows(docs))
     key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
-    def ok(text: str | None) -> bool:
-        lang, score = held(key, lambda: Scorer(shipped.value)).score(text)
-        return lang != UND and score >= least
+    at = docs.columns.index("text")
+
+    def run(batch):
+        import pyarrow as pa
+
+        scorer = held(key, lambda: Scorer(shipped.value))
+        for part in slices(batch):
+            found = scorer.score(part.column(at).to_pylist())
+            yield part.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
 
-    return filter_texts(docs, ok, key)
+    return map_batches(docs, run, docs.schema, key)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

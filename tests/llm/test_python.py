@@ -149,6 +149,17 @@ def test_language(spark):
     assert langid.keep_identified(d).count() == d.count() - 2
 
 
+def test_language_keeps_every_word(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeioklmnrst", k=8)) for _ in range(120_000)]
+    rows = [(i, " ".join(words[i : i + 200]), "ab"[i // 200 % 2]) for i in range(0, len(words), 200)] * langid.LEAST
+    asked = [(i, words[i], "ab"[i // 200 % 2]) for i in range(0, len(words), 97)]
+    schema = "doc_id long, text string, lang string"
+    got = langid.identify(spark.createDataFrame(asked, schema), langid.learn(spark.createDataFrame(rows, schema)), ("doc_id", "lang")).collect()
+    assert len(got) == len(asked)
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 def brute_segments(scores, drift):
     """The definition: the best segment, then the same on either side of it."""
     x = [s if s else -drift for s in scores]
