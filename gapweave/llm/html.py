@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
 Every page is parsed into a tree and its block subtrees are hashed.  Spark counts on how many different
-pages of a host each hash occurs; a subtree that recurs is template and is deleted.  Prose of the
-page's article is never template, however often a site repeats it.  What a page shows to be no
+pages of a host each hash occurs; a subtree that recurs is template and is deleted.  Nothing inside the
+page's article is template, however often a site repeats it.  What a page shows to be no
 article text by itself (navigation, notices, forms, adverts, comments) goes too.
 """
 
@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import map_rows, materialize, table
 
-#: A subtree is template if it occurs on this many different pages of the host.
-LEAST_PAGES = 5
+#: A subtree is template if it occurs on this many different pages of the host, and on this share of them.
+LEAST_PAGES, LEAST_SHARE = 5, 0.1
 #: Most templates (host and hash) that are broadcast, about 100 bytes each.
 BROADCAST_ROWS = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the first kind, unless one of the second kind is nearer.
@@ -142,32 +141,34 @@ def find_roots(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node, roots: list[Node]) -> list[tuple[int, Node]]:
-    """(hash, element) of every block subtree that may be template: outside the article all, inside it those
-    without prose.  A page without an article has no protected prose."""
+    """(hash, element) of every block subtree that may be template: those outside the article that don't hold
+    it.  A page without an article has nothing protected."""
     import xxhash
 
     article = roots if roots[0] is not root else []
     out: list[tuple[int, Node]] = []
-    done: dict[int, tuple[str, bool]] = {}  # digest of each finished element; whether it holds article prose
-    todo = [(root, False, False)]
+    done: dict[int, tuple[str, bool]] = {}  # digest of each finished element; whether it is or holds the article
+    todo = [(root, False)]
     while todo:
-        node, inside, back = todo.pop()
+        node, back = todo.pop()
         if not back:
-            inside = inside or any(node is a for a in article)
-            todo.append((node, inside, True))
-            todo += [(c, inside, False) for c in node.children if isinstance(c, Node)]
+            if any(node is a for a in article):
+                done[id(node)] = ("", True)
+                continue
+            todo.append((node, True))
+            todo += [(c, False) for c in node.children if isinstance(c, Node)]
             continue
-        parts, prose = [node.tag, " ".join(node.attrs.split())], (inside and node.tag in PROSE) or any(node is a for a in article)
+        parts, holds = [node.tag, " ".join(node.attrs.split())], False
         for c in node.children:
             if isinstance(c, Node):
-                digest, p = done.pop(id(c))
+                digest, h = done.pop(id(c))
                 parts.append(digest)
-                prose = prose or p
+                holds = holds or h
             else:
                 parts.append(" ".join(c.split()))
         h = xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
-        done[id(node)] = (f"{h:016x}", prose)
-        if not prose and node is not root and node.tag not in INLINE and node.tag not in ("html", "body", "head") and node.tag not in RAW and node.tag not in VOID:
+        done[id(node)] = (f"{h:016x}", holds)
+        if not holds and node is not root and node.tag not in INLINE and node.tag not in ("html", "body", "head") and node.tag not in RAW and node.tag not in VOID:
             out.append((h - (1 << 64) if h >= 1 << 63 else h, node))
     return out
 
@@ -225,10 +226,10 @@ def page_host(url) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def find_templates(pages: DataFrame, least: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
+def find_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
     """(subtrees, templates): (page_id, th, host, hs) of each page, th being xxhash64 of the html and hs the hashes of its
-    subtrees, and (host, h) of the hashes that occur on ``least`` different pages of a host or more.  Copies of a
-    page count once.
+    subtrees, and (host, h) of the hashes that occur on ``least`` different pages of a host or more and on
+    ``share`` of its different pages or more.  Copies of a page count once.
 
     Counts are made per (host, hash) over distinct pages, so a host with a third of all pages is
     spread over its hashes."""
@@ -244,7 +245,9 @@ def find_templates(pages: DataFrame, least: int = LEAST_PAGES) -> tuple[DataFram
     found = map_rows(pages.select("page_id", F.xxhash64("html").alias("th"), page_host(F.col("url")).alias("host"), "html"), rows, f"page_id {kind}, th long, host string, hs array<long>")
     subtrees = materialize(found, "subtrees")
     each = subtrees.select("host", F.explode("hs").alias("h"), "th").distinct()
-    return subtrees, materialize(each.groupBy("host", "h").count().where(F.col("count") >= least).select("host", "h"), "templates")
+    often = each.groupBy("host", "h").count().where(F.col("count") >= least)
+    hosts = subtrees.select("host", "th").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return subtrees, materialize(often.join(hosts, "host").where(F.col("count") >= F.col("n") * share).select("host", "h"), "templates")
 
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
