@@ -269,3 +269,38 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in out.select("doc_id").collect()}
     assert all(r.n_tokens == len(r.ids) for r in rows)
     assert len(struct.pack(f"<{len(rows[0].ids)}I", *rows[0].ids)) == 4 * rows[0].n_tokens
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    rng = random.Random(12)
+    make = lambda letters, n: ["".join(rng.choices(letters, k=6)) for _ in range(n)]
+    known = {"en": make("abcdefg", 40), "de": make("uvwxyz", 40)}
+    texts = [rng.choices(known["en" if i % 2 else "de"], k=60) for i in range(30)]
+    item = make("hijklmn", 12)
+    texts[3][20:20] = item[1:11]
+    texts[4][20:20] = item[:9]
+    texts[5][7] = "a.b@c.org"
+    texts += [texts[8][:-1] + ["other"], texts[9], texts[5][:-1] + ["last"]]
+    rows = [(i, " ".join(t), "en" if t[0] in known["en"] else "de") for i, t in enumerate(texts)] + [(90, None, "en"), (91, "12 !?", "de")]
+    rows = [(i, t, lang, "web", len(t or "")) for i, t, lang in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    kept = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
+    root = brute_groups(kept, 5, 80)
+    kept = [(i, t) for i, t in kept if root[i][1] == i]
+    windows = [" ".join(item[k : k + 10]) for k in range(3)]
+    kept = [(i, t) for i, t in kept if not any(w in t for w in windows)]
+    assert len(kept) == 29
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, t in kept:
+        t = t.replace("a.b@c.org", "<EMAIL>")
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), ids, library.decode(ids, skip_special_tokens=False)))
+    got = pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids", "decoded").collect()
+    assert sorted((r.doc_id, r.n_tokens, list(r.ids), r.decoded) for r in got) == want
