@@ -139,7 +139,27 @@ def _phone(t: str, plus: int):
 URL_END = frozenset(string.whitespace) | frozenset("<>\"'`{}|\\^")
 
 
-def _url(t: str, s: int, e: int):
+class Run:
+    """What the URL anchors of one run of characters ask for, found once for the run."""
+
+    def __init__(self, t: str, e: int):
+        end = e
+        while end < len(t) and t[end] not in URL_END:
+            end += 1
+        self.end, cut = end, end
+        while cut > e and t[cut - 1] in ".,;:!?)]":
+            cut -= 1
+        self.cut = cut
+        self.last_at = t.rfind("@", e, cut)
+        self.sixth_digit, digits = -1, 0  # from the end
+        for i in range(cut - 1, e - 1, -1):
+            digits += t[i] in DIGITS
+            if digits == 6:
+                self.sixth_digit = i
+                break
+
+
+def _url(t: str, s: int, e: int, run: Run):
     """A URL that carries personal data: user info before the host, or a mailto or tel address."""
     mark = t[s:e].lower()
     if mark == "://":
@@ -149,18 +169,14 @@ def _url(t: str, s: int, e: int):
             s += 1
     elif s > 0 and t[s - 1] in ALNUM:
         return None
-    end = e
-    while end < len(t) and t[end] not in URL_END:
-        end += 1
-    while end > e and t[end - 1] in ".,;:!?)]":
-        end -= 1
-    body = t[e:end]
+    end = max(e, run.cut)
     if mark == "mailto:":
-        ok = "@" in body
+        ok = run.last_at >= e
     elif mark == "tel:":
-        ok = sum(c in DIGITS for c in body) >= 6
+        ok = run.sixth_digit >= e
     else:
-        ok = t[s : s + 1].isalpha() and "@" in body.split("/", 1)[0]
+        slash = t.find("/", e, end)
+        ok = t[s : s + 1].isalpha() and t.find("@", e, end if slash < 0 else slash) >= 0
     return (s, end) if ok else None
 
 
@@ -211,8 +227,9 @@ def _ssn(t: str, e: int):
 
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start, in code points; kinds as in KINDS.  A null or empty
-    text has none."""
+    text has none.  The steps grow with the length of the text alone, however many anchors a run has."""
     t = text or ""
+    run = None
     out: set[tuple[int, int, int]] = set()
     done = [0] * len(KINDS)
     for last, (kind, back) in _anchors().iter(lower_same_length(t)):
@@ -244,7 +261,11 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
                     if ok:
                         out.add((k, i, e))
         else:
-            x = _url(t, i, last + 1) if kind == "url" else {"iban": _iban, "account": _account, "ssn": _ssn}[kind](t, last + 1)
+            if kind == "url" and i < done[k]:
+                continue
+            if kind == "url" and (run is None or last + 1 > run.end):
+                run = Run(t, last + 1)
+            x = _url(t, i, last + 1, run) if kind == "url" else {"iban": _iban, "account": _account, "ssn": _ssn}[kind](t, last + 1)
             if x and x[0] >= done[k]:
                 done[k] = x[1]
                 out.add((k, *x))
@@ -270,7 +291,8 @@ def listed(spans) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: a row for each row, none is moved."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: a row for each row, repeated ones too; none
+    is moved.  Null and empty texts have no spans, an empty table has no rows, other columns are not read."""
 
     def rows(batch):
         out = []
