@@ -1,9 +1,9 @@
 """Main text of web pages by site template removal.
 
 Every page is parsed into a tree and its block subtrees are hashed.  Spark counts on how many different
-pages of a host each hash occurs; a subtree that recurs is template and is deleted.  Nothing inside the
-page's article is template, however often a site repeats it.  What a page shows to be no
-article text by itself (navigation, notices, forms, adverts, comments) goes too.
+pages of a host each hash occurs; a subtree that recurs is template and is deleted.  Outside the article a
+tenth of the host's pages make a template; inside it, where licences and quotations recur rightly, three
+quarters do.  What a page declares to be no article text (navigation, forms, adverts, comments) goes too.
 """
 
 from __future__ import annotations
@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import map_rows, materialize, table
 
-#: A subtree is template if it occurs on this many different pages of the host, and on this share of them.
+#: A subtree is template if it occurs on this many different pages of the host, and on this share of them; one
+#: inside the article needs more of both.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
+ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.75
 #: Most templates (host and hash) that are broadcast, about 100 bytes each.
 BROADCAST_ROWS = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe svg object canvas textarea title select".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the first kind, unless one of the second kind is nearer.
@@ -38,12 +43,18 @@ ENDS = {
 }
 DROP = frozenset("head nav footer aside form button dialog menu input fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Whole class names and ids of what is no article text; ``notice-text`` or ``article-header`` is none of them.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe signup login"
-    " sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead comment comments reply replies disqus share sharing social related recommended popup modal overlay"
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies cookie-notice cookie-banner consent gdpr notice notices newsletter subscribe signup login"
+    " sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead comment comments reply replies disqus_thread share sharing social related popup modal overlay"
     " widget toolbar pagination pager copyright".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+NAME = r"<(/?)([a-zA-Z][^\s/>]*)"
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)()()", re.S)
+TOKEN = re.compile(NAME + r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+#: The same for the rest of a page in which a quote is never closed: a tag ends at the next ``>``.
+BROKEN = re.compile(NAME + r"([^>]*)>|<[!?/][^>]*>", re.S)
+START = re.compile(r"<(?=[a-zA-Z!?/])")
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -54,19 +65,60 @@ class Node:
         self.tag, self.attrs, self.children, self.dead = tag, attrs, [], False
 
 
+class Stack:
+    """The open elements; where each tag and each block stands is known without a search."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.blocks, self.at = [root], [0], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The place of the nearest open element of the tags, 0 if there is none."""
+        return max((x[-1] for t in tags if (x := self.at.get(t))), default=0)
+
+    def close(self, i: int) -> None:
+        while len(self.nodes) > i:
+            self.at[self.nodes.pop().tag].pop()
+        while self.blocks[-1] >= i:
+            self.blocks.pop()
+
+
 def parse(page: str) -> Node:
     """A tree of elements and decoded texts.  Broken markup never fails: what is left open ends with
-    its parent, a stray end tag counts for nothing, a cut-off tag is dropped."""
+    its parent, a stray end tag counts for nothing, a cut-off tag is dropped.  The steps grow with the length
+    of the page alone."""
     root = Node("#root")
-    stack = [root]
+    stack = Stack(root)
     at, n = 0, len(page)
+    end = page.rfind(">") + 1
+    token = TOKEN
+
+    def following(at: int):
+        nonlocal token
+        while start := START.search(page, at):
+            at = start.start()
+            if m := COMMENT.match(page, at) or token.match(page, at, end):
+                return m
+            if at >= end:
+                return None
+            if token is TOKEN:
+                token = BROKEN  # a quote that is never closed
+            else:
+                at += 1
+        return None
+
     while at < n:
-        m = TOKEN.search(page, at)
+        m = following(at)
         text = page[at : m.start() if m else n]
         if not m and (cut := re.search(r"<(?:[a-zA-Z/!?][^<>]*)\Z", text)):
             text = text[: cut.start()]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            stack.nodes[-1].children.append(html.unescape(text))
         if not m:
             break
         at = m.end()
@@ -75,35 +127,24 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if name in INLINE and stack[i].tag not in INLINE:
-                    break
+            i = stack.last(name)
+            if i and (name not in INLINE or i > stack.blocks[-1]):
+                stack.close(i)
             continue
-        if name in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        if name in ENDS_P and stack.nodes[stack.blocks[-1]].tag == "p":
+            stack.close(stack.blocks[-1])
         if name in ENDS:
             kinds, bar = ENDS[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in kinds:
-                    del stack[i:]
-                    break
-                if stack[i].tag in bar:
-                    break
+            i = stack.last(*kinds)
+            if i and i > stack.last(*bar):
+                stack.close(i)
         node = Node(name, m[3])
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at, end)
+            at = close.end() if close else n
         elif name not in VOID:
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -122,7 +163,7 @@ def is_marked(node: Node, in_article: bool) -> bool:
         return True
     if node.tag in ("html", "body", "main") or (node.tag == "article" and not in_article):
         return False
-    return any(w in MARKS for w in re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    return any(w in MARKS or w.endswith(("-comments", "_comments")) for w in f"{a.get('class', '')} {a.get('id', '')}".lower().split())
 
 
 def find_roots(root: Node) -> list[Node]:
@@ -141,24 +182,22 @@ def find_roots(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node, roots: list[Node]) -> list[tuple[int, Node]]:
-    """(hash, element) of every block subtree that may be template: those outside the article that don't hold
-    it.  A page without an article has nothing protected."""
+    """(hash, element) of every block subtree that may be template: all that don't hold the article or its
+    root.  The lowest bit of a hash tells whether the element is inside the article."""
     import xxhash
 
-    article = roots if roots[0] is not root else []
+    article = {id(a) for a in roots} if roots[0] is not root else set()
     out: list[tuple[int, Node]] = []
     done: dict[int, tuple[str, bool]] = {}  # digest of each finished element; whether it is or holds the article
-    todo = [(root, False)]
+    todo = [(root, False, False)]
     while todo:
-        node, back = todo.pop()
+        node, back, inside = todo.pop()
         if not back:
-            if any(node is a for a in article):
-                done[id(node)] = ("", True)
-                continue
-            todo.append((node, True))
-            todo += [(c, False) for c in node.children if isinstance(c, Node)]
+            todo.append((node, True, inside))
+            within = inside or id(node) in article
+            todo += [(c, False, within) for c in node.children if isinstance(c, Node)]
             continue
-        parts, holds = [node.tag, " ".join(node.attrs.split())], False
+        parts, holds = [node.tag, " ".join(node.attrs.split())], id(node) in article
         for c in node.children:
             if isinstance(c, Node):
                 digest, h = done.pop(id(c))
@@ -169,6 +208,7 @@ def hash_subtrees(root: Node, roots: list[Node]) -> list[tuple[int, Node]]:
         h = xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
         done[id(node)] = (f"{h:016x}", holds)
         if not holds and node is not root and node.tag not in INLINE and node.tag not in ("html", "body", "head") and node.tag not in RAW and node.tag not in VOID:
+            h = h & ~1 | inside
             out.append((h - (1 << 64) if h >= 1 << 63 else h, node))
     return out
 
@@ -177,6 +217,7 @@ def block_texts(roots: list[Node]) -> list[str]:
     """The texts of the blocks in page order, white space folded; deleted and marked subtrees left out."""
     out: list[str] = []
     run: list[str] = []
+    own = {id(r) for r in roots}
 
     def close():
         text = " ".join("".join(run).split())
@@ -192,7 +233,7 @@ def block_texts(roots: list[Node]) -> list[str]:
                 close()
             elif isinstance(x, str):
                 run.append(x)
-            elif x.dead or (x not in roots and is_marked(x, True)):
+            elif x.dead or (id(x) not in own and is_marked(x, True)):
                 if x.tag not in INLINE:
                     close()
             elif x.tag in ("br", "wbr"):
@@ -229,7 +270,8 @@ def page_host(url) -> Column:
 def find_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
     """(subtrees, templates): (page_id, th, host, hs) of each page, th being xxhash64 of the html and hs the hashes of its
     subtrees, and (host, h) of the hashes that occur on ``least`` different pages of a host or more and on
-    ``share`` of its different pages or more.  Copies of a page count once.
+    ``share`` of its different pages or more; ARTICLE_PAGES and ARTICLE_SHARE inside the article.  Copies of a
+    page count once.
 
     Counts are made per (host, hash) over distinct pages, so a host with a third of all pages is
     spread over its hashes."""
@@ -244,10 +286,12 @@ def find_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = LE
 
     found = map_rows(pages.select("page_id", F.xxhash64("html").alias("th"), page_host(F.col("url")).alias("host"), "html"), rows, f"page_id {kind}, th long, host string, hs array<long>")
     subtrees = materialize(found, "subtrees")
-    each = subtrees.select("host", F.explode("hs").alias("h"), "th").distinct()
-    often = each.groupBy("host", "h").count().where(F.col("count") >= least)
-    hosts = subtrees.select("host", "th").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    return subtrees, materialize(often.join(hosts, "host").where(F.col("count") >= F.col("n") * share).select("host", "h"), "templates")
+    pages_once = subtrees.select("host", "th", "hs").dropDuplicates(["host", "th"])
+    often = pages_once.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("c"))
+    hosts = pages_once.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    inside = F.col("h").bitwiseAND(1) == 1
+    enough = F.when(inside, (F.col("c") >= max(least, ARTICLE_PAGES)) & (F.col("c") >= F.col("n") * ARTICLE_SHARE)).otherwise(F.col("c") >= F.col("n") * share)
+    return subtrees, materialize(often.where(F.col("c") >= least).join(hosts, "host").where(enough).select("host", "h"), "templates")
 
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -255,7 +299,8 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, broadcast_rows: int = BR
 
     Up to ``broadcast_rows`` templates are broadcast and no page moves; more are joined to the pages that have
     them.  A null html counts as empty, a null url as a host of its own name.  Rows that repeat a page whole
-    give a row each."""
+    give a row each, an empty table none; other columns are not read.  A page is one row however long; markup that
+    is broken or nested deep takes no more steps than its length."""
     subtrees, templates = find_templates(pages, least)
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     p = pages.select("page_id", "url", "html", F.xxhash64("html").alias("_th"), page_host(F.col("url")).alias("_host"))

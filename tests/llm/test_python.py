@@ -218,14 +218,15 @@ def test_page_text(spark):
 
 
 def test_page_text_of_large_hosts(spark):
-    dish = "<body><div>Menu</div><article><h1>Dish {}</h1><ul><li>salt</li></ul><table><tr><td>0</td></tr></table><dl><dd>hot</dd></dl><div>Serve</div></article></body>"
+    # Half of the host's articles share ingredients, which stay; all have a line without any telling name, which goes.
+    dish = "<body><div>Menu</div><article><h1>Dish {}</h1><ul><li>{}</li></ul><table><tr><td>0{}</td></tr></table><dl><dd>hot{}</dd></dl><div>Tell a friend</div></article></body>"
     bare = "<body><div>Menu</div><div>{}</div><p>Story {}</p></body>"
-    rows = [(i, f"http://a.org/{i}", dish.format(i)) for i in range(60)]
+    rows = [(i, f"http://a.org/{i}", dish.format(i, *(["salt", "", ""] if i % 2 else [f"salt {i}", i, i]))) for i in range(60)]
     rows += [(100 + i, f"http://b.org/{i}", bare.format("Again" if i < 5 else f"Once {i}", i)) for i in range(60)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     for bound in (1000, 0):
         got = {r.page_id: r.text for r in html.extract(d, broadcast_rows=bound).collect()}
-        assert all(got[i] == f"Dish {i}\nsalt\n0\nhot\nServe" for i in range(60))
+        assert all(got[i] == (f"Dish {i}\nsalt\n0\nhot" if i % 2 else f"Dish {i}\nsalt {i}\n0{i}\nhot{i}") for i in range(60))
         assert all(got[100 + i] == ("Again" if i < 5 else f"Once {i}") + f"\nStory {i}" for i in range(60))
 
 
