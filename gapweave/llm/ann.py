@@ -1,8 +1,10 @@
 """Nearest neighbours: a hierarchical navigable small-world graph for each shard, results merged.
 
 Vectors are dealt to shards of bounded size by the hash of their id.  A shard's graph is a flat
-array of neighbour numbers for each layer; many searches go through it in step with numpy.  Each
-query visits every shard, and the best of all shards, measured exactly, are its result.
+array of neighbour numbers for each layer; many searches go through it in step with numpy, in double
+precision.  Each query visits every shard, and the best of all shards, measured exactly, are its result.
+Tables of up to LEAST_SHARDS * SHARD vectors have LEAST_SHARDS shards, so the work grows with the rows;
+beyond, shards are added, as their memory is bounded, and each one more is visited by all queries.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import ship_package, small_batches, table
 
-#: Mean number of vectors in a shard.
-SHARD = 4096
+#: Mean number of vectors in a full shard (of 100 dimensions: 52 MB), least number of shards, and of vectors
+#: for which one more is opened until that number is reached.
+SHARD, LEAST_SHARDS, LEAST_ROWS = 65_536, 8, 256
+#: Queries that meet a shard at once; a further block of them builds the graph of the shard again.
+QUERIES = 65_536
 #: Links of a node in the upper layers; twice as many in the lowest.
 M = 16
 #: Breadth of the search while building and for queries.
 EF_BUILD, EF_SEARCH = 64, 128
-#: Nodes that are inserted, and queries that search, in step.
-BATCH = 256
+#: Nodes that are inserted, and queries that search, in step; nodes that a search opens in a step.
+BATCH, OPEN = 256, 4
 
 
 def _distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -36,27 +41,34 @@ def _walk(x, links, q, entry, ef):
     missing ones have id -1.  All queries take a step at a time."""
     b, n = len(q), len(x)
     ids = np.full((b, ef), -1, np.int32)
-    dist = np.full((b, ef), np.inf, np.float32)
+    dist = np.full((b, ef), np.inf, x.dtype)
     fresh = np.zeros((b, ef), bool)
     seen = np.zeros((b, n), bool)
     ids[:, 0], fresh[:, 0] = entry, True
     dist[:, 0] = _distances(x, q, entry[:, None])[:, 0]
     seen[np.arange(b), entry] = True
+    most = min(OPEN, ef)
     while True:
-        open_ = np.where(fresh, dist, np.inf)
-        best = open_.argmin(1)
-        rows = np.flatnonzero(np.isfinite(open_[np.arange(b), best]))
+        rows = np.flatnonzero(fresh.any(1))
         if not len(rows):
             return ids, dist
-        at = best[rows]
-        fresh[rows, at] = False
-        nb = links[ids[rows, at]]
-        ok = (nb >= 0) & ~seen[rows[:, None], nb]
-        seen[rows[:, None], np.where(ok, nb, ids[rows, at][:, None])] = True
-        d = np.where(ok, _distances(x, q[rows], np.where(ok, nb, 0)), np.inf).astype(np.float32)
+        take = np.arange(len(rows))[:, None]
+        # Lists are sorted, so the first fresh places are the nearest.
+        at = np.argsort(~fresh[rows], 1, kind="stable")[:, :most]
+        opened = fresh[rows[:, None], at]
+        fresh[rows[:, None], at] = False
+        nb = np.where(opened[:, :, None], links[ids[rows[:, None], at]], -1).reshape(len(rows), -1)
+        nb.sort(1)
+        ok = nb >= 0
+        ok[:, 1:] &= nb[:, 1:] != nb[:, :-1]
+        ok &= ~seen[rows[:, None], nb]
+        wide = int(ok.sum(1).max())
+        front = np.argsort(~ok, 1, kind="stable")[:, :wide]
+        nb, ok = np.where(ok, nb, 0)[take, front], ok[take, front]
+        seen[rows[:, None], nb] |= ok
+        d = np.where(ok, _distances(x, q[rows], nb), np.inf)
         all_d = np.concatenate([dist[rows], d], 1)
         order = np.argsort(all_d, 1, kind="stable")[:, :ef]
-        take = np.arange(len(rows))[:, None]
         dist[rows] = all_d[take, order]
         ids[rows] = np.concatenate([ids[rows], np.where(ok, nb, -1)], 1)[take, order]
         fresh[rows] = np.concatenate([fresh[rows], ok], 1)[take, order]
@@ -68,7 +80,7 @@ def _diverse(x: np.ndarray, node: int, ids: np.ndarray, dist: np.ndarray, most:
     ids = ids[:96]
     if len(ids) <= 1:
         return ids
-    v = x[ids]
+    v = x[ids] - x[node]
     sq = np.einsum("ij,ij->i", v, v)
     pair = sq[:, None] + sq[None, :] - 2 * (v @ v.T)
     blocked = np.zeros(len(ids), bool)
@@ -80,16 +92,17 @@ def _diverse(x: np.ndarray, node: int, ids: np.ndarray, dist: np.ndarray, most:
                 break
             blocked |= pair[i] < dist[: len(ids)]
     if len(chosen) < most:
-        rest = np.setdiff1d(np.arange(len(ids)), chosen, assume_unique=True)
-        chosen += rest[: most - len(chosen)].tolist()
+        rest = np.ones(len(ids), bool)
+        rest[chosen] = False
+        chosen += np.flatnonzero(rest)[: most - len(chosen)].tolist()
     return ids[np.sort(chosen)]
 
 
 class Graph:
-    """HNSW over distinct float32 vectors."""
+    """HNSW over distinct vectors."""
 
     def __init__(self, x: np.ndarray, seed: int = 1):
-        self.x = x = np.ascontiguousarray(x, np.float32)
+        self.x = x = np.ascontiguousarray(x)
         n = len(x)
         level = np.minimum((-np.log(np.random.default_rng(seed).random(n)) / math.log(M)).astype(int), 8)
         order = np.argsort(-level, kind="stable")
@@ -124,8 +137,7 @@ class Graph:
             # Nodes of the same batch don't see each other in the graph yet.
             own = batch[mine].astype(np.int32)
             v = x[own]
-            sq = np.einsum("ij,ij->i", v, v)
-            among = np.maximum(sq[:, None] + sq[None, :] - 2 * (v @ v.T), 0).astype(np.float32)
+            among = np.concatenate([_distances(x, v[i : i + 32], np.broadcast_to(own, (len(v[i : i + 32]), len(own)))) for i in range(0, len(own), 32)])
             np.fill_diagonal(among, np.inf)
             near = np.argsort(among, 1, kind="stable")[:, :M]
             ids = np.concatenate([ids, own[near]], 1)
@@ -155,29 +167,46 @@ class Graph:
         """(ids, squared distances) of the ``ef`` nearest nodes found for each query, -1 where fewer."""
         ids, dist = [], []
         for at in range(0, len(q), BATCH):
-            part = np.ascontiguousarray(q[at : at + BATCH], np.float32)
+            part = np.ascontiguousarray(q[at : at + BATCH])
             i, d = _walk(self.x, self.links[0], part, self._descend(part, 0), ef)
             ids.append(i)
             dist.append(d)
         return np.concatenate(ids), np.concatenate(dist)
 
 
+def exact_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of q to the rows of x; scaled by powers of two, so squares never leave the doubles."""
+    d = x - q
+    e = np.frexp(np.abs(d).max(1, initial=0.0))[1]
+    return np.ldexp(np.sqrt((np.ldexp(d, -e[:, None]) ** 2).sum(1)), e)
+
+
+def comparable(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both scaled by one power of two to at most 1; with components so small beside the largest that their
+    squares would vanish, as numbers of a wider exponent."""
+    e = int(max(np.frexp(np.abs(v).max(initial=0.0))[1] for v in (x, q)))
+    small = min((np.abs(v[v != 0]).min(initial=np.inf) for v in (x, q)), default=np.inf)
+    if np.frexp(small)[1] - e < -450:
+        return np.ldexp(x.astype(np.longdouble), -e), np.ldexp(q.astype(np.longdouble), -e)
+    return np.ldexp(x, -e), np.ldexp(q, -e)
+
+
 def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int):
     """(query_id, vec_id, score) of each query's k nearest of a shard, its own row left out.  Equal
     vectors are one node; the least ids of a node stand for it, as no more than k + 1 can be wanted."""
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    _, first, inverse = np.unique(x.astype(np.float32), axis=0, return_index=True, return_inverse=True)
-    nodes = x[first].astype(np.float32)
+    ids, x = ids[order], x[order] + 0.0  # no negative zero
+    _, first, inverse = np.unique(x, axis=0, return_index=True, return_inverse=True)
     by = np.argsort(inverse.ravel(), kind="stable")
     start = np.searchsorted(inverse.ravel()[by], np.arange(len(first) + 1))
-    found, _ = Graph(nodes).search(q, EF_SEARCH)
+    nodes, asked = comparable(x[first], q)
+    found, _ = Graph(nodes).search(asked, EF_SEARCH)
     out = []
     for i, qid in enumerate(qids):
         f = found[i][found[i] >= 0]
         rows = np.concatenate([by[start[n] : min(start[n] + k + 1, start[n + 1])] for n in f]) if len(f) else np.zeros(0, int)
         rows = rows[ids[rows] != qid]
-        d = np.sqrt(((x[rows].astype(np.float64) - q[i].astype(np.float64)) ** 2).sum(1))
+        d = exact_distances(x[rows], q[i])
         best = np.lexsort((ids[rows], d))[:k]
         out += [(int(qid), int(ids[rows[j]]), float(d[j])) for j in best]
     return out
@@ -190,18 +219,29 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(fine).select("vec_id", "v", F.size("v").alias("dim"))
 
 
+def shards_for(rows: int, shard: int = SHARD) -> int:
+    return max(1, min(LEAST_SHARDS, math.ceil(rows / LEAST_ROWS)), math.ceil(rows / shard))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of ``vectors`` for each row of ``queries``, both as
     (vec_id, embedding).  Only vectors of the same length are compared; ties go to the smaller vec_id; a
-    row with the query's vec_id is its own.  Without a usable candidate a query has no rows."""
+    row with the query's vec_id is its own.  Without a usable candidate a query has no rows.  Rows that repeat a
+    vec_id give one neighbour, at the nearest of their vectors; empty tables give no rows."""
     import pandas as pd
 
     ship_package(vectors.sparkSession)
     small_batches(vectors.sparkSession)
     rows, asked = usable(vectors), usable(queries)
-    shards = max(1, math.ceil(rows.count() / shard))
+    shards = shards_for(rows.count(), shard)
+    blocks = max(1, math.ceil(asked.count() / QUERIES))
+    keys = ("dim", "shard", "block")
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # More parts than keys, so that few keys share a task; a number that is given isn't lowered at run time.
+    dealt, sent = (d.repartition(4 * shards * blocks, *keys) for d in (dealt, sent))
 
     def run(key, own, q):
         if not len(own) or not len(q):
@@ -209,7 +249,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SH
         out = search_shard(own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()), q["vec_id"].to_numpy(), np.stack(q["v"].to_numpy()), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    each = dealt.groupBy("dim", "shard").cogroup(sent.groupBy("dim", "shard")).applyInPandas(run, "query_id long, vec_id long, score double")
+    each = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
     each = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
