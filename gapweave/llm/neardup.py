@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import map_rows, materialize, table
+from gapweave.llm.common import discard, map_rows, materialize, table
 from gapweave.llm.graph import components
 from gapweave.llm.texthash import mix, shingle_set, word_hashes
 
@@ -31,6 +31,8 @@ BITS = 2
 SLACK = 5.0
 #: Largest number of node ids that is broadcast (8 bytes each); more are shuffled.
 BROADCAST_ROWS = 400_000
+#: Rows of one shingle that meet all its other rows in one task.
+PART = 512
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2)
@@ -145,13 +147,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.join(b, "v").join(a, "u").select("u", "v", "us", "vs"), rows, f"u {kind}, v {kind}")
 
 
-def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of ``rest`` (node, c) in different components c that can still be similar enough.
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two written tables follow the pairs (u, v) of ``rest`` (node, c) in different components c that can still be similar enough.
 
     Two sets that are share a shingle among the rarest of each, the first size - ceil(percent of size) + 1
     in order of their counts.  What a large group has in common is frequent there, so a text that
     differs from a group in more than that meets none of it.  For each shingle, the component with most
-    rows is never paired with itself."""
+    rows is never paired with itself, and its other rows are dealt to parts of about PART rows that each meet
+    the rest in a task of their own."""
     kind = rest.schema["node"].dataType.simpleString()
 
     def rows(batch):
@@ -171,14 +174,16 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = seen.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("df", "t")))
     prefix = materialize(ranked.where("r <= first - alone").select("node", "c", "n", "t", (F.col("alone") + F.col("r") - 1).alias("p")), "prefixes")
     by = prefix.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m"))
-    most = by.groupBy("t").agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("t", F.col("x.c").alias("big"))
+    most = by.groupBy("t").agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("rows")).where("k > 1")
+    most = most.select("t", F.col("x.c").alias("big"), F.ceil((F.col("rows") - F.col("x.m")) / PART).alias("parts"))
     live = prefix.join(most, "t")
-    other = live.select("t", F.col("node").alias("b"), F.col("c").alias("d"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("big").alias("b_big"))
+    other = live.select("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("c").alias("d"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("big").alias("b_big"))
     # What can still be common from the first common shingle on must reach the intersection needed.
     near = f"least(n, bn) * 100 >= {percent} * greatest(n, bn) AND (n - p) * {100 + percent} >= (n + bn) * {percent} AND (bn - bp) * {100 + percent} >= (n + bn) * {percent}"
     # Both outside the largest component: one order of the pair; one inside: the outsider comes first.
-    pairs = live.where("c != big").join(other, "t").where(f"c != d AND (d = b_big OR node < b) AND {near}")
-    return pairs.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v")).distinct()
+    first = live.where("c != big").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    pairs = first.join(other, ["t", "part"]).where(f"c != d AND (d = b_big OR node < b) AND {near}")
+    return pairs.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v")).distinct(), tokens, prefix
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -186,7 +191,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     The component is the least doc_id that links reach.  Texts without words (null and empty ones too)
     are linked with nothing.  Rows with a null doc_id keep a null component and are kept.  Rows
-    that repeat a doc_id are one document to the links."""
+    that repeat a doc_id are one document to the links.  Texts count whole; an empty table gives no rows, other
+    columns are not read."""
     threshold = percent / 100
     feats = materialize(features(docs, n), "minhash")
     live = feats.where("n > 0 AND doc_id IS NOT NULL")
@@ -208,10 +214,14 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     placed = members.join(parts.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     rest = materialize(placed.join(split, "key").select(F.col("v").alias("node"), "c").distinct(), "rest")
-    more = _across(rest, sets, percent).join(stars, ["u", "v"], "left_anti")
+    across, *written = _across(rest, sets, percent)
+    more = across.join(stars, ["u", "v"], "left_anti")
     late = materialize(_confirmed(_promising(more, classes, threshold), sets, percent), "links")
     if late.limit(1).count():
+        discard(parts)
         parts = materialize(components(links.union(late)), "parts")
+    for done in (members, stars, nodes, sets, links, rest, late, *written):
+        discard(done)
 
     whole = classes.select("s1", "s2", "node").join(parts, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     return (
