@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import ascii_lower, table
+from gapweave.llm.common import ascii_lower, materialize, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a document that one row holds while its windows are made.
@@ -42,14 +42,14 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """(doc_id, th, n_words, hits array<struct<pos,len>>, items array<item_id>) of every document;
     th is xxhash64(text).  Long documents are cut into blocks that overlap by n - 1 words, so a
     row stays small however long the text is."""
-    bench = benchmark_windows(benchmark, n).cache()
+    bench = materialize(benchmark_windows(benchmark, n), "windows")
     size = bench.agg(F.sum(F.length("win") + 32).alias("c"), F.collect_set("len").alias("l")).first()
     lengths = sorted(size["l"] or [])
-    if (size["c"] or 0) <= BROADCAST_CHARS:
+    if (size["c"] or 0) <= broadcast_chars:
         bench = F.broadcast(bench)
     base = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     base = base.withColumn("n_words", F.size("w").cast("long"))
@@ -76,7 +76,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     windows = (
         blocks.select("doc_id", "th", "n_words", "at", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("x"))
         .select("doc_id", "th", "n_words", (F.col("at") + F.col("x.i")).cast("long").alias("pos"), F.col("x.len").alias("len"), F.col("x.win").alias("win"))
-        .withColumn("h", F.xxhash64("win"))
+        .withColumn("h", F.expr("IF(len = 0, xxhash64(doc_id, th), xxhash64(win))"))  # documents are spread if the join shuffles
     )
     b = bench.select("item_id", F.col("len").alias("b_len"), F.col("win").alias("b_win"), F.col("h").alias("b_h"))
     hit = windows.join(b, (windows.h == b.b_h) & (windows.win == b.b_win) & (windows.len == b.b_len), "left").where("b_h IS NOT NULL OR len = 0")
@@ -101,11 +101,13 @@ def n_hit(hits: Column) -> Column:
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words and no hits; an empty benchmark hits nothing."""
-    return find_hits(docs, benchmark, n).select(
+    Null and empty texts have no words and no hits; an empty benchmark hits nothing.  Rows that repeat doc_id and
+    text give one row; other columns are not read.  Over ``broadcast_chars`` characters of windows the same join
+    shuffles, with the same result."""
+    return find_hits(docs, benchmark, n, broadcast_chars).select(
         "doc_id",
         "n_words",
         n_hit(F.col("hits")).cast("long").alias("n_hit"),
