@@ -47,6 +47,9 @@ RULES = BASE + MORE
 #: Largest number of candidate keys that is broadcast (16 bytes each); more are shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Matches of a text whose places are summed in one go.
+BLOCK = 256
+
 SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
@@ -58,15 +61,24 @@ def spans(text: Column, rule: Rule, k: int) -> Column:
     zipped = F.arrays_zip(
         F.slice(F.split(text, rule.regex, -1), 1, F.greatest(F.size(whole), F.lit(0))).alias("p"), whole.alias("m"), value.alias("v")
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc, x):
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        span = F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"))
-        return F.struct(e.alias("at"), F.when(F.length(x["v"]) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike(rule.regex), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    step = F.transform(zipped, lambda x: (F.length(x["p"]) + F.length(x["m"])).cast("long"))
+    ends = F.transform(F.arrays_zip(zipped.alias("x"), running_sums(step).alias("e")), lambda y: F.struct(y["x"]["m"].alias("m"), y["x"]["v"].alias("v"), y["e"].alias("e")))
+    good = F.filter(ends, lambda y: F.length(y["v"]) >= rule.least)
+    found = F.transform(good, lambda y: F.struct((y["e"] - F.length(y["m"])).alias("s"), F.lit(k).alias("k"), y["e"].alias("e")))
+    return F.when(text.rlike(rule.regex), found).otherwise(F.array().cast(SPAN))
+
+
+def running_sums(x: Column) -> Column:
+    """The sums of the first 1, 2, ... numbers, block by block: no array grows number by number."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda c, v: c + v)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(x, at + 1, F.lit(BLOCK)))
+    sums = F.transform(blocks, total)
+    before = F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
+    each = F.transform(
+        F.arrays_zip(blocks.alias("b"), before.alias("o")),
+        lambda y: F.transform(y["b"], lambda _, i: y["o"] + total(F.slice(y["b"], F.lit(1), i + 1))),
+    )
+    return F.flatten(each)
 
 
 def _condition(q, present: Column) -> Column:
