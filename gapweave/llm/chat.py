@@ -8,36 +8,36 @@ that; conversations are never compared pairwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import table
+from gapweave.llm.common import materialize, table
+
+
+def turn_key(role: str, text: str) -> Column:
+    """The digest of a turn; the length of the role parts it from the text."""
+    r, t = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+    return F.sha2(F.concat(F.length(r).cast("string"), F.lit(":"), r, t), 256)
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, final, prefixes): ``prefixes`` are the rolling hashes of the proper
-    prefixes, ``final`` that of the whole.  Only role and text count, in the order of
-    (turn, role, text); a null role or text counts as empty; rows that repeat a turn whole count
-    each.  A null conv_id is a conversation of its own."""
-    step = F.struct(
-        F.col("turn").alias("turn"),
-        F.sha2(F.concat_ws("\x1f", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("h"),
-    )
-    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    rolled = F.aggregate(
-        "steps",
-        F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")),
-        lambda acc, s: F.struct(
-            F.md5(F.concat(acc["last"], s["h"])).alias("last"),
-            F.array_append(acc["all"], F.md5(F.concat(acc["last"], s["h"]))).alias("all"),
-        ),
-    )
-    return ordered.select("conv_id", F.size("steps").cast("long").alias("n_turns"), rolled.alias("r")).select(
+    """(conv_id, n, a, b, last): each prefix of a conversation as the number of its turns and two running sums of
+    hashes of place and turn; ``last`` marks the whole.  Only role and text count, in the order of
+    (turn, digest of role and text); a null role or text counts as empty; rows that repeat a turn whole count
+    each.  Rows with a null conv_id are one conversation.
+
+    The sums run over sorted rows, so a conversation of any length passes through a task row by row."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "h")
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = turns.select("conv_id", "turn", turn_key("role", "text").alias("h")).withColumn("n", F.row_number().over(w).cast("long"))
+    wide = lambda seed: F.xxhash64("n", "h", F.lit(seed)).cast("decimal(38,0)")
+    return placed.select(
         "conv_id",
-        "n_turns",
-        F.col("r.last").alias("final"),
-        F.slice("r.all", 1, F.greatest(F.size("r.all") - 1, F.lit(0))).alias("prefixes"),
-    )
+        "n",
+        F.sum(wide(1)).over(running).alias("a"),
+        F.sum(wide(2)).over(running).alias("b"),
+        F.lead(F.lit(True), 1, False).over(w).alias("more"),
+    ).select("conv_id", "n", "a", "b", (~F.col("more")).alias("last"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
@@ -46,12 +46,10 @@ def collapse(turns: DataFrame) -> DataFrame:
 
     Equal conversations meet in a partial aggregate and prefixes in a distinct one, so a first
     turn that many share costs a row per task."""
-    hashed = prefix_hashes(turns)
-    whole = hashed.groupBy("final").agg(
-        F.min("conv_id").alias("conv_id"), F.max("n_turns").alias("n_turns"), F.count(F.lit(1)).alias("n_copies")
-    )
-    proper = hashed.select(F.explode("prefixes").alias("final")).distinct()
-    return whole.join(proper, "final", "left_anti").select("conv_id", "n_turns", "n_copies")
+    hashed = materialize(prefix_hashes(turns), "prefixes")
+    whole = hashed.where("last").groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    proper = hashed.where("NOT last").select("n", "a", "b").distinct()
+    return whole.join(proper, ["n", "a", "b"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
 
 
 def render(turns: DataFrame, keep: DataFrame) -> DataFrame:
@@ -60,10 +58,10 @@ def render(turns: DataFrame, keep: DataFrame) -> DataFrame:
     piece = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
     kept = keep.select(F.col("conv_id").alias("_keep"), "n_turns", "n_copies")
     return (
-        turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x"), piece.alias("piece"))
+        turns.select("conv_id", "turn", turn_key("role", "text").alias("h"), piece.alias("piece"))
         .join(kept, F.col("conv_id").eqNullSafe(F.col("_keep")), "inner")
         .groupBy("conv_id", "n_turns", "n_copies")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", F.sha2(F.concat_ws("\x1f", "r", "x"), 256).alias("h"), "piece"))).alias("p"))
+        .agg(F.array_sort(F.collect_list(F.struct("turn", "h", "piece"))).alias("p"))
         .select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("p", lambda s: s["piece"]), "").alias("rendered"))
     )
 
@@ -72,7 +70,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """Collapses snapshots and renders what is left: (conv_id, n_turns, n_copies, rendered).
 
     Empty table: no rows.  Ties of ``turn`` are ordered by the hash of role and text.  A conversation is one
-    row of the result, so its turns must fit into one row; the rolling hash itself needs 32 bytes a turn."""
+    row of the result, so its turns must fit into one row; the rolling hash itself takes them one by one."""
     rows = turns.select("conv_id", "turn", "role", "text")
     return render(rows, collapse(rows))
 
@@ -85,7 +83,7 @@ def op10_chat_format(spark, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         coalesce(role, '') || chr(31) || coalesce(text, '') AS k
+         length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS k
   FROM conversations
 ), p AS (
   SELECT conv_id, turn, k, text, role,
