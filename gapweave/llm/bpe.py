@@ -7,6 +7,7 @@ merged exactly.  The lexicon changes the speed only: results equal the tokenizer
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import heapq
@@ -26,32 +27,51 @@ from gapweave.llm.lexicon import Lexicon, compile_words
 
 #: Words in the lexicon (about 1 MB) and their least count; rarer ones are merged when they come.
 LEXICON_WORDS, FREQUENT = 50_000, 8
-#: Words that a worker remembers before it starts anew, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Words that a worker remembers before it starts anew, and the most characters of them.
+CACHE_WORDS, CACHE_CHARS = 500_000, 6_000_000
+#: Bits of an id where two numbers are packed into one.
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
 NO_MERGE = 1 << 60
 #: What the tokenizer's expression engine counts as white space (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"[{L}]+|[{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{S}{L}{N}]+"
-#: The first character from which on Unicode versions differ in letters and numbers.
-BEYOND = re.compile("[^\x00-\u0530]").search
+#: The first characters on which Unicode versions differ lie here or beyond.
+BEYOND = re.compile("[\u0300-\u036f\u0530-\U0010ffff]").search
+
+
+def ranges(chosen, stop: int) -> str:
+    """The characters below ``stop`` for which ``chosen(character)`` holds, as the inside of a class."""
+    out, start = [], None
+    for c in range(stop + 1):
+        inside = c < stop and chosen(chr(c))
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+@functools.cache
+def _plain_words():
+    """Finds the words of texts without characters that BEYOND finds."""
+    plain = {x for c in map(chr, range(0x530)) if not BEYOND(c) for x in c.lower()}
+    kinds = {k: ranges(lambda c: unicodedata.category(c)[0] == k and c in plain, 0x10000) for k in "LN"}
+    return re.compile(PATTERN.format(S=SPACE, **kinds)).findall
 
 
 @functools.cache
-def _everywhere():
-    """Finds words by the categories of ``unicodedata``, whose Unicode version is the tokenizer's."""
+def _doubtful():
+    """Finds characters that Unicode versions class, order or compose differently: those unassigned in the
+    version of ``unicodedata``, and marks and composed characters that came after version 3.2."""
 
-    def ranges(kind: str) -> str:
-        out, start = [], None
-        for c in range(0x110001):
-            inside = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-        return "".join(out)
+    def differs(c: str) -> bool:
+        kind = unicodedata.category(c)
+        new = kind != "Cn" and unicodedata.ucd_3_2_0.category(c) == "Cn"
+        return kind == "Cn" or (new and (kind[0] == "M" or bool(unicodedata.decomposition(c))))
 
-    return re.compile(PATTERN.format(L=ranges("L"), N=ranges("N"), S=SPACE)).findall
+    return re.compile(f"[{ranges(differs, 0x110000)}]").search
 
 
 @functools.cache
@@ -71,6 +91,7 @@ class WordBPE:
     def __init__(self, definition: str):
         import regex
 
+        self.definition = definition
         d = json.loads(definition)
         model = d["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or d["decoder"] is not None:
@@ -79,51 +100,67 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
-        self.latin_words = regex.compile(PATTERN.format(L=r"\p{L}", N=r"\p{N}", S=SPACE)).findall
+        # Both ids of a pair in one number, to its rank and the id of what it becomes.
+        self.pairs = {self.vocab[a] << ID_BITS | self.vocab[b]: i << ID_BITS | self.vocab[a + b] for i, (a, b) in enumerate(merges)}
+        self.byte_id = [self.vocab[c] for c in byte_alphabet()]
+        self.last_id = [self.vocab[c + "</w>"] for c in byte_alphabet()]
+        self.any_words = regex.compile(PATTERN.format(S=SPACE, L=r"\p{L}", N=r"\p{N}")).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
-    def words(self, normalized: str) -> list[str]:
-        return _everywhere()(normalized) if BEYOND(normalized) else self.latin_words(normalized)
+    @functools.cached_property
+    def library(self):
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_str(self.definition)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens, normalised.  A text with doubtful characters is normalised
+        and split with the library's own tables."""
+        if not BEYOND(text):
+            return _plain_words()(self.normalize(text))
+        if not _doubtful()(text):
+            return self.any_words(self.normalize(text))
+        normalized = self.library.normalizer.normalize_str(text)
+        return [normalized[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normalized)]
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: always the pair of the lowest rank, leftmost first."""
-        alphabet = byte_alphabet()
-        parts = [alphabet[b] for b in word.encode()]
-        parts[-1] += "</w>"
-        if len(parts) > 48:
-            return self._merge_long(parts)
-        get = self.rank.get
-        while len(parts) > 1:
-            ranks = [get(p, NO_MERGE) for p in zip(parts, parts[1:], strict=False)]
-            least = min(ranks)
-            if least == NO_MERGE:
-                break
-            i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.vocab[p] for p in parts]
-
-    def _merge_long(self, parts: list[str]) -> list[int]:
-        """The same with a heap, in n log n steps."""
-        n, rank = len(parts), self.rank
+        data = word.encode()
+        ids = [*map(self.byte_id.__getitem__, data[:-1]), self.last_id[data[-1]]]
+        if len(ids) > 48:
+            return self._merge_long(ids)
+        get = self.pairs.get
+        best = [get(a << ID_BITS | b, NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
+        while best and (least := min(best)) != NO_MERGE:
+            i = best.index(least)
+            new = ids[i] = least & ID_MASK
+            del ids[i + 1], best[i]
+            if i:
+                best[i - 1] = get(ids[i - 1] << ID_BITS | new, NO_MERGE)
+            if i < len(best):
+                best[i] = get(new << ID_BITS | ids[i + 1], NO_MERGE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, in n log n steps; a merged-away place holds -1."""
+        n, get = len(ids), self.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank[p], i, p) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in rank]
+        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << ID_BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            m, i = heapq.heappop(heap)
             j = after[i]
-            if parts[i] is None or j >= n or (parts[i], parts[j]) != pair:
+            if ids[i] < 0 or j >= n or get(ids[i] << ID_BITS | ids[j]) != m:
                 continue
-            parts[i] += parts[j]
-            parts[j] = None
+            ids[i], ids[j] = m & ID_MASK, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (p := (parts[i], parts[after[i]])) in rank:
-                    heapq.heappush(heap, (rank[p], i, p))
-            if before[i] >= 0 and (p := (parts[before[i]], parts[i])) in rank:
-                heapq.heappush(heap, (rank[p], before[i], p))
-        return [self.vocab[p] for p in parts if p is not None]
+                if (m := get(ids[i] << ID_BITS | ids[after[i]])) is not None:
+                    heapq.heappush(heap, (m, i))
+            if before[i] >= 0 and (m := get(ids[before[i]] << ID_BITS | ids[i])) is not None:
+                heapq.heappush(heap, (m, before[i]))
+        return [i for i in ids if i >= 0]
 
     def normalize(self, text: str) -> str:
         if text.isascii():
@@ -139,39 +176,37 @@ class WordBPE:
             yield p in self.special, p
 
 
-class Words(dict):
-    """What the words of a worker encode to, a bounded number of them: (ids as little-endian words of 32
-    bits, the tokens joined by one space)."""
-
-    def __init__(self, bpe: WordBPE, lexicon: Lexicon | None):
-        super().__init__()
-        self.bpe, self.lexicon = bpe, lexicon
-
-    def __missing__(self, w: str) -> tuple[bytes, str]:
-        ids = (self.lexicon.get(w) if self.lexicon else None) or self.bpe.merge(w)
-        found = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.bpe.token.__getitem__, ids))
-        if len(w) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[w] = found
-        return found
-
-
 class Encoder:
-    """Encodes with a lexicon."""
+    """Encodes with a lexicon.  The ids of words are remembered, as little-endian words of 32 bits; for new words
+    the transducer is asked, all those of some texts in step, and what it lacks is merged."""
 
     def __init__(self, bpe: WordBPE, lexicon: Lexicon | None):
-        self.bpe, self.known = bpe, Words(bpe, lexicon)
+        self.bpe, self.lexicon, self.known, self.chars = bpe, lexicon, {}, 0
+        self.token = [bpe.token.get(i, "") for i in range(max(bpe.token) + 1)]
+
+    def learn(self, words: list[str]) -> None:
+        found = self.lexicon.get_many(words) if self.lexicon else [None] * len(words)
+        for w, ids in zip(words, found, strict=True):
+            if ids is None:
+                ids = array.array("I", self.bpe.merge(w)).tobytes()
+            self.known[w] = ids
+            self.chars += len(w)
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(ids, decoded text); a null text counts as empty."""
-        found: list[tuple[bytes, str]] = []
-        for special, piece in self.bpe.pieces(text or ""):
-            if special:
-                found.append((struct.pack("<I", self.bpe.special[piece]), piece))
-            else:
-                found += map(self.known.__getitem__, self.bpe.words(self.bpe.normalize(piece)))
-        return b"".join([x for x, _ in found]), " ".join([x for _, x in found])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids, decoded text) of each text; a null text counts as empty."""
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.known, self.chars = {}, 0
+        pieces = [[(special, p if special else self.bpe.words(p)) for special, p in self.bpe.pieces(t or "")] for t in texts]
+        new = {w for ps in pieces for special, ws in ps if not special for w in ws if w not in self.known}
+        self.learn(sorted(new))
+        out = []
+        for ps in pieces:
+            ids = b"".join([struct.pack("<I", self.bpe.special[x]) if special else b"".join(map(self.known.__getitem__, x)) for special, x in ps])
+            out.append((ids, " ".join(map(self.token.__getitem__, memoryview(ids).cast("I")))))
+        return out
 
 
 def decode(bpe: WordBPE, ids) -> str:
@@ -180,11 +215,11 @@ def decode(bpe: WordBPE, ids) -> str:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent letter runs over the whole corpus, at most n.  Counts are summed per task
+    """The most frequent letter runs of count FREQUENT or more over the whole corpus, at most n.  Counts are summed per task
     before they are shuffled, so a word with a third of all occurrences is a row per task."""
-    w = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != '' AND length(w) <= 32")
+    w = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != ''")
     counts = materialize(w.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT), "word-counts")
-    return sorted(r.w for r in most_frequent(counts, "c", n).collect())
+    return sorted(r.w for r in most_frequent(counts, "w", "c", n).collect())
 
 
 def tokenizer_definition(path: str | None = None) -> str:
@@ -198,7 +233,7 @@ def tokenizer_definition(path: str | None = None) -> str:
 
 def ship_lexicon(spark: SparkSession, bpe: WordBPE, words: list[str]) -> str:
     """Compiles the lexicon and gives every worker a copy of the file; the name to find it by."""
-    known = {w for x in words for w in bpe.words(bpe.normalize(x))}
+    known = {w for x in words for w in bpe.words(x)}
     name = f"gapweave-{uuid.uuid4().hex}.lex"
     folder = tempfile.mkdtemp(prefix="gapweave-lex-")
     path = os.path.join(folder, name)
@@ -222,7 +257,8 @@ def encode_rows(docs: DataFrame, row, schema: str, path: str | None = None) -> D
 
     def rows(batch):
         encoder = held(name, build)
-        return [row(doc_id, *encoder.encode(text)) for doc_id, text in batch]
+        found = encoder.encode_all([text for _, text in batch])
+        return [row(doc_id, *x) for (doc_id, _), x in zip(batch, found, strict=True)]
 
     return map_rows(docs.select("doc_id", "text"), rows, schema, name)
 
@@ -234,8 +270,16 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return encode_rows(docs, lambda d, ids, text: (d, list(struct.unpack(f"<{len(ids) // 4}I", ids)), text), f"doc_id {kind}, ids array<int>, decoded string", path)
 
 
-def op7_bpe(spark, sf_dir: str) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: a row for each row, repeated ones too.  Null and empty
+    texts have no tokens; only ``doc_id`` and ``text`` are read, whatever other columns there are."""
+
     def row(doc_id, ids, decoded):
         return doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
-    return encode_rows(table(spark, sf_dir, "documents"), row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return encode_rows(docs, row, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", path)
+
+
+def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))

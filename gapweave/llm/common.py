@@ -31,6 +31,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def letter_words(text: Column) -> Column:
+    """The words of a text, runs of letters in lower case, parted by one space.  Learning and scoring both take
+    them from here.  A text without such words comes back as it is."""
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")
+    return F.when(words.isin("", " "), F.coalesce(text, F.lit(""))).otherwise(words)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.  ``spark.checkpoint.dir`` names it on a
     cluster; only a session without that setting (a local test) gets a temporary one."""
@@ -61,19 +68,26 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
-    """The rows of the highest counts, at most ``limit``: all rows from a bound on that a histogram of the
-    counts gives.  Only those rows come to the driver, however many tasks there are."""
-    bins = counts.groupBy(F.floor(F.log2(count) * 16).cast("int").alias("b")).count().collect()
-    total, bound = 0, None
-    for r in sorted(bins, key=lambda r: -r.b):
-        total += r["count"]
-        if total > limit:
+def most_frequent(counts: DataFrame, word: str, count: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of the highest counts, or a few less: histograms of ever finer keys (ranges of counts,
+    counts, hashes of words) give the part of them that still fits, so only those rows come to the driver."""
+    kept, rest = counts.limit(0), counts
+    keys = (F.floor(F.log2(count) * 16), F.col(count), F.pmod(F.xxhash64(word), F.lit(4096)))
+    for key in keys:
+        bins = rest.groupBy(key.cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        bound = None
+        for r in sorted(bins, key=lambda r: -r.b):
+            if r.n > limit:
+                break
+            limit -= r.n
+            bound = r.b
+        crossed = max((r.b for r in bins if bound is None or r.b < bound), default=None)
+        if bound is not None:
+            kept = kept.unionByName(rest.where(key.cast("long") >= bound))
+        if crossed is None:
             break
-        bound = r.b
-    if bound is None:
-        return counts.limit(0)
-    return counts.where(F.floor(F.log2(count) * 16) >= bound)
+        rest = rest.where(key.cast("long") == crossed)
+    return kept
 
 
 def ship_package(spark: SparkSession) -> None:

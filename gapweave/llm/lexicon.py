@@ -78,27 +78,44 @@ class Lexicon:
             raise ValueError(f"{path} is no lexicon")
         self.root, *sizes = struct.unpack_from("<8I", self.map, 8)
         at, out = 40, []
-        for n, kind in zip(sizes, ("I",) * 5 + ("B",) * 2, strict=True):
-            out.append(memoryview(self.map)[at : at + n * (4 if kind == "I" else 1)].cast(kind))
-            at += n * (4 if kind == "I" else 1)
+        for n, kind in zip(sizes, (np.uint32,) * 5 + (np.uint8,) * 2, strict=True):
+            out.append(np.frombuffer(self.map, kind, n, at))
+            at += out[-1].nbytes
         self.first, self.targets, self.outputs, self.start, self.flat, self.final, self.labels = out
+        self.data = self.flat.tobytes()
+
+    def get_many(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each word as little-endian words of 32 bits, or None if it is not in the lexicon.
+        All words go from state to state in step; an arc is found by halving those of its state."""
+        out: list[bytes | None] = [None] * len(words)
+        coded = [w.encode() for w in words]
+        size = np.array([len(b) for b in coded], np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1] if len(words) else size
+        text = np.frombuffer(b"".join(coded), np.uint8)
+        at = np.flatnonzero(size > 0)
+        state, place = np.full(len(at), self.root, np.int64), np.zeros(len(at), np.int64)
+        step = 0
+        while len(at):
+            ended = size[at] == step
+            if ended.any():
+                hit = np.flatnonzero(ended & (self.final[state] > 0))
+                for i, p in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
+                    out[i] = self.data[4 * int(self.start[p]) : 4 * int(self.start[p + 1])]
+                at, state, place = at[~ended], state[~ended], place[~ended]
+            byte = text[begin[at] + step]
+            lo, end = self.first[state].astype(np.int64), self.first[state + 1].astype(np.int64)
+            hi = end.copy()
+            while (busy := lo < hi).any():
+                mid = (lo + hi) // 2
+                less = self.labels[np.minimum(mid, len(self.labels) - 1)] < byte
+                lo, hi = np.where(busy & less, mid + 1, lo), np.where(busy & ~less, mid, hi)
+            lo_ = np.minimum(lo, len(self.labels) - 1)
+            ok = (lo < end) & (self.labels[lo_] == byte)
+            at, place, state = at[ok], place[ok] + self.outputs[lo_[ok]], self.targets[lo_[ok]].astype(np.int64)
+            step += 1
+        return out
 
     def get(self, word: str) -> list[int] | None:
         """The ids of a word, or None if it is not in the lexicon."""
-        state, place = self.root, 0
-        first, labels = self.first, self.labels
-        for b in word.encode():
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if labels[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or labels[lo] != b:
-                return None
-            place += self.outputs[lo]
-            state = self.targets[lo]
-        if not self.final[state]:
-            return None
-        return list(self.flat[self.start[place] : self.start[place + 1]])
+        found = self.get_many([word])[0]
+        return None if found is None else np.frombuffer(found, np.uint32).tolist()
