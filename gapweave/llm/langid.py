@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import uuid
 from urllib.parse import urlparse
 
@@ -16,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import discard, held, map_batches, map_rows, materialize, shared_dir, ship_package, slices, table
+from gapweave.llm.common import discard, held, letter_words, map_batches, map_rows, materialize, shared_dir, ship_package, slices, table
 
 #: Longest n-gram; words get a mark at both ends.
 LONGEST = 5
@@ -27,8 +26,8 @@ CACHE = 200_000
 #: Entries of a file of the model; a task holds the entries of one.
 FILE_ROWS = 250_000
 UND = "und"
-
-find_words = re.compile(r"[^\W\d_]+").findall
+#: Characters of a word whose n-grams are made at once, so one long word fills no row and no list.
+STRETCH = 1024
 
 
 def learn(docs: DataFrame) -> dict:
@@ -40,8 +39,8 @@ def learn(docs: DataFrame) -> dict:
     Executors write the entries, so the driver holds none; the shared folder must be mounted on all."""
     w = (
         docs.where("text IS NOT NULL AND lang IS NOT NULL")
-        .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
-        .where("w != ''")
+        .select("lang", F.explode(F.split(letter_words(F.col("text")), " ")).alias("w"))
+        .where(r"w RLIKE '^\\p{L}+$'")
         .groupBy("lang", "w")
         .agg(F.count(F.lit(1)).alias("c"))
         .cache()
@@ -52,13 +51,15 @@ def learn(docs: DataFrame) -> dict:
         w.unpersist()
         return {"langs": [], "prior": [], "words": None, "grams": None}
     g = (
-        w.where("length(w) <= 64")
-        .select("lang", "c", F.concat(F.lit("^"), "w", F.lit("$")).alias("p"))
+        w.select("lang", "c", F.concat(F.lit("^"), "w", F.lit("$")).alias("p"))
+        .select("lang", "c", F.explode(F.expr(f"transform(sequence(1, length(p), {STRETCH}), a -> substr(p, a, {STRETCH + LONGEST - 1}))")).alias("p"))
         .select(
             "lang",
             "c",
             F.explode(
-                F.expr(f"flatten(transform(sequence(1, {LONGEST}), n -> IF(length(p) >= n, transform(sequence(1, length(p) - n + 1), i -> substr(p, i, n)), array())))")
+                F.expr(
+                    f"flatten(transform(sequence(1, {LONGEST}), n -> IF(length(p) >= n, transform(sequence(1, least(length(p) - n + 1, {STRETCH})), i -> substr(p, i, n)), array())))"
+                )
             ).alias("w"),
         )
         .groupBy("lang", "w")
@@ -133,6 +134,9 @@ class Entries:
 
     def get(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(known, rows): whether each word is there, and its row, zeros where not."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         known, rows = np.zeros(len(words), bool), np.zeros((len(words), self.k), np.float32)
         h = np.array([hash_word(w) for w in words], np.uint64)
         file = h.view(np.int64) % self.files
@@ -140,14 +144,14 @@ class Entries:
             if f not in self.parts:
                 continue
             hashes, names, cells = self.parts[f]
-            asked = np.nonzero(file == f)[0]
+            asked = np.flatnonzero(file == f)
             at = np.searchsorted(hashes, h[asked])
-            for j, i in zip(asked.tolist(), at.tolist(), strict=True):
-                while i < len(hashes) and hashes[i] == h[j]:
-                    if names[i].as_py() == words[j]:
-                        known[j], rows[j] = True, cells[i]
-                        break
-                    i += 1
+            while len(asked):  # on from one entry to the next with the same hash
+                ok = (at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == h[asked])
+                asked, at = asked[ok], at[ok]
+                same = pc.equal(names.take(pa.array(at)), pa.array([words[i] for i in asked.tolist()], names.type)).to_numpy(zero_copy_only=False)
+                known[asked[same]], rows[asked[same]] = True, cells[at[same]]
+                asked, at = asked[~same], at[~same] + 1
         return known, rows
 
 
@@ -162,16 +166,21 @@ class Scorer:
         self.ids: dict[str, int] = {}
         self.met: dict[str, np.ndarray | None] = {}
 
+    def meet(self, grams) -> None:
+        new = [g for g in dict.fromkeys(grams) if g not in self.met]
+        known, rows = self.grams.get(new)
+        self.met.update((g, rows[i].copy() if known[i] else None) for i, g in enumerate(new))
+
     def unseen(self, words: list[str]) -> list[np.ndarray]:
         out = [np.zeros(self.rows.shape[1], np.float32)] * len(words)
-        left = {i: f"^{w[:64]}$" for i, w in enumerate(words)}
+        left = {i: f"^{w}$" for i, w in enumerate(words)}
+        for i in [i for i, p in left.items() if len(p) > STRETCH]:
+            out[i] = self.unseen_long(left.pop(i))
         for n in range(LONGEST, 0, -1):
             own = {i: [p[a : a + n] for a in range(len(p) - n + 1)] for i, p in left.items()}
             if len(self.met) > CACHE:
                 self.met = {}
-            new = list(dict.fromkeys(g for gs in own.values() for g in gs if g not in self.met))
-            known, rows = self.grams.get(new)
-            self.met.update((g, rows[i].copy() if known[i] else None) for i, g in enumerate(new))
+            self.meet(g for gs in own.values() for g in gs)
             for i, gs in own.items():
                 found = [r for g in gs if (r := self.met[g]) is not None]
                 if found:
@@ -179,15 +188,33 @@ class Scorer:
                     del left[i]
         return out
 
+    def unseen_long(self, p: str) -> np.ndarray:
+        """The same for one long word, a stretch at a time."""
+        for n in range(LONGEST, 0, -1):
+            total, count = np.zeros(self.rows.shape[1]), 0
+            for at in range(0, len(p) - n + 1, STRETCH):
+                if len(self.met) > CACHE:
+                    self.met = {}
+                own = [p[a : a + n] for a in range(at, min(at + STRETCH, len(p) - n + 1))]
+                self.meet(own)
+                found = [r for g in own if (r := self.met[g]) is not None]
+                if found:
+                    total += np.array(found).sum(0, dtype=np.float64)
+                    count += len(found)
+            if count:
+                return (total / count).astype(np.float32)
+        return np.zeros(self.rows.shape[1], np.float32)
+
     def fetch(self, lists: list[list[str]]) -> None:
         """Puts the words of the lists into the cache."""
-        new = list(dict.fromkeys(w for ws in lists for w in ws if w not in self.ids))
+        words = set().union(*lists)
+        new = words.difference(self.ids)
         if len(self.ids) + len(new) > len(self.rows):
-            self.ids = {}
-            new = list(dict.fromkeys(w for ws in lists for w in ws))
+            self.ids, new = {}, words
             self.rows = np.zeros((max(CACHE, len(new)), self.rows.shape[1]), np.float32)
         if not new:
             return
+        new = list(new)
         known, rows = self.words.get(new)
         other = np.nonzero(~known)[0].tolist()
         for i, row in zip(other, self.unseen([new[i] for i in other]), strict=True):
@@ -196,16 +223,22 @@ class Scorer:
         self.rows[at : at + len(new)] = rows
         self.ids.update((w, at + i) for i, w in enumerate(new))
 
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        lists = [find_words((t or "").lower()) for t in texts]
-        lists = [ws if self.langs and any(c.isalpha() for w in ws for c in w[:1]) else [] for ws in lists]
+    def split(self, text: str) -> list[str]:
+        """The words of what ``letter_words`` gives.  Without any, letters too new for it still count."""
+        words = text.split()
+        return words if not words or words[0].isalpha() else [w for w in words if any(map(str.isalpha, w))]
+
+    def score(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, score) of texts that went through ``letter_words``."""
+        lists = [self.split(t) if self.langs else [] for t in texts]
         self.fetch(lists)
         return [self.one(ws) if ws else (UND, 0.0) for ws in lists]
 
     def one(self, words: list[str]) -> tuple[str, float]:
         total = self.prior.copy()
         for at in range(0, len(words), 20_000):
-            total += self.rows[[self.ids[w] for w in words[at : at + 20_000]]].sum(0, dtype=np.float64)
+            part = words[at : at + 20_000]
+            total += self.rows.take(np.fromiter(map(self.ids.__getitem__, part), np.int64, len(part)), 0).sum(0, dtype=np.float64)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -213,8 +246,9 @@ class Scorer:
 def identify(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns, lang_pred and score (0 to 1) of each row; no row moves.
 
-    A null text or one without a letter is ``und`` with score 0.  Equal totals go to the language
-    that is first by name."""
+    A null text or one without a letter is ``und`` with score 0, and so is every text if nothing was learned.
+    Equal totals go to the language that is first by name.  Texts and words count whole, however long; a row
+    that repeats gives a row each, an empty table none."""
     key = uuid.uuid4().hex
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -223,7 +257,7 @@ def identify(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",))
         return [(*r[:-1], *s) for r, s in zip(batch, scorer.score([r[-1] for r in batch]), strict=True)]
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return map_rows(docs.select(*carry, "text"), rows, ", ".join([*fields, "lang_pred string", "score double"]), key)
+    return map_rows(docs.select(*carry, letter_words(F.col("text"))), rows, ", ".join([*fields, "lang_pred string", "score double"]), key)
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -234,24 +268,25 @@ def learning_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang", fold(F.col("doc_id"), 4).alias("k")).where("k != 2")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, columns: list[str] | None = None) -> DataFrame:
-    """The documents whose language is found with at least the given score; columns as in ``docs``.
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents whose language is found with at least the given score; columns as in ``docs``, repeated
+    rows each.  Null texts and those without a letter go.
 
     The label column ``lang`` is learned from, not used to score."""
     model = learn(learning_rows(docs))
     key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
-    at = docs.columns.index("text")
-
     def run(batch):
         import pyarrow as pa
 
         scorer = held(key, lambda: Scorer(shipped.value))
         for part in slices(batch):
-            found = scorer.score(part.column(at).to_pylist())
-            yield part.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
+            found = scorer.score(part.column(part.num_columns - 1).to_pylist())
+            keep = pa.array([lang != UND and score >= least for lang, score in found], pa.bool_())
+            own = pa.schema([part.schema.field(i) for i in range(part.num_columns - 1)])
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], schema=own).filter(keep)
 
-    return map_batches(docs, run, docs.schema, key)
+    return map_batches(docs.select("*", letter_words(F.col("text"))), run, docs.schema, key)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -12,22 +12,21 @@ from __future__ import annotations
 
 import bisect
 import math
-import re
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import held, map_rows, materialize, table
+from gapweave.llm.common import held, letter_words, map_rows, materialize, table
 from gapweave.llm.langid import fold
 
 #: Prefix lengths, shortest first; the base rate stands above them.
 PREFIXES = (3, 4, 5, 6)
 #: Strength of the prior in texts, and least number of toxic texts with a unit.
 ALPHA, LEAST = 4.0, 4
-#: Units kept: those with this log-odds and this many standard deviations of it over the base, at
-#: most UNITS of them.  A unit counts once for each text, so one long text proves little.
-LEAST_SCORE, LEAST_Z, UNITS = 2.0, 4.5, 100_000
+#: Units kept: those with this log-odds and this many standard deviations of it over the base.  A unit
+#: counts once for each text, so one long text proves little.
+LEAST_SCORE, LEAST_Z = 2.0, 4.5
 #: What any other word costs; keeps the expected score of clean text negative.
 DRIFT = 0.03
 THRESHOLD = 0.7
@@ -36,18 +35,15 @@ THRESHOLD = 0.7
 LABELLED = 200_000
 CACHE = 100_000
 
-find_words = re.compile(r"[^\W\d_]+")
-
-
 def learn_units(rows: DataFrame) -> dict[str, float]:
     """Log-odds of words and prefixes (ending in ``*``) of rows (text, toxic).
 
-    Words are counted per task before they are shuffled; only units above LEAST_SCORE come to the
-    driver, and never more than UNITS."""
+    Words are counted per task before they are shuffled; only units above LEAST_SCORE come to the driver.
+    Each takes LEAST toxic texts of the LABELLED ones that are learned from, which bounds them."""
     w = (
         rows.where("text IS NOT NULL AND toxic IS NOT NULL")
-        .select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w"))
-        .where("w != '' AND length(w) <= 64")
+        .select("toxic", F.explode(F.array_distinct(F.split(letter_words(F.col("text")), " "))).alias("w"))
+        .where(r"w RLIKE '^\\p{L}+$'")
         .groupBy("w")
         .agg(F.sum(F.expr("IF(toxic = 1, 1L, 0L)")).alias("t"), F.sum(F.expr("IF(toxic = 1, 0L, 1L)")).alias("c"))
     )
@@ -68,7 +64,7 @@ def learn_units(rows: DataFrame) -> dict[str, float]:
             level = left.where(F.length("w") >= n).groupBy(F.substring("w", 1, n).alias("u")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("forms"))
             level = level.where("forms >= 3")
         good = level.where((t >= LEAST) & (score >= LEAST_SCORE) & (score >= LEAST_Z * sigma)).select("u", score.alias("s"))
-        found = good.orderBy(F.desc("s"), "u").limit(UNITS - len(out)).collect()
+        found = good.collect()
         if not found:
             continue
         out |= {r.u + ("" if n is None else "*"): float(r.s) for r in found}
@@ -117,8 +113,9 @@ class Scorer:
         return s
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float, int]]]:
-        """(number of words, maximal segments over word positions with their number of scoring words)."""
-        words = find_words.findall((text or "").lower())
+        """(number of words, maximal segments over word positions with their number of scoring words) of a text
+        that went through ``letter_words``."""
+        words = [w for w in (text or "").split() if w[0].isalpha()]
         get, word = self.cache.get, self.word
         hits = [(i, s) for i, w in enumerate(words) if (s := (x if (x := get(w)) is not None else word(w)))]
         at = [i for i, _ in hits]
@@ -138,7 +135,7 @@ def segment_scores(docs: DataFrame, units: dict[str, float]) -> DataFrame:
         return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), rows, f"doc_id {kind}, n long, segs array<struct<a:int,b:int,s:double,h:int>>", key)
+    return map_rows(docs.select("doc_id", letter_words(F.col("text"))), rows, f"doc_id {kind}, n long, segs array<struct<a:int,b:int,s:double,h:int>>", key)
 
 
 def solve_lambda(hist: list[tuple[float, float]]) -> float:
@@ -185,7 +182,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     positions.  ``labels`` (doc_id, toxic) are learned from, up to LABELLED rows; hold rows out before.
 
     Repeated labels of a doc_id count once, as toxic if one of them is.  Without labels of both
-    kinds every score is 0.5.  Null and empty texts get the score of no evidence."""
+    kinds every score is 0.5.  Null and empty texts get the score of no evidence.  Texts count whole; a row
+    that repeats gives a row each with the same score, an empty table none; other columns are not read."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > LABELLED:
