@@ -42,9 +42,34 @@ def _islands(iv: DataFrame, keys: list[str], reach: int, order: list[str]) -> Da
     return iv.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Positions of a bin in which intervals are joined by one task.
+MERGE_BIN = 1 << 20
+
+
 def merge(iv: DataFrame, keys: list[str], reach: int = 0) -> DataFrame:
-    """Joins intervals that overlap or touch, or are at most ``reach`` apart."""
-    return _islands(nonempty(iv).select(*keys, "start", "end"), keys, reach, ["start", "end"]).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    """Joins intervals that overlap or touch, or are at most ``reach`` apart.
+
+    Intervals are joined within bins of MERGE_BIN positions first, so a task holds a bin and never a whole sequence.
+    A row for each bin then tells how far the bins before it reach; what continues over a border, at most two
+    rows a bin, is joined at the end."""
+    binned = nonempty(iv).select(*keys, "start", "end", F.floor(F.col("start") / MERGE_BIN).alias("_bin"))
+    own = _islands(binned, [*keys, "_bin"], reach, ["start", "end"]).groupBy(*keys, "_bin", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    by_bin = Window.partitionBy(*keys).orderBy("_bin")
+    bins = own.groupBy(*keys, "_bin").agg(F.min("start").alias("_s"), F.max("end").alias("_e"))
+    bins = bins.withColumn("_before", F.max("_e").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)))
+    bins = bins.withColumn("_next", F.coalesce(F.lead(F.col("_s") <= F.col("_before") + reach).over(by_bin), F.lit(False)))
+    # The row of a bin comes first in it and stands for all before.
+    heads = bins.select(*keys, "_bin", F.lit(0).alias("_p"), F.lit(None).cast("long").alias("start"), F.col("_before").alias("end"), "_next")
+    rows = heads.unionByName(own.withColumn("_p", F.lit(1)).withColumn("_next", F.lit(None).cast("boolean")))
+    w = Window.partitionBy(*keys, "_bin").orderBy("_p", "start", "end")
+    rows = rows.withColumn("_reached", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_new", ((F.col("_p") == 1) & F.coalesce(F.col("start") > F.col("_reached") + reach, F.lit(True))).cast("long"))
+    rows = rows.withColumn("_id", F.sum("_new").over(w)).withColumn("_last", F.sum("_new").over(Window.partitionBy(*keys, "_bin"))).withColumn("_next", F.first("_next").over(w))
+    part = rows.where("_p = 1").groupBy(*keys, "_bin", "_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("_last").alias("_last"), F.first("_next").alias("_next"))
+    border = (F.col("_id") == 0) | ((F.col("_id") == F.col("_last")) & F.col("_next"))
+    chain = F.sum((F.col("_id") != 0).cast("long")).over(Window.partitionBy(*keys).orderBy("_bin", "_id"))
+    over = part.where(border).withColumn("_chain", chain).groupBy(*keys, "_chain").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return part.where(~border).select(*keys, "start", "end").unionByName(over.select(*keys, "start", "end"))
 
 
 def regions(points: DataFrame, keys: list[str], max_gap: int = 0) -> DataFrame:

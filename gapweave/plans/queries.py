@@ -46,7 +46,7 @@ def site_table(v: Views) -> DataFrame:
 
 def core(v: Views) -> DataFrame:
     allele = F.expr("CASE WHEN pos % 11 = 0 THEN 'N' WHEN pos % 13 = 0 THEN '-' ELSE alt END")
-    return v.call().where("pipeline != 'gt' AND pos % 3 = 0").select("pipeline", "pos", "sample", allele.alias("allele"))
+    return v.call().where("pipeline != 'gt'").select("pipeline", "pos", "sample", allele.alias("allele"))
 
 
 # Intervals
@@ -209,7 +209,7 @@ def pair_per_sample(v):
 # Ground truth
 
 GTD = f"""core AS (
-  SELECT pipeline, pos, sample, CASE WHEN pos % 11 = 0 THEN 'N' WHEN pos % 13 = 0 THEN '-' ELSE alt END AS allele FROM call WHERE pipeline <> 'gt' AND pos % 3 = 0
+  SELECT pipeline, pos, sample, CASE WHEN pos % 11 = 0 THEN 'N' WHEN pos % 13 = 0 THEN '-' ELSE alt END AS allele FROM call WHERE pipeline <> 'gt'
 ), cd AS (SELECT pipeline, pos, count(DISTINCT allele) FILTER (allele NOT IN ('N', '-')) > 1 AS d FROM core GROUP BY ALL),
 strat AS (SELECT unnest(['gap_union', 'gap_intersect']) AS strategy),
 gtk AS (SELECT pos, count(*) AS k FROM gp WHERE pipeline = 'gt' GROUP BY pos),
@@ -313,13 +313,13 @@ def truth_vs_calls_pairs(v):
 
 # Call sets
 
-CALLSET = """ca AS (SELECT sample, 'c' || CAST(pos % 3 AS VARCHAR) AS chrom, pos, alt, qual, dp AS depth, CAST(pos % 10 AS DOUBLE) / 10 AS af FROM call WHERE pipeline = 'p1' AND sample <> 'S5'),
+CALLSET = """ca AS (SELECT sample, 'c' || CAST(pos % 3 AS VARCHAR) AS chrom, pos, alt, qual, dp AS depth, CAST(pos % 10 AS DOUBLE) / 10 AS af FROM call WHERE pipeline = 'p1'),
 cb AS (SELECT sample, 'c' || CAST(pos % 3 AS VARCHAR) AS chrom, pos, alt, qual, dp AS depth, CAST(pos % 10 AS DOUBLE) / 10 AS af FROM call WHERE pipeline = 'p2'),
 gs AS (SELECT sample, s, e FROM gap WHERE pipeline = 'gt'),
 cj AS (
   SELECT coalesce(a.sample, b.sample) AS sample, coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, a.alt AS a_alt, b.alt AS b_alt, a.qual AS a_qual, b.qual AS b_qual, a.depth AS a_depth, b.depth AS b_depth,
     a.af AS a_af, b.af AS b_af, CASE WHEN a.alt IS NULL THEN 'OnlyPipelineB' WHEN b.alt IS NULL THEN 'OnlyPipelineA' WHEN a.alt = b.alt THEN 'Concordant' ELSE 'DiscordantAllele' END AS status
-  FROM ca a FULL JOIN (SELECT * FROM cb WHERE sample <> 'S5') b ON a.sample = b.sample AND a.chrom = b.chrom AND a.pos = b.pos
+  FROM ca a FULL JOIN cb b ON a.sample = b.sample AND a.chrom = b.chrom AND a.pos = b.pos
 ), cg AS (SELECT *, EXISTS (SELECT 1 FROM gs WHERE gs.sample = cj.sample AND cj.pos >= gs.s AND cj.pos <= gs.e) AS in_gap FROM cj),
 cps AS (
   SELECT sample, count(a_alt) AS snps_a, count(b_alt) AS snps_b, count(*) FILTER (status = 'Concordant') AS concordant, count(*) FILTER (status = 'OnlyPipelineA') AS only_a, count(*) FILTER (status = 'OnlyPipelineB') AS only_b,
@@ -331,7 +331,7 @@ cps AS (
 
 def callset_positions(v):
     call = v.call().select("pipeline", "sample", F.concat(F.lit("c"), (F.col("pos") % 3).cast("string")).alias("chrom"), "pos", "alt", "qual", F.col("dp").alias("depth"), ((F.col("pos") % 10).cast("double") / 10).alias("af"))
-    a, b = call.where("pipeline = 'p1' AND sample != 'S5'"), call.where("pipeline = 'p2'")
+    a, b = call.where("pipeline = 'p1'"), call.where("pipeline = 'p2'")
     return callsets.positions(a, b, merged(v).where("pipeline = 'gt'"), "p1", "p2")
 
 
@@ -571,12 +571,11 @@ def sample_coverage_histogram(v):
     return qc.full_histogram(merged(v), pipelines(v), ["pipeline"], N, v.ref_len)
 
 
-@query("fragile_regions", """, lo AS (SELECT pipeline, pos, k, pos - row_number() OVER (PARTITION BY pipeline ORDER BY pos) AS g FROM gk WHERE 4 - least(k, 4) < 2),
-    rg AS (SELECT pipeline, min(pos) AS s, max(pos) + 1 AS e, min(k) AS mk FROM lo GROUP BY pipeline, g HAVING count(*) >= 2)
-    SELECT r.pipeline, r.s AS start, r.e AS "end", 4 - mk AS max_coverage, (SELECT string_agg(DISTINCT gp.sample, ',' ORDER BY gp.sample) FROM gp WHERE gp.pipeline = r.pipeline AND gp.pos >= r.s AND gp.pos < r.e) AS samples FROM rg r""")
+@query("fragile_regions", """, lo AS (SELECT pipeline, pos, k, pos - row_number() OVER (PARTITION BY pipeline ORDER BY pos) AS g FROM gk WHERE 6 - k < 2),
+    rg AS (SELECT pipeline, min(pos) AS s, max(pos) + 1 AS e, min(k) AS mk FROM lo GROUP BY pipeline, g HAVING count(*) >= 100)
+    SELECT r.pipeline, r.s AS start, r.e AS "end", 6 - mk AS max_coverage, (SELECT string_agg(DISTINCT gp.sample, ',' ORDER BY gp.sample) FROM gp WHERE gp.pipeline = r.pipeline AND gp.pos >= r.s AND gp.pos < r.e) AS samples FROM rg r""")
 def fragile_regions(v):
-    # Four samples and runs of two positions, so that the small tables have some.
-    return qc.fragile_regions(merged(v), ["pipeline"], 4, 2)
+    return qc.fragile_regions(merged(v), ["pipeline"], N, 100)
 
 
 # The first reader version
@@ -596,11 +595,11 @@ gg AS (SELECT DISTINCT pos FROM gp WHERE pipeline = 'gt')"""
       CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co t WHERE t.pipeline = 'gt' AND t.cons AND NOT EXISTS (SELECT 1 FROM co c WHERE c.pipeline = p.pipeline AND c.cons AND c.pos = t.pos)) END AS consensus_gt_missing,
       CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM call c WHERE c.pipeline = p.pipeline AND EXISTS (SELECT 1 FROM gp WHERE gp.pipeline = 'gt' AND gp.sample = c.sample AND gp.pos = c.pos)) END AS snps_in_gt_gaps_total,
       CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co c JOIN gg USING (pos) WHERE c.pipeline = p.pipeline) END AS snps_in_gt_gaps_core,
-      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co c JOIN gg USING (pos) WHERE c.pipeline = p.pipeline AND cons) END AS snps_in_gt_gaps_consensus FROM pipe p WHERE p.pipeline <> 'gt'""",
+      CASE WHEN p.pipeline <> 'gt' THEN (SELECT count(*) FROM co c JOIN gg USING (pos) WHERE c.pipeline = p.pipeline AND cons) END AS snps_in_gt_gaps_consensus FROM pipe p""",
     V1,
 )
 def v1_kpis(v):
-    return reader_v1.kpis(v.call(), iv.nonempty(v.gap()), v.ref_base(), pipelines(v), "gt").where("pipeline != 'gt'")
+    return reader_v1.kpis(v.call(), iv.nonempty(v.gap()), v.ref_base(), pipelines(v), "gt")
 
 
 @query("v1_concordance", """ SELECT x.pipeline AS a, y.pipeline AS b, (SELECT count(*) FROM call a JOIN call b ON a.sample = b.sample AND a.pos = b.pos AND a.pipeline = x.pipeline AND b.pipeline = y.pipeline) AS shared,
@@ -617,10 +616,10 @@ def v1_region(v):
     return reader_v1.region(v.call(), merged(v), 100, 400)
 
 
-@query("v1_filtered_positions", """, f AS (SELECT pos, pipeline, count(DISTINCT sample) AS m FROM call WHERE sample IN ('S0', 'S1') GROUP BY ALL HAVING count(DISTINCT sample) = 2)
+@query("v1_filtered_positions", """, f AS (SELECT pos, pipeline, count(DISTINCT sample) AS m FROM call GROUP BY ALL HAVING count(DISTINCT sample) = 6)
     SELECT f.pos, count(*) AS n_all FROM f GROUP BY f.pos HAVING count(*) < 3 AND f.pos IN (SELECT pos FROM gp WHERE pipeline = 'gt')""")
 def v1_filtered_positions(v):
-    return reader_v1.filter_positions(v.call().where("sample IN ('S0', 'S1')"), merged(v), ["gt", "p1", "p2"], 2, ["discord", "gaps:gt"])
+    return reader_v1.filter_positions(v.call(), merged(v), ["gt", "p1", "p2"], N, ["discord", "gaps:gt"])
 
 
 V1S = f"""vt AS (SELECT r.pos, count(DISTINCT coalesce(s.alt, '.')) = 1 AS agree FROM ref_base r CROSS JOIN smp m LEFT JOIN snp s ON s.pipeline = 'gt' AND s.sample = m.sample AND s.pos = r.pos GROUP BY r.pos),
@@ -652,11 +651,11 @@ def what_if_core(v):
     return one("unique", True).union(one("all", False))
 
 
-@query("all_sample_kpis", """, f AS (SELECT pipeline, pos FROM call WHERE pipeline <> 'gt' AND sample IN ('S0', 'S1', 'S2') GROUP BY ALL HAVING count(DISTINCT sample) = 3)
+@query("all_sample_kpis", """, f AS (SELECT pipeline, pos FROM call WHERE pipeline <> 'gt' GROUP BY ALL HAVING count(DISTINCT sample) = 6)
     SELECT count(*) FILTER (pipeline = 'p1') AS all_a, count(*) FILTER (pipeline = 'p2') AS all_b, count(*) FILTER (pipeline = 'p1' AND pos IN (SELECT pos FROM f WHERE pipeline = 'p2')) AS both FROM f""")
 def all_sample_kpis(v):
-    c = v.call().where("pipeline != 'gt' AND sample IN ('S0', 'S1', 'S2')").withColumn("pipeline", F.when(F.col("pipeline") == "p1", "a").otherwise("b"))
-    return viewer.all_sample_kpis(c, 3)
+    c = v.call().where("pipeline != 'gt'").withColumn("pipeline", F.when(F.col("pipeline") == "p1", "a").otherwise("b"))
+    return viewer.all_sample_kpis(c, N)
 
 
 @query("pair_bands", " SELECT a, b, (n.n - core) / CAST(n.n AS DOUBLE) * 100 AS reduction_pct, CASE WHEN quality >= 0.8 THEN 'high' WHEN quality >= 0.5 THEN 'good' WHEN quality >= 0.2 THEN 'moderate' ELSE 'low' END AS band FROM pq, n WHERE (n.n - core) / CAST(n.n AS DOUBLE) * 100 > 5", QUAL)

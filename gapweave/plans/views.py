@@ -33,9 +33,9 @@ class Views:
     def ref_base(self) -> DataFrame:
         return self.table("orders").selectExpr("o_orderkey AS pos", "substr('ACGT', CAST(1 + (o_orderkey * 7 + o_orderkey div 3) % 4 AS INT), 1) AS base")
 
-    def gap(self, every: int = 5) -> DataFrame:
+    def gap(self) -> DataFrame:
         n = self.ref_len
-        e = self.table("events").where(f"event_id % {every} = 0")
+        e = self.table("events")
         start = f"CAST(floor(value * 100) AS BIGINT) % {n}"
         return e.selectExpr(f"{PIPES.format(k='event_id')} AS pipeline", "concat('S', CAST(user_id % 6 AS STRING)) AS sample", f"{start} AS start", f"least({start} + 1 + event_id % 37, {n}) AS end")
 
@@ -79,7 +79,7 @@ ref_base AS (SELECT o_orderkey AS pos, substr('ACGT', CAST(1 + (o_orderkey * 7 +
 gap AS (
   SELECT {PIPES.format(k="event_id")} AS pipeline, 'S' || CAST(user_id % 6 AS VARCHAR) AS sample,
          CAST(floor(value * 100) AS BIGINT) % n AS s, least(CAST(floor(value * 100) AS BIGINT) % n + 1 + event_id % 37, n) AS e
-  FROM events, n WHERE event_id % 5 = 0
+  FROM events, n
 ),
 call AS (
   SELECT pipeline, sample, pos, min(alt) AS alt, max(qual) AS qual, max(dp) AS dp FROM (

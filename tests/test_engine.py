@@ -198,3 +198,27 @@ def test_interpretation(spark):
     d = frame(spark, [(10, 5, 1, 1, 0)], "concordant long, only_a long, only_b long, a_only_in_gaps long, b_only_in_gaps long")
     got = d.select(callsets.interpretation("p", "q").alias("t")).first().t
     assert got == "Moderate agreement (62.5% concordance) - review discordant positions. p found 5x more unique SNPs than q - possible q sensitivity issue. 1 SNPs unique to p and 0 unique to q are in low-coverage regions"
+
+
+def test_merge_over_bin_borders(spark, monkeypatch):
+    import random
+
+    from gapweave.functions import intervals as iv
+
+    monkeypatch.setattr(iv, "MERGE_BIN", 8)
+    rng = random.Random(6)
+    for reach in (0, 3):
+        rows = [(k, s, s + rng.choice([1, 1, 2, 3, 30])) for k in "abcd" for s in rng.sample(range(400), 45)]
+        want = []
+        for k in "abcd":
+            now = []
+            for s, e in sorted((s, e) for x, s, e in rows if x == k):
+                if now and s <= now[-1][1] + reach:
+                    now[-1][1] = max(now[-1][1], e)
+                else:
+                    now.append([s, e])
+            want += [(k, s, e) for s, e in now]
+        got = iv.merge(spark.createDataFrame(rows, "k string, start long, end long"), ["k"], reach)
+        assert sorted(map(tuple, got.select("k", "start", "end").collect())) == sorted(want)
+    assert [tuple(r) for r in iv.merge(spark.createDataFrame([(0, 20), (19, 40), (50, 51)], "start long, end long"), []).orderBy("start").collect()] == [(0, 40), (50, 51)]
+    assert iv.merge(spark.createDataFrame([], "k string, start long, end long"), ["k"]).count() == 0
