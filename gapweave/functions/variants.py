@@ -47,7 +47,7 @@ def valid_base(base) -> Column:
 def info_value(info, key: str) -> Column:
     """The text of the first ``key=`` of an INFO column, or null."""
     hit = F.filter(F.split(_c(info), ";"), lambda x: F.startswith(x, F.lit(key + "=")))
-    return F.substring(F.get(hit, F.lit(0)), len(key) + 2, 1 << 20)
+    return F.get(hit, F.lit(0)).substr(F.lit(len(key) + 2), F.length(_c(info)))
 
 
 def info_number(info, key: str, kind: str = "long") -> Column:
@@ -105,13 +105,16 @@ def strip_suffix(name, suffix: str) -> Column:
 
 
 def gff_attribute(attrs, key: str) -> Column:
-    """GFF3 ``key=value`` with five percent codes decoded, else GTF ``key "value"``."""
-    a = _c(attrs)
-    v = F.regexp_extract(a, rf"(?:^|;)\s*{key}=([^;]*)", 1)
-    for code, char in (("%20", " "), ("%2C", ","), ("%3B", ";"), ("%3D", "="), ("%26", "&")):
+    """The first attribute of the key: GFF3 ``key=value`` with five percent codes decoded in turn, or GTF ``key "value"``,
+    for which any attribute that begins with the key and has a space counts, so ``gene`` finds ``gene_id "x"``."""
+    parts = F.transform(F.split(_c(attrs), ";"), lambda x: F.trim(x))
+    is_pair = lambda x: F.startswith(x, F.lit(f"{key}="))
+    hit = F.get(F.filter(parts, lambda x: is_pair(x) | (F.startswith(x, F.lit(key)) & F.contains(x, F.lit(" ")))), F.lit(0))
+    v = hit.substr(F.lit(len(key) + 2), F.length(hit))
+    for code, char in (("%3B", ";"), ("%2C", ","), ("%3D", "="), ("%26", "&"), ("%25", "%")):
         v = F.replace(v, F.lit(code), F.lit(char))
-    g = F.regexp_extract(a, rf'(?:^|;)\s*{key}[^" ;]* "([^"]*)"', 1)
-    return F.coalesce(F.nullif(v, F.lit("")), F.nullif(g, F.lit("")))
+    quoted = F.regexp_replace(F.regexp_replace(hit, "^[^ ]* ", ""), '^"+|"+$', "")
+    return F.when(is_pair(hit), v).otherwise(quoted)
 
 
 def base_call(depth, best, total, base, min_depth: int, min_consensus: float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
@@ -90,11 +90,14 @@ def decode_bases(bases: str, ref: str) -> str:
     return "".join(out)
 
 
+def decoded(bases: Column, ref: Column) -> Column:
+    return F.udf(decode_bases, "string", useArrow=True)(bases, ref)
+
+
 def mpileup_consensus(rows: DataFrame, least: int = 3) -> DataFrame:
     """(sample, chrom, pos, base): the most common base of mpileup rows (sample, chrom, pos, ref, bases) with ``least`` reads
     or more, null for fewer; ties go to the first letter."""
-    read = F.udf(decode_bases, "string", useArrow=True)
-    d = rows.select("sample", "chrom", "pos", F.split(read("bases", "ref"), "").alias("b"))
+    d = rows.select("sample", "chrom", "pos", F.split(decoded(F.col("bases"), F.col("ref")), "").alias("b"))
     kinds = F.array(*[F.struct(F.size(F.expr(f"filter(b, x -> x = '{c}')")).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("base")) for i, c in enumerate("ACGT")])
     top = F.array_max(kinds)
     total = F.size(F.expr("filter(b, x -> x != '')"))

@@ -16,7 +16,12 @@ def alignment_to_core(spark: SparkSession, positions: str, reference: str, align
     from pyspark.sql import Window
 
     pos = text.lines(spark, positions).select("n", F.split("line", "\t").alias("f")).where("size(f) >= 2")
-    pos = pos.select((F.row_number().over(Window.orderBy("n")) - 1).alias("i"), F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"))
+    # Numbered within each partition of the file, from where the partitions before it end.
+    part = F.shiftright("n", 33)
+    own = pos.select("n", "f", part.alias("part"), F.row_number().over(Window.partitionBy(part).orderBy("n")).alias("r"))
+    sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    pos = own.join(before, "part").select((F.col("before") + F.col("r") - 1).alias("i"), F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"))
     n = pos.count()
     letters = lambda d: d.select(F.col("contig").alias("sample"), F.posexplode(F.split(F.upper("sequence"), "")).alias("i", "a")).where("a != ''")
     ref, samples = text.fasta(spark, reference), text.fasta(spark, aligned)
@@ -32,7 +37,7 @@ def genotypes_to_core(spark: SparkSession, path: str) -> DataFrame:
     names = F.array(*[F.lit(x[:-3] if x.endswith(".GT") else x) for x in head[5:]])
     t = text._fields(text.lines(spark, path), 6).where(F.col("line") != "\t".join(head))
     f = text._f
-    z = F.arrays_zip(names.alias("s"), F.slice("f", 6, 1 << 20).alias("g"))
+    z = F.arrays_zip(names.alias("s"), F.slice("f", F.lit(6), F.size("f")).alias("g"))
     out = t.select(f(0).alias("chrom"), f(1).try_cast("long").alias("p"), f(2).alias("ref"), f(3).alias("alt"), F.explode(z).alias("x")).where("p >= 1 AND x.s IS NOT NULL")
     return out.select(F.lit("").alias("pipeline"), "chrom", (F.col("p") - 1).alias("pos"), "ref", F.col("x.s").alias("sample"), genotype_allele(F.col("x.g"), "ref", "alt").alias("allele"))
 

@@ -43,14 +43,20 @@ def core_wide(core: DataFrame, samples: list[str]) -> DataFrame:
     return wide.select(F.col("chrom").alias("CHR"), (F.col("pos") + 1).alias("POS"), F.col("ref").alias("REF"), *[F.coalesce(F.col(f"`{s}`"), F.col("ref")).alias(s) for s in samples]).orderBy("CHR", "POS")
 
 
-def tsv(table: DataFrame, path: str) -> None:
-    table.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+def tsv(table: DataFrame, path: str, head: list[str] | None = None) -> None:
+    """Cells joined by tabs as they are, never quoted, in the order of the rows under one line of names; null is
+    empty.  One file is one task."""
+    lines = table.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in table.columns]).alias("value"))
+    first = "\t".join(table.columns if head is None else head)
+    numbered = lines.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("n"), "value")
+    start = table.sparkSession.createDataFrame([(0, first)], "n long, value string")
+    start.unionByName(numbered).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
 
 
 def matrix(pairs_square: DataFrame, samples: list[str], path: str, value: str = "distance") -> None:
     """A distance matrix with an empty corner cell."""
     wide = pairs_square.groupBy("row").pivot("col", samples).agg(F.first(value)).orderBy("row")
-    tsv(wide.withColumnRenamed("row", " "), path)
+    tsv(wide, path, ["", *samples])
 
 
 def quality_tsv(scored: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from gapweave.functions import variants as va
 
 
 def lines(spark: SparkSession, path) -> DataFrame:
-    """(file, n, line): n orders the lines of a file."""
+    """(file, n, line): n orders the lines of a file.  Lines that are already a table go through as they are."""
+    if isinstance(path, DataFrame):
+        return path
     t = spark.read.text(path)
     return t.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
 
@@ -113,7 +115,7 @@ def core_tsv(spark: SparkSession, path, pipeline: str = "") -> DataFrame:
         raise ValueError(f"{path} has no CHR header parted by tabs")
     names = F.array(*[F.lit(x) for x in head[0].rstrip("\r\n").split("\t")[3:]])
     rows = _fields(lines(spark, path).where("NOT startswith(line, 'CHR\t')"), 4)
-    z = F.arrays_zip(names.alias("s"), F.slice("f", 4, 1 << 20).alias("a"))
+    z = F.arrays_zip(names.alias("s"), F.slice("f", F.lit(4), F.size("f")).alias("a"))
     out = rows.withColumn("p", _f(1).try_cast("long")).where("p >= 1").select(_f(0).alias("chrom"), (F.col("p") - 1).alias("pos"), _f(2).alias("ref"), F.explode(z).alias("x"))
     return out.where("x.s IS NOT NULL AND x.a IS NOT NULL").select(F.lit(pipeline).alias("pipeline"), "chrom", "pos", "ref", va.strip_suffix(F.col("x.s"), "_snippy").alias("sample"), F.col("x.a").alias("allele"))
 
@@ -177,8 +179,8 @@ def gff(spark: SparkSession, path) -> DataFrame:
     """Features, 1-based inclusive, of GFF3 or GTF lines with 9 fields."""
     t = _fields(lines(spark, path).where("NOT startswith(line, '#')"), 9)
     a = _f(8)
-    gene = F.coalesce(va.gff_attribute(a, "Name"), va.gff_attribute(a, "gene"), va.gff_attribute(a, "gene_name"))
-    locus = F.coalesce(va.gff_attribute(a, "locus_tag"), va.gff_attribute(a, "gene_id"))
+    gene = F.coalesce(va.gff_attribute(a, "gene"), va.gff_attribute(a, "Name"))
+    locus = va.gff_attribute(a, "locus_tag")
     return t.select(_f(0).alias("seqid"), _f(2).alias("feature_type"), _f(3).try_cast("long").alias("start"), _f(4).try_cast("long").alias("end"), _f(6).alias("strand"), gene.alias("gene"), locus.alias("locus_tag"), va.gff_attribute(a, "product").alias("product"), va.gff_attribute(a, "ID").alias("id")).dropna(subset=["start", "end"])
 
 
@@ -205,7 +207,7 @@ def snp_metrics(spark: SparkSession, path) -> DataFrame:
 def snp_list(spark: SparkSession, path) -> DataFrame:
     """(sample, chrom, pos 0-based) of ``chrom pos n sample...`` lines."""
     t = _fields(lines(spark, path), 4).withColumn("p", _f(1).try_cast("long")).where("p >= 1")
-    return t.select(F.explode(F.slice("f", 4, 1 << 20)).alias("sample"), _f(0).alias("chrom"), (F.col("p") - 1).alias("pos")).where("sample != ''")
+    return t.select(F.explode(F.slice("f", F.lit(4), F.size("f"))).alias("sample"), _f(0).alias("chrom"), (F.col("p") - 1).alias("pos")).where("sample != ''")
 
 
 def distance_matrix(spark: SparkSession, path, strict: bool = True) -> DataFrame:
@@ -218,7 +220,7 @@ def distance_matrix(spark: SparkSession, path, strict: bool = True) -> DataFrame
         t = t.where(F.size("f") == len(names) + 1)
         if t.count() != len(names):
             raise ValueError(f"{path} is not square")
-    z = F.arrays_zip(F.array(*[F.lit(x) for x in names]).cast("array<string>").alias("c"), F.slice("f", 2, 1 << 20).alias("v"))
+    z = F.arrays_zip(F.array(*[F.lit(x) for x in names]).cast("array<string>").alias("c"), F.slice("f", F.lit(2), F.size("f")).alias("v"))
     out = t.select(F.trim(_f(0)).alias("row"), F.explode(z).alias("x")).where("x.c IS NOT NULL")
     name = (lambda c: c) if strict else (lambda c: va.strip_suffix(c, "_snippy"))
     return out.select(name(F.col("row")).alias("row"), name(F.col("x.c")).alias("col"), F.coalesce(F.trim("x.v").try_cast("long"), F.lit(0)).alias("distance"))

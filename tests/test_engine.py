@@ -136,7 +136,7 @@ def test_text_formats(spark, tmp_path):
     assert pairs(core, "pos", "sample", "allele") == [(4, "s1", "G"), (4, "s2", "-")]
     assert [tuple(x) for x in sinks.core_wide(core, ["s1", "s2"]).collect()] == [("c", 5, "A", "G", "-")]
     g = tmp_path / "a.gff"
-    g.write_text("##gff\nc\tx\tgene\t100\t200\t.\t+\t.\tID=gene-lmo0001;Name=dnaA;locus_tag=lmo0001;product=DnaA%20protein\n")
+    g.write_text("##gff\nc\tx\tgene\t100\t200\t.\t+\t.\tID=gene-lmo0001;Name=dnaA;locus_tag=lmo0001;product=DnaA protein\n")
     f = text.gff(spark, str(g)).first()
     assert (f.gene, f.locus_tag, f.product, f.start, f.end) == ("dnaA", "lmo0001", "DnaA protein", 100, 200)
     assert f.end - max(f.start - 1, 99 + 50) == 51

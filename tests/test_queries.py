@@ -1,6 +1,6 @@
 import pytest
 
-from gapweave.plans import queries
+from gapweave.plans import queries, text_queries
 from tests.oracle import DATA, connect, same
 
 
@@ -12,3 +12,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_against_sql(spark, con, name):
     same(queries.QUERIES[name](spark, DATA), con, queries.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(text_queries.QUERIES))
+def test_text_against_sql(spark, con, name):
+    same(text_queries.QUERIES[name](spark, DATA), con, text_queries.ORACLES[name])
