@@ -28,7 +28,7 @@ from gapweave.llm.lexicon import Lexicon, compile_words
 #: Words in the lexicon (about 1 MB) and their least count; rarer ones are merged when they come.
 LEXICON_WORDS, FREQUENT = 50_000, 8
 #: Words that a worker remembers before it starts anew, and the most characters of them.
-CACHE_WORDS, CACHE_CHARS = 500_000, 6_000_000
+CACHE_WORDS, CACHE_CHARS = 150_000, 2_000_000
 #: Bits of an id where two numbers are packed into one.
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1

@@ -108,7 +108,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 #: Bounds of an Arrow batch; texts and sets may be long, and an executor holds a batch more than once.
-BATCH_BYTES, BATCH_ROWS = "8m", "2000"
+BATCH_BYTES, BATCH_ROWS = "4m", "2000"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -120,7 +120,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 #: Rows, and about as many bytes, that a Python operator turns into objects at once.
-SLICE, SLICE_BYTES = 256, 2 << 20
+SLICE, SLICE_BYTES = 256, 1 << 20
 
 
 _slot: dict = {}

@@ -22,7 +22,7 @@ LONGEST = 5
 #: Pseudo-count of a word or n-gram in each language, and least count of a known one.
 PRIOR, LEAST = 0.5, 3
 #: Words, and n-grams, that a worker remembers before it starts anew.
-CACHE = 200_000
+CACHE, CACHE_GRAMS = 150_000, 60_000
 #: Entries of a file of the model; a task holds the entries of one.
 FILE_ROWS = 250_000
 UND = "und"
@@ -178,7 +178,7 @@ class Scorer:
             out[i] = self.unseen_long(left.pop(i))
         for n in range(LONGEST, 0, -1):
             own = {i: [p[a : a + n] for a in range(len(p) - n + 1)] for i, p in left.items()}
-            if len(self.met) > CACHE:
+            if len(self.met) > CACHE_GRAMS:
                 self.met = {}
             self.meet(g for gs in own.values() for g in gs)
             for i, gs in own.items():
@@ -193,7 +193,7 @@ class Scorer:
         for n in range(LONGEST, 0, -1):
             total, count = np.zeros(self.rows.shape[1]), 0
             for at in range(0, len(p) - n + 1, STRETCH):
-                if len(self.met) > CACHE:
+                if len(self.met) > CACHE_GRAMS:
                     self.met = {}
                 own = [p[a : a + n] for a in range(at, min(at + STRETCH, len(p) - n + 1))]
                 self.meet(own)
