@@ -305,3 +305,108 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         want.append((i, len(ids), ids, library.decode(ids, skip_special_tokens=False)))
     got = pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids", "decoded").collect()
     assert sorted((r.doc_id, r.n_tokens, list(r.ids), r.decoded) for r in got) == want
+
+
+def test_personal_data_report(spark):
+    import hashlib
+
+    docs = table(spark, DATA, "documents").select("doc_id", "text").union(spark.createDataFrame([(None, None), (-1, ""), (-2, "a@b.c 4111 1111-1111 1111"), (-2, "a@b.c 4111 1111-1111 1111"), (-3, "tel:" * 20_000)], "doc_id long, text string"))
+    docs = docs.withColumn("spans", F.lit(1)).withColumn("n_ip", F.lit("x"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = pii.report(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in brute_pii(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert r.spans == pii.listed(pii.find(texts[r.doc_id]))
+    assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_personal_data_takes_linear_time():
+    import time
+
+    start = time.time()
+    for unit in ("tel:", "a://", "mailto:", "a@", "+1", "1."):
+        pii.find(unit * 100_000)
+    assert time.time() - start < 30
+
+
+def test_bpe_digests(spark):
+    import hashlib
+
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [("a", None), ("a", None), (None, ""), ("b", "Ⱥb ᲊ\U00010d50 ²½x"), ("c", "word " * 30_000)]
+    rows += [(str(c), "".join(f"a{chr(x)}1" for x in range(c, c + 997) if not 0xD800 <= x < 0xE000 and x < 0x110000)) for c in range(1, 0x20000, 997)]
+    got = sorted(map(tuple, bpe.digests(spark.createDataFrame(rows, "doc_id string, text string").withColumn("ids", F.lit(1))).collect()), key=str)
+    want = []
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        decoded = t.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_language_takes_whole_words(spark):
+    schema = "doc_id long, text string, lang string"
+    learned = [(i, "the and of zzzz yzzzz", "en") for i in range(4)] + [(10 + i, "der die und a", "de") for i in range(4)]
+    model = langid.learn(spark.createDataFrame(learned, schema))
+    asked = [(1, "²the", None), (2, "½der ²the", None), (3, "a" * 63 + "zzzz", None), (4, "z" * 100_000, None), (5, "²½ 7", None), (6, None, None), (7, "the", None), (7, "the", None), (8, "\U00016d40", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(asked, schema).withColumn("lang_pred", F.lit(0)), model).collect()}
+    assert {i: got[i].lang_pred for i in (1, 3, 4, 7)} == dict.fromkeys((1, 3, 4, 7), "en")
+    assert got[2].lang_pred in ("en", "de")
+    assert [got[i].lang_pred for i in (5, 6)] == ["und", "und"]
+    assert langid.identify(spark.createDataFrame([], schema), model).count() == 0
+
+
+def test_page_names_and_hostile_pages():
+    import time
+
+    page = '<body><article><div class="article-header"><h1>Head</h1></div><p class="notice-text">N</p><section id="related-work">R</section><p>a <math><mi>x</mi><mo>=</mo></math> z</p><div class="comments">c</div></article></body>'
+    assert html.main_text(page) == "Head\nN\nR\na x= z"
+    start = time.time()
+    for bad in ("<div>" * 50_000 + "</section>" * 50_000, "<a " * 200_000, '<a "x>" ' * 50_000 + '"', "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<script>" + "</script " * 50_000, "<x " * 100_000 + "<!-- a"):
+        html.main_text(bad, {1})
+    assert time.time() - start < 30
+
+
+def test_page_text_against_plain_counts(spark):
+    """The query on the small tables: templates counted by hand from the same trees."""
+    import collections
+
+    pages = table(spark, DATA, "pages").collect()
+    host = lambda u: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*).*", r"\1", u or "", flags=re.S).lower()
+    seen, sizes = collections.defaultdict(set), collections.defaultdict(set)
+    for p in pages:
+        sizes[host(p.url)].add(p.html)
+        root = html.parse(p.html or "")
+        for h, _ in html.hash_subtrees(root, html.find_roots(root)):
+            seen[host(p.url), h].add(p.html)
+    known = collections.defaultdict(set)
+    for (at, h), on in seen.items():
+        least, share = (html.ARTICLE_PAGES, html.ARTICLE_SHARE) if h & 1 else (html.LEAST_PAGES, html.LEAST_SHARE)
+        if len(on) >= least and len(on) >= share * len(sizes[at]):
+            known[at].add(h)
+    want = {p.page_id: html.main_text(p.html, known[host(p.url)]) for p in pages}
+    assert {r.page_id: r.text for r in html.op4_html_text(spark, DATA).collect()} == want
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1e20, 1e300])
+def test_nearest_at_any_magnitude(scale):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)) * scale
+    x[:60] = x[0] * (1 + rng.integers(0, 60, (60, 8)) * 2.3e-16)
+    ids = np.arange(300)
+    got = {}
+    for q, v, d in ann.search_shard(ids, x, ids[::10], x[::10], 10):
+        got.setdefault(q, []).append(v)
+    hits = 0
+    for q in range(0, 300, 10):
+        d = ann.exact_distances(x, x[q])
+        order = [i for i in np.lexsort((ids, d)) if i != q][:10]
+        hits += len(set(order) & set(got[q]))
+    assert hits >= 0.9 * 300
