@@ -60,22 +60,14 @@ def gap_sizes(gaps: DataFrame, n_samples: int) -> DataFrame:
 
 def global_stats(sites: DataFrame, gaps: DataFrame, pipelines: DataFrame, n_samples: int, ref_len: int) -> DataFrame:
     """(pipeline, strategy, usable_space, total_snps, consensus_snps, disc_snps, missing_vcf)."""
-    c = classified(sites)
-    sizes = gap_sizes(gaps, n_samples)
-    out = None
-    for s in STRATEGIES:
-        live = ~excluded(s)
-        agg = c.groupBy("pipeline").agg(
-            F.count_if(live).alias("total_snps"),
-            F.count_if(live & F.col("consensus")).alias("consensus_snps"),
-            F.count_if(live & F.col("disc")).alias("disc_snps"),
-            F.count_if(live & (F.col("k") > 0)).alias("missing_vcf"),
-        )
-        rows = pipelines.join(agg, "pipeline", "left").join(sizes, "pipeline", "left")
-        zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
-        rows = rows.select("pipeline", F.lit(s).alias("strategy"), (F.lit(ref_len) - F.coalesce(s, F.lit(0))).cast("long").alias("usable_space"), *map(zero, ("total_snps", "consensus_snps", "disc_snps", "missing_vcf")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    live = {s: ~excluded(s) for s in STRATEGIES}
+    names = ("total_snps", "consensus_snps", "disc_snps", "missing_vcf")
+    tests = (F.lit(True), F.col("consensus"), F.col("disc"), F.col("k") > 0)
+    agg = classified(sites).groupBy("pipeline").agg(*[F.count_if(live[s] & t).alias(f"{s}_{c}") for s in STRATEGIES for c, t in zip(names, tests, strict=True)])
+    rows = pipelines.join(agg, "pipeline", "left").join(gap_sizes(gaps, n_samples), "pipeline", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    each = [F.struct(F.lit(s).alias("strategy"), (F.lit(ref_len) - zero(s)).cast("long").alias("usable_space"), *[zero(f"{s}_{c}").alias(c) for c in names]) for s in STRATEGIES]
+    return rows.select("pipeline", F.inline(F.array(*each)))
 
 
 def kpis(sites: DataFrame, gaps: DataFrame, pipelines: DataFrame, n_samples: int) -> DataFrame:
@@ -119,21 +111,29 @@ def differing_pairs(sites: DataFrame, gaps: DataFrame, samples: DataFrame) -> Da
     )
 
 
+def pair_excess(sites: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(pipeline, a, b, excess): by how much the carrier counts of two samples together exceed the sites at which they
+    differ.  Two carriers of one alt count twice too often, two of different alts once, a carrier beside a
+    gapped sample once; so only carriers meet carriers and gapped samples, never the samples without a call."""
+    rest = F.slice("carriers", F.col("i") + 2, F.size("carriers"))
+    both = sites.select("pipeline", "carriers", F.posexplode("carriers").alias("i", "x")).select("pipeline", "x", F.explode(rest).alias("y"))
+    both = both.select("pipeline", F.col("x.sample").alias("a"), F.col("y.sample").alias("b"), F.when(F.col("x.alt") == F.col("y.alt"), 2).otherwise(1).alias("w"))
+    gapped = iv.locate(sites.where("k > 0 AND size(carriers) > 0").select("pipeline", "pos", "carriers"), gaps, ["pipeline"], ["sample"]).where("inside")
+    beside = gapped.select("pipeline", F.explode("carriers").alias("x"), "sample").select("pipeline", F.least("x.sample", "sample").alias("a"), F.greatest("x.sample", "sample").alias("b"), F.lit(1).alias("w"))
+    return both.unionByName(beside).groupBy("pipeline", "a", "b").agg(F.sum("w").alias("excess"))
+
+
 def pair_stats(sites: DataFrame, gaps: DataFrame, pipelines: DataFrame, samples: DataFrame, ref_len: int) -> DataFrame:
     """(pipeline, a, b, usable_space, disc_snps) of every sample pair a < b: positions gapped in neither, and
     sites among them whose alleles differ."""
-    disc = differing_pairs(sites, gaps, samples).groupBy("pipeline", "a", "b").agg(F.count(F.lit(1)).alias("disc_snps"))
     own = gaps.groupBy("pipeline", "sample").agg(F.sum(F.col("end") - F.col("start")).alias("own"))
-    shared = iv.pair_overlaps(gaps, ["pipeline"], "sample")
-    grid = pipelines.crossJoin(samples.select(F.col("sample").alias("a"))).crossJoin(samples.select(F.col("sample").alias("b"))).where("a < b")
-    out = (
-        grid.join(own.select("pipeline", F.col("sample").alias("a"), F.col("own").alias("ga")), ["pipeline", "a"], "left")
-        .join(own.select("pipeline", F.col("sample").alias("b"), F.col("own").alias("gb")), ["pipeline", "b"], "left")
-        .join(shared, ["pipeline", "a", "b"], "left")
-        .join(disc, ["pipeline", "a", "b"], "left")
-    )
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("pipeline", "a", "b", (F.lit(ref_len) - z("ga") - z("gb") + z("shared")).cast("long").alias("usable_space"), z("disc_snps").cast("long").alias("disc_snps"))
+    carried = sites.select("pipeline", F.explode("carriers.sample").alias("sample")).groupBy("pipeline", "sample").agg(F.count(F.lit(1)).alias("sites"))
+    each = samples.crossJoin(F.broadcast(pipelines)).join(own, ["pipeline", "sample"], "left").join(carried, ["pipeline", "sample"], "left").na.fill(0, ["own", "sites"])
+    side = lambda c: each.select("pipeline", F.col("sample").alias(c), F.col("own").alias(f"own_{c}"), F.col("sites").alias(f"sites_{c}"))
+    grid = side("a").join(side("b"), "pipeline").where("a < b")
+    out = grid.join(iv.pair_overlaps(gaps, ["pipeline"], "sample"), ["pipeline", "a", "b"], "left").join(pair_excess(sites, gaps), ["pipeline", "a", "b"], "left").na.fill(0, ["shared", "excess"])
+    usable = F.lit(ref_len) - F.col("own_a") - F.col("own_b") + F.col("shared")
+    return out.select("pipeline", "a", "b", usable.cast("long").alias("usable_space"), (F.col("sites_a") + F.col("sites_b") - F.col("excess")).cast("long").alias("disc_snps"))
 
 
 def pair_summary(pairs: DataFrame) -> DataFrame:

@@ -9,14 +9,24 @@ from gapweave.functions import intervals as iv
 from gapweave.operators.sites import STRATEGIES, differing_pairs, gapped_samples
 
 
-def truth_disc(gt_sites: DataFrame, strategy: str) -> DataFrame:
-    """Sites of the ground truth where samples differ; a missing call is a value of its own here.
+def truth_discs(gt_sites: DataFrame) -> DataFrame:
+    """Sites of the ground truth where samples differ, a row for each ``strategy`` under which they do; a missing call is
+    a value of its own here.
 
     Under gap_union no sample is gapped; under gap_intersect gapped samples are left out and two must remain."""
     active = F.col("n") - F.col("k")
     same = (F.size("carriers") == 0) | ((F.size("carriers") == active) & (F.size(F.array_distinct(F.transform("carriers", lambda c: c["alt"]))) == 1))
-    live = F.col("k") == 0 if strategy == "gap_union" else (F.col("k") < F.col("n")) & (active >= 2)
-    return gt_sites.where(live & ~same)
+    live = {"gap_union": F.col("k") == 0, "gap_intersect": (F.col("k") < F.col("n")) & (active >= 2)}
+    return gt_sites.withColumn("strategy", F.explode(F.array_compact(F.array(*[F.when(live[s] & ~same, s) for s in STRATEGIES]))))
+
+
+def truth_disc(gt_sites: DataFrame, strategy: str) -> DataFrame:
+    return truth_discs(gt_sites).where(F.col("strategy") == strategy).drop("strategy")
+
+
+def _active(everyone: Column) -> Column:
+    """The samples that a strategy looks at."""
+    return F.when(F.col("strategy") == "gap_union", everyone).otherwise(F.array_except(everyone, F.col("gapped")))
 
 
 def core_table(core: DataFrame) -> DataFrame:
@@ -46,28 +56,22 @@ def core_details(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, pl_ga
     gt_cover = iv.sweep(gt_gaps.select("start", "end"), [])
     marked = gapped_samples(gt_sites, gt_gaps)
     core_disc = iv.locate(table.where("core_disc").select("pipeline", "pos"), gt_cover, [], ["k"]).select("pipeline", "pos", F.coalesce("k", F.lit(0)).alias("gk"))
-    out = None
-    for s in STRATEGIES:
-        disc = truth_disc(marked, s)
-        active = everyone if s == "gap_union" else F.array_except(everyone, F.col("gapped"))
-        t = disc.select("pos", "base", F.map_from_entries("called").alias("g"), active.alias("active")).crossJoin(F.broadcast(pipelines))
-        t = t.join(table, ["pipeline", "pos"], "left")
-        t = iv.locate(t, pl_any, ["pipeline"], [])
-        status = (
-            F.when(F.col("m").isNull() & F.col("inside"), "in_pl_gap")
-            .when(F.col("m").isNull(), "lost")
-            .when(~F.col("core_disc"), "not_disc_in_pl")
-            .when(_agrees("active", "g", "m"), "concordant")
-            .otherwise("discordant")
-        )
-        first = t.select("pipeline", F.lit(s).alias("strategy"), "pos", status.alias("status"))
-        gapped = F.col("gk") >= 1 if s == "gap_union" else F.col("gk") == n
-        rest = core_disc.withColumn("g", gapped)
-        own = rest.where("g").select("pipeline", F.lit(s).alias("strategy"), "pos", F.lit("in_gt_gap").alias("status"))
-        only = rest.where("NOT g").join(disc.select("pos"), "pos", "left_anti").select("pipeline", F.lit(s).alias("strategy"), "pos", F.lit("pl_only").alias("status"))
-        both = first.unionByName(own).unionByName(only)
-        out = both if out is None else out.unionByName(both)
-    return out
+    disc = truth_discs(marked)
+    t = disc.select("strategy", "pos", "base", F.map_from_entries("called").alias("g"), _active(everyone).alias("active")).crossJoin(F.broadcast(pipelines))
+    t = iv.locate(t.join(table, ["pipeline", "pos"], "left"), pl_any, ["pipeline"], [])
+    status = (
+        F.when(F.col("m").isNull() & F.col("inside"), "in_pl_gap")
+        .when(F.col("m").isNull(), "lost")
+        .when(~F.col("core_disc"), "not_disc_in_pl")
+        .when(_agrees("active", "g", "m"), "concordant")
+        .otherwise("discordant")
+    )
+    first = t.select("pipeline", "strategy", "pos", status.alias("status"))
+    gapped = {"gap_union": F.col("gk") >= 1, "gap_intersect": F.col("gk") == n}
+    rest = core_disc.select("pipeline", "pos", F.inline(F.array(*[F.struct(F.lit(s).alias("strategy"), gapped[s].alias("g")) for s in STRATEGIES])))
+    own = rest.where("g").select("pipeline", "strategy", "pos", F.lit("in_gt_gap").alias("status"))
+    only = rest.where("NOT g").join(disc.select("strategy", "pos"), ["strategy", "pos"], "left_anti").select("pipeline", "strategy", "pos", F.lit("pl_only").alias("status"))
+    return first.unionByName(own).unionByName(only)
 
 
 def core_summary(details: DataFrame, core: DataFrame) -> DataFrame:
@@ -97,37 +101,37 @@ def core_pairs(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, samples
     return out.select("pipeline", F.lit(n * (n - 1) // 2).cast("long").alias("num_pairs"), z("d").alias("gt_disc_avg"), z("s").alias("same_pos_avg"), z("c").alias("concordant_avg"))
 
 
-def calls_summary(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame) -> DataFrame:
+def calls_summary(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame, pl_gaps: bool = True) -> DataFrame:
     """The comparison by calls, for pipelines without core alleles: (pipeline, strategy, pl_total_core_snps,
     pl_disc, gt_disc, same_pos, concordant, pl_snps_in_gt_gaps).
 
     same_pos: an active sample has a pipeline call; concordant: no active sample is gapped in the pipeline
-    either, and all alleles agree.  In-gap counts cover all sites of the pipeline."""
+    either, and all alleles agree.  In-gap counts cover all sites of the pipeline.  pl_disc leaves out the
+    pipeline's own gapped samples; without ``pl_gaps``, as the first reader version has it, it looks at all samples."""
     names = [r[0] for r in samples.orderBy("sample").collect()]
     n = len(names)
     everyone = F.array(*[F.lit(x) for x in names])
     marked = gapped_samples(sites, gaps)
+    theirs = sites.where(F.col("pipeline") != gt)
     mine = marked.where(F.col("pipeline") != gt).select("pipeline", "pos", F.map_from_entries("called").alias("m"), "gapped")
-    pl_gaps = gaps.where(F.col("pipeline") != gt)
-    pipelines = mine.select("pipeline").distinct()
-    disc = truth_disc(sites.where(F.col("pipeline") != gt), "gap_intersect").groupBy("pipeline").agg(F.count(F.lit(1)).alias("pl_disc"))
+    pipelines = theirs.select("pipeline").distinct()
+    if pl_gaps:
+        disc = truth_disc(theirs, "gap_intersect")
+    else:
+        disc = theirs.where((F.size("called") < n) | (F.size(F.array_distinct("called.alt")) > 1))
+    disc = disc.groupBy("pipeline").agg(F.count(F.lit(1)).alias("pl_disc"))
     gt_cover = iv.sweep(gaps.where(F.col("pipeline") == gt).select("start", "end"), [])
-    gk = iv.locate(mine.select("pipeline", "pos"), gt_cover, [], ["k"])
-    out = None
-    for s in STRATEGIES:
-        t = truth_disc(marked.where(F.col("pipeline") == gt), s)
-        active = everyone if s == "gap_union" else F.array_except(everyone, F.col("gapped"))
-        t = t.select("pos", "base", F.map_from_entries("called").alias("g"), active.alias("active")).crossJoin(F.broadcast(pipelines))
-        j = t.join(mine, ["pipeline", "pos"], "left").withColumn("same", F.expr("m IS NOT NULL AND exists(active, s -> map_contains_key(m, s))"))
-        good = F.col("same") & F.expr("NOT arrays_overlap(active, gapped)") & _agrees("active", "g", "m")
-        agg = j.groupBy("pipeline").agg(F.count(F.lit(1)).alias("gt_disc"), F.count_if("same").alias("same_pos"), F.count_if(good).alias("concordant"))
-        gapped = F.coalesce("k", F.lit(0)) >= 1 if s == "gap_union" else F.col("k") == n
-        total = gk.groupBy("pipeline").agg(F.count(F.lit(1)).alias("pl_total_core_snps"), F.count_if(gapped).alias("pl_snps_in_gt_gaps"))
-        rows = total.join(disc, "pipeline", "left").join(agg, "pipeline", "left")
-        z = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-        rows = rows.select("pipeline", F.lit(s).alias("strategy"), *map(z, ("pl_total_core_snps", "pl_disc", "gt_disc", "same_pos", "concordant", "pl_snps_in_gt_gaps")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    t = truth_discs(marked.where(F.col("pipeline") == gt))
+    t = t.select("strategy", "pos", "base", F.map_from_entries("called").alias("g"), _active(everyone).alias("active")).crossJoin(F.broadcast(pipelines))
+    j = t.join(mine, ["pipeline", "pos"], "left").withColumn("same", F.expr("m IS NOT NULL AND exists(active, s -> map_contains_key(m, s))"))
+    good = F.col("same") & F.expr("NOT arrays_overlap(active, gapped)") & _agrees("active", "g", "m")
+    agg = j.groupBy("pipeline", "strategy").agg(F.count(F.lit(1)).alias("gt_disc"), F.count_if("same").alias("same_pos"), F.count_if(good).alias("concordant"))
+    k = F.coalesce("k", F.lit(0))
+    total = iv.locate(theirs.select("pipeline", "pos"), gt_cover, [], ["k"]).groupBy("pipeline").agg(F.count(F.lit(1)).alias("pl_total_core_snps"), F.count_if(k >= 1).alias("gap_union"), F.count_if(k == n).alias("gap_intersect"))
+    total = total.select("pipeline", "pl_total_core_snps", F.inline(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("pl_snps_in_gt_gaps")) for s in STRATEGIES])))
+    rows = total.join(disc, "pipeline", "left").join(agg, ["pipeline", "strategy"], "left")
+    z = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("pipeline", "strategy", *map(z, ("pl_total_core_snps", "pl_disc", "gt_disc", "same_pos", "concordant", "pl_snps_in_gt_gaps")))
 
 
 def calls_pairs(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame) -> DataFrame:
