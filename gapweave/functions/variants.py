@@ -80,6 +80,35 @@ def allele_depth_fraction(ad) -> Column:
     return F.when(total > 0, F.get(n, F.lit(1)) / total)
 
 
+def format_fields(fmt, sample) -> Column:
+    """struct<gt,depth,af,ro,ao,qa,gq,abq,pval> of a FORMAT and a sample column, keys taken in turn: a later key replaces an
+    earlier one, but AD gives the depth and RD the reference reads only where none is known yet, and an unreadable AF or
+    FREQ changes nothing.  Keys without a value end the list."""
+    pairs = F.filter(F.arrays_zip(F.split(_c(fmt), ":").alias("k"), F.split(_c(sample), ":").alias("v")), lambda x: x["v"].isNotNull() & x["k"].isNotNull())
+    kinds = {"gt": "string", "depth": "long", "af": "double", "ro": "long", "ao": "long", "qa": "double", "gq": "double", "abq": "double", "pval": "double"}
+    start = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+    def step(s, x):
+        k, v = x["k"], x["v"]
+        whole = v.try_cast("long")
+        ad = F.filter(F.transform(F.split(v, ","), lambda y: y.try_cast("long")), lambda y: y.isNotNull() & (y >= 0))
+        total = F.aggregate(ad, F.lit(0).cast("long"), lambda a, y: a + y)
+        has_ad = (k == "AD") & (F.size(ad) >= 2)
+        freq = fraction(v)
+        new = {
+            "gt": F.when(k == "GT", v).otherwise(s["gt"]),
+            "depth": F.when(k == "DP", whole).when(has_ad & s["depth"].isNull(), total).otherwise(s["depth"]),
+            "af": F.when(has_ad & (total > 0), F.get(ad, F.lit(1)) / total).when(k.isin("AF", "FREQ") & freq.isNotNull(), freq).otherwise(s["af"]),
+            "ro": F.when(has_ad, F.get(ad, F.lit(0))).when((k == "RO") | ((k == "RD") & s["ro"].isNull()), whole).otherwise(s["ro"]),
+            "ao": F.when(has_ad, F.get(ad, F.lit(1))).when(k == "AO", whole).otherwise(s["ao"]),
+        }
+        for name, key in (("qa", "QA"), ("gq", "GQ"), ("abq", "ABQ"), ("pval", "PVAL")):
+            new[name] = F.when(k == key, v.try_cast("double")).otherwise(s[name])
+        return F.struct(*[c.alias(n) for n, c in new.items()])
+
+    return F.aggregate(pairs, start, step)
+
+
 def decompose(pos, ref, alt) -> Column:
     """array<struct<pos,ref,alt>>: a row for each differing base of an MNP (equal lengths)."""
     z = F.expr(f"transform(sequence(1, length({ref})), i -> named_struct('pos', {pos} + i - 1, 'ref', substr({ref}, i, 1), 'alt', substr({alt}, i, 1)))")

@@ -112,3 +112,26 @@ def alignment_metrics(alignments: DataFrame, offsets: DataFrame, ref_len: int) -
     m = iv.merge(a, ["sample"]).groupBy("sample").agg((F.sum(F.col("end") - F.col("start")) / ref_len).alias("merged_coverage"))
     g = a.groupBy("sample").agg((F.sum("matches") / F.sum("block")).alias("identity"), F.least(F.sum(F.col("end") - F.col("start")) / ref_len, F.lit(1.0)).alias("coverage"))
     return g.join(m, "sample")
+
+
+def read_metrics(reads: DataFrame, samples: DataFrame, ref_len: int, min_depth: int) -> DataFrame:
+    """(sample, total_reads, mapped_reads, mean_depth, coverage_percent, total_gap_bases) of mapped reads (sample, flag, pos,
+    cigar); both read counts are positions under any read, as the finished reports have them."""
+    c = coverage(reads, ref_len, ["sample"])
+    size = F.col("end") - F.col("start")
+    g = c.groupBy("sample").agg(F.sum(size).alias("any"), F.sum(F.col("k") * size).alias("bases"), F.sum(F.when(F.col("k") >= min_depth, size)).alias("deep"))
+    out = samples.select("sample").join(g, "sample", "left").na.fill(0, ["any", "bases", "deep"])
+    # A minimum of 0 is met without a read.
+    deep = F.col("deep") if min_depth > 0 else F.lit(ref_len)
+    return out.select("sample", F.col("any").alias("total_reads"), F.col("any").alias("mapped_reads"), (F.col("bases") / ref_len).alias("mean_depth"), (deep / ref_len * 100).alias("coverage_percent"), (F.lit(ref_len) - deep).cast("long").alias("total_gap_bases"))
+
+
+def reads_as_alignments(metrics: DataFrame, ref_len: int) -> DataFrame:
+    """(sample, identity, sample_coverage, reference_coverage, num_alignments, gap_bases) of ``read_metrics`` in the form of
+    assembly alignments: identity is 1, each sample one alignment."""
+    return metrics.select("sample", F.lit(1.0).alias("identity"), (F.col("coverage_percent") / 100).alias("sample_coverage"), ((F.lit(ref_len) - F.col("total_gap_bases")) / ref_len).alias("reference_coverage"), F.lit(1).cast("long").alias("num_alignments"), F.col("total_gap_bases").alias("gap_bases"))
+
+
+def averages(alignments: DataFrame) -> DataFrame:
+    """One row of means over samples, 0 without any: avg_identity, avg_sample_coverage, avg_reference_coverage."""
+    return alignments.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in ("identity", "sample_coverage", "reference_coverage")])

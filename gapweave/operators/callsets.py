@@ -116,6 +116,31 @@ def compare_filtered(gaps: DataFrame, filtered: DataFrame) -> DataFrame:
     return o.select("sample", "gap_bases", "filtered_bases", F.col("c").alias("concordant_bases"), (F.col("gap_bases") - F.col("c")).alias("gap_only_bases"), (F.col("filtered_bases") - F.col("c")).alias("filtered_only_bases"), F.when(union > 0, F.col("c") / union * 100).otherwise(100.0).alias("concordance_pct"))
 
 
+def one_sided_regions(gaps: DataFrame, filtered: DataFrame, max_gap: int = 10) -> DataFrame:
+    """(sample, side, start, end) of bases that only the gaps (gap_only) or only the caller (filtered_only) leaves out, regions
+    at most ``max_gap`` apart joined; samples without one kind of input drop out."""
+    g, f = iv.merge(gaps, ["sample"]), iv.merge(filtered, ["sample"])
+    both = g.select("sample").intersect(f.select("sample"))
+    alone = iv.sweep(g.unionByName(f), ["sample"]).where("k = 1").join(both, "sample", "left_semi")
+    side = iv.locate(alone.withColumn("pos", F.col("start")), g, ["sample"], [])
+    side = side.select("sample", F.when(F.col("inside"), "gap_only").otherwise("filtered_only").alias("side"), "start", "end")
+    return iv.merge(side, ["sample", "side"], max_gap)
+
+
+def filtered_summary(samples: DataFrame) -> DataFrame:
+    """One row over ``compare_filtered``: total_samples, avg_concordance_pct (0 without samples) and the summed bases."""
+    z = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return samples.agg(F.count(F.lit(1)).alias("total_samples"), F.coalesce(F.avg("concordance_pct"), F.lit(0.0)).alias("avg_concordance_pct"), *[z(c).alias(f"total_{c}") for c in ("concordant_bases", "gap_only_bases", "filtered_only_bases")])
+
+
+def retention_summary(core: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row over ``core_difference`` and ``retention``: total_samples, avg_core_diff_pct (of absolute values, 0 without
+    samples), avg_snp_retention_pct (100 without), total_snps, total_snps_in_gaps."""
+    c = core.agg(F.count(F.lit(1)).alias("total_samples"), F.coalesce(F.avg(F.abs("core_diff_pct")), F.lit(0.0)).alias("avg_core_diff_pct"))
+    z = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(f"total_{x}".replace("total_total", "total"))
+    return c.crossJoin(kept.agg(F.coalesce(F.avg("retention_pct"), F.lit(100.0)).alias("avg_snp_retention_pct"), z("total_snps"), z("snps_in_gaps")))
+
+
 def retention(calls: DataFrame, gaps: DataFrame) -> DataFrame:
     """(sample, total_snps, snps_in_gaps, snps_retained, retention_pct) of calls (sample, pos) against gaps."""
     hit = iv.locate(calls, iv.merge(gaps, ["sample"]), ["sample"], [])

@@ -55,10 +55,12 @@ def pipeline_concordance(calls: DataFrame) -> DataFrame:
     return grid.join(both, ["a", "b"], "left").select("a", "b", z.alias("shared"), F.coalesce("same_allele", F.lit(0)).alias("same_allele"), (F.col("na") - z).alias("only_a"), (F.col("nb") - z).alias("only_b"))
 
 
-def filter_positions(calls: DataFrame, gaps: DataFrame, pipelines: list[str], n_samples: int, filters: list[str], any_of: bool = False) -> DataFrame:
+def filter_positions(calls: DataFrame, gaps: DataFrame, pipelines: list[str], n_samples: int, filters: list[str], any_of: bool = False, any_sample: bool = False) -> DataFrame:
     """Positions with a call in all samples of some pipeline that pass the filters (all, or any of them): the id of a
-    pipeline, ``both``, ``consensus``, ``discord``, ``exclusive:<id>`` or ``gaps:<id>``."""
-    g = calls.groupBy("pos", "pipeline").agg((F.count_distinct("sample") == n_samples).alias("all"), F.count_distinct("alt").alias("alts"), F.min("alt").alias("alt"))
+    pipeline, ``both``, ``consensus``, ``discord``, ``exclusive:<id>`` or ``gaps:<id>``.  With ``any_sample`` a call in
+    one sample is enough."""
+    least = 1 if any_sample else n_samples
+    g = calls.groupBy("pos", "pipeline").agg((F.count_distinct("sample") >= least).alias("all"), F.count_distinct("alt").alias("alts"), F.min("alt").alias("alt"))
     wide = g.groupBy("pos").agg(*[F.max(F.when(F.col("pipeline") == p, F.col("all"))).alias(f"all_{p}") for p in pipelines], F.count_distinct(F.when(F.col("all") & (F.col("alts") == 1), F.col("alt"))).alias("kinds"), F.count_if("all").alias("n_all"))
     flags = {p: F.coalesce(f"all_{p}", F.lit(False)) for p in pipelines}
     for p in {f.split(":", 1)[1] for f in filters if f.startswith("gaps:")}:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote_plus
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
@@ -103,3 +103,9 @@ def parse_query(text: str) -> dict[str, str]:
 
 def duration(seconds: float) -> str:
     return f"{seconds:.1f}s" if seconds < 60 else f"{int(seconds // 60)}m {int(seconds % 60)}s"
+
+
+def by_unique_gaps(impact: DataFrame) -> DataFrame:
+    """(sample, unique_bases, place) from the fewest bases that only a sample lacks; ties by name.  One row a sample."""
+    w = Window.orderBy("unique_bases", "sample")
+    return impact.select("sample", "unique_bases", F.row_number().over(w).cast("long").alias("place"))

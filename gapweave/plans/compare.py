@@ -14,10 +14,11 @@ class Comparison:
 
     ``coord_compat`` tests positions against 1-based gaps unshifted, as finished reports have it."""
 
-    def __init__(self, calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, samples: DataFrame, ref_len: int, truth_id: str | None = None, core: DataFrame | None = None, coord_compat: bool = True):
+    def __init__(self, calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, samples: DataFrame, ref_len: int, truth_id: str | None = None, core: DataFrame | None = None, coord_compat: bool = True, warnings: DataFrame | None = None):
         self.spark: SparkSession = calls.sparkSession
         self.ref_len, self.samples, self.truth_id, self.core = ref_len, samples, truth_id, core
         self.n = samples.count()
+        self.warnings = self.spark.createDataFrame([], "text string") if warnings is None else warnings
         self.calls = sites.snps(calls, ref_base)
         self.gaps = iv.merge(sites.shifted(gaps, coord_compat), ["pipeline", "sample"])
         self.pipelines = calls.select("pipeline").union(gaps.select("pipeline")).distinct()
@@ -45,9 +46,15 @@ class Comparison:
         return truth.core_details(self.sites.where(is_truth), self.gaps.where(is_truth), self.core, self.gaps.where(~is_truth), self.samples)
 
     def report(self) -> DataFrame:
-        """One row: kpis, global_stats and pair_summary as arrays of structs, truth where there is one."""
+        """One row: kpis, global_stats, pair_summary, samples, pipelines, distances and warnings as arrays of structs, truth
+        where there is one.  ``data`` has the calls and gaps of each sample and pipeline; a dashboard leaves it out."""
         rows = lambda d, name: d.groupBy().agg(F.sort_array(F.collect_list(F.struct(*d.columns))).alias(name))
         out = rows(self.kpis(), "kpis").crossJoin(rows(self.global_stats(), "global_stats")).crossJoin(rows(sites.pair_summary(self.pairs()), "pair_summary"))
+        own = self.calls.select("pipeline", "sample", F.lit("snp").alias("kind"), F.col("pos").alias("start"), F.col("pos").alias("end"), "alt")
+        own = own.unionByName(self.gaps.select("pipeline", "sample", F.lit("gap").alias("kind"), "start", "end", F.lit(None).cast("string").alias("alt")))
+        for d, name in ((self.samples, "samples"), (self.pipelines, "pipelines"), (self.pairs(), "distances"), (own, "data")):
+            out = out.crossJoin(rows(d, name))
+        out = out.crossJoin(self.warnings.groupBy().agg(F.sort_array(F.collect_list("text")).alias("warnings")))
         t = self.truth_results()
         if t is not None:
             out = out.crossJoin(rows(t, "truth"))

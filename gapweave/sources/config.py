@@ -26,6 +26,10 @@ class Config:
         """Samples that pipelines name; the samples block only labels them."""
         return sorted({s for p in self.pipelines.values() for s in p.get("samples") or {}})
 
+    def file_paths(self) -> list[tuple[str, str, str | None, str | None]]:
+        """(sample, pipeline, path of the calls, path of the alignments)."""
+        return sorted((s, p, x.get("vcf"), x.get("bam")) for p, s, x in self.tasks())
+
     def tasks(self) -> list[tuple[str, str, dict]]:
         return [(p, s, x) for p, d in sorted(self.pipelines.items()) for s, x in sorted((d.get("samples") or {}).items())]
 

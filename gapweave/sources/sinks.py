@@ -65,6 +65,34 @@ def quality_tsv(scored: DataFrame) -> DataFrame:
     return scored.select(F.concat_ws("\t", "sample", four("score"), "recommendation", four("ref_identity"), four("ref_coverage"), four("avg_quality"), F.array_join("flags", ",")).alias("value"))
 
 
+def quality_report(scored: DataFrame, pairs: DataFrame, reference: DataFrame) -> DataFrame:
+    """(part, n, value) the lines of the quality report in order: 1 a row per sample, 2 the matrix of gap quality, 3 the
+    reference with the averages of alignments.  ``scored`` has n_contigs beside the columns of ``qc.score``, ``reference``
+    one row (reference_name, reference_length, avg_identity, avg_sample_coverage, avg_reference_coverage)."""
+    four = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    flags = F.when(F.size("flags") == 0, "-").otherwise(F.array_join("flags", ","))
+    cells = ("sample", four("score"), (F.size("flags") > 0).cast("string"), "recommendation", flags, four("ref_coverage"), four("avg_quality"), F.col("total_unique").cast("string"), F.col("n50").cast("string"), F.col("n_contigs").cast("string"))
+    rows = scored.select(F.lit(1).alias("part"), F.concat_ws("\t", F.lit("1"), "sample").alias("n"), F.concat_ws("\t", *cells).alias("value"))
+    names = scored.select("sample")
+    both = pairs.select(F.col("a").alias("row"), F.col("b").alias("col"), "quality").unionByName(pairs.select(F.col("b").alias("row"), F.col("a").alias("col"), "quality")).unionByName(names.select(F.col("sample").alias("row"), F.col("sample").alias("col"), F.lit(1.0).alias("quality")))
+    sorted_cells = F.transform(F.array_sort(F.collect_list(F.struct("col", four("quality").alias("q")))), lambda x: x["q"])
+    matrix_rows = both.groupBy("row").agg(F.array_join(sorted_cells, "\t").alias("cells")).select(F.lit(2).alias("part"), F.concat_ws("\t", F.lit("1"), "row").alias("n"), F.concat_ws("\t", "row", "cells").alias("value"))
+    head = names.agg(F.array_join(F.array_sort(F.collect_list("sample")), "\t").alias("h")).select(F.lit(2).alias("part"), F.lit("0c").alias("n"), F.concat_ws("\t", F.lit("sample"), "h").alias("value"))
+    plain = ("reference_name", "reference_length")
+    last = reference.select(F.posexplode(F.array(*[F.concat_ws("\t", F.lit(c), F.col(c).cast("string") if c in plain else four(c)) for c in (*plain, "avg_identity", "avg_sample_coverage", "avg_reference_coverage")])).alias("i", "value")).select(F.lit(3).alias("part"), F.concat(F.lit("1"), F.col("i").cast("string")).alias("n"), "value")
+    titles = [(1, "0", "sample\tscore\tflagged\trecommendation\tflags\tref_coverage\tgap_quality\tunique_gaps\tn50\tnum_contigs"), (2, "0a", ""), (2, "0b", "# Gap Quality Matrix (intersection/union)"), (3, "0a", ""), (3, "0b", "# Reference Summary")]
+    fixed = scored.sparkSession.createDataFrame(titles, "part int, n string, value string")
+    return fixed.unionByName(rows).unionByName(head).unionByName(matrix_rows).unionByName(last)
+
+
+def write_quality(lines: DataFrame, report: DataFrame, path: str) -> None:
+    """The quality report by the ending of the path: .json the report of one row, else the lines."""
+    if path.endswith((".json", ".json.gz")):
+        report_json(report, path)
+    else:
+        lines.coalesce(1).sortWithinPartitions("part", "n").select("value").write.mode("overwrite").text(path)
+
+
 def fasta_lines(contigs: DataFrame, name: str, width: int = 60) -> DataFrame:
     """(value) one FASTA record of all contigs, wrapped."""
     seq = contigs.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("contig_idx", "sequence"))), lambda x: x["sequence"]), "").alias("s"))

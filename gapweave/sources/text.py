@@ -79,7 +79,7 @@ def vcf_calls(spark: SparkSession, path, min_qual: float = 0.0, include_indels:
 
 
 def vcf_variants(spark: SparkSession, path) -> DataFrame:
-    """Calls for quality control: (sample, chrom, pos 1-based, ref, alt, qual, filter, info, depth, af, ro, ao, gq, gt), MNPs
+    """Calls for quality control: (sample, chrom, pos 1-based, ref, alt, qual, filter, info, depth, af, ro, ao, gq, gt, qa, abq, pval), MNPs
     decomposed where the alt has no comma, and of each chrom and pos the last line."""
     from pyspark.sql import Window
 
@@ -88,18 +88,54 @@ def vcf_variants(spark: SparkSession, path) -> DataFrame:
     parts = F.when(mnp, va.decompose("pos", "ref", "alt")).otherwise(F.array(F.struct("pos", "ref", "alt")))
     info = F.when(mnp, F.concat("info", F.lit(";DECOMPOSED_FROM_MNP="), "ref", F.lit(">"), "alt")).otherwise(F.col("info"))
     v = v.withColumn("info2", info).select("*", F.explode(parts).alias("x"))
-    fv = lambda k: va.format_value("format", "call", k)
-    ad = va.allele_depth_fraction(fv("AD"))
-    af = F.coalesce(va.fraction(fv("AF")), va.fraction(fv("FREQ")), ad, va.info_number("info", "AF", "double"))
-    depth = F.coalesce(fv("DP").try_cast("long"), va.info_number("info", "DP"))
+    v = v.withColumn("f", va.format_fields("format", "call"))
+    af = F.coalesce("f.af", va.info_number("info", "AF", "double"))
+    depth = F.coalesce("f.depth", va.info_number("info", "DP"))
     w = Window.partitionBy("file", "chrom", "x.pos").orderBy(F.desc("n"))
     v = v.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return v.select(
         sample_name(F.col("file")).alias("sample"), "chrom", F.col("x.pos").alias("pos"), F.col("x.ref").alias("ref"), F.col("x.alt").alias("alt"), va.quality("qual_text").alias("qual"), "filter", F.col("info2").alias("info"),
-        depth.alias("depth"), af.alias("af"), F.coalesce(fv("RO").try_cast("long"), va.info_number("info", "RO")).alias("ro"), F.coalesce(fv("AO").try_cast("long"), va.info_number("info", "AO")).alias("ao"), fv("GQ").try_cast("double").alias("gq"), fv("GT").alias("gt"),
+        depth.alias("depth"), af.alias("af"), F.coalesce("f.ro", va.info_number("info", "RO")).alias("ro"), F.coalesce("f.ao", va.info_number("info", "AO")).alias("ao"), "f.gq", "f.gt", "f.qa", "f.abq", "f.pval",
     )
 
 
+def vcf_folder(spark: SparkSession, folder: str, pipeline: str = "") -> list[str]:
+    """The files of a folder of calls: samples/*/var.flt.vcf for cfsan, *.vcf, and of each *_snippy folder the first of
+    snps.vcf, snps.filt.vcf, <folder>.vcf and any other that is neither raw, subs nor filt.  Only names are read."""
+    from pyspark.sql import Window
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.vcf").option("recursiveFileLookup", "true").load(folder).select("path")
+    base = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("parent"), F.regexp_replace("path", "/[^/]*$", "").alias("place"))
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    inside = base.withColumn("below", F.substring_index(F.concat(F.lit("/"), F.regexp_replace("path", "^[a-z0-9]+:/*", "")), f"/{root}/", -1)).withColumn("depth", F.size(F.split("below", "/")))
+    snippy = (F.col("depth") == 2) & F.endswith("parent", F.lit("_snippy"))
+    rest = ~F.col("name").rlike(r"\.(raw|subs|filt)\.vcf$")
+    rank = F.when(F.col("name") == "snps.vcf", 0).when(F.col("name") == "snps.filt.vcf", 1).when(F.col("name") == F.concat("parent", F.lit(".vcf")), 2).when(rest, 3)
+    first = inside.where(snippy).withColumn("rank", rank).where("rank IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("place").orderBy("rank", "name"))).where("r = 1")
+    flat = inside.where("depth = 1")
+    if pipeline == "cfsan":
+        flat = flat.unionByName(inside.where("depth = 3 AND startswith(below, 'samples/') AND name = 'var.flt.vcf'"))
+    return [r[0] for r in flat.select("path").unionByName(first.select("path")).orderBy("path").collect()]
+
+
+def viewer_snps(spark: SparkSession, path, style: str) -> DataFrame:
+    """(file, pos 1-based, ref, alt, qual, depth) as the report pages read calls.  ``snippy``: INFO with TYPE=ins or TYPE=del
+    drops out, the shorter of both alleles is walked, depth is DP.  ``cfsan``: ten columns, equal lengths, depth is ADP and
+    stands for the quality.  An unreadable position is 0."""
+    if style not in ("snippy", "cfsan"):
+        raise ValueError("style is snippy or cfsan")
+    v = vcf_rows(spark, path)
+    if style == "snippy":
+        v = v.where("NOT contains(info, 'TYPE=ins') AND NOT contains(info, 'TYPE=del')")
+    else:
+        v = v.where("call IS NOT NULL AND length(ref) = length(alt)")
+    depth = F.coalesce(F.filter(F.split("info", ";"), lambda x: F.startswith(x, F.lit("DP=" if style == "snippy" else "ADP=")))[0].substr(F.lit(4 if style == "snippy" else 5), F.length("info")).try_cast("long"), F.lit(0).cast("long"))
+    v = v.withColumn("depth", depth).withColumn("p", F.coalesce(F.col("pos_text").try_cast("long"), F.lit(0)))
+    v = v.withColumn("qual", va.quality("qual_text") if style == "snippy" else F.col("depth").cast("double"))
+    v = v.withColumn("n_both", F.least(F.length("ref"), F.length("alt"))).withColumn("r", F.expr("substr(ref, 1, n_both)")).withColumn("a", F.expr("substr(alt, 1, n_both)")).where("n_both > 0")
+    return v.select("file", F.explode(va.decompose("p", "r", "a")).alias("x"), "qual", "depth").select("file", "x.pos", "x.ref", "x.alt", "qual", "depth")
+
+
 def sample_name(file: Column) -> Column:
     """The parent folder of var.flt.vcf and consensus.vcf, else the file name without its known endings."""
     base = F.element_at(F.split(file, "/"), -1)

@@ -1,6 +1,6 @@
 import pytest
 
-from gapweave.plans import queries, text_queries
+from gapweave.plans import queries, reader_queries, text_queries
 from tests.oracle import DATA, connect, same
 
 
@@ -17,3 +17,8 @@ def test_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(text_queries.QUERIES))
 def test_text_against_sql(spark, con, name):
     same(text_queries.QUERIES[name](spark, DATA), con, text_queries.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(reader_queries.QUERIES))
+def test_reader_against_sql(spark, con, name):
+    same(reader_queries.QUERIES[name](spark, DATA), con, reader_queries.ORACLES[name])
