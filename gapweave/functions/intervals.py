@@ -92,12 +92,12 @@ def complement(iv: DataFrame, keys: list[str], length_col: DataFrame) -> DataFra
     return every.select(*keys, F.col("end").alias("a"), F.lead("start").over(w).alias("b")).where("b > a").select(*keys, F.col("a").alias("start"), F.col("b").alias("end"))
 
 
-def sweep(iv: DataFrame, keys: list[str], width: int = SWEEP_BIN) -> DataFrame:
-    """(keys, start, end, k): segments covered by k intervals, k > 0, cut at bin borders.
+def sweep(iv: DataFrame, keys: list[str], width: int = SWEEP_BIN, weight: str = "1L") -> DataFrame:
+    """(keys, start, end, k): segments covered by k intervals, k > 0, cut at bin borders; with a ``weight`` k sums it.
 
     Merge the intervals of a sample first, and k counts samples."""
-    b = binned(iv.select(*keys, "start", "end"), width, clip=True)
-    events = b.select(*keys, "bin", F.explode(F.expr("array(struct(start AS pos, 1L AS d), struct(end AS pos, -1L AS d))")).alias("e"))
+    b = binned(iv.select(*keys, "start", "end", F.expr(weight).alias("w")), width, clip=True)
+    events = b.select(*keys, "bin", F.explode(F.expr("array(struct(start AS pos, w AS d), struct(end AS pos, -w AS d))")).alias("e"))
     steps = events.groupBy(*keys, "bin", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
     w = Window.partitionBy(*keys, "bin").orderBy("pos")
     seg = steps.select(*keys, F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("k"))

@@ -119,12 +119,10 @@ def compare_filtered(gaps: DataFrame, filtered: DataFrame) -> DataFrame:
 def one_sided_regions(gaps: DataFrame, filtered: DataFrame, max_gap: int = 10) -> DataFrame:
     """(sample, side, start, end) of bases that only the gaps (gap_only) or only the caller (filtered_only) leaves out, regions
     at most ``max_gap`` apart joined; samples without one kind of input drop out."""
-    g, f = iv.merge(gaps, ["sample"]), iv.merge(filtered, ["sample"])
-    both = g.select("sample").intersect(f.select("sample"))
-    alone = iv.sweep(g.unionByName(f), ["sample"]).where("k = 1").join(both, "sample", "left_semi")
-    side = iv.locate(alone.withColumn("pos", F.col("start")), g, ["sample"], [])
-    side = side.select("sample", F.when(F.col("inside"), "gap_only").otherwise("filtered_only").alias("side"), "start", "end")
-    return iv.merge(side, ["sample", "side"], max_gap)
+    both = gaps.select("sample").distinct().join(filtered.select("sample").distinct(), "sample")
+    tagged = iv.merge(gaps, ["sample"]).withColumn("side", F.lit(1).cast("long")).unionByName(iv.merge(filtered, ["sample"]).withColumn("side", F.lit(2).cast("long")))
+    alone = iv.sweep(tagged, ["sample"], weight="side").where("k < 3").join(both, "sample", "left_semi")
+    return iv.merge(alone.select("sample", F.when(F.col("k") == 1, "gap_only").otherwise("filtered_only").alias("side"), "start", "end"), ["sample", "side"], max_gap)
 
 
 def filtered_summary(samples: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def concordance(calls: DataFrame, n_samples: int) -> DataFrame:
     g = g.agg(F.count_distinct("sample").alias("m"), F.count_distinct(F.when(F.col("a_alt") == F.col("b_alt"), F.col("sample"))).alias("same"))
     ids = calls.select("pipeline").distinct()
     grid = ids.select(F.col("pipeline").alias("a")).crossJoin(F.broadcast(ids.select(F.col("pipeline").alias("b")))).where("a < b")
-    agg = g.groupBy("a", "b").agg(F.count(F.lit(1)).alias("concordance_any"), F.count_if(F.col("m") == n_samples).alias("concordance_all"), F.count_if("same > 0").alias("consensus_any"), F.count_if(F.col("same") == n_samples).alias("consensus_all"))
+    agg = g.groupBy("a", "b").agg(F.count(F.lit(1)).alias("concordance_any"), F.count_if(F.col("m") == n_samples).alias("concordance_all"), F.count_if(F.col("same") > 0).alias("consensus_any"), F.count_if(F.col("same") == n_samples).alias("consensus_all"))
     return grid.join(agg, ["a", "b"], "left").select("a", "b", *map(_n, ("concordance_any", "concordance_all", "consensus_any", "consensus_all")))
 
 

@@ -12,11 +12,12 @@ from gapweave.sources import sinks
 
 class Quality:
     """Answers over gaps (sample, start, end), contigs (sample, contig, length) and alignments (sample, identity,
-    sample_coverage, reference_coverage), one row a sample, of assemblies or of ``alignments.reads_as_alignments``."""
+    sample_coverage, reference_coverage), one row a sample, of assemblies or of ``alignments.reads_as_alignments``.  ``samples`` may name more
+    samples than are aligned: those take part in pairs and impact but have no score."""
 
-    def __init__(self, gaps: DataFrame, contigs: DataFrame, aligned: DataFrame, ref_name: str, ref_len: int, min_identity: float = 0.95):
+    def __init__(self, gaps: DataFrame, contigs: DataFrame, aligned: DataFrame, ref_name: str, ref_len: int, min_identity: float = 0.95, samples: DataFrame | None = None):
         self.ref_name, self.ref_len, self.aligned = ref_name, ref_len, aligned
-        self.samples = aligned.select("sample").distinct()
+        self.samples = aligned.select("sample").distinct() if samples is None else samples
         self.gaps = iv.merge(gaps, ["sample"])
         self.pairs = qc.pairwise_gaps(self.gaps, self.samples, [], ref_len)
         self.pair_metrics = qc.pair_metrics(self.pairs, self.samples, [])
@@ -39,7 +40,7 @@ class Quality:
         return viewer.warnings(self.scored, self.outliers(), qc.dataset_quality(self.pairs, []))
 
     def lines(self) -> DataFrame:
-        return sinks.quality_report(self.scored, self.pairs, self.reference())
+        return sinks.quality_report(self.scored, self.pairs, self.reference(), self.samples)
 
     def report(self) -> DataFrame:
         """One row: summary, reference, samples, pairs, impact, outliers and warnings as arrays of structs."""

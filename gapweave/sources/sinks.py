@@ -65,15 +65,15 @@ def quality_tsv(scored: DataFrame) -> DataFrame:
     return scored.select(F.concat_ws("\t", "sample", four("score"), "recommendation", four("ref_identity"), four("ref_coverage"), four("avg_quality"), F.array_join("flags", ",")).alias("value"))
 
 
-def quality_report(scored: DataFrame, pairs: DataFrame, reference: DataFrame) -> DataFrame:
-    """(part, n, value) the lines of the quality report in order: 1 a row per sample, 2 the matrix of gap quality, 3 the
+def quality_report(scored: DataFrame, pairs: DataFrame, reference: DataFrame, samples: DataFrame) -> DataFrame:
+    """(part, n, value) the lines of the quality report in order: 1 a row per scored sample, 2 the matrix of gap quality of all ``samples``, 3 the
     reference with the averages of alignments.  ``scored`` has n_contigs beside the columns of ``qc.score``, ``reference``
     one row (reference_name, reference_length, avg_identity, avg_sample_coverage, avg_reference_coverage)."""
     four = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
     flags = F.when(F.size("flags") == 0, "-").otherwise(F.array_join("flags", ","))
     cells = ("sample", four("score"), (F.size("flags") > 0).cast("string"), "recommendation", flags, four("ref_coverage"), four("avg_quality"), F.col("total_unique").cast("string"), F.col("n50").cast("string"), F.col("n_contigs").cast("string"))
     rows = scored.select(F.lit(1).alias("part"), F.concat_ws("\t", F.lit("1"), "sample").alias("n"), F.concat_ws("\t", *cells).alias("value"))
-    names = scored.select("sample")
+    names = samples.select("sample")
     both = pairs.select(F.col("a").alias("row"), F.col("b").alias("col"), "quality").unionByName(pairs.select(F.col("b").alias("row"), F.col("a").alias("col"), "quality")).unionByName(names.select(F.col("sample").alias("row"), F.col("sample").alias("col"), F.lit(1.0).alias("quality")))
     sorted_cells = F.transform(F.array_sort(F.collect_list(F.struct("col", four("quality").alias("q")))), lambda x: x["q"])
     matrix_rows = both.groupBy("row").agg(F.array_join(sorted_cells, "\t").alias("cells")).select(F.lit(2).alias("part"), F.concat_ws("\t", F.lit("1"), "row").alias("n"), F.concat_ws("\t", "row", "cells").alias("value"))

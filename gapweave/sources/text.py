@@ -129,7 +129,9 @@ def viewer_snps(spark: SparkSession, path, style: str) -> DataFrame:
         v = v.where("NOT contains(info, 'TYPE=ins') AND NOT contains(info, 'TYPE=del')")
     else:
         v = v.where("call IS NOT NULL AND length(ref) = length(alt)")
-    depth = F.coalesce(F.filter(F.split("info", ";"), lambda x: F.startswith(x, F.lit("DP=" if style == "snippy" else "ADP=")))[0].substr(F.lit(4 if style == "snippy" else 5), F.length("info")).try_cast("long"), F.lit(0).cast("long"))
+    key = "DP=" if style == "snippy" else "ADP="
+    first = F.get(F.filter(F.split("info", ";"), lambda x: F.startswith(x, F.lit(key))), F.lit(0))
+    depth = F.coalesce(first.substr(F.lit(len(key) + 1), F.length("info")).try_cast("long"), F.lit(0).cast("long"))
     v = v.withColumn("depth", depth).withColumn("p", F.coalesce(F.col("pos_text").try_cast("long"), F.lit(0)))
     v = v.withColumn("qual", va.quality("qual_text") if style == "snippy" else F.col("depth").cast("double"))
     v = v.withColumn("n_both", F.least(F.length("ref"), F.length("alt"))).withColumn("r", F.expr("substr(ref, 1, n_both)")).withColumn("a", F.expr("substr(alt, 1, n_both)")).where("n_both > 0")
