@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
 from gapweave.operators import sites, truth
+from gapweave.sources import sinks
 
 
 class Comparison:
     """Answers over calls (pipeline, sample, pos 0-based, alt), gaps (pipeline, sample, start, end) and ref_base.
 
-    ``coord_compat`` tests positions against 1-based gaps unshifted, as finished reports have it."""
+    ``coord_compat`` tests positions against 1-based gaps unshifted, as finished reports have it.  What only the report
+    shows is optional: ``about`` (pipeline and what is known of it, as ``Config.pipeline_rows``), ``distances`` (pipeline, row,
+    col, distance) of the pipelines' own matrices, ``warnings`` (text), and further columns of ``samples`` such as a label."""
 
-    def __init__(self, calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, samples: DataFrame, ref_len: int, truth_id: str | None = None, core: DataFrame | None = None, coord_compat: bool = True):
+    def __init__(self, calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, samples: DataFrame, ref_len: int, truth_id: str | None = None, core: DataFrame | None = None, coord_compat: bool = True, about: DataFrame | None = None, distances: DataFrame | None = None, warnings: DataFrame | None = None):
         self.spark: SparkSession = calls.sparkSession
         self.ref_len, self.samples, self.truth_id, self.core = ref_len, samples, truth_id, core
+        self.given_calls, self.given_gaps = calls, gaps
+        self.distances, self.warnings = distances, warnings
         self.n = samples.count()
         self.calls = sites.snps(calls, ref_base)
         self.gaps = iv.merge(sites.shifted(gaps, coord_compat), ["pipeline", "sample"])
         self.pipelines = calls.select("pipeline").union(gaps.select("pipeline")).distinct()
+        self.about = self.pipelines if about is None else about
         self.sites = sites.site_table(self.calls, self.gaps, self.n)
 
     def kpis(self) -> DataFrame:
@@ -40,15 +46,43 @@ class Comparison:
             return truth.calls_summary(self.sites, self.gaps, self.truth_id, self.samples)
         return truth.core_summary(self.details(), self.core)
 
+    def breakdown(self) -> DataFrame | None:
+        """Why the sites of each pipeline discriminate; nothing without a truth."""
+        return None if self.truth_id is None else sites.breakdown(self.calls, self.sites, self.truth_id, self.n)
+
     def details(self) -> DataFrame:
         is_truth = F.col("pipeline") == self.truth_id
         return truth.core_details(self.sites.where(is_truth), self.gaps.where(is_truth), self.core, self.gaps.where(~is_truth), self.samples)
 
     def report(self) -> DataFrame:
-        """One row: kpis, global_stats and pair_summary as arrays of structs, truth where there is one."""
+        """One row: samples, pipelines, kpis, global_stats, pair_summary, per_sample and pairs as arrays of structs; truth,
+        breakdown, distances and warnings where there are some.  Its size follows the pairs of samples, never calls or gaps."""
         rows = lambda d, name: d.groupBy().agg(F.sort_array(F.collect_list(F.struct(*d.columns))).alias(name))
-        out = rows(self.kpis(), "kpis").crossJoin(rows(self.global_stats(), "global_stats")).crossJoin(rows(sites.pair_summary(self.pairs()), "pair_summary"))
-        t = self.truth_results()
-        if t is not None:
-            out = out.crossJoin(rows(t, "truth"))
+        pairs = self.pairs()
+        parts = {"samples": self.samples, "pipelines": self.about, "global_stats": self.global_stats(), "pair_summary": sites.pair_summary(pairs), "per_sample": sites.per_sample_pairs(pairs), "pairs": pairs}
+        parts |= {"truth": self.truth_results(), "breakdown": self.breakdown(), "distances": self.distances}
+        out = rows(self.kpis(), "kpis")
+        for name, d in parts.items():
+            if d is not None:
+                out = out.crossJoin(rows(d, name))
+        if self.warnings is not None:
+            out = out.crossJoin(self.warnings.groupBy().agg(F.sort_array(F.collect_list("text")).alias("warnings")))
         return out.withColumn("ref_length", F.lit(self.ref_len)).withColumn("schema_version", F.lit("2.0"))
+
+    def data(self) -> DataFrame:
+        """(sample, pipeline, kind, start, end, ref, alt, qual, dp) a row for each call (``snp``) and gap as they were given;
+        calls move to 1-based positions, gaps stay as in their files.  What the calls lack is null."""
+        have = lambda c, kind: (F.col(c) if c in self.given_calls.columns else F.lit(None)).cast(kind).alias(c)
+        own = ("sample", "pipeline")
+        pos = (F.col("pos") + 1).cast("long")
+        snps = self.given_calls.select(*own, F.lit("snp").alias("kind"), pos.alias("start"), (pos + 1).alias("end"), have("ref", "string"), have("alt", "string"), have("qual", "double"), have("dp", "long"))
+        gaps = self.given_gaps.select(*own, F.lit("gap").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+        return snps.unionByName(gaps, allowMissingColumns=True)
+
+    def write(self, path: str, dashboard: bool = False) -> None:
+        """The report as JSON at ``path``, and beside it at ``<path>.data`` a line of JSON for each call and gap, sorted over as
+        many files as there are partitions; a dashboard leaves these out."""
+        sinks.report_json(self.report(), path)
+        if not dashboard:
+            order = ("sample", "pipeline", "kind", "start", "end")
+            self.data().repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(f"{path}.data")

@@ -30,6 +30,18 @@ class Config:
         """(sample, pipeline, path of the calls, path of the alignments)."""
         return sorted((s, p, x.get("vcf"), x.get("bam")) for p, s, x in self.tasks())
 
+    def pipeline_rows(self) -> list[tuple[str, str | None, str | None, bool, bool, bool, bool]]:
+        """(pipeline, label, command, has_vcf, has_bam, reference, from_bam_pileup).  A truth with nothing but alignments
+        has its calls from their pileup, which counts as having calls."""
+        out = []
+        for name, p in sorted(self.pipelines.items()):
+            files = (p.get("samples") or {}).values()
+            vcf, bam = any(x.get("vcf") for x in files), any(x.get("bam") for x in files)
+            truth = bool(p.get("reference") or p.get("ground_truth"))
+            piled = truth and bam and not vcf
+            out.append((name, p.get("label"), p.get("command"), vcf or piled, bam, truth, piled))
+        return out
+
     def tasks(self) -> list[tuple[str, str, dict]]:
         return [(p, s, x) for p, d in sorted(self.pipelines.items()) for s, x in sorted((d.get("samples") or {}).items())]
 

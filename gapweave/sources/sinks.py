@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def report_json(report: DataFrame, path: str, compress: bool | None = None, dashboard: bool = False) -> None:
-    """Writes a report of one row as JSON; a path ending in .gz is compressed; a dashboard leaves ``data`` out."""
-    out = report.drop("data") if dashboard else report
+def report_json(report: DataFrame, path: str, compress: bool | None = None) -> None:
+    """Writes a report of one row as JSON; a path ending in .gz is compressed."""
     zipped = path.endswith(".gz") if compress is None else compress
-    out.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").option("compression", "gzip" if zipped else "none").text(path)
+    report.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").option("compression", "gzip" if zipped else "none").text(path)
 
 
 def report_binary(report: DataFrame, path: str) -> None:

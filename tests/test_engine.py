@@ -222,3 +222,53 @@ def test_merge_over_bin_borders(spark, monkeypatch):
         assert sorted(map(tuple, got.select("k", "start", "end").collect())) == sorted(want)
     assert [tuple(r) for r in iv.merge(spark.createDataFrame([(0, 20), (19, 40), (50, 51)], "start long, end long"), []).orderBy("start").collect()] == [(0, 40), (50, 51)]
     assert iv.merge(spark.createDataFrame([], "k string, start long, end long"), ["k"]).count() == 0
+
+
+def test_report(spark, tmp_path):
+    import json
+
+    from gapweave import schema
+
+    files = {"gt": {"reference": True, "label": "Truth", "samples": {"s1": {"bam": "a.bam"}, "s2": {"bam": "b.bam"}}}, "p": {"command": "run", "samples": {"s1": {"vcf": "a.vcf", "bam": "a2.bam"}, "s3": {"vcf": "c.vcf"}}}}
+    project = config.parse({"reference": "r.fa", "pipelines": files}, check_files=False)
+    assert project.pipeline_rows() == [("gt", "Truth", None, True, True, True, True), ("p", None, "run", True, True, False, False)]
+    assert project.file_paths() == [("s1", "gt", None, "a.bam"), ("s1", "p", "a.vcf", "a2.bam"), ("s2", "gt", None, "b.bam"), ("s3", "p", "c.vcf", None)]
+
+    c, g, ref, _ = micro(spark)
+    c = c.unionByName(c.where("pos != 5").withColumn("pipeline", F.lit("p")))
+    s = frame(spark, [("s1", "One"), ("s2", None), ("s3", None)], "sample string, label string")
+    d = frame(spark, [("p", "s1", "s2", 4), ("p", "s2", "s1", 4)], "pipeline string, row string, col string, distance long")
+    x = Comparison(c, g, ref, s, 10, "gt", about=frame(spark, project.pipeline_rows(), schema.PIPELINE), distances=d, warnings=frame(spark, [("late",), ("early",)], "text string"))
+    out = str(tmp_path / "report.json")
+    x.write(out)
+    r = json.loads("".join(q.read_text() for q in (tmp_path / "report.json").glob("part-*")))
+    assert r["schema_version"] == "2.0" and r["ref_length"] == 10
+    assert r["samples"] == [{"sample": "s1", "label": "One"}, {"sample": "s2"}, {"sample": "s3"}]
+    assert [(p["pipeline"], p["has_vcf"], p["from_bam_pileup"]) for p in r["pipelines"]] == [("gt", True, True), ("p", True, False)]
+    assert r["warnings"] == ["early", "late"]
+    assert [m["distance"] for m in r["distances"]] == [4, 4]
+    assert [(p["a"], p["b"], p["usable_space"], p["disc_snps"]) for p in r["pairs"] if p["pipeline"] == "gt"] == [("s1", "s2", 9, 1), ("s1", "s3", 9, 2), ("s2", "s3", 8, 2)]
+    assert {p["pipeline"]: p["num_pairs"] for p in r["pair_summary"]} == {"gt": 3, "p": 3}
+    assert [p["avg_disc_snps"] for p in r["per_sample"] if p["pipeline"] == "gt"] == [1.5, 1.5, 2.0]
+    assert {p["pipeline"] for p in r["truth"]} == {"p"}
+    assert [(p["pipeline"], p["gap_affected"]) for p in r["breakdown"]] == [("p", 0)]
+    rows = spark.read.json(out + ".data")
+    assert pairs(rows.where("kind = 'gap'"), "sample", "start", "end") == [("s2", 2, 3), ("s3", 6, 7)]
+    assert rows.where("kind = 'snp'").count() == c.count()
+    assert pairs(rows.where("kind = 'snp' AND pipeline = 'p'"), "sample", "start", "alt") == [("s1", 3, "T"), ("s1", 8, "C"), ("s1", 9, "A"), ("s2", 3, "T"), ("s2", 8, "C"), ("s3", 3, "T")]
+    small = str(tmp_path / "small.json")
+    Comparison(c.limit(0), g.limit(0), ref, s, 10).write(small, dashboard=True)
+    assert not (tmp_path / "small.json.data").exists()
+    r = json.loads("".join(q.read_text() for q in (tmp_path / "small.json").glob("part-*")))
+    assert r["kpis"] == [] and r["pairs"] == [] and "truth" not in r
+
+
+def test_vcf_folder(spark, tmp_path):
+    for name in ("a.vcf", "b.txt", "samples/x/var.flt.vcf", "samples/y/other.vcf", "s1_snippy/snps.filt.vcf", "s1_snippy/snps.vcf", "s2_snippy/s2_snippy.vcf", "s2_snippy/z.vcf", "s3_snippy/q.raw.vcf", "s3_snippy/m.vcf", "s4_snippy/q.subs.vcf", "else/e.vcf"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("#CHROM\n")
+    names = lambda found: [x.split(str(tmp_path), 1)[1].lstrip("/") for x in found]
+    plain = ["a.vcf", "s1_snippy/snps.vcf", "s2_snippy/s2_snippy.vcf", "s3_snippy/m.vcf"]
+    assert names(text.vcf_folder(spark, str(tmp_path))) == plain
+    assert names(text.vcf_folder(spark, str(tmp_path), "cfsan")) == sorted([*plain, "samples/x/var.flt.vcf"])
