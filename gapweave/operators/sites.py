@@ -98,19 +98,6 @@ def gapped_samples(sites: DataFrame, gaps: DataFrame) -> DataFrame:
     return sites.join(sets, ["pipeline", "pos"], "left").withColumn("gapped", F.coalesce("gapped", F.array().cast("array<string>")))
 
 
-def differing_pairs(sites: DataFrame, gaps: DataFrame, samples: DataFrame) -> DataFrame:
-    """(pipeline, pos, base, a, b, a_alt, b_alt): sites at which two samples, neither gapped, differ; a null
-    alt stands for the reference base.  Only carriers are paired: two samples without a call never differ."""
-    names = F.array(*[F.lit(r[0]) for r in samples.orderBy("sample").collect()])
-    s = gapped_samples(sites, gaps).select("pipeline", "pos", "base", F.map_from_entries("carriers").alias("m"), F.explode("carriers").alias("c"), F.array_except(names, F.col("gapped")).alias("live"))
-    pairs = s.select("pipeline", "pos", "base", "m", "c.sample", "c.alt", F.explode("live").alias("other")).where("other != sample")
-    pairs = pairs.withColumn("o", F.try_element_at("m", F.col("other"))).where("o IS NULL OR (sample < other AND alt != o)")
-    first = F.col("sample") < F.col("other")
-    return pairs.select(
-        "pipeline", "pos", "base", F.least("sample", "other").alias("a"), F.greatest("sample", "other").alias("b"), F.when(first, F.col("alt")).otherwise(F.col("o")).alias("a_alt"), F.when(first, F.col("o")).otherwise(F.col("alt")).alias("b_alt")
-    )
-
-
 def pair_excess(sites: DataFrame, gaps: DataFrame) -> DataFrame:
     """(pipeline, a, b, excess): by how much the carrier counts of two samples together exceed the sites at which they
     differ.  Two carriers of one alt count twice too often, two of different alts once, a carrier beside a

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
-from gapweave.operators.sites import STRATEGIES, differing_pairs, gapped_samples
+from gapweave.operators.sites import STRATEGIES, gapped_samples
 
 
 def truth_discs(gt_sites: DataFrame) -> DataFrame:
@@ -29,12 +29,16 @@ def _active(everyone: Column) -> Column:
     return F.when(F.col("strategy") == "gap_union", everyone).otherwise(F.array_except(everyone, F.col("gapped")))
 
 
-def core_table(core: DataFrame) -> DataFrame:
+def core_table(core: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """(pipeline, pos, m map<sample, first character>, disc) of a core-allele table: disc if two valid
-    alleles (neither N nor -) differ."""
+    alleles (neither N nor -) differ.  With ``samples`` the map holds those only."""
     valid = ~F.col("allele").isin("N", "-")
+    entry = F.struct("sample", F.substring("allele", 1, 1).alias("a"))
+    if samples is not None:
+        core = core.join(samples.select("sample", F.lit(True).alias("known")), "sample", "left")
+        entry = F.when(F.col("known"), entry)
     return core.groupBy("pipeline", "pos").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample", F.substring("allele", 1, 1).alias("a")))).alias("m"),
+        F.map_from_entries(F.collect_list(entry)).alias("m"),
         (F.count_distinct(F.when(valid, F.col("allele"))) > 1).alias("core_disc"),
     )
 
@@ -87,20 +91,48 @@ def core_summary(details: DataFrame, core: DataFrame) -> DataFrame:
     return size.join(agg, "pipeline")
 
 
-def core_pairs(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, samples: DataFrame) -> DataFrame:
-    """(pipeline, num_pairs, gt_disc_avg, same_pos_avg, concordant_avg): means over all sample pairs."""
-    n = samples.count()
-    pairs = max(1, n * (n - 1) // 2)
-    d = differing_pairs(gt_sites, gt_gaps, samples).select("pos", "base", "a", "b", "a_alt", "b_alt")
-    core_disc = core_table(core).where("core_disc").select("pipeline", "pos", "m")
-    same = lambda s, alt: F.coalesce(alt, F.col("base")) == F.coalesce(F.try_element_at("m", F.col(s)), F.col("base"))
-    hit = d.join(core_disc, "pos").groupBy("pipeline").agg(F.count(F.lit(1)).alias("s"), F.count_if(same("a", F.col("a_alt")) & same("b", F.col("b_alt"))).alias("c"))
-    total = d.agg(F.count(F.lit(1)).alias("d"))
-    out = core.select("pipeline").distinct().join(hit, "pipeline", "left").crossJoin(F.broadcast(total))
-    z = lambda c: F.coalesce(c, F.lit(0)) / pairs
+def _differing(alts, plain) -> Column:
+    """How many pairs differ among the carriers with these alts and ``plain`` samples without a call."""
+    square = lambda c: c.cast("long") * c.cast("long")
+    like = F.aggregate(F.array_distinct(alts), F.lit(0).cast("long"), lambda t, x: t + square(F.size(F.filter(alts, lambda y: y == x))))
+    return ((square(F.size(alts) + plain) - square(plain) - like) / 2).cast("long")
+
+
+def _paired_sites(gt_sites: DataFrame, gt_gaps: DataFrame) -> DataFrame:
+    """(pos, base, carriers, plain, out): ``plain`` is the number of ungapped samples without a call, ``out`` names the
+    carriers and the gapped ones, which are none of them."""
+    s = gapped_samples(gt_sites, gt_gaps)
+    plain = F.col("n") - F.col("k") - F.size("carriers")
+    return s.select("pos", "base", "carriers", plain.alias("plain"), F.array_union(F.transform("carriers", lambda c: c["sample"]), F.col("gapped")).alias("out"))
+
+
+def _alts(condition) -> Column:
+    return F.transform(F.filter("carriers", condition), lambda c: c["alt"])
+
+
+def _means(pipelines: DataFrame, hit: DataFrame, gt_sites: DataFrame, n: int) -> DataFrame:
+    """The means over all pairs from ``hit`` (pipeline, s, c) and the pairs that differ at the sites of the truth."""
+    plain = F.col("n") - F.col("k") - F.size("carriers")
+    total = gt_sites.agg(F.sum(_differing(F.transform("carriers", lambda c: c["alt"]), plain)).alias("d"))
+    out = pipelines.distinct().join(hit, "pipeline", "left").crossJoin(F.broadcast(total))
+    z = lambda c: F.coalesce(c, F.lit(0)) / max(1, n * (n - 1) // 2)
     return out.select("pipeline", F.lit(n * (n - 1) // 2).cast("long").alias("num_pairs"), z("d").alias("gt_disc_avg"), z("s").alias("same_pos_avg"), z("c").alias("concordant_avg"))
 
 
+def core_pairs(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, samples: DataFrame) -> DataFrame:
+    """(pipeline, num_pairs, gt_disc_avg, same_pos_avg, concordant_avg): means over all sample pairs.
+
+    No pair is made: at each site the pairs that differ follow from the numbers of samples with each allele, those that
+    agree with the core as well from the same numbers over the samples that agree."""
+    core_disc = core_table(core, samples).where("core_disc").select("pipeline", "pos", "m")
+    j = _paired_sites(gt_sites, gt_gaps).join(core_disc, "pos")
+    theirs = lambda x: F.coalesce(F.try_element_at("m", x), F.col("base"))
+    off = F.size(F.filter(F.array_except(F.map_keys("m"), F.col("out")), lambda x: theirs(x) != F.col("base")))
+    good = _differing(_alts(lambda c: c["alt"] == theirs(c["sample"])), F.col("plain") - off)
+    hit = j.groupBy("pipeline").agg(F.sum(_differing(_alts(lambda c: F.lit(True)), F.col("plain"))).alias("s"), F.sum(good).alias("c"))
+    return _means(core.select("pipeline"), hit, gt_sites, samples.count())
+
+
 def calls_summary(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame, pl_gaps: bool = True) -> DataFrame:
     """The comparison by calls, for pipelines without core alleles: (pipeline, strategy, pl_total_core_snps,
     pl_disc, gt_disc, same_pos, concordant, pl_snps_in_gt_gaps).
@@ -136,17 +168,21 @@ def calls_summary(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame
 
 def calls_pairs(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame) -> DataFrame:
     """Means over sample pairs for the comparison by calls: (pipeline, num_pairs, gt_disc_avg, same_pos_avg,
-    concordant_avg)."""
-    n = samples.count()
-    pairs = max(1, n * (n - 1) // 2)
-    truth = sites.where(F.col("pipeline") == gt)
-    d = differing_pairs(truth, gaps.where(F.col("pipeline") == gt), samples).select("pos", "base", "a", "b", "a_alt", "b_alt")
-    mine = gapped_samples(sites.where(F.col("pipeline") != gt), gaps.where(F.col("pipeline") != gt)).select("pipeline", "pos", F.map_from_entries("called").alias("m"), "gapped")
-    j = d.join(mine, "pos").withColumn("ma", F.try_element_at("m", F.col("a"))).withColumn("mb", F.try_element_at("m", F.col("b"))).where("ma IS NOT NULL OR mb IS NOT NULL")
-    base = F.col("base")
-    free = ~F.array_contains("gapped", F.col("a")) & ~F.array_contains("gapped", F.col("b"))
-    good = free & (F.coalesce("a_alt", base) == F.coalesce("ma", base)) & (F.coalesce("b_alt", base) == F.coalesce("mb", base))
-    hit = j.groupBy("pipeline").agg(F.count(F.lit(1)).alias("s"), F.count_if(good).alias("c"))
-    out = mine.select("pipeline").distinct().join(hit, "pipeline", "left").crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("d"))))
-    z = lambda c: F.coalesce(c, F.lit(0)) / pairs
-    return out.select("pipeline", F.lit(n * (n - 1) // 2).cast("long").alias("num_pairs"), z("d").alias("gt_disc_avg"), z("s").alias("same_pos_avg"), z("c").alias("concordant_avg"))
+    concordant_avg).
+
+    Counted as in ``core_pairs``; pairs of which the pipeline calls neither sample are taken off."""
+    is_gt = F.col("pipeline") == gt
+    mine = gapped_samples(sites.where(~is_gt), gaps.where(~is_gt)).select("pipeline", "pos", F.map_from_entries("called").alias("m"), F.col("gapped").alias("theirs"))
+    j = _paired_sites(sites.where(is_gt), gaps.where(is_gt)).join(mine, "pos")
+    called = lambda x: F.map_contains_key("m", x)
+    free = lambda x: ~F.array_contains("theirs", x)
+    agrees = lambda alt, x: alt == F.coalesce(F.try_element_at("m", x), F.col("base"))
+    plain, base = F.col("plain"), F.col("base")
+    named = F.array_except(F.map_keys("m"), F.col("out"))
+    bound = F.array_except(F.array_union(F.map_keys("m"), F.col("theirs")), F.col("out"))
+    off = F.size(F.filter(bound, lambda x: ~free(x) | ~agrees(base, x)))
+    same = _differing(_alts(lambda c: F.lit(True)), plain) - _differing(_alts(lambda c: ~called(c["sample"])), plain - F.size(named))
+    good = lambda c: free(c["sample"]) & agrees(c["alt"], c["sample"])
+    both = _differing(_alts(good), plain - off) - _differing(_alts(lambda c: good(c) & ~called(c["sample"])), plain - F.size(bound))
+    hit = j.groupBy("pipeline").agg(F.sum(same).alias("s"), F.sum(both).alias("c"))
+    return _means(sites.where(~is_gt).select("pipeline"), hit, sites.where(is_gt), samples.count())
