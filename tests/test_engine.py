@@ -8,6 +8,7 @@ from gapweave.functions import variants as va
 from gapweave.operators import alignments, callsets, distances, qc, sites, truth
 from gapweave.plans import convert
 from gapweave.plans.compare import Comparison
+from gapweave.plans.quality import Quality
 from gapweave.sources import config, sinks, text
 
 
@@ -272,3 +273,27 @@ def test_vcf_folder(spark, tmp_path):
     plain = ["a.vcf", "s1_snippy/snps.vcf", "s2_snippy/s2_snippy.vcf", "s3_snippy/m.vcf"]
     assert names(text.vcf_folder(spark, str(tmp_path))) == plain
     assert names(text.vcf_folder(spark, str(tmp_path), "cfsan")) == sorted([*plain, "samples/x/var.flt.vcf"])
+
+
+def test_quality_report(spark, tmp_path):
+    import json
+
+    gaps = frame(spark, [("s1", 0, 10), ("s2", 5, 15)], GAP)
+    contigs = frame(spark, [("s1", "c1", 60), ("s1", "c2", 40), ("s2", "c1", 90)], "sample string, contig string, length long")
+    aligned = frame(spark, [("s1", 0.99, 0.98, 0.9), ("s2", 0.97, 0.96, 0.8)], "sample string, identity double, sample_coverage double, reference_coverage double")
+    q = Quality(gaps, contigs, aligned, "ref", 100, samples=frame(spark, [("s1",), ("s2",), ("s3",)], "sample string"))
+    out, lines = tmp_path / "q.json", tmp_path / "q.tsv"
+    q.write(str(out))
+    r = json.loads("".join(p.read_text() for p in out.glob("part-*")))
+    assert r["summary"][0]["total"] == 2 and r["summary"][0]["min_coverage"] == 0.8
+    assert (r["reference"][0]["reference_name"], r["reference"][0]["reference_length"], r["reference"][0]["avg_identity"]) == ("ref", 100, pytest.approx(0.98))
+    assert [(s["sample"], s["n50"], s["n_contigs"]) for s in r["samples"]] == [("s1", 60, 2), ("s2", 90, 1)]
+    assert [(p["a"], p["b"]) for p in r["pairs"]] == [("s1", "s2"), ("s1", "s3"), ("s2", "s3")]
+    assert r["pairs"][0]["quality"] == pytest.approx(1 / 3)
+    assert {p["sample"] for p in r["impact"]} == {"s1", "s2", "s3"}
+    q.write(str(lines))
+    (part,) = lines.glob("part-*")
+    rows = part.read_text().splitlines()
+    assert rows[0].startswith("sample\tscore\tflagged") and [x.split("\t")[0] for x in rows[1:3]] == ["s1", "s2"]
+    assert rows[3:6] == ["", "# Gap Quality Matrix (intersection/union)", "sample\ts1\ts2\ts3"] and rows[6].startswith("s1\t1.0000\t0.3333\t")
+    assert rows[9:13] == ["", "# Reference Summary", "reference_name\tref", "reference_length\t100"]
