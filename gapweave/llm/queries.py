@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gapweave.llm import ann, bpe, chat, decontaminate, html, langid, neardup, pii, secrets, toxicity
+from gapweave.llm import ann, bpe, chat, decontaminate, html, langid, neardup, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 ORACLE_SQL = {
