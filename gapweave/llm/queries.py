@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gapweave.llm import ann, bpe, chat, decontaminate, html, langid, neardup, pii, secrets, simhash, toxicity
+from gapweave.llm import ann, bpe, chat, codes, decontaminate, html, langid, neardup, negatives, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_chat_format": chat.op10_chat_format,
     "op11_simhash": simhash.op11_simhash,
+    "op12_product_codes": codes.op12_product_codes,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op9_secret_scan": secrets.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op12_product_codes": codes.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }

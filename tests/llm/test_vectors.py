@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapweave.llm import simhash
+from gapweave.llm import codes, negatives, simhash
 from gapweave.llm.common import table
 from tests.oracle import DATA
 
@@ -94,3 +95,96 @@ def test_simhash_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "10", "12", "3", "9", "None"])
     assert simhash.groups(docs.limit(0)).count() == 0
+
+
+def plain_codes(rows, parts=8, entries=16, rounds=6):
+    """{row number: (codes, error)} and the codebooks of integer vectors in the order of their ids."""
+    width = len(rows[0]) // parts
+    cut = [[tuple(v[p * width : (p + 1) * width]) for v in rows] for p in range(parts)]
+    books = [list(c[:entries]) for c in cut]
+
+    def assign():
+        best = [[min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), i) for i, e in enumerate(book)) for x in c] for c, book in zip(cut, books, strict=True)]
+        return best
+
+    for _ in range(rounds):
+        found = assign()
+        for p in range(parts):
+            for i in range(len(books[p])):
+                mine = [x for x, (_, j) in zip(cut[p], found[p], strict=True) if j == i]
+                if mine:
+                    books[p][i] = tuple(sum(c) // len(mine) for c in zip(*mine, strict=True))
+    found = assign()
+    return [("".join(f"{found[p][n][1]:02x}" for p in range(parts)), sum(found[p][n][0] for p in range(parts))) for n in range(len(rows))], books
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, codes string, v int"
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e12])
+def test_product_codes(spark, scale):
+    rng = random.Random(12)
+    odd = [(None, [0.25] * 16, 1, "x", 0), (3, None, 1, "x", 0), (4, [float("nan")] + [0.0] * 15, 1, "x", 0), (5, [None] + [0.0] * 15, 1, "x", 0), (6, [float("inf")] + [0.0] * 15, 1, "x", 0)]
+    some = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.gauss(0, 1)]) for _ in range(16)], rng.choice([None, 1, 2]), "x", 0) for i in range(10, 130)]
+    if scale < 1e12:
+        some += [(i + 200, [scale * rng.gauss(0, 1) for _ in range(16)], 3, "x", 0) for i in range(30)]
+    some += some[:7]
+    kept = sorted(some, key=lambda r: (r[0], r[1])) + odd[:1]
+    vectors = spark.createDataFrame(odd + some, VECTORS).repartition(5)
+    if scale == 1e12:  # rows too far for 64-bit squares but for their own entries
+        kept = [(i, [scale * (i + 1)] * 16, 1, "x", 0) for i in range(5)]
+        vectors = spark.createDataFrame(kept, VECTORS)
+    ints = [[int((4096 * x) // 1) for x in r[1]] for r in kept]
+    want, books = plain_codes(ints)
+    coded, got_books = codes.compress(vectors, keep=("vec_id", "label"))
+    got = [(r.vec_id, bytes(r.codes).hex(), r.error) for r in coded.collect()]
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted(got, key=key) == sorted(((r[0], *w) for r, w in zip(kept, want, strict=True)), key=key)
+    assert codes.digest(got_books) == codes.digest([np.array(b, object) for b in books])
+    near = {r.vec_id: r.embedding for r in codes.restore(coded, got_books).collect()}
+    i, code = next((r[0], w[0]) for r, w in zip(kept, want, strict=True))
+    assert near[i] == pytest.approx([x / 4096 for p in range(8) for x in books[p][int(code[2 * p : 2 * p + 2], 16)]])
+
+
+def test_product_codes_edges(spark):
+    none = spark.createDataFrame([], VECTORS)
+    assert codes.compress(none)[0].count() == 0
+    one = spark.createDataFrame([(1, [0.5] * 8, None, "x", 0)], VECTORS)
+    assert [(r.vec_id, bytes(r.codes), r.error) for r in codes.compress(one)[0].collect()] == [(1, bytes(8), 0)]
+    for sizes in ((8, 16), (12, 12)):
+        with pytest.raises(ValueError, match="equal parts"):
+            codes.compress(spark.createDataFrame([(i, [0.5] * n, 1, "x", 0) for i, n in enumerate(sizes)], VECTORS))
+
+
+def plain_negatives(rows, anchor, n_pos=5, n_neg=3):
+    out = []
+    ints = {i: ([int((256 * x) // 1) for x in v], label) for i, v, label in rows}
+    for i, (a, label) in ints.items():
+        if not anchor(i):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a, c, strict=True)), j) for j, (c, _) in ints.items() if j != i and len(c) == len(a))
+        positives = [(j, -s) for s, j in scored if ints[j][1] == label][:n_pos]
+        for p, sp in positives:
+            fits = [(j, -s) for s, j in scored if ints[j][1] != label and 50 * sp <= -100 * s <= 95 * sp]
+            out += [(i, p, r, j, sp, s) for r, (j, s) in enumerate(fits[:n_neg], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("scale", "size"), [(1, 16), (1, 1), (1000, 16), (1e6, 5)])
+def test_hard_negatives(spark, monkeypatch, scale, size):
+    """Also with ties, small blocks and scores beyond the whole numbers of a double."""
+    monkeypatch.setattr(negatives, "BLOCK", 64)
+    rng = random.Random(13)
+    rows = [(i, [scale * rng.choice([rng.gauss(0, 1), 0.5, -0.25]) for _ in range(size)], rng.randrange(4)) for i in range(300)]
+    rows += [(i, rows[17][1], rng.randrange(4)) for i in range(300, 400)]
+    odd = [(None, [1.0] * size, 1), (900, None, 1), (902, [float("nan")] * size, 1), (904, [None] * size, 2), (906, [1.0] * size, None), (908, [1.0] * (size + 1), 1), (910, [1.0] * (size + 1), 1), (912, [0.7] * (size + 1), 2)]
+    df = spark.createDataFrame([(i, v, label, "x", 0) for i, v, label in rows + odd + rows[:9]], VECTORS)
+    got = sorted(tuple(r) for r in negatives.mine(df, "vec_id % 2 = 0").collect())
+    assert got == plain_negatives(rows + odd[5:], lambda i: i % 2 == 0)
+    assert got
+
+
+def test_hard_negatives_empty(spark):
+    df = spark.createDataFrame([(2, [1.0], 1, "x", 0)], VECTORS)
+    assert negatives.mine(df, "vec_id % 2 = 0").count() == 0
+    assert negatives.mine(df.limit(0), "vec_id % 2 = 0").count() == 0
