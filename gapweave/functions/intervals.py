@@ -27,9 +27,14 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return length(F.greatest(a_start, b_start), F.least(a_end, b_end))
 
 
+def _bin(pos: str, width: int) -> Column:
+    """The bin of a position; negative ones have bins of their own."""
+    return F.expr(f"({pos} - pmod({pos}, {width})) div {width}")
+
+
 def binned(iv: DataFrame, width: int, clip: bool = False) -> DataFrame:
     """A row per bin that an interval touches; ``clip`` cuts it to the bin."""
-    out = nonempty(iv).withColumn("bin", F.explode(F.expr(f"sequence(start div {width}, (end - 1) div {width})")))
+    out = nonempty(iv).withColumn("bin", F.explode(F.sequence(_bin("start", width), _bin("(end - 1)", width))))
     if clip:
         out = out.withColumn("start", F.greatest("start", F.col("bin") * width)).withColumn("end", F.least("end", (F.col("bin") + 1) * width))
     return out
@@ -46,30 +51,21 @@ def _islands(iv: DataFrame, keys: list[str], reach: int, order: list[str]) -> Da
 MERGE_BIN = 1 << 20
 
 
+def _stitched(pieces: DataFrame, keys: list[str], reach: int, width: int) -> DataFrame:
+    """Joins disjoint pieces (keys, bin, start, end), cut at the borders of bins wider than ``reach``, across these
+    borders.  Only pieces within reach of a border, two for each bin, meet in a task for their key."""
+    border = (F.col("start") - reach <= F.col("bin") * width) | (F.col("end") + reach >= (F.col("bin") + 1) * width)
+    over = _islands(pieces.where(border), keys, reach, ["start"]).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return pieces.where(~border).select(*keys, "start", "end").unionByName(over.select(*keys, "start", "end"))
+
+
 def merge(iv: DataFrame, keys: list[str], reach: int = 0) -> DataFrame:
-    """Joins intervals that overlap or touch, or are at most ``reach`` apart.
-
-    Intervals are joined within bins of MERGE_BIN positions first, so a task holds a bin and never a whole sequence.
-    A row for each bin then tells how far the bins before it reach; what continues over a border, at most two
-    rows a bin, is joined at the end."""
-    binned = nonempty(iv).select(*keys, "start", "end", F.floor(F.col("start") / MERGE_BIN).alias("_bin"))
-    own = _islands(binned, [*keys, "_bin"], reach, ["start", "end"]).groupBy(*keys, "_bin", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
-    by_bin = Window.partitionBy(*keys).orderBy("_bin")
-    bins = own.groupBy(*keys, "_bin").agg(F.min("start").alias("_s"), F.max("end").alias("_e"))
-    bins = bins.withColumn("_before", F.max("_e").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)))
-    bins = bins.withColumn("_next", F.coalesce(F.lead(F.col("_s") <= F.col("_before") + reach).over(by_bin), F.lit(False)))
-    # The row of a bin comes first in it and stands for all before.
-    heads = bins.select(*keys, "_bin", F.lit(0).alias("_p"), F.lit(None).cast("long").alias("start"), F.col("_before").alias("end"), "_next")
-    rows = heads.unionByName(own.withColumn("_p", F.lit(1)).withColumn("_next", F.lit(None).cast("boolean")))
-    w = Window.partitionBy(*keys, "_bin").orderBy("_p", "start", "end")
-    rows = rows.withColumn("_reached", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_new", ((F.col("_p") == 1) & F.coalesce(F.col("start") > F.col("_reached") + reach, F.lit(True))).cast("long"))
-    rows = rows.withColumn("_id", F.sum("_new").over(w)).withColumn("_last", F.sum("_new").over(Window.partitionBy(*keys, "_bin"))).withColumn("_next", F.first("_next").over(w))
-    part = rows.where("_p = 1").groupBy(*keys, "_bin", "_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("_last").alias("_last"), F.first("_next").alias("_next"))
-    border = (F.col("_id") == 0) | ((F.col("_id") == F.col("_last")) & F.col("_next"))
-    chain = F.sum((F.col("_id") != 0).cast("long")).over(Window.partitionBy(*keys).orderBy("_bin", "_id"))
-    over = part.where(border).withColumn("_chain", chain).groupBy(*keys, "_chain").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return part.where(~border).select(*keys, "start", "end").unionByName(over.select(*keys, "start", "end"))
+    """Joins intervals that overlap or touch, or are at most ``reach`` apart: within bins first, so a task holds a bin
+    and never a whole sequence, then across the borders of bins."""
+    width = max(MERGE_BIN, 2 * reach)
+    pieces = _islands(binned(iv.select(*keys, "start", "end"), width, clip=True), [*keys, "bin"], reach, ["start", "end"])
+    pieces = pieces.groupBy(*keys, "bin", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return _stitched(pieces, keys, reach, width)
 
 
 def regions(points: DataFrame, keys: list[str], max_gap: int = 0) -> DataFrame:
@@ -83,13 +79,22 @@ def depth_gaps(depth: DataFrame, keys: list[str], min_depth: int) -> DataFrame:
 
 
 def complement(iv: DataFrame, keys: list[str], length_col: DataFrame) -> DataFrame:
-    """What the intervals leave of [0, length); ``length_col`` has (keys, length).  No interval leaves all."""
-    merged = merge(iv, keys)
-    ends = length_col.select(*keys, F.col("length").alias("start"), F.col("length").alias("end"))
-    zero = length_col.select(*keys, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    every = merged.unionByName(ends).unionByName(zero)
-    return every.select(*keys, F.col("end").alias("a"), F.lead("start").over(w).alias("b")).where("b > a").select(*keys, F.col("a").alias("start"), F.col("b").alias("end"))
+    """What the intervals leave of [0, length); ``length_col`` has (keys, length).  No interval leaves all.
+
+    The next interval is looked up within its bin; a row for each bin carries the last end on to the next bin that has an
+    interval."""
+    merged = merge(iv, keys).withColumn("bin", _bin("start", MERGE_BIN))
+    inside = merged.select(*keys, F.col("end").alias("a"), F.lead("start").over(Window.partitionBy(*keys, "bin").orderBy("start")).alias("b")).where("b IS NOT NULL")
+    bins = merged.groupBy(*keys, "bin").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    w = Window.partitionBy(*keys).orderBy("bin")
+    steps = bins.withColumn("_next", F.lead("first").over(w)).withColumn("_head", F.lag("bin").over(w).isNull())
+    on = length_col.select(*keys, F.col("length").cast("long").alias("length"))
+    head = F.when(F.coalesce("_head", F.lit(True)), F.struct(F.lit(0).cast("long").alias("a"), F.coalesce("first", "length").alias("b")))
+    tail = F.when(F.col("last").isNotNull(), F.struct(F.col("last").alias("a"), F.coalesce("_next", "length").alias("b")))
+    same = keys or F.lit(True)  # without keys there is one length
+    between = on.join(steps, same, "left").select(*keys, "length", F.inline(F.array_compact(F.array(head, tail))))
+    rest = on.join(inside, same).select(*keys, "length", "a", "b").unionByName(between)
+    return rest.select(*keys, F.greatest("a", F.lit(0)).cast("long").alias("start"), F.least("b", "length").alias("end")).where("end > start")
 
 
 def sweep(iv: DataFrame, keys: list[str], width: int = SWEEP_BIN, weight: str = "1L") -> DataFrame:
@@ -104,12 +109,32 @@ def sweep(iv: DataFrame, keys: list[str], width: int = SWEEP_BIN, weight: str =
     return seg.where("k > 0 AND end > start")
 
 
+def level_runs(segments: DataFrame, keys: list[str], levels: list[int], width: int = SWEEP_BIN) -> DataFrame:
+    """(keys, level, start, end): for each level, the maximal runs of ``segments`` (keys, start, end, k; as from ``sweep``) with k
+    at least that level.
+
+    The runs of a higher level lie in those of a lower one, so all come from one pass: a segment begins the runs of the
+    levels above the k of the segment that it touches, and ends those above the k of the next."""
+    seg = segments.withColumn("bin", _bin("start", width))
+    w = Window.partitionBy(*keys, "bin").orderBy("start")
+    before = F.when(F.lag("end").over(w) == F.col("start"), F.lag("k").over(w)).otherwise(0)
+    after = F.when(F.lead("start").over(w) == F.col("end"), F.lead("k").over(w)).otherwise(0)
+    seg = seg.withColumn("_before", before).withColumn("_after", after)
+    all_levels = F.array(*[F.lit(x).cast("long") for x in sorted(set(levels))])
+    edges = lambda least, pos: F.transform(F.filter(all_levels, lambda x: (x > F.col(least)) & (x <= F.col("k"))), lambda x: F.struct(x.alias("level"), F.col(pos).alias("pos")))
+    at = seg.select(*keys, "bin", F.inline(F.concat(edges("_before", "start"), edges("_after", "end"))))
+    # Within a bin and level, beginnings and ends take turns.
+    turn = Window.partitionBy(*keys, "bin", "level").orderBy("pos")
+    runs = at.select(*keys, "bin", "level", F.col("pos").alias("start"), F.lead("pos").over(turn).alias("end"), F.row_number().over(turn).alias("_r")).where("_r % 2 = 1")
+    return _stitched(runs.drop("_r"), [*keys, "level"], 0, width)
+
+
 def locate(points: DataFrame, iv: DataFrame, keys: list[str], columns: list[str], width: int = JOIN_BIN, inclusive: bool = False) -> DataFrame:
     """Left join of points to the intervals that contain them: ``columns`` of the interval or nulls.
     ``inclusive`` counts the end as inside.  Disjoint intervals give a row per point."""
     right = iv.withColumn("end", F.col("end") + 1) if inclusive else iv
     right = binned(right, width).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("bin").alias("_bin"), F.col("start").alias("_s"), F.col("end").alias("_e"), *[F.col(c).alias(f"_v_{c}") for c in columns])
-    on = (F.expr(f"pos div {width}") == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e"))
+    on = (_bin("pos", width) == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     out = points.join(right, on, "left")
@@ -133,7 +158,7 @@ def overlapping(left: DataFrame, right: DataFrame, columns: list[str], width: in
     rb = binned(right, width).select(F.col("bin").alias("_bin"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), *columns)
     on = (F.col("bin") == F.col("_bin")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     # A pair meets in every bin both touch; it counts in the first of them.
-    first = F.expr(f"greatest(start, r_start) div {width}") == F.col("bin")
+    first = _bin("greatest(start, r_start)", width) == F.col("bin")
     return lb.join(rb, on & first).drop("bin", "_bin")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +58,46 @@ def dataset_quality(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def thresholds(gaps: DataFrame, keys: DataFrame, names: list[str], n: int, ref_len: int, percents=(100.0, 95.0, 90.0, 80.0, 70.0, 50.0, 25.0)) -> DataFrame:
+#: Shares of samples, in percent, for which a core is reported.
+PERCENTS = (100.0, 95.0, 90.0, 80.0, 70.0, 50.0, 25.0)
+
+
+def least_samples(percent: float, n: int) -> int:
+    """The number of samples that a share of n needs, one at least."""
+    return max(math.ceil(percent / 100 * n), 1)
+
+
+def _grid(keys: DataFrame, n: int, percents) -> DataFrame:
+    """The keys with each (threshold, min_samples)."""
+    t = keys.sparkSession.createDataFrame([(p, least_samples(p, n)) for p in percents], "threshold double, min_samples long")
+    return keys.crossJoin(F.broadcast(t))
+
+
+def thresholds(gaps: DataFrame, keys: DataFrame, names: list[str], n: int, ref_len: int, percents=PERCENTS) -> DataFrame:
     """(keys, threshold, min_samples, core_size, empty_size): positions covered by enough samples."""
     cover = iv.sweep(gaps, names).groupBy(*names, "k").agg(F.sum(F.col("end") - F.col("start")).alias("m"))
-    spark = gaps.sparkSession
-    t = spark.createDataFrame([(p,) for p in percents], "threshold double").withColumn("min_samples", F.greatest(F.ceil(F.col("threshold") / 100 * n), F.lit(1)).cast("long"))
-    grid = keys.crossJoin(F.broadcast(t))
-    empty = grid.join(cover, names, "left").groupBy(*names, "threshold", "min_samples").agg(F.coalesce(F.sum(F.when(F.lit(n) - F.col("k") < F.col("min_samples"), F.col("m"))), F.lit(0)).alias("e"))
+    empty = _grid(keys, n, percents).join(cover, names, "left").groupBy(*names, "threshold", "min_samples").agg(F.coalesce(F.sum(F.when(F.lit(n) - F.col("k") < F.col("min_samples"), F.col("m"))), F.lit(0)).alias("e"))
     return empty.select(*names, "threshold", "min_samples", (F.lit(ref_len) - F.col("e")).cast("long").alias("core_size"), F.col("e").cast("long").alias("empty_size"))
 
 
+def empty_regions(gaps: DataFrame, keys: DataFrame, names: list[str], n: int, percents=PERCENTS) -> DataFrame:
+    """(keys, threshold, min_samples, start, end): for each threshold the maximal runs that too few samples cover, all from
+    one sweep of the merged gaps.  A run for more samples is part of one for fewer, and thresholds that need the same number
+    of samples have the same runs."""
+    runs = iv.level_runs(iv.sweep(gaps, names), names, [n - least_samples(p, n) + 1 for p in percents])
+    grid = _grid(keys, n, percents).withColumn("level", F.lit(n) - F.col("min_samples") + 1)
+    return grid.join(runs, [*names, "level"]).select(*names, "threshold", "min_samples", "start", "end")
+
+
+def threshold_summary(regions: DataFrame, keys: DataFrame, names: list[str], n: int, ref_len: int, percents=PERCENTS) -> DataFrame:
+    """(keys, threshold, min_samples, core_size, core_pct, empty_size, regions, longest) over ``empty_regions``."""
+    size = F.col("end") - F.col("start")
+    agg = regions.groupBy(*names, "threshold").agg(F.sum(size).alias("e"), F.count(F.lit(1)).alias("r"), F.max(size).alias("l"))
+    out = _grid(keys, n, percents).join(agg, [*names, "threshold"], "left").na.fill(0, ["e", "r", "l"])
+    core = F.lit(ref_len) - F.col("e")
+    return out.select(*names, "threshold", "min_samples", core.cast("long").alias("core_size"), (core / ref_len * 100).alias("core_pct"), F.col("e").cast("long").alias("empty_size"), F.col("r").alias("regions"), F.col("l").cast("long").alias("longest"))
+
+
 def full_histogram(gaps: DataFrame, keys: DataFrame, names: list[str], n: int, ref_len: int) -> DataFrame:
     """(keys, covered, positions): positions covered by exactly 0..n samples, zeros included."""
     cover = iv.sweep(gaps, names).groupBy(*names, "k").agg(F.sum(F.col("end") - F.col("start")).alias("m"))
@@ -77,16 +109,18 @@ def full_histogram(gaps: DataFrame, keys: DataFrame, names: list[str], n: int, r
 
 
 def fragile_regions(gaps: DataFrame, names: list[str], n: int, least: int = 100) -> DataFrame:
-    """(keys, start, end, max_coverage, samples): runs of ``least`` positions or more that fewer than
-    ceil(n / 2) samples cover, with the samples gapped in them."""
-    low = iv.sweep(gaps, names).where(F.lit(n) - F.col("k") < (n + 1) // 2)
-    runs = iv.merge(low, names).where(F.col("end") - F.col("start") >= least)
+    """(keys, start, end, max_coverage, max_coverage_pct, samples): runs of ``least`` positions or more that fewer than
+    half of the samples cover, with the samples gapped in them."""
+    cover = iv.sweep(gaps, names)
+    level = n - least_samples(50.0, n) + 1
+    runs = iv.level_runs(cover, names, [level]).drop("level").where(F.col("end") - F.col("start") >= least)
     tag = F.concat_ws("\x1f", *names) if names else F.lit("")
     tagged = runs.withColumn("_key", tag)
     hit = iv.overlapping(tagged, gaps.select(tag.alias("_g"), "start", "end", "sample"), ["_g", "sample"]).where("_key = _g")
     samples = hit.groupBy(*names, "start", "end").agg(F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("samples"))
-    seg = iv.overlapping(tagged, low.select(tag.alias("_g"), "start", "end", "k"), ["_g", "k"]).where("_key = _g")
-    most = seg.groupBy(*names, "start", "end").agg((F.lit(n) - F.min("k")).cast("long").alias("max_coverage"))
+    seg = iv.overlapping(tagged, cover.where(F.col("k") >= level).select(tag.alias("_g"), "start", "end", "k"), ["_g", "k"]).where("_key = _g")
+    most = F.lit(n) - F.min("k")
+    most = seg.groupBy(*names, "start", "end").agg(most.cast("long").alias("max_coverage"), (most / n * 100).alias("max_coverage_pct"))
     return most.join(samples, [*names, "start", "end"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
@@ -19,29 +19,28 @@ def core_positions(calls: DataFrame, ref_base: DataFrame) -> DataFrame:
 def kpis(calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, pipelines: DataFrame, gt: str) -> DataFrame:
     """A row per pipeline: snps, gaps, core_snps, consensus_snps, gt_snps_missing, gt_snps_called, core_gt_missing,
     consensus_gt_missing, snps_in_gt_gaps_total, _core and _consensus; the comparisons are null for the truth itself."""
-    snps = calls.join(ref_base, "pos").where("alt != base").groupBy("pipeline").agg(F.count(F.lit(1)).alias("snps"))
+    is_gt = F.col("pipeline") == gt
     size = gaps.groupBy("pipeline").agg(F.sum(F.col("end") - F.col("start")).alias("gaps"))
-    core = core_positions(calls, ref_base)
-    cores = core.groupBy("pipeline").agg(F.count(F.lit(1)).alias("core_snps"), F.count_if("consensus").alias("consensus_snps"))
-    truth = calls.where(F.col("pipeline") == gt).select("sample", "pos")
-    called = calls.join(truth, ["sample", "pos"], "left_semi").groupBy("pipeline").agg(F.count(F.lit(1)).alias("gt_snps_called"))
-    total = truth.agg(F.count(F.lit(1)).alias("t"))
-    gt_core = core.where(F.col("pipeline") == gt).select("pos", F.col("consensus").alias("gc"))
-    counts = gt_core.agg(F.count(F.lit(1)).alias("ct"), F.count_if("gc").alias("nt"))
-    shared = core.join(gt_core, "pos").groupBy("pipeline").agg(F.count(F.lit(1)).alias("cs"), F.count_if(F.col("consensus") & F.col("gc")).alias("ns"))
-    own = iv.merge(gaps.where(F.col("pipeline") == gt), ["sample"])
-    hit = iv.locate(calls, own, ["sample"], []).groupBy("pipeline").agg(F.count_if("inside").alias("snps_in_gt_gaps_total"))
-    any_gap = iv.sweep(own.select("start", "end"), [])
-    in_core = iv.locate(core, any_gap, [], []).groupBy("pipeline").agg(F.count_if("inside").alias("snps_in_gt_gaps_core"), F.count_if(F.col("inside") & F.col("consensus")).alias("snps_in_gt_gaps_consensus"))
-    out = pipelines
-    for t in (snps, size, cores, called, shared, hit, in_core):
-        out = out.join(t, "pipeline", "left")
-    out = out.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(counts))
+    truth = calls.where(is_gt).select("sample", "pos", F.lit(True).alias("in_truth")).distinct()
+    own = iv.merge(gaps.where(is_gt), ["sample"])
+    marked = iv.locate(calls.join(ref_base, "pos", "left").join(truth, ["sample", "pos"], "left"), own, ["sample"], [])
+    of_calls = marked.groupBy("pipeline").agg(F.count_if(F.col("alt") != F.col("base")).alias("snps"), F.count_if("in_truth").alias("gt_snps_called"), F.count_if("inside").alias("snps_in_gt_gaps_total"), F.count_if(is_gt).alias("t"))
+    # Core positions of all pipelines side by side: at most one row of each at a position.
+    at = core_positions(calls, ref_base).groupBy("pos").agg(F.collect_list(F.struct("pipeline", "consensus")).alias("rows"))
+    at = iv.locate(at, iv.sweep(own.select("start", "end"), []), [], []).withColumn("truth", F.get(F.filter("rows", lambda r: r["pipeline"] == gt), F.lit(0)))
+    core = at.select("inside", F.col("truth").isNotNull().alias("gc"), F.coalesce("truth.consensus", F.lit(False)).alias("gn"), F.inline("rows"))
+    of_core = core.groupBy("pipeline").agg(
+        F.count(F.lit(1)).alias("core_snps"), F.count_if("consensus").alias("consensus_snps"), F.count_if("gc").alias("cs"), F.count_if(F.col("consensus") & F.col("gn")).alias("ns"),
+        F.count_if("inside").alias("snps_in_gt_gaps_core"), F.count_if(F.col("inside") & F.col("consensus")).alias("snps_in_gt_gaps_consensus"),
+    )
+    out = pipelines.join(of_calls, "pipeline", "left").join(size, "pipeline", "left").join(of_core, "pipeline", "left")
+    all_rows = Window.partitionBy(F.lit(0))  # a row for each pipeline
+    of_gt = lambda c: F.coalesce(F.max(F.when(is_gt, F.col(c))).over(all_rows), F.lit(0))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    vs = lambda x: F.when(F.col("pipeline") != gt, x)
+    vs = lambda x: F.when(~is_gt, x)
     return out.select(
-        "pipeline", *[z(c).alias(c) for c in ("snps", "gaps", "core_snps", "consensus_snps")], vs(F.col("t") - z("gt_snps_called")).alias("gt_snps_missing"), vs(z("gt_snps_called")).alias("gt_snps_called"),
-        vs(F.col("ct") - z("cs")).alias("core_gt_missing"), vs(F.col("nt") - z("ns")).alias("consensus_gt_missing"), *[vs(z(c)).alias(c) for c in ("snps_in_gt_gaps_total", "snps_in_gt_gaps_core", "snps_in_gt_gaps_consensus")],
+        "pipeline", *[z(c).alias(c) for c in ("snps", "gaps", "core_snps", "consensus_snps")], vs(of_gt("t") - z("gt_snps_called")).alias("gt_snps_missing"), vs(z("gt_snps_called")).alias("gt_snps_called"),
+        vs(of_gt("core_snps") - z("cs")).alias("core_gt_missing"), vs(of_gt("consensus_snps") - z("ns")).alias("consensus_gt_missing"), *[vs(z(c)).alias(c) for c in ("snps_in_gt_gaps_total", "snps_in_gt_gaps_core", "snps_in_gt_gaps_consensus")],
     )
 
 

@@ -14,11 +14,30 @@ from gapweave.functions import intervals as iv
 STRATEGIES = ("gap_union", "gap_intersect")
 
 
+def core_calls(core: DataFrame) -> DataFrame:
+    """The calls that a core-allele table stands for: (pipeline, sample, pos, alt, and n and i where it has them) of the
+    alleles that are neither a gap nor N."""
+    order = [c for c in ("n", "i") if c in core.columns]
+    return core.where(~F.substring("allele", 1, 1).isin("-", "N")).select("pipeline", "sample", "pos", F.col("allele").alias("alt"), *order)
+
+
+def last_calls(calls: DataFrame, keys: tuple[str, ...] = ("pipeline", "sample", "pos")) -> DataFrame:
+    """One call for each key, the last one written: by ``n`` (the line) and ``i`` (the place in an MNP), as the readers of
+    calls give them, where the calls have these columns.  Calls that are equal in them, or have none, go by their alt.
+
+    A maximum of structs, so repeats meet in partial aggregates."""
+    order = [c for c in ("n", "i") if c in calls.columns] + ["alt"]
+    rest = [c for c in calls.columns if c not in keys and c not in order]
+    last = calls.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last"))
+    return last.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in calls.columns])
+
+
 def snps(calls: DataFrame, ref_base: DataFrame) -> DataFrame:
     """Calls whose alt (its first character) differs from the reference base, with the base.  Positions
-    outside the reference drop out.  Comparison is byte-exact."""
+    outside the reference drop out.  Comparison is byte-exact.  Of the calls of a pipeline and sample that are left at a position
+    the last one counts."""
     c = calls.withColumn("alt", F.coalesce(F.nullif(F.substring("alt", 1, 1), F.lit("")), F.lit("N")))
-    return c.join(ref_base, "pos").where("alt != base")
+    return last_calls(c.join(ref_base, "pos").where("alt != base"))
 
 
 def shifted(gaps: DataFrame, coord_compat: bool) -> DataFrame:
@@ -27,15 +46,19 @@ def shifted(gaps: DataFrame, coord_compat: bool) -> DataFrame:
     return gaps if coord_compat else gaps.withColumn("start", F.col("start") - 1).withColumn("end", F.col("end") - 1)
 
 
-def site_table(calls: DataFrame, gaps: DataFrame, n_samples: int) -> DataFrame:
+def cover_of(gaps: DataFrame, cover: DataFrame | None) -> DataFrame:
+    """(pipeline, start, end, k) of merged gaps; a table that is already there is taken instead."""
+    return iv.sweep(gaps, ["pipeline"]) if cover is None else cover
+
+
+def site_table(calls: DataFrame, gaps: DataFrame, n_samples: int, cover: DataFrame | None = None) -> DataFrame:
     """A row per (pipeline, pos) with a non-reference call: base, called array<struct<sample,alt>>, those of
     them that are not gapped as carriers, and k, the number of samples gapped there.
 
     ``calls`` as from ``snps``; ``gaps`` merged per pipeline and sample."""
     marked = iv.locate(calls.select("pipeline", "sample", "pos", "alt", "base"), gaps, ["pipeline", "sample"], [])
     sites = marked.groupBy("pipeline", "pos").agg(F.first("base").alias("base"), F.array_sort(F.collect_list(F.when(~F.col("inside"), F.struct("sample", "alt")))).alias("carriers"), F.array_sort(F.collect_list(F.struct("sample", "alt"))).alias("called"))
-    cover = iv.sweep(gaps, ["pipeline"])
-    out = iv.locate(sites, cover, ["pipeline"], ["k"])
+    out = iv.locate(sites, cover_of(gaps, cover), ["pipeline"], ["k"])
     return out.select("pipeline", "pos", "base", "carriers", "called", F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.lit(n_samples).cast("long").alias("n"))
 
 
@@ -52,28 +75,28 @@ def excluded(strategy: str):
     return F.col("k") >= 1 if strategy == "gap_union" else F.col("k") == F.col("n")
 
 
-def gap_sizes(gaps: DataFrame, n_samples: int) -> DataFrame:
+def gap_sizes(gaps: DataFrame, n_samples: int, cover: DataFrame | None = None) -> DataFrame:
     """(pipeline, gap_union, gap_intersect): positions gapped in any and in all samples."""
     size = F.col("end") - F.col("start")
-    return iv.sweep(gaps, ["pipeline"]).groupBy("pipeline").agg(F.sum(size).alias("gap_union"), F.coalesce(F.sum(F.when(F.col("k") == n_samples, size)), F.lit(0)).alias("gap_intersect"))
+    return cover_of(gaps, cover).groupBy("pipeline").agg(F.sum(size).alias("gap_union"), F.coalesce(F.sum(F.when(F.col("k") == n_samples, size)), F.lit(0)).alias("gap_intersect"))
 
 
-def global_stats(sites: DataFrame, gaps: DataFrame, pipelines: DataFrame, n_samples: int, ref_len: int) -> DataFrame:
+def global_stats(sites: DataFrame, gaps: DataFrame, pipelines: DataFrame, n_samples: int, ref_len: int, cover: DataFrame | None = None) -> DataFrame:
     """(pipeline, strategy, usable_space, total_snps, consensus_snps, disc_snps, missing_vcf)."""
     live = {s: ~excluded(s) for s in STRATEGIES}
     names = ("total_snps", "consensus_snps", "disc_snps", "missing_vcf")
     tests = (F.lit(True), F.col("consensus"), F.col("disc"), F.col("k") > 0)
     agg = classified(sites).groupBy("pipeline").agg(*[F.count_if(live[s] & t).alias(f"{s}_{c}") for s in STRATEGIES for c, t in zip(names, tests, strict=True)])
-    rows = pipelines.join(agg, "pipeline", "left").join(gap_sizes(gaps, n_samples), "pipeline", "left")
+    rows = pipelines.join(agg, "pipeline", "left").join(gap_sizes(gaps, n_samples, cover), "pipeline", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     each = [F.struct(F.lit(s).alias("strategy"), (F.lit(ref_len) - zero(s)).cast("long").alias("usable_space"), *[zero(f"{s}_{c}").alias(c) for c in names]) for s in STRATEGIES]
     return rows.select("pipeline", F.inline(F.array(*each)))
 
 
-def kpis(sites: DataFrame, gaps: DataFrame, pipelines: DataFrame, n_samples: int) -> DataFrame:
+def kpis(sites: DataFrame, gaps: DataFrame, pipelines: DataFrame, n_samples: int, cover: DataFrame | None = None) -> DataFrame:
     """(pipeline, n_sites, gap_positions, core_snps): core is discriminating under gap union."""
     c = classified(sites).groupBy("pipeline").agg(F.count(F.lit(1)).alias("n_sites"), F.count_if((F.col("k") == 0) & F.col("disc")).alias("core_snps"))
-    g = gap_sizes(gaps, n_samples).select("pipeline", F.col("gap_union").alias("gap_positions"))
+    g = gap_sizes(gaps, n_samples, cover).select("pipeline", F.col("gap_union").alias("gap_positions"))
     out = pipelines.join(c, "pipeline", "left").join(g, "pipeline", "left")
     return out.select("pipeline", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_sites", "gap_positions", "core_snps")])
 

@@ -30,17 +30,30 @@ def _active(everyone: Column) -> Column:
 
 
 def core_table(core: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """(pipeline, pos, m map<sample, first character>, disc) of a core-allele table: disc if two valid
-    alleles (neither N nor -) differ.  With ``samples`` the map holds those only."""
-    valid = ~F.col("allele").isin("N", "-")
-    entry = F.struct("sample", F.substring("allele", 1, 1).alias("a"))
+    """(pipeline, pos, m map<sample, first character>, core_disc, lines) of a core-allele table: disc if two valid
+    alleles (neither N nor -) differ.  With ``samples`` the map holds those only.
+
+    A position may stand on several lines (two contigs, a repeated line): ``lines`` counts them, the map is that of the last,
+    and one line with different alleles makes the position discriminating.  Lines are told apart by ``n``, else by ``chrom``,
+    where the table has such a column; of a sample named twice on a line the last column ``i`` counts, else the greatest allele."""
+    line = next((F.col(c) for c in ("n", "chrom") if c in core.columns), F.lit(0))
+    place = F.col("i") if "i" in core.columns else F.lit(0)
+    known = F.lit(True)
     if samples is not None:
         core = core.join(samples.select("sample", F.lit(True).alias("known")), "sample", "left")
-        entry = F.when(F.col("known"), entry)
-    return core.groupBy("pipeline", "pos").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("m"),
-        (F.count_distinct(F.when(valid, F.col("allele"))) > 1).alias("core_disc"),
-    )
+        known = F.coalesce("known", F.lit(False))
+    rows = core.groupBy("pipeline", "pos").agg(F.array_sort(F.collect_list(F.struct(line.alias("n"), place.alias("i"), "sample", "allele", known.alias("known")))).alias("rows"))
+    table = rows.withColumn("ns", F.array_distinct(F.col("rows.n")))
+    last = F.filter("rows", lambda r: (r["n"] == F.array_max("ns")) & r["known"])
+    table = table.withColumn("last", F.transform(last, lambda r: F.struct(r["sample"].alias("s"), F.substring(r["allele"], 1, 1).alias("a"))))
+    names = F.array_distinct(F.col("last.s"))
+    once = F.map_from_entries("last")
+    # The rows are sorted, so the last entry of a repeated sample counts.
+    repeated = F.map_from_arrays(names, F.transform(names, lambda s: F.element_at(F.filter("last", lambda r: r["s"] == s), -1)["a"]))
+    valid = F.filter("rows", lambda r: ~r["allele"].isin("N", "-"))
+    differ = lambda rs: F.size(F.array_distinct(F.transform(rs, lambda r: r["allele"]))) > 1
+    disc = F.when(F.size("ns") == 1, differ(valid)).otherwise(F.exists("ns", lambda n: differ(F.filter(valid, lambda r: r["n"] == n))))
+    return table.select("pipeline", "pos", F.when(F.size(names) == F.size("last"), once).otherwise(repeated).alias("m"), disc.alias("core_disc"), F.size("ns").cast("long").alias("lines"))
 
 
 def _agrees(names: Column, theirs: str, mine: str) -> Column:
@@ -48,16 +61,20 @@ def _agrees(names: Column, theirs: str, mine: str) -> Column:
     return F.expr(f"forall({names}, s -> coalesce(try_element_at({theirs}, s), base) = coalesce(try_element_at({mine}, s), base))")
 
 
-def core_details(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, pl_gaps: DataFrame, samples: DataFrame) -> DataFrame:
+def core_details(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, pl_gaps: DataFrame, samples: DataFrame, cover: DataFrame | None = None, gt: str | None = None) -> DataFrame:
     """(pipeline, strategy, pos, status): every discriminating position of the truth as concordant,
-    discordant, not_disc_in_pl, in_pl_gap or lost, and the pipeline's own as in_gt_gap or pl_only."""
+    discordant, not_disc_in_pl, in_pl_gap or lost, and the pipeline's own as in_gt_gap or pl_only.
+
+    ``cover`` of all pipelines, with the name ``gt`` of the truth, saves sweeping the gaps again."""
     names = [r[0] for r in samples.orderBy("sample").collect()]
     n = len(names)
     everyone = F.array(*[F.lit(x) for x in names])
     table = core_table(core)
     pipelines = core.select("pipeline").distinct()
-    pl_any = iv.sweep(pl_gaps, ["pipeline"]).select("pipeline", "start", "end")
-    gt_cover = iv.sweep(gt_gaps.select("start", "end"), [])
+    if cover is None:
+        pl_any, gt_cover = iv.sweep(pl_gaps, ["pipeline"]), iv.sweep(gt_gaps.select("start", "end"), [])
+    else:
+        pl_any, gt_cover = cover, cover.where(F.col("pipeline") == gt).select("start", "end", "k")
     marked = gapped_samples(gt_sites, gt_gaps)
     core_disc = iv.locate(table.where("core_disc").select("pipeline", "pos"), gt_cover, [], ["k"]).select("pipeline", "pos", F.coalesce("k", F.lit(0)).alias("gk"))
     disc = truth_discs(marked)
@@ -80,7 +97,7 @@ def core_details(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, pl_ga
 
 def core_summary(details: DataFrame, core: DataFrame) -> DataFrame:
     """(pipeline, strategy, pl_total_core_snps, pl_disc, gt_disc, same_pos, concordant, pl_snps_in_gt_gaps)."""
-    size = core_table(core).groupBy("pipeline").agg(F.count(F.lit(1)).alias("pl_total_core_snps"), F.count_if("core_disc").alias("pl_disc"))
+    size = core_table(core).groupBy("pipeline").agg(F.sum("lines").alias("pl_total_core_snps"), F.count_if("core_disc").alias("pl_disc"))
     is_ = F.col("status")
     agg = details.groupBy("pipeline", "strategy").agg(
         F.count_if(~is_.isin("in_gt_gap", "pl_only")).alias("gt_disc"),
@@ -133,7 +150,7 @@ def core_pairs(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, samples
     return _means(core.select("pipeline"), hit, gt_sites, samples.count())
 
 
-def calls_summary(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame, pl_gaps: bool = True) -> DataFrame:
+def calls_summary(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame, pl_gaps: bool = True, cover: DataFrame | None = None) -> DataFrame:
     """The comparison by calls, for pipelines without core alleles: (pipeline, strategy, pl_total_core_snps,
     pl_disc, gt_disc, same_pos, concordant, pl_snps_in_gt_gaps).
 
@@ -152,7 +169,7 @@ def calls_summary(sites: DataFrame, gaps: DataFrame, gt: str, samples: DataFrame
     else:
         disc = theirs.where((F.size("called") < n) | (F.size(F.array_distinct("called.alt")) > 1))
     disc = disc.groupBy("pipeline").agg(F.count(F.lit(1)).alias("pl_disc"))
-    gt_cover = iv.sweep(gaps.where(F.col("pipeline") == gt).select("start", "end"), [])
+    gt_cover = iv.sweep(gaps.where(F.col("pipeline") == gt).select("start", "end"), []) if cover is None else cover.where(F.col("pipeline") == gt).select("start", "end", "k")
     t = truth_discs(marked.where(F.col("pipeline") == gt))
     t = t.select("strategy", "pos", "base", F.map_from_entries("called").alias("g"), _active(everyone).alias("active")).crossJoin(F.broadcast(pipelines))
     j = t.join(mine, ["pipeline", "pos"], "left").withColumn("same", F.expr("m IS NOT NULL AND exists(active, s -> map_contains_key(m, s))"))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from gapweave.functions import intervals as iv
 from gapweave.operators import sites, truth
 from gapweave.sources import sinks
+from gapweave.sources.store import stored
 
 
 class Comparison:
-    """Answers over calls (pipeline, sample, pos 0-based, alt), gaps (pipeline, sample, start, end) and ref_base.
+    """Answers over calls (pipeline, sample, pos 0-based, alt), gaps (pipeline, sample, start, end) and ref_base.  Of calls that repeat
+    a position the last by n and i counts, where they have these columns; a pipeline in ``core`` is judged by its core alleles.
 
     ``coord_compat`` tests positions against 1-based gaps unshifted, as finished reports have it.  What only the report
     shows is optional: ``about`` (pipeline and what is known of it, as ``Config.pipeline_rows``), ``distances`` (pipeline, row,
@@ -23,17 +25,24 @@ class Comparison:
         self.given_calls, self.given_gaps = calls, gaps
         self.distances, self.warnings = distances, warnings
         self.n = samples.count()
-        self.calls = sites.snps(calls, ref_base)
-        self.gaps = iv.merge(sites.shifted(gaps, coord_compat), ["pipeline", "sample"])
-        self.pipelines = calls.select("pipeline").union(gaps.select("pipeline")).distinct()
+        order = [c for c in ("n", "i") if c in calls.columns]
+        own = calls.select("pipeline", "sample", "pos", "alt", *order)
+        if core is not None:
+            # A pipeline with core alleles is judged by these alone.
+            own = own.join(core.select("pipeline").distinct(), "pipeline", "left_anti").unionByName(sites.core_calls(core), allowMissingColumns=True)
+        self.pipelines = own.select("pipeline").union(gaps.select("pipeline")).distinct()
         self.about = self.pipelines if about is None else about
-        self.sites = sites.site_table(self.calls, self.gaps, self.n)
+        # All that follows reads these four; each is planned and written once.
+        self.calls = stored(sites.snps(own, ref_base), "calls")
+        self.gaps = stored(iv.merge(sites.shifted(gaps, coord_compat), ["pipeline", "sample"]), "gaps")
+        self.cover = stored(iv.sweep(self.gaps, ["pipeline"]), "cover")
+        self.sites = stored(sites.site_table(self.calls, self.gaps, self.n, self.cover), "sites")
 
     def kpis(self) -> DataFrame:
-        return sites.kpis(self.sites, self.gaps, self.pipelines, self.n)
+        return sites.kpis(self.sites, self.gaps, self.pipelines, self.n, self.cover)
 
     def global_stats(self) -> DataFrame:
-        return sites.global_stats(self.sites, self.gaps, self.pipelines, self.n, self.ref_len)
+        return sites.global_stats(self.sites, self.gaps, self.pipelines, self.n, self.ref_len, self.cover)
 
     def pairs(self) -> DataFrame:
         return sites.pair_stats(self.sites, self.gaps, self.pipelines, self.samples, self.ref_len)
@@ -43,7 +52,7 @@ class Comparison:
         if self.truth_id is None or self.n < 2:
             return None
         if self.core is None:
-            return truth.calls_summary(self.sites, self.gaps, self.truth_id, self.samples)
+            return truth.calls_summary(self.sites, self.gaps, self.truth_id, self.samples, cover=self.cover)
         return truth.core_summary(self.details(), self.core)
 
     def breakdown(self) -> DataFrame | None:
@@ -52,7 +61,7 @@ class Comparison:
 
     def details(self) -> DataFrame:
         is_truth = F.col("pipeline") == self.truth_id
-        return truth.core_details(self.sites.where(is_truth), self.gaps.where(is_truth), self.core, self.gaps.where(~is_truth), self.samples)
+        return truth.core_details(self.sites.where(is_truth), self.gaps.where(is_truth), self.core, self.gaps.where(~is_truth), self.samples, self.cover, self.truth_id)
 
     def report(self) -> DataFrame:
         """One row: samples, pipelines, kpis, global_stats, pair_summary, per_sample and pairs as arrays of structs; truth,

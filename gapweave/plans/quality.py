@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gapweave.functions import intervals as iv
 from gapweave.operators import alignments, qc, viewer
 from gapweave.sources import sinks
+from gapweave.sources.store import stored
 
 
 class Quality:
@@ -18,8 +19,8 @@ class Quality:
     def __init__(self, gaps: DataFrame, contigs: DataFrame, aligned: DataFrame, ref_name: str, ref_len: int, min_identity: float = 0.95, samples: DataFrame | None = None):
         self.ref_name, self.ref_len, self.aligned = ref_name, ref_len, aligned
         self.samples = aligned.select("sample").distinct() if samples is None else samples
-        self.gaps = iv.merge(gaps, ["sample"])
-        self.pairs = qc.pairwise_gaps(self.gaps, self.samples, [], ref_len)
+        self.gaps = stored(iv.merge(gaps, ["sample"]), "gaps")
+        self.pairs = stored(qc.pairwise_gaps(self.gaps, self.samples, [], ref_len), "pairs")
         self.pair_metrics = qc.pair_metrics(self.pairs, self.samples, [])
         a = aligned.select("sample", F.col("identity").alias("ref_identity"), F.col("reference_coverage").alias("ref_coverage"))
         m = a.join(self.pair_metrics, "sample").join(qc.n50(contigs), "sample", "left").na.fill(0, ["n_contigs", "total_length", "n50"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
 from gapweave.operators import callsets, distances, features, qc, reader_v1, sites, truth, viewer
-from gapweave.plans.views import Views, oracle
+from gapweave.plans.views import PIPES, SQL, Views, oracle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -18,18 +18,21 @@ PS = ["pipeline", "sample"]
 N = 6
 
 
-def query(name: str, sql: str | None, *ctes: str):
+def query(name: str, sql: str | None, *ctes: str, whole: bool = False):
+    """Registers a query and its SQL, the end of a statement that begins with the views unless it is ``whole``."""
+
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = oracle(sql, *ctes)
+            ORACLES[name] = sql if whole else oracle(sql, *ctes)
         return f
 
     return add
 
 
 def merged(v: Views) -> DataFrame:
-    return iv.merge(v.gap(), PS)
+    """The merged gaps, written once for all that a query reads of them."""
+    return v.merged_gaps()
 
 
 def pipelines(v: Views) -> DataFrame:
@@ -41,7 +44,12 @@ def snps(v: Views) -> DataFrame:
 
 
 def site_table(v: Views) -> DataFrame:
-    return sites.site_table(snps(v), merged(v), N)
+    return sites.site_table(snps(v), merged(v), N, v.cover())
+
+
+def stored_sites(v: Views) -> DataFrame:
+    """The sites for queries that read them several times."""
+    return v.once("sites", lambda: site_table(v))
 
 
 def core(v: Views) -> DataFrame:
@@ -58,7 +66,7 @@ ISLAND = """isl AS (
 
 @query("interval_merge", 'SELECT pipeline, sample, s AS start, e AS "end" FROM runs', ISLAND)
 def interval_merge(v):
-    return merged(v)
+    return iv.merge(v.gap(), PS)
 
 
 @query(
@@ -75,12 +83,12 @@ def interval_complement(v):
 
 @query("coverage_histogram", "SELECT pipeline, CAST(k AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS positions FROM gk GROUP BY pipeline, k")
 def coverage_histogram(v):
-    return iv.sweep(merged(v), ["pipeline"]).groupBy("pipeline", "k").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
+    return iv.sweep(iv.merge(v.gap(), PS), ["pipeline"]).groupBy("pipeline", "k").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
 
 
 @query("gap_union_intersect", f"SELECT pipeline, CAST(count(*) AS BIGINT) AS gap_union, CAST(count(*) FILTER (k = {N}) AS BIGINT) AS gap_intersect FROM gk GROUP BY pipeline")
 def gap_union_intersect(v):
-    return sites.gap_sizes(merged(v), N)
+    return sites.gap_sizes(iv.merge(v.gap(), PS), N)
 
 
 @query(
@@ -161,12 +169,12 @@ live AS (SELECT c.*, strategy FROM cl c CROSS JOIN strat WHERE CASE strategy WHE
 )
 def site_classification(v):
     g = merged(v)
-    return sites.global_stats(site_table(v), g, pipelines(v), N, v.ref_len)
+    return sites.global_stats(site_table(v), g, pipelines(v), N, v.ref_len, v.cover())
 
 
 @query("pipeline_kpis", " SELECT p.pipeline, (SELECT count(*) FROM site s WHERE s.pipeline = p.pipeline) AS n_sites, (SELECT count(*) FROM gk WHERE gk.pipeline = p.pipeline) AS gap_positions, (SELECT count(*) FROM cl WHERE cl.pipeline = p.pipeline AND k = 0 AND disc) AS core_snps FROM pipe p", CLS)
 def pipeline_kpis(v):
-    return sites.kpis(site_table(v), merged(v), pipelines(v), N)
+    return sites.kpis(site_table(v), merged(v), pipelines(v), N, v.cover())
 
 
 @query(
@@ -193,7 +201,7 @@ PAIRS = """pr AS (
 
 @query("pair_stats", " SELECT * FROM ps", PAIRS)
 def pair_stats(v):
-    return sites.pair_stats(site_table(v), merged(v), pipelines(v), v.samples(), v.ref_len)
+    return sites.pair_stats(stored_sites(v), merged(v), pipelines(v), v.samples(), v.ref_len)
 
 
 @query("pair_summary", " SELECT pipeline, count(*) AS num_pairs, min(disc_snps) AS disc_min, max(disc_snps) AS disc_max, avg(disc_snps) AS disc_avg, median(disc_snps) AS disc_median, avg(usable_space) AS usable_avg FROM ps GROUP BY pipeline", PAIRS)
@@ -236,14 +244,14 @@ agr AS (
 
 def gt_inputs(v):
     gaps = merged(v)
-    s = site_table(v).where("pipeline = 'gt'")
+    s = stored_sites(v).where("pipeline = 'gt'")
     return s, gaps.where("pipeline = 'gt'"), gaps.where("pipeline != 'gt'")
 
 
 @query("truth_position_details", " SELECT * FROM det", GTD)
 def truth_position_details(v):
     s, g, p = gt_inputs(v)
-    return truth.core_details(s, g, core(v), p, v.samples())
+    return truth.core_details(s, g, core(v), p, v.samples(), v.cover(), "gt")
 
 
 @query(
@@ -295,7 +303,7 @@ va AS (
     VCFGT,
 )
 def truth_vs_calls(v):
-    return truth.calls_summary(site_table(v), merged(v), "gt", v.samples())
+    return truth.calls_summary(stored_sites(v), merged(v), "gt", v.samples(), cover=v.cover())
 
 
 @query(
@@ -308,7 +316,65 @@ def truth_vs_calls(v):
     GTP,
 )
 def truth_vs_calls_pairs(v):
-    return truth.calls_pairs(site_table(v), merged(v), "gt", v.samples())
+    return truth.calls_pairs(stored_sites(v), merged(v), "gt", v.samples())
+
+
+# Calls as their lines give them: some positions of a sample stand on several lines.  The last one that isn't alike the reference counts.
+
+LINES = f"""line AS (
+  SELECT {PIPES.format(k="l_linenumber")} AS pipeline, 'S' || CAST(l_suppkey % 6 AS VARCHAR) AS sample, l_orderkey AS pos, substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS alt, l_linenumber AS n FROM lineitem
+), lsnp AS (SELECT l.pipeline, l.sample, l.pos, l.alt, r.base FROM line l JOIN ref_base r USING (pos) WHERE l.alt <> r.base QUALIFY row_number() OVER (PARTITION BY l.pipeline, l.sample, l.pos ORDER BY n DESC, l.alt DESC) = 1)"""
+#: The head of the oracles with these calls in the place of one for each position.
+_LINE_SQL = SQL.replace("snp AS (SELECT c.pipeline, c.sample, c.pos, c.alt, r.base FROM call c JOIN ref_base r USING (pos) WHERE c.alt <> r.base)", LINES + ", snp AS (SELECT * FROM lsnp)")
+
+
+def line_calls(v: Views) -> DataFrame:
+    return v.table("lineitem").selectExpr(f"{PIPES.format(k='l_linenumber')} AS pipeline", "concat('S', CAST(l_suppkey % 6 AS STRING)) AS sample", "l_orderkey AS pos", "substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS alt", "CAST(l_linenumber AS BIGINT) AS n")
+
+
+def line_sites(v: Views) -> DataFrame:
+    return v.once("sites", lambda: sites.site_table(sites.snps(line_calls(v), v.ref_base()), merged(v), N, v.cover()))
+
+
+@query("last_call_classification", ORACLES["site_classification"].replace(SQL, _LINE_SQL), whole=True)
+def last_call_classification(v):
+    return sites.global_stats(line_sites(v), merged(v), pipelines(v), N, v.ref_len, v.cover())
+
+
+@query("last_call_pairs", ORACLES["pair_stats"].replace(SQL, _LINE_SQL), whole=True)
+def last_call_pairs(v):
+    return sites.pair_stats(line_sites(v), merged(v), pipelines(v), v.samples(), v.ref_len)
+
+
+@query("last_call_truth", ORACLES["truth_vs_calls"].replace(SQL, _LINE_SQL), whole=True)
+def last_call_truth(v):
+    return truth.calls_summary(line_sites(v), merged(v), "gt", v.samples(), cover=v.cover())
+
+
+# A core table with a position on two contigs and a line that comes twice.
+
+CORE_LINES = f"""craw AS (
+  SELECT CASE l_linenumber % 2 WHEN 0 THEN 'p1' ELSE 'p2' END AS pipeline, 'c' || CAST(l_linenumber // 4 AS VARCHAR) AS chrom, l_orderkey AS pos, 'S' || CAST(l_suppkey % 6 AS VARCHAR) AS sample,
+    CASE l_partkey % 9 WHEN 0 THEN 'N' WHEN 1 THEN '-' ELSE substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) END AS allele, CAST(l_linenumber // 4 AS BIGINT) AS n, l_linenumber AS i FROM lineitem
+), cone AS (SELECT * FROM craw QUALIFY row_number() OVER (PARTITION BY pipeline, pos, n, sample ORDER BY i DESC, allele DESC) = 1),
+cdis AS (SELECT pipeline, pos, n, count(DISTINCT allele) FILTER (allele NOT IN ('N', '-')) > 1 AS d FROM craw GROUP BY ALL),
+clast AS (SELECT c.* FROM cone c JOIN (SELECT pipeline, pos, max(n) AS n FROM craw GROUP BY ALL) m ON m.pipeline = c.pipeline AND m.pos = c.pos AND m.n = c.n)"""
+
+
+@query(
+    "core_repeated_lines",
+    """ SELECT pipeline, pos, (SELECT string_agg(sample || allele, ',' ORDER BY sample) FROM clast l WHERE l.pipeline = d.pipeline AND l.pos = d.pos) AS alleles, bool_or(d) AS core_disc, count(*) AS lines
+    FROM cdis d GROUP BY pipeline, pos""",
+    CORE_LINES,
+)
+def core_repeated_lines(v):
+    """Of a position on several lines of a core table: the alleles of the last, whether any discriminates, and how many there are."""
+    rows = v.table("lineitem").selectExpr(
+        "CASE l_linenumber % 2 WHEN 0 THEN 'p1' ELSE 'p2' END AS pipeline", "concat('c', l_linenumber div 4) AS chrom", "l_orderkey AS pos", "concat('S', l_suppkey % 6) AS sample",
+        "CASE l_partkey % 9 WHEN 0 THEN 'N' WHEN 1 THEN '-' ELSE substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) END AS allele", "CAST(l_linenumber div 4 AS BIGINT) AS n", "l_linenumber AS i",
+    )
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], x["value"])), ",")
+    return truth.core_table(rows).select("pipeline", "pos", text.alias("alleles"), "core_disc", "lines")
 
 
 # Call sets
@@ -571,13 +637,40 @@ def sample_coverage_histogram(v):
     return qc.full_histogram(merged(v), pipelines(v), ["pipeline"], N, v.ref_len)
 
 
-@query("fragile_regions", """, lo AS (SELECT pipeline, pos, k, pos - row_number() OVER (PARTITION BY pipeline ORDER BY pos) AS g FROM gk WHERE 6 - k < 2),
+@query("fragile_regions", f""", lo AS (SELECT pipeline, pos, k, pos - row_number() OVER (PARTITION BY pipeline ORDER BY pos) AS g FROM gk WHERE {N} - k < ceil(0.5 * {N})),
     rg AS (SELECT pipeline, min(pos) AS s, max(pos) + 1 AS e, min(k) AS mk FROM lo GROUP BY pipeline, g HAVING count(*) >= 100)
-    SELECT r.pipeline, r.s AS start, r.e AS "end", 6 - mk AS max_coverage, (SELECT string_agg(DISTINCT gp.sample, ',' ORDER BY gp.sample) FROM gp WHERE gp.pipeline = r.pipeline AND gp.pos >= r.s AND gp.pos < r.e) AS samples FROM rg r""")
+    SELECT r.pipeline, r.s AS start, r.e AS "end", {N} - mk AS max_coverage, ({N} - mk) / {N}::DOUBLE * 100 AS max_coverage_pct,
+      (SELECT string_agg(DISTINCT gp.sample, ',' ORDER BY gp.sample) FROM gp WHERE gp.pipeline = r.pipeline AND gp.pos >= r.s AND gp.pos < r.e) AS samples FROM rg r""")
 def fragile_regions(v):
     return qc.fragile_regions(merged(v), ["pipeline"], N, 100)
 
 
+EMPTY = f"""th AS (SELECT unnest([100.0, 95.0, 90.0, 80.0, 70.0, 50.0, 25.0])::DOUBLE AS threshold), tm AS (SELECT threshold, CAST(greatest(ceil(threshold / 100 * {N}), 1) AS BIGINT) AS min_samples FROM th),
+em AS (SELECT pipeline, threshold, min_samples, pos, pos - row_number() OVER (PARTITION BY pipeline, threshold ORDER BY pos) AS g FROM gk JOIN tm ON {N} - k < min_samples),
+er AS (SELECT pipeline, threshold, min_samples, min(pos) AS start, max(pos) + 1 AS "end" FROM em GROUP BY pipeline, threshold, min_samples, g)"""
+
+
+def empty_regions(v):
+    return qc.empty_regions(merged(v), pipelines(v), ["pipeline"], N)
+
+
+@query("threshold_empty_regions", " SELECT * FROM er", EMPTY)
+def threshold_empty_regions(v):
+    """The empty regions of all thresholds."""
+    return empty_regions(v)
+
+
+@query(
+    "threshold_summary",
+    """ SELECT p.pipeline, t.threshold, t.min_samples, CAST(n.n - coalesce(sum(er."end" - er.start), 0) AS BIGINT) AS core_size, (n.n - coalesce(sum(er."end" - er.start), 0)) / n.n::DOUBLE * 100 AS core_pct,
+      CAST(coalesce(sum(er."end" - er.start), 0) AS BIGINT) AS empty_size, count(er.start) AS regions, coalesce(max(er."end" - er.start), 0) AS longest
+    FROM pipe p CROSS JOIN tm t CROSS JOIN n LEFT JOIN er ON er.pipeline = p.pipeline AND er.threshold = t.threshold GROUP BY p.pipeline, t.threshold, t.min_samples, n.n""",
+    EMPTY,
+)
+def threshold_summary(v):
+    return qc.threshold_summary(empty_regions(v), pipelines(v), ["pipeline"], N, v.ref_len)
+
+
 # The first reader version
 
 V1 = f"""c1 AS (SELECT c.*, r.base FROM call c JOIN ref_base r USING (pos)), pn AS (SELECT pipeline, count(DISTINCT sample) AS n FROM call GROUP BY pipeline),

@@ -31,7 +31,7 @@ def stats(v):
 
 
 def pairs(v):
-    return sites.pair_stats(core.site_table(v), core.merged(v), core.pipelines(v), v.samples(), v.ref_len)
+    return sites.pair_stats(core.stored_sites(v), core.merged(v), core.pipelines(v), v.samples(), v.ref_len)
 
 
 # Totals, pairs and the truth as the first reader version has them
@@ -87,7 +87,7 @@ def v1_pair_usable_samples(v):
     FROM t JOIN pl USING (pipeline) CROSS JOIN st LEFT JOIN pd USING (pipeline)""",
 )
 def v1_truth_vs_calls(v):
-    return truth.calls_summary(core.site_table(v), core.merged(v), "gt", v.samples(), pl_gaps=False)
+    return truth.calls_summary(core.stored_sites(v), core.merged(v), "gt", v.samples(), pl_gaps=False, cover=v.cover())
 
 
 # Per sample

@@ -5,10 +5,6 @@ knows the fields they were built from, so the SQL never parses."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +13,7 @@ from gapweave.operators import alignments, features
 from gapweave.plans import convert
 from gapweave.plans.views import Views
 from gapweave.sources import sinks, text
+from gapweave.sources.store import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,13 +29,7 @@ def query(name: str, sql: str):
 
 
 def scratch(v: Views, name: str) -> str:
-    """A new place in the folder that driver and executors share; a local session without one gets its own."""
-    root = v.spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not v.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "gapweave-text")
-    return f"{root}/gapweave-text/{uuid.uuid4().hex}/{name}"
+    return shared_path(v.spark, name)
 
 
 def written(v: Views, lines: DataFrame, name: str, head: str | None = None) -> str:

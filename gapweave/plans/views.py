@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapweave.functions import intervals as iv
+from gapweave.sources.store import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 PIPES = "CASE {k} % 3 WHEN 0 THEN 'gt' WHEN 1 THEN 'p1' ELSE 'p2' END"
 
@@ -19,6 +22,20 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
         self._n = None
+        self._once: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make) -> DataFrame:
+        """The table ``make()`` gives, written at its first use and read from then on."""
+        if name not in self._once:
+            self._once[name] = stored(make(), name)
+        return self._once[name]
+
+    def merged_gaps(self) -> DataFrame:
+        return self.once("gaps", lambda: iv.merge(self.gap(), ["pipeline", "sample"]))
+
+    def cover(self) -> DataFrame:
+        """Segments of each pipeline and the number k of samples gapped there."""
+        return self.once("cover", lambda: iv.sweep(self.merged_gaps(), ["pipeline"]))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -64,7 +64,8 @@ def vcf_rows(spark: SparkSession, path) -> DataFrame:
 
 
 def vcf_calls(spark: SparkSession, path, min_qual: float = 0.0, include_indels: bool = False) -> DataFrame:
-    """Calls for the comparison of pipelines: (file, chrom, pos, ref, alt, qual, dp, mnp).
+    """Calls for the comparison of pipelines: (file, chrom, pos, ref, alt, qual, dp, mnp, n, i).  Lines that repeat a position all
+    come back; n and i, the line and the place in an MNP, tell ``sites.last_calls`` which is the last.
 
     CHROM and FILTER play no part; a QUAL of a dot passes and counts 0; MNPs (equal lengths over 1, commas not
     looked at) give a row for each differing base; other lengths are indels; position 0 or worse is dropped."""
@@ -75,7 +76,8 @@ def vcf_calls(spark: SparkSession, path, min_qual: float = 0.0, include_indels:
     v = v.where(same | F.lit(include_indels)).withColumn("dp", depth)
     mnp = same & (F.length("ref") > 1)
     parts = F.when(mnp, va.decompose("p", "ref", "alt")).otherwise(F.array(F.struct(F.col("p").alias("pos"), "ref", "alt")))
-    return v.withColumn("mnp", mnp).select("file", "chrom", F.explode(parts).alias("x"), F.col("q").alias("qual"), "dp", "mnp").select("file", "chrom", (F.col("x.pos") - 1).alias("pos"), "x.ref", "x.alt", "qual", "dp", "mnp")
+    v = v.withColumn("mnp", mnp).select("file", "chrom", F.posexplode(parts).alias("i", "x"), F.col("q").alias("qual"), "dp", "mnp", "n")
+    return v.select("file", "chrom", (F.col("x.pos") - 1).alias("pos"), "x.ref", "x.alt", "qual", "dp", "mnp", "n", "i")
 
 
 def vcf_variants(spark: SparkSession, path) -> DataFrame:
@@ -146,16 +148,16 @@ def sample_name(file: Column) -> Column:
 
 
 def core_tsv(spark: SparkSession, path, pipeline: str = "") -> DataFrame:
-    """Long form (pipeline, chrom, pos, ref, sample, allele) of a wide ``CHR POS REF s1 s2 ...`` table; repeated
-    ``_snippy`` endings of sample names go, rows with under 4 columns or position 0 too."""
+    """Long form (pipeline, chrom, pos, ref, sample, allele, n, i) of a wide ``CHR POS REF s1 s2 ...`` table; repeated
+    ``_snippy`` endings of sample names go, rows with under 4 columns or position 0 too.  n is the line, i the column."""
     head = spark.read.text(path).first()
     if head is None or not head[0].startswith("CHR\t"):
         raise ValueError(f"{path} has no CHR header parted by tabs")
     names = F.array(*[F.lit(x) for x in head[0].rstrip("\r\n").split("\t")[3:]])
     rows = _fields(lines(spark, path).where("NOT startswith(line, 'CHR\t')"), 4)
     z = F.arrays_zip(names.alias("s"), F.slice("f", F.lit(4), F.size("f")).alias("a"))
-    out = rows.withColumn("p", _f(1).try_cast("long")).where("p >= 1").select(_f(0).alias("chrom"), (F.col("p") - 1).alias("pos"), _f(2).alias("ref"), F.explode(z).alias("x"))
-    return out.where("x.s IS NOT NULL AND x.a IS NOT NULL").select(F.lit(pipeline).alias("pipeline"), "chrom", "pos", "ref", va.strip_suffix(F.col("x.s"), "_snippy").alias("sample"), F.col("x.a").alias("allele"))
+    out = rows.withColumn("p", _f(1).try_cast("long")).where("p >= 1").select("n", _f(0).alias("chrom"), (F.col("p") - 1).alias("pos"), _f(2).alias("ref"), F.posexplode(z).alias("i", "x"))
+    return out.where("x.s IS NOT NULL AND x.a IS NOT NULL").select(F.lit(pipeline).alias("pipeline"), "chrom", "pos", "ref", va.strip_suffix(F.col("x.s"), "_snippy").alias("sample"), F.col("x.a").alias("allele"), "n", "i")
 
 
 #: Readers of core-allele tables by what their first line starts with.

@@ -23,9 +23,11 @@ def normal(rows, names):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def same(df, con, sql):
+def same(df, con, sql, empty=False):
+    """An empty result tests nothing and fails, unless it is what the test is about."""
     mine = normal([tuple(r) for r in df.collect()], df.columns)
     rel = con.sql(sql)
     theirs = normal(rel.fetchall(), rel.columns)
     assert sorted(df.columns) == sorted(rel.columns)
     assert mine == theirs
+    assert mine or empty

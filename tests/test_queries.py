@@ -4,6 +4,10 @@ from gapweave.plans import queries, reader_queries, text_queries
 from tests.oracle import DATA, connect, same
 
 
+#: Queries without rows on the smallest tables run on the next.
+LARGER = {"fragile_regions": "/root/testdata/sf0.01"}
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect()
@@ -11,7 +15,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_against_sql(spark, con, name):
-    same(queries.QUERIES[name](spark, DATA), con, queries.ORACLES[name])
+    folder = LARGER.get(name, DATA)
+    same(queries.QUERIES[name](spark, folder), connect(folder) if name in LARGER else con, queries.ORACLES[name])
 
 
 @pytest.mark.parametrize("name", sorted(text_queries.QUERIES))
