@@ -27,6 +27,8 @@ SEED = 42
 BLOCK, SHINGLES = 1 << 20, 1 << 14
 #: Two-bit segments of a fingerprint; bits that tell two of their counts apart, on average over random ones.
 SEGMENTS, SEGMENT_BITS = 32, 1.415
+#: Random points that may share a cell: meeting one costs about a hundredth of being sent to one more cell.
+SHARED = 64
 #: Points up to which a cell isn't cut again, and groups of the second cut beyond the radius.
 CELL, CUT = 256, 2
 #: Points outside a cell's largest component that meet all its others in one task.
@@ -120,9 +122,9 @@ def _mask(segments: list[int]) -> int:
 
 
 def groups_for(points: int, radius: int) -> int:
-    """Groups by which random points have a cell of their own; any number gives the same links."""
+    """The least number of groups by which SHARED random points at most share a cell; any number gives the same links."""
     for g in range(radius + 2, radius + 4):
-        if points <= 2 ** (SEGMENT_BITS * (SEGMENTS * (g - radius) // g)):
+        if points <= SHARED * 2 ** (SEGMENT_BITS * (SEGMENTS * (g - radius) // g)):
             return g
     return radius + 4
 
