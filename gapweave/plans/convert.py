@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.functions.variants import genotype_allele, strip_suffix
+from gapweave.functions.variants import genotype_allele
 from gapweave.operators import distances
-from gapweave.sources import text
+from gapweave.sources import fasta, text
+
+
+#: Places that meet in one row of the zip.
+BLOCK = 4096
 
 
 def alignment_to_core(spark: SparkSession, positions: str, reference: str, aligned: str) -> DataFrame:
-    """Long core alleles of a position list (contig, pos), a reference sequence of those positions and aligned samples; fails
-    if a length differs."""
-    from pyspark.sql import Window
-
-    pos = text.lines(spark, positions).select("n", F.split("line", "\t").alias("f")).where("size(f) >= 2")
-    # Numbered within each partition of the file, from where the partitions before it end.
-    part = F.shiftright("n", 33)
-    own = pos.select("n", "f", part.alias("part"), F.row_number().over(Window.partitionBy(part).orderBy("n")).alias("r"))
-    sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    pos = own.join(before, "part").select((F.col("before") + F.col("r") - 1).alias("i"), F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"))
+    """Long core alleles of a position list (contig, pos), a reference sequence of those positions and aligned samples, zipped by
+    place: (pipeline, chrom, pos 0-based, ref, sample, allele).
+
+    Letters stay as they are; a sample is named by its whole title, records of one title are joined.  Lines of the list under two
+    fields or without a position over 0 don't count.  Fails if a sequence has another length than the list.
+
+    The three sources meet by blocks of places, so no row holds a sequence or the list."""
+    pos = fasta.numbered(spark, positions).withColumn("f", F.split("line", "\t")).where("size(f) >= 2").withColumn("pos", F.get("f", F.lit(1)).try_cast("long")).where("pos >= 1")
+    pos = fasta.running(pos, ["unit"], F.lit(1), "i").select("i", F.get("f", F.lit(0)).alias("chrom"), (F.col("pos") - 1).alias("pos"))
     n = pos.count()
-    letters = lambda d: d.select(F.col("contig").alias("sample"), F.posexplode(F.split(F.upper("sequence"), "")).alias("i", "a")).where("a != ''")
-    ref, samples = text.fasta(spark, reference), text.fasta(spark, aligned)
-    if ref.unionByName(samples).where(F.col("length") != n).limit(1).count():
-        raise ValueError("a sequence has another length than the position list")
-    r = letters(ref).select("i", F.col("a").alias("ref"))
-    return letters(samples).join(r, "i").join(pos, "i").select(F.lit("").alias("pipeline"), "chrom", (F.col("pos") - 1).alias("pos"), "ref", "sample", F.col("a").alias("allele"))
+    ref = fasta.placed(fasta.chunks(spark, reference, upper=False), [])
+    samples = fasta.placed(fasta.chunks(spark, aligned, upper=False), ["title"])
+    sizes = ref.select(F.lit("").alias("title"), "bases").unionByName(samples.select("title", "bases")).groupBy("title").agg(F.sum(F.length("bases")).alias("size"))
+    wrong = sizes.where(F.col("size") != n).orderBy("title").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong.title or 'the reference'} has {wrong['size']} alleles, the list {n} positions")
+    places = pos.groupBy(F.expr(f"i div {BLOCK}").alias("k")).agg(F.array_sort(F.collect_list(F.struct("i", "chrom", "pos"))).alias("places"))
+    of = lambda d, keys, name: fasta.pieces(d, "start", BLOCK, keys).withColumnRenamed("bases", name)
+    rows = of(samples, ["title"], "letters").join(of(ref, [], "ref"), "k").join(places, "k")
+    zipped = F.arrays_zip(fasta.letters("letters").alias("a"), fasta.letters("ref").alias("r"), F.col("places").alias("p"))
+    out = rows.select("title", F.explode(zipped).alias("x"))
+    return out.select(F.lit("").alias("pipeline"), "x.p.chrom", "x.p.pos", F.col("x.r").alias("ref"), F.col("title").alias("sample"), F.col("x.a").alias("allele"))
+
+
+def _head(spark: SparkSession, path: str) -> list[str]:
+    first = spark.read.text(path).first()
+    return first[0].split("\t") if first else []
 
 
 def genotypes_to_core(spark: SparkSession, path: str) -> DataFrame:
-    """Long core alleles of a genotype table ``CHROM POS REF ALT TYPE <sample>.GT ...``."""
-    head = spark.read.text(path).first()[0].split("\t")
-    names = F.array(*[F.lit(x[:-3] if x.endswith(".GT") else x) for x in head[5:]])
+    """Long core alleles of a genotype table ``CHROM POS REF ALT TYPE <sample>.GT ...``; fails without six columns."""
+    head = _head(spark, path)
+    if len(head) < 6:
+        raise ValueError(f"{path} needs CHROM, POS, REF, ALT, TYPE and samples")
+    names = F.array(*[F.lit(re.sub(r"(\.GT)+$", "", x)) for x in head[5:]])
     t = text._fields(text.lines(spark, path), 6).where(F.col("line") != "\t".join(head))
     f = text._f
     z = F.arrays_zip(names.alias("s"), F.slice("f", F.lit(6), F.size("f")).alias("g"))
@@ -46,21 +63,37 @@ def _pairs(alleles: DataFrame) -> DataFrame:
     return distances.hamming(alleles, alleles.select("sample").distinct())
 
 
+def nexus_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """The taxa and the rows (n, cells) of the matrix of a Nexus file with a row for each position.
+
+    The block begins after the first line ``matrix`` and ends before the next that begins with ``;`` or ``end``; what stands before and
+    behind it is not read.  Taxa come from the last taxlabels line before the block."""
+    rows = text.lines(spark, path).select("n", F.trim("line", F.lit(" \t\r")).alias("line"))
+    begin = rows.where("line = 'matrix'").agg(F.min("n")).first()[0]
+    if begin is None:
+        raise ValueError(f"{path} has no matrix")
+    labels = rows.where((F.col("n") < begin) & F.startswith("line", F.lit("taxlabels"))).agg(F.max_by("line", "n")).first()[0] or ""
+    names = [x.strip() for x in labels.removeprefix("taxlabels").rstrip(";").split("\t") if x.strip()]
+    end = rows.where((F.col("n") > begin) & (F.startswith("line", F.lit(";")) | F.startswith("line", F.lit("end")))).agg(F.min("n")).first()[0]
+    body = rows.where(F.col("n") > begin)
+    if end is not None:
+        body = body.where(F.col("n") < end)
+    body = body.withColumn("f", F.split("line", "\t")).where(F.size("f") > len(names))
+    return names, body.select("n", F.slice("f", 2, max(1, len(names))).alias("cells"))
+
+
 def nexus_to_distances(spark: SparkSession, path: str) -> DataFrame:
-    """Pair distances of a Nexus matrix with taxa in its taxlabels line and a row for each position; REF is left out."""
-    rows = text.lines(spark, path)
-    labels = rows.where("startswith(trim(lower(line)), 'taxlabels')").first()
-    names = [x.strip().rstrip(";") for x in labels.line.split("\t")[1:] if x.strip().rstrip(";")]
-    start = rows.where("startswith(trim(lower(line)), 'matrix')").agg(F.min("n")).first()[0]
-    body = text._fields(rows.where(F.col("n") > start), len(names) + 1)
-    z = F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("s"), F.slice("f", 2, len(names)).alias("a"))
+    """Pair distances of a Nexus matrix; REF is left out."""
+    names, body = nexus_rows(spark, path)
+    z = F.arrays_zip(F.array(*[F.lit(x) for x in names]).cast("array<string>").alias("s"), F.col("cells").alias("a"))
     long = body.select(F.col("n").alias("pos"), F.explode(z).alias("x")).where("x.s != 'REF'")
-    return _pairs(long.select("pos", F.col("x.s").alias("sample"), F.upper(F.trim("x.a")).alias("allele")))
+    known = spark.createDataFrame([(x,) for x in names if x != "REF"], "sample string")
+    return distances.hamming(long.select("pos", F.col("x.s").alias("sample"), F.substring("x.a", 1, 1).alias("allele")), known)
 
 
 def core_to_distances(spark: SparkSession, path: str) -> DataFrame:
     """Pair distances of a core-allele table; missing cells are N and names stay whole."""
-    head = spark.read.text(path).first()[0].split("\t")
+    head = _head(spark, path)
     names = F.array(*[F.lit(x) for x in head[3:]])
     t = text._fields(text.lines(spark, path), 3).where(F.col("line") != "\t".join(head))
     long = t.select(F.col("n").alias("pos"), F.posexplode(names).alias("i", "sample"), "f")
@@ -74,6 +107,3 @@ def convert(spark: SparkSession, source: str, target: str, *paths: str) -> DataF
     if (source, target) not in CONVERSIONS:
         raise ValueError(f"no conversion from {source} to {target}; there are {sorted(CONVERSIONS)}")
     return CONVERSIONS[source, target](spark, *paths)
-
-
-__all__ = ["convert", "strip_suffix"]

@@ -1,4 +1,4 @@
-"""Writers: reports, BED, wide tables, matrices, FASTA."""
+"""Writers: reports, BED, wide tables, matrices; FASTA is in ``fasta``."""
 
 from __future__ import annotations
 
@@ -90,15 +90,3 @@ def write_quality(lines: DataFrame, report: DataFrame, path: str) -> None:
         report_json(report, path)
     else:
         lines.coalesce(1).sortWithinPartitions("part", "n").select("value").write.mode("overwrite").text(path)
-
-
-def fasta_lines(contigs: DataFrame, name: str, width: int = 60) -> DataFrame:
-    """(value) one FASTA record of all contigs, wrapped."""
-    seq = contigs.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("contig_idx", "sequence"))), lambda x: x["sequence"]), "").alias("s"))
-    body = F.rtrim(F.regexp_replace("s", f"(.{{{width}}})", "$1\n"), F.lit("\n"))
-    return seq.select(F.concat(F.lit(f">{name}\n"), body).alias("value"))
-
-
-def fasta_index(contigs: DataFrame, name: str, width: int = 60) -> DataFrame:
-    """(value) the index line of that record."""
-    return contigs.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).select(F.concat_ws("\t", F.lit(name), F.col("n").cast("string"), F.lit(str(len(name) + 2)), F.lit(str(width)), F.lit(str(width + 1))).alias("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
 from gapweave.functions import variants as va
+from gapweave.sources import fasta as fa
 
 
 def lines(spark: SparkSession, path) -> DataFrame:
@@ -30,30 +31,27 @@ def _f(i: int) -> Column:
 
 def fasta(spark: SparkSession, path, upper: bool = True) -> DataFrame:
     """(sample, contig, contig_idx, length, sequence) of FASTA records; the sample is the file name without
-    .gz and .fa, .fasta or .fna.  A record is a row, so records must fit into memory, files needn't."""
-    t = spark.read.option("lineSep", ">").text(path).where("trim(value) != ''")
-    t = t.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"), F.split("value", "\r?\n", 2).alias("p"))
-    seq = F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), r"\s", "")
-    name = F.regexp_replace(F.regexp_replace("file", r"\.gz$", ""), r"\.(fa|fasta|fna)$", "")
-    from pyspark.sql import Window
-
-    out = t.select(name.alias("sample"), F.element_at(F.split(F.get("p", F.lit(0)), r"\s+"), 1).alias("contig"), "n", (F.upper(seq) if upper else seq).alias("sequence"))
-    idx = F.row_number().over(Window.partitionBy("sample").orderBy("n")) - 1
-    return out.select("sample", "contig", idx.alias("contig_idx"), F.length("sequence").cast("long").alias("length"), "sequence")
+    .gz and .fa, .fasta or .fna.  A record is a row here, so records must fit into one; ``fasta.chunks`` has no such bound."""
+    keys = ("sample", "contig", "contig_idx")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bases"))), lambda x: x["bases"]), "")
+    return fa.chunks(spark, path, upper).groupBy("unit", *keys).agg(whole.alias("sequence")).select(*keys, F.length("sequence").cast("long").alias("length"), "sequence")
 
 
 def reference(spark: SparkSession, path) -> DataFrame:
-    """One row (name, length, sequence): all records joined, named by the last one, case as it is."""
+    """One row (name, length, sequence): all records joined, named by the last one, case as it is.  For sequences that fit into a
+    row; ``fasta.base_rows`` and ``fasta.lines`` take chunks."""
     return fasta(spark, path, upper=False).groupBy().agg(
         F.max_by("contig", "contig_idx").alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("contig_idx", "sequence"))), lambda x: x["sequence"]), "").alias("sequence")
     ).select("name", F.length("sequence").cast("long").alias("length"), "sequence")
 
 
+def _chunks(contigs: DataFrame) -> DataFrame:
+    return contigs if "bases" in contigs.columns else fa.cut(contigs)
+
+
 def ref_base(contigs: DataFrame) -> DataFrame:
-    """(pos, base) over the concatenation, upper-cased; the sequence is split in chunks before it is exploded."""
-    c = iv.offsets(contigs).where("length > 0").withColumn("at", F.explode(F.expr("sequence(0L, length - 1, 65536L)")))
-    chunk = c.select((F.col("offset") + F.col("at")).alias("start"), F.expr("substr(sequence, CAST(at AS INT) + 1, 65536)").alias("s"))
-    return chunk.select("start", F.posexplode(F.split(F.upper("s"), "")).alias("i", "base")).where("base != ''").select((F.col("start") + F.col("i")).alias("pos"), "base")
+    """(pos, base) over the concatenation of records or chunks, upper-cased."""
+    return fa.base_rows(_chunks(contigs))
 
 
 def vcf_rows(spark: SparkSession, path) -> DataFrame:
@@ -191,15 +189,13 @@ def zero_depth_gaps(spark: SparkSession, path) -> DataFrame:
 
 
 def masked_positions(contigs: DataFrame) -> DataFrame:
-    """(sample, pos) 0-based of N in aligned sequences, over the concatenation."""
-    c = iv.offsets(contigs).where("length > 0").withColumn("at", F.explode(F.expr("sequence(0L, length - 1, 65536L)")))
-    chunk = c.select("sample", (F.col("offset") + F.col("at")).alias("start"), F.expr("substr(sequence, CAST(at AS INT) + 1, 65536)").alias("s")).where("contains(upper(s), 'N')")
-    return chunk.select("sample", "start", F.posexplode(F.split("s", "")).alias("i", "b")).where("upper(b) = 'N'").select("sample", (F.col("start") + F.col("i")).alias("pos"))
+    """(sample, pos) 0-based of N in aligned sequences (records or chunks), over the concatenation."""
+    return fa.masked_positions(_chunks(contigs))
 
 
 def masked_gaps(contigs: DataFrame) -> DataFrame:
     """(sample, start, end) 1-based half-open runs of N."""
-    return iv.regions(masked_positions(contigs).withColumn("pos", F.col("pos") + 1), ["sample"])
+    return fa.masked_gaps(_chunks(contigs))
 
 
 def paf(spark: SparkSession, path) -> DataFrame:
