@@ -25,16 +25,23 @@ def low_coverage(reads: DataFrame, ref_len: int, min_depth: int) -> DataFrame:
     return iv.complement(enough, [], spark.createDataFrame([(ref_len,)], "length long"))
 
 
+#: Operations of a CIGAR that are walked in one go; a long one is walked in parts, so its cost stays in proportion.
+OPS = 128
+
+
 def blocks(reads: DataFrame) -> DataFrame:
     """A row per aligned block of a read: its columns, r and q (0-based starts on reference and read) and len.  M, = and X
     align; I and S take read bases only, D and N reference bases only, H and P none."""
-    ops = F.expr("transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 0), x -> named_struct('n', CAST(substr(x, 1, length(x) - 1) AS BIGINT), 'op', right(x, 1)))")
-    walk = F.expr(
-        """aggregate(ops, named_struct('r', pos - 1, 'q', 0L, 'out', CAST(array() AS array<struct<r:bigint,q:bigint,len:bigint>>)),
-        (a, x) -> named_struct('r', a.r + IF(x.op IN ('M', '=', 'X', 'D', 'N'), x.n, 0L), 'q', a.q + IF(x.op IN ('M', '=', 'X', 'I', 'S'), x.n, 0L),
-          'out', IF(x.op IN ('M', '=', 'X'), array_append(a.out, named_struct('r', a.r, 'q', a.q, 'len', x.n)), a.out)), a -> a.out)"""
-    )
-    return reads.withColumn("ops", ops).withColumn("b", F.explode(walk)).select(*reads.columns, "b.r", "b.q", "b.len")
+    place = "CAST(array() AS array<struct<r:bigint,q:bigint,len:bigint>>)"
+    step_r, step_q = "IF(x.op IN ('M', '=', 'X', 'D', 'N'), x.n, 0L)", "IF(x.op IN ('M', '=', 'X', 'I', 'S'), x.n, 0L)"
+    out = reads.withColumn("ops", F.expr("transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 0), x -> named_struct('n', CAST(substr(x, 1, length(x) - 1) AS BIGINT), 'op', right(x, 1)))"))
+    out = out.where("size(ops) > 0").withColumn("parts", F.expr(f"transform(sequence(0, (size(ops) - 1) div {OPS}), b -> slice(ops, CAST(b * {OPS} + 1 AS INT), {OPS}))"))
+    # Where each part begins, then its blocks from there.
+    sums = f"transform(parts, p -> named_struct('r', aggregate(p, 0L, (a, x) -> a + {step_r}), 'q', aggregate(p, 0L, (a, x) -> a + {step_q}), 'len', 0L))"
+    starts = f"aggregate({sums}, named_struct('r', pos - 1, 'q', 0L, 'out', {place}), (a, s) -> named_struct('r', a.r + s.r, 'q', a.q + s.q, 'out', array_append(a.out, named_struct('r', a.r, 'q', a.q, 'len', 0L))), a -> a.out)"
+    walk = f"""flatten(zip_with(parts, starts, (p, s) -> aggregate(p, named_struct('r', s.r, 'q', s.q, 'out', {place}), (a, x) -> named_struct('r', a.r + {step_r}, 'q', a.q + {step_q},
+          'out', IF(x.op IN ('M', '=', 'X'), array_append(a.out, named_struct('r', a.r, 'q', a.q, 'len', x.n)), a.out)), a -> a.out)))"""
+    return out.withColumn("starts", F.expr(starts)).withColumn("b", F.explode(F.expr(walk))).select(*reads.columns, "b.r", "b.q", "b.len")
 
 
 def base_counts(reads: DataFrame, keys: list[str] | None = None, positions: DataFrame | None = None) -> DataFrame:
@@ -69,45 +76,51 @@ def pileup_counts(counts: DataFrame, ref_base: DataFrame, min_depth: int, min_co
     return c.agg(F.count_if(~F.col("call").isin("-", "N") & (F.col("call") != F.upper("base"))).alias("snps"), F.count_if(F.col("call") != "-").alias("covered"))
 
 
-def decode_bases(bases: str, ref: str) -> str:
-    """The read bases of an mpileup column.  After the number of an insertion or deletion one character more is skipped
-    than it says, as the consensus this answers to does."""
-    out, i, n = [], 0, len(bases)
-    while i < n:
-        c = bases[i]
-        if c in ".,":
-            out.append(ref.upper())
-        elif c == "^":
-            i += 1
-        elif c in "+-":
-            j = i + 1
-            while j < n and bases[j].isdigit():
-                j += 1
-            i = j + int(bases[i + 1 : j] or 0)
-        elif c.upper() in "ACGT":
-            out.append(c.upper())
-        i += 1
-    return "".join(out)
+def _walk_bases(bases: Column, ref: Column, start: Column, add) -> Column:
+    """Folds ``add(out, base)`` over the read bases of an mpileup column.
+
+    One pass over its characters: ``^`` takes the quality behind it along, an insertion or deletion the characters that its number
+    names and one more, as the consensus this answers to does.  mode 1 is behind ``^``, 2 within a number."""
+    number = lambda x: x.cast("int")
+    state = F.struct(F.lit(0).alias("skip"), F.lit(0).alias("mode"), F.lit(0).alias("n"), start.alias("out"))
+
+    def step(a, c):
+        upper = F.upper(c)
+        base = F.when(c.isin(".", ","), F.upper(ref)).when(upper.isin("A", "C", "G", "T"), upper)
+        digit = c.between("0", "9")
+        mode = F.when((a["mode"] == 2) & digit, 2).when(a["mode"] != 0, 0).when(c == "^", 1).when(c.isin("+", "-"), 2).otherwise(0)
+        read = F.when((a["skip"] > 0) | (a["mode"] != 0) | base.isNull(), a["out"]).otherwise(add(a["out"], base))
+        skip = F.when(a["skip"] > 0, a["skip"] - 1).when((a["mode"] == 2) & ~digit, a["n"]).otherwise(0)
+        n = F.when((a["mode"] == 2) & digit, a["n"] * 10 + F.when(digit, c).otherwise("0").try_cast("int")).otherwise(0)
+        return F.struct(number(skip).alias("skip"), number(F.when(a["skip"] > 0, 0).otherwise(mode)).alias("mode"), number(F.when(a["skip"] > 0, 0).otherwise(n)).alias("n"), read.alias("out"))
+
+    return F.aggregate(F.filter(F.split(bases, ""), lambda x: x != ""), state, step, lambda a: a["out"])
 
 
 def decoded(bases: Column, ref: Column) -> Column:
-    return F.udf(decode_bases, "string", useArrow=True)(bases, ref)
+    """The read bases of an mpileup column as text."""
+    return _walk_bases(bases, ref, F.lit(""), lambda out, base: F.concat(out, base))
+
+
+def read_base_counts(bases: Column, ref: Column) -> Column:
+    """struct<A, C, G, T> of the read bases of an mpileup column, in time proportional to its depth."""
+    zero = F.struct(*[F.lit(0).alias(b) for b in "ACGT"])
+    return _walk_bases(bases, ref, zero, lambda out, base: F.struct(*[(out[b] + (base == b).cast("int")).alias(b) for b in "ACGT"]))
 
 
 def mpileup_consensus(rows: DataFrame, least: int = 3) -> DataFrame:
     """(sample, chrom, pos, base): the most common base of mpileup rows (sample, chrom, pos, ref, bases) with ``least`` reads
     or more, null for fewer; ties go to the first letter."""
-    d = rows.select("sample", "chrom", "pos", F.split(decoded(F.col("bases"), F.col("ref")), "").alias("b"))
-    kinds = F.array(*[F.struct(F.size(F.expr(f"filter(b, x -> x = '{c}')")).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("base")) for i, c in enumerate("ACGT")])
-    top = F.array_max(kinds)
-    total = F.size(F.expr("filter(b, x -> x != '')"))
+    d = rows.select("sample", "chrom", "pos", read_base_counts(F.col("bases"), F.col("ref")).alias("c"))
+    top = F.array_max(F.array(*[F.struct(F.col(f"c.{b}").alias("n"), F.lit(-i).alias("o"), F.lit(b).alias("base")) for i, b in enumerate("ACGT")]))
+    total = F.col("c.A") + F.col("c.C") + F.col("c.G") + F.col("c.T")
     return d.select("sample", "chrom", "pos", F.when((total >= least) & (top["n"] > 0), top["base"]).alias("base"))
 
 
 def alignment_metrics(alignments: DataFrame, offsets: DataFrame, ref_len: int) -> DataFrame:
     """(sample, identity, coverage, merged_coverage) of PAF rows (sample, target, target_start, target_end, matches, block) on
     concatenated contigs (contig, offset): coverage sums spans, overlaps counted twice, at most 1; merged doesn't."""
-    a = alignments.join(F.broadcast(offsets.select(F.col("contig").alias("target"), "offset")), "target")
+    a = alignments.join(offsets.select(F.col("contig").alias("target"), "offset"), "target")
     a = a.withColumn("start", F.col("target_start") + F.col("offset")).withColumn("end", F.col("target_end") + F.col("offset"))
     m = iv.merge(a, ["sample"]).groupBy("sample").agg((F.sum(F.col("end") - F.col("start")) / ref_len).alias("merged_coverage"))
     g = a.groupBy("sample").agg((F.sum("matches") / F.sum("block")).alias("identity"), F.least(F.sum(F.col("end") - F.col("start")) / ref_len, F.lit(1.0)).alias("coverage"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
+from gapweave.sources.store import stored
 
 KEYS = ["sample", "chrom", "pos"]
 
@@ -16,7 +17,7 @@ def positions(a: DataFrame, b: DataFrame, gaps: DataFrame | None, name_a: str, n
 
     ``hints`` maps part of a pipeline's name to what to say of an unexplained miss in it."""
     common = a.select("sample").distinct().join(b.select("sample").distinct(), "sample")
-    side = lambda d, p: d.join(F.broadcast(common), "sample", "left_semi").select(*KEYS, F.col("alt").alias(f"{p}_alt"), F.col("qual").alias(f"{p}_qual"), F.col("depth").alias(f"{p}_depth"), F.col("af").alias(f"{p}_af"))
+    side = lambda d, p: d.join(common, "sample", "left_semi").select(*KEYS, F.col("alt").alias(f"{p}_alt"), F.col("qual").alias(f"{p}_qual"), F.col("depth").alias(f"{p}_depth"), F.col("af").alias(f"{p}_af"))
     j = side(a, "a").join(side(b, "b"), KEYS, "full_outer")
     status = F.when(F.col("a_alt").isNull(), "OnlyPipelineB").when(F.col("b_alt").isNull(), "OnlyPipelineA").when(F.col("a_alt") == F.col("b_alt"), "Concordant").otherwise("DiscordantAllele")
     j = j.withColumn("status", status)
@@ -103,6 +104,36 @@ def page(pos: DataFrame, number: int, size: int, sample: str = "all", status: st
     return rows.orderBy(*KEYS).offset(number * size).limit(size).crossJoin(F.broadcast(total))
 
 
+def pages(rows: DataFrame, order: list[tuple[str, bool]], size: int) -> DataFrame:
+    """The rows with ``place`` (from 0) in the order of (column, ascending) pairs, and ``page``; nulls come last.
+
+    The rows are written once, dealt to ranges of the order and sorted within each; a place is that in the range plus the sizes
+    of the ranges before, so no task sorts the whole table and any page is a filter.  Name enough columns to make the order
+    definite."""
+    if size < 1:
+        raise ValueError("the page size must be positive")
+    by = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in order]
+    sorted_rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    kept = stored(sorted_rows.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "pages")
+    sizes = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = kept.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("place", F.col("_before") + F.col("_n"))
+    return out.withColumn("page", F.expr(f"place div {size}")).drop("_part", "_n", "_before")
+
+
+def after(rows: DataFrame, order: list[tuple[str, bool]], size: int, last: dict | None = None) -> DataFrame:
+    """The next ``size`` rows behind the row with the values ``last`` (the first ones without): a filter and a top-k, whatever
+    the number of pages before.  The columns of the order hold no nulls."""
+    by = [F.asc(c) if up else F.desc(c) for c, up in order]
+    if last is not None:
+        behind = F.lit(False)
+        for c, up in reversed(order):
+            further = F.col(c) > F.lit(last[c]) if up else F.col(c) < F.lit(last[c])
+            behind = further | ((F.col(c) == F.lit(last[c])) & behind)
+        rows = rows.where(behind)
+    return rows.orderBy(*by).limit(size)
+
+
 def compare_filtered(gaps: DataFrame, filtered: DataFrame) -> DataFrame:
     """(sample, gap_bases, filtered_bases, concordant_bases, gap_only_bases, filtered_only_bases, concordance_pct) of gap
     intervals against the intervals that a caller masked, for samples with both kinds of input."""

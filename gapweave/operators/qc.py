@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
+from gapweave.sources import fasta
 
 
 def unique_shared(gaps: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,6 +23,13 @@ def unique_shared(gaps: DataFrame, keys: list[str]) -> DataFrame:
     return hit.groupBy(*keys, "sample").agg(F.sum(F.when(F.col("k") == 1, size).otherwise(0)).alias("unique_bases"), F.sum(F.when(F.col("k") > 1, size).otherwise(0)).alias("shared_bases"))
 
 
+def unique_regions(gaps: DataFrame) -> DataFrame:
+    """(sample, start, end): the maximal runs in which a sample is gapped alone; ``gaps`` merged by sample."""
+    alone = iv.sweep(gaps, []).where("k = 1").select("start", "end")
+    hit = iv.overlapping(gaps.select("sample", "start", "end"), alone, [])
+    return iv.merge(hit.select("sample", F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end")), ["sample"])
+
+
 def pairwise_gaps(gaps: DataFrame, samples: DataFrame, keys: list[str], ref_len: int) -> DataFrame:
     """(keys, a, b, gap_union, gap_intersection, quality, unique_a, unique_b, core) of every pair of
     ``samples`` (keys, sample).  Quality is the intersection over the union, 1 if there is no gap."""
@@ -138,10 +146,25 @@ def n50(contigs: DataFrame) -> DataFrame:
     return c.groupBy("sample").agg(F.count(F.lit(1)).alias("n_contigs"), F.max("total").cast("long").alias("total_length"), F.max(F.when(F.expr("run >= total div 2"), F.col("length"))).alias("n50"))
 
 
+#: Letters that are hashed at once.
+PIECE = 1 << 16
+
+
 def content_duplicates(contigs: DataFrame) -> DataFrame:
-    """(sample, digest, keep): md5 of the sorted upper-cased contigs; the first sample of each is kept."""
-    d = contigs.groupBy("sample").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.upper("sequence"))), "")).alias("digest"))
-    return d.withColumn("keep", F.row_number().over(Window.partitionBy("digest").orderBy("sample")) == 1)
+    """(sample, digest, keep) of records (sample, contig_idx, sequence) or chunks (sample, contig_idx, at, bases): samples of the same
+    upper-cased contigs, in any order and under any names, have one digest; the first sample of each is kept.
+
+    Letters are hashed where they are, in pieces at fixed places of a contig; a contig's digest is that of its pieces' in
+    order, a sample's that of its contigs' sorted, so no row holds a sequence."""
+    joint = lambda c, order: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["d"]), ""))
+    parts = contigs if "bases" in contigs.columns else fasta.cut(contigs)
+    pieces = fasta.pieces(parts, "at", PIECE, ["sample", "contig_idx"]).select("sample", "contig_idx", "k", F.md5(F.upper("bases")).alias("d"))
+    each = pieces.groupBy("sample", "contig_idx").agg(joint("d", F.struct("k", "d")).alias("d"))
+    own = each.groupBy("sample").agg(joint("d", F.struct("d")).alias("digest"))
+    # A sample without a letter has no piece.
+    d = parts.select("sample").distinct().join(own, "sample", "left").withColumn("digest", F.coalesce("digest", F.md5(F.lit(""))))
+    first = d.groupBy("digest").agg(F.min("sample").alias("_first"))
+    return d.join(first, "digest").select("sample", "digest", (F.col("sample") == F.col("_first")).alias("keep"))
 
 
 def median_upper(values: str):

@@ -22,7 +22,7 @@ class Comparison:
     def __init__(self, calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, samples: DataFrame, ref_len: int, truth_id: str | None = None, core: DataFrame | None = None, coord_compat: bool = True, about: DataFrame | None = None, distances: DataFrame | None = None, warnings: DataFrame | None = None):
         self.spark: SparkSession = calls.sparkSession
         self.ref_len, self.samples, self.truth_id, self.core = ref_len, samples, truth_id, core
-        self.given_calls, self.given_gaps = calls, gaps
+        self.given_calls, self.given_gaps, self.ref_base = calls, gaps, ref_base
         self.distances, self.warnings = distances, warnings
         self.n = samples.count()
         order = [c for c in ("n", "i") if c in calls.columns]
@@ -79,19 +79,22 @@ class Comparison:
         return out.withColumn("ref_length", F.lit(self.ref_len)).withColumn("schema_version", F.lit("2.0"))
 
     def data(self) -> DataFrame:
-        """(sample, pipeline, kind, start, end, ref, alt, qual, dp) a row for each call (``snp``) and gap as they were given;
+        """(sample, pipeline, kind, start, end, ref, alt, qual, dp, n, i) a row for each call (``snp``) and gap as they were given;
         calls move to 1-based positions, gaps stay as in their files.  What the calls lack is null."""
         have = lambda c, kind: (F.col(c) if c in self.given_calls.columns else F.lit(None)).cast(kind).alias(c)
         own = ("sample", "pipeline")
         pos = (F.col("pos") + 1).cast("long")
-        snps = self.given_calls.select(*own, F.lit("snp").alias("kind"), pos.alias("start"), (pos + 1).alias("end"), have("ref", "string"), have("alt", "string"), have("qual", "double"), have("dp", "long"))
+        snps = self.given_calls.select(*own, F.lit("snp").alias("kind"), pos.alias("start"), (pos + 1).alias("end"), have("ref", "string"), have("alt", "string"), have("qual", "double"), have("dp", "long"), have("n", "long"), have("i", "int"))
         gaps = self.given_gaps.select(*own, F.lit("gap").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
         return snps.unionByName(gaps, allowMissingColumns=True)
 
     def write(self, path: str, dashboard: bool = False) -> None:
         """The report as JSON at ``path``, and beside it at ``<path>.data`` a line of JSON for each call and gap, sorted over as
-        many files as there are partitions; a dashboard leaves these out."""
+        many files as there are partitions, and at ``<path>.reference`` the reference in chunks; a dashboard leaves these out.
+        ``report.written`` reads all three."""
         sinks.report_json(self.report(), path)
         if not dashboard:
+            chunk = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "")
+            self.ref_base.groupBy(F.expr("pos div 65536").alias("k")).agg(F.min("pos").alias("start"), chunk.alias("bases")).drop("k").write.mode("overwrite").json(f"{path}.reference")
             order = ("sample", "pipeline", "kind", "start", "end")
             self.data().repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(f"{path}.data")

@@ -42,8 +42,7 @@ def alignment_to_core(spark: SparkSession, positions: str, reference: str, align
 
 
 def _head(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).first()
-    return first[0].split("\t") if first else []
+    return text.first_line(spark, path).split("\t")
 
 
 def genotypes_to_core(spark: SparkSession, path: str) -> DataFrame:
@@ -68,16 +67,16 @@ def nexus_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
 
     The block begins after the first line ``matrix`` and ends before the next that begins with ``;`` or ``end``; what stands before and
     behind it is not read.  Taxa come from the last taxlabels line before the block."""
-    rows = text.lines(spark, path).select("n", F.trim("line", F.lit(" \t\r")).alias("line"))
-    begin = rows.where("line = 'matrix'").agg(F.min("n")).first()[0]
-    if begin is None:
+    rows = fasta.numbered(spark, path, joined=True).select(F.struct("seg", "n").alias("n"), F.trim("line", F.lit(" \t\r")).alias("line"))
+    first = lambda found: rows.where(found).agg(F.min("n").alias("n"))
+    begin = first(F.col("line") == "matrix")
+    if begin.first().n is None:
         raise ValueError(f"{path} has no matrix")
-    labels = rows.where((F.col("n") < begin) & F.startswith("line", F.lit("taxlabels"))).agg(F.max_by("line", "n")).first()[0] or ""
+    rows = rows.crossJoin(F.broadcast(begin.withColumnRenamed("n", "_begin")))
+    labels = rows.where((F.col("n") < F.col("_begin")) & F.startswith("line", F.lit("taxlabels"))).agg(F.max_by("line", "n")).first()[0] or ""
     names = [x.strip() for x in labels.removeprefix("taxlabels").rstrip(";").split("\t") if x.strip()]
-    end = rows.where((F.col("n") > begin) & (F.startswith("line", F.lit(";")) | F.startswith("line", F.lit("end")))).agg(F.min("n")).first()[0]
-    body = rows.where(F.col("n") > begin)
-    if end is not None:
-        body = body.where(F.col("n") < end)
+    end = first((F.col("n") > F.col("_begin")) & (F.startswith("line", F.lit(";")) | F.startswith("line", F.lit("end")))).withColumnRenamed("n", "_end")
+    body = rows.crossJoin(F.broadcast(end)).where((F.col("n") > F.col("_begin")) & (F.col("_end").isNull() | (F.col("n") < F.col("_end"))))
     body = body.withColumn("f", F.split("line", "\t")).where(F.size("f") > len(names))
     return names, body.select("n", F.slice("f", 2, max(1, len(names))).alias("cells"))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gapweave.functions import variants as va
 from gapweave.operators import alignments, features
-from gapweave.plans import convert
 from gapweave.plans.views import Views
 from gapweave.sources import sinks, text
 from gapweave.sources.store import shared_path
@@ -32,16 +31,6 @@ def scratch(v: Views, name: str) -> str:
     return shared_path(v.spark, name)
 
 
-def written(v: Views, lines: DataFrame, name: str, head: str | None = None) -> str:
-    """Writes lines as one text file under a head line, and gives its folder."""
-    path = scratch(v, name)
-    rows = lines.select(F.lit(1).alias("o"), F.col(lines.columns[0]).alias("value"))
-    if head is not None:
-        rows = v.spark.createDataFrame([(0, head)], "o int, value string").unionByName(rows)
-    rows.repartition(1).sortWithinPartitions("o", "value").select("value").write.text(path)
-    return path
-
-
 def as_lines(rows: DataFrame, *cells: str, file: str = "'x/a.vcf'", order: str = "1L") -> DataFrame:
     """Lines as the readers take them: (file, n, line)."""
     parts = ", ".join(f"CAST({c} AS STRING)" for c in cells)
@@ -253,13 +242,13 @@ def gff_features(v):
 
 @query(
     "core_table_round_trip",
-    """SELECT 'S' || u.i AS sample, o_orderkey AS pos, CASE WHEN o_custkey % 6 = u.i THEN 'T' ELSE substr('ACG', CAST(1 + o_orderkey % 3 AS INT), 1) END AS allele FROM orders, (SELECT unnest(range(3)) AS i) u""",
+    """SELECT 'S' || u.i AS sample, o_orderkey AS pos, CASE WHEN o_custkey % 6 = u.i THEN 'T' ELSE substr('ACG', CAST(1 + o_orderkey % 3 AS INT), 1) END AS allele FROM orders, (SELECT unnest(range(6)) AS i) u""",
 )
 def core_table_round_trip(v):
     """A wide core table is written as text and read again."""
     o = v.table("orders").selectExpr("'c1' AS chrom", "o_orderkey AS pos", "substr('ACG', CAST(1 + o_orderkey % 3 AS INT), 1) AS ref", "concat('S', o_custkey % 6) AS sample", "'T' AS allele")
-    wide = sinks.core_wide(o, ["S0", "S1", "S2"])
-    path = written(v, wide.select(F.concat_ws("\t", *wide.columns)), "core.tsv", "\t".join(["CHR", "POS", "REF", "S0_snippy", "S1_snippy_snippy", "S2"]))
+    path = scratch(v, "core.tsv")
+    sinks.tsv(sinks.core_wide(o, [f"S{i}" for i in range(6)]), path, ["CHR", "POS"], ["CHR", "POS", "REF", "S0_snippy", "S1_snippy_snippy", "S2", "S3", "S4", "S5_snippy"])
     return text.core_snps(v.spark, path, "p").select("sample", "pos", "allele")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,26 +36,72 @@ def bed_files(gaps: DataFrame, chrom: str, path: str) -> None:
     lines.sortWithinPartitions("sample", "value").write.mode("overwrite").partitionBy("sample").text(path)
 
 
+def bed_set(rows: DataFrame, name: Column, chrom: str, label: Column, description, color: str) -> DataFrame:
+    """(name, n, start, value) the lines of a BED file for each ``name``, headed by a track line; ``description`` makes its text of the
+    numbers of regions and bases, n is 0 for that line."""
+    r = rows.withColumn("name", name)
+    size = F.greatest(F.col("end") - F.col("start"), F.lit(0))
+    lines = r.select("name", F.lit(1).alias("n"), F.col("start").cast("long").alias("start"), F.concat_ws("\t", F.lit(chrom), F.col("start").cast("string"), F.col("end").cast("string"), label).alias("value"))
+    heads = r.groupBy("name").agg(F.count(F.lit(1)).alias("regions"), F.sum(size).alias("bases"))
+    text = F.concat(F.lit('track name="'), "name", F.lit('" description="'), description(F.col("name"), F.col("regions"), F.col("bases")), F.lit(f'" color={color}'))
+    return heads.select("name", F.lit(0).alias("n"), F.lit(0).cast("long").alias("start"), text.alias("value")).unionByName(lines)
+
+
+#: Colours of the track lines of BED sets by kind, fixed values.
+TRACK_RGB = {"unique": "255,0,0", "mm2": "233,69,96", "snippy": "59,130,246", "cfsan": "16,185,129", "snp_only": "234,88,12"}
+
+
+def bed_sets(chrom: str, unique: DataFrame, gaps: dict[str, DataFrame], snp_only: DataFrame | None = None, only: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(name, n, start, value) of all BED files of a report, of its first word as the sequence name.
+
+    ``unique``: (sample, start, end) gapped in one sample alone, all in ALL_UNIQUE_GAPS.  ``gaps``: such rows by kind (mm2, snippy,
+    cfsan), a file for each sample.  ``snp_only``: regions that only the callers leave out, used where there are no snippy gaps.
+    ``only``: the calls (sample, pos, ref, alt) of one side alone by kind (snippy, cfsan).  A file without rows isn't there."""
+    chrom = chrom.split()[0] if chrom.split() else chrom
+    regions = lambda kind: lambda name, n, bases: F.concat(F.regexp_replace(name, f"_{kind}_gaps$", ""), F.format_string(f" - {TITLES[kind]} gaps (%d regions, %d bp)", n, bases))
+    out = bed_set(unique, F.lit("ALL_UNIQUE_GAPS"), chrom, F.col("sample"), lambda name, n, bases: F.format_string("All unique gaps (%d regions, %d bp total)", n, bases), TRACK_RGB["unique"])
+    for kind, rows in gaps.items():
+        out = out.unionByName(bed_set(rows, F.concat("sample", F.lit(f"_{kind}_gaps")), chrom, F.lit(f"{kind}_gap"), regions(kind), TRACK_RGB[kind]))
+    if snp_only is not None and "snippy" not in gaps:
+        text = lambda name, n, bases: F.concat(F.regexp_replace(name, "_snp_only$", ""), F.format_string(" - SNP-only gaps (%d regions, %d bp)", n, bases))
+        out = out.unionByName(bed_set(snp_only, F.concat("sample", F.lit("_snp_only")), chrom, F.lit("snp_pipeline_gap"), text, TRACK_RGB["snp_only"]))
+    for kind, rows in (only or {}).items():
+        shown = F.concat("sample", F.lit(":"), F.coalesce("ref", F.lit("?")), F.lit(">"), F.coalesce("alt", F.lit("?")))
+        places = rows.withColumn("start", F.greatest(F.col("pos") - 1, F.lit(0))).withColumn("end", F.col("pos"))
+        out = out.unionByName(bed_set(places, F.lit(f"SNP_{TITLES[kind]}_only"), chrom, shown, lambda name, n, bases, kind=kind: F.format_string(f"{TITLES[kind]}-only SNPs (%d positions)", n), TRACK_RGB[kind]))
+    return out
+
+
+TITLES = {"mm2": "mm2", "snippy": "Snippy", "cfsan": "CFSAN"}
+
+
+def write_bed_sets(rows: DataFrame, path: str) -> None:
+    """All files in one pass, a folder ``name=...`` for each with its lines in order by the names of its parts."""
+    order = ("name", "n", "start", "value")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
+
+
 def core_wide(core: DataFrame, samples: list[str]) -> DataFrame:
     """``CHR POS REF s1 s2 ...``, positions 1-based; a missing allele is the reference."""
     wide = core.groupBy("chrom", "pos", "ref").pivot("sample", samples).agg(F.first("allele"))
-    return wide.select(F.col("chrom").alias("CHR"), (F.col("pos") + 1).alias("POS"), F.col("ref").alias("REF"), *[F.coalesce(F.col(f"`{s}`"), F.col("ref")).alias(s) for s in samples]).orderBy("CHR", "POS")
+    return wide.select(F.col("chrom").alias("CHR"), (F.col("pos") + 1).alias("POS"), F.col("ref").alias("REF"), *[F.coalesce(F.col(f"`{s}`"), F.col("ref")).alias(s) for s in samples])
 
 
-def tsv(table: DataFrame, path: str, head: list[str] | None = None) -> None:
-    """Cells joined by tabs as they are, never quoted, in the order of the rows under one line of names; null is
-    empty.  One file is one task."""
-    lines = table.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in table.columns]).alias("value"))
+def tsv(table: DataFrame, path: str, order: list[str], head: list[str] | None = None) -> None:
+    """Cells joined by tabs as they are, never quoted, under one line of names; null is empty.  The rows are dealt to files by
+    ranges of ``order``, so the table is the files in the order of their names."""
+    cells = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in table.columns])
+    rows = table.select(F.lit(1).alias("_n"), *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)], cells.alias("value"))
     first = "\t".join(table.columns if head is None else head)
-    numbered = lines.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("n"), "value")
-    start = table.sparkSession.createDataFrame([(0, first)], "n long, value string")
-    start.unionByName(numbered).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    start = table.sparkSession.createDataFrame([(0, first)], "_n int, value string")
+    by = ["_n", *[f"_o{i}" for i in range(len(order))]]
+    rows.unionByName(start, allowMissingColumns=True).repartitionByRange(*by).sortWithinPartitions(*by).select("value").write.mode("overwrite").text(path)
 
 
 def matrix(pairs_square: DataFrame, samples: list[str], path: str, value: str = "distance") -> None:
     """A distance matrix with an empty corner cell."""
-    wide = pairs_square.groupBy("row").pivot("col", samples).agg(F.first(value)).orderBy("row")
-    tsv(wide, path, ["", *samples])
+    wide = pairs_square.groupBy("row").pivot("col", samples).agg(F.first(value))
+    tsv(wide, path, ["row"], ["", *samples])
 
 
 def quality_tsv(scored: DataFrame) -> DataFrame:

@@ -21,6 +21,13 @@ def lines(spark: SparkSession, path) -> DataFrame:
     return t.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, or of the first file of a folder by name."""
+    files = sorted(spark.read.text(path).inputFiles())
+    row = spark.read.text(files[0]).first() if files else None
+    return row[0] if row is not None else ""
+
+
 def _fields(df: DataFrame, least: int) -> DataFrame:
     return df.withColumn("f", F.split("line", "\t")).where(F.size("f") >= least)
 
@@ -148,23 +155,23 @@ def sample_name(file: Column) -> Column:
 def core_tsv(spark: SparkSession, path, pipeline: str = "") -> DataFrame:
     """Long form (pipeline, chrom, pos, ref, sample, allele, n, i) of a wide ``CHR POS REF s1 s2 ...`` table; repeated
     ``_snippy`` endings of sample names go, rows with under 4 columns or position 0 too.  n is the line, i the column."""
-    head = spark.read.text(path).first()
-    if head is None or not head[0].startswith("CHR\t"):
+    head = first_line(spark, path)
+    if not head.startswith("CHR\t"):
         raise ValueError(f"{path} has no CHR header parted by tabs")
-    names = F.array(*[F.lit(x) for x in head[0].rstrip("\r\n").split("\t")[3:]])
+    names = F.array(*[F.lit(x) for x in head.rstrip("\r\n").split("\t")[3:]])
     rows = _fields(lines(spark, path).where("NOT startswith(line, 'CHR\t')"), 4)
     z = F.arrays_zip(names.alias("s"), F.slice("f", F.lit(4), F.size("f")).alias("a"))
     out = rows.withColumn("p", _f(1).try_cast("long")).where("p >= 1").select("n", _f(0).alias("chrom"), (F.col("p") - 1).alias("pos"), _f(2).alias("ref"), F.posexplode(z).alias("i", "x"))
     return out.where("x.s IS NOT NULL AND x.a IS NOT NULL").select(F.lit(pipeline).alias("pipeline"), "chrom", "pos", "ref", va.strip_suffix(F.col("x.s"), "_snippy").alias("sample"), F.col("x.a").alias("allele"), "n", "i")
 
 
-#: Readers of core-allele tables by what their first line starts with.
+#: Readers of core-allele tables by what their first line starts with; ``datasource`` has the same table as a format of Spark's.
 CORE_READERS = {"CHR\t": core_tsv}
 
 
 def core_snps(spark: SparkSession, path, pipeline: str = "") -> DataFrame:
     """Reads a core-allele table with the first reader that knows its header."""
-    head = (spark.read.text(path).first() or [""])[0]
+    head = first_line(spark, path)
     for start, reader in CORE_READERS.items():
         if head.startswith(start):
             return reader(spark, path, pipeline)
@@ -249,9 +256,9 @@ def snp_list(spark: SparkSession, path) -> DataFrame:
 def distance_matrix(spark: SparkSession, path, strict: bool = True) -> DataFrame:
     """Long (row, col, distance) of a matrix file; a cell that doesn't parse counts 0.  ``strict`` drops rows of
     another width and fails if the number of rows isn't that of samples; else ``_snippy`` endings go."""
-    head = spark.read.text(path).first()
-    names = [x.strip() for x in (head[0] if head else "").split("\t")[1:]]
-    t = lines(spark, path).withColumn("f", F.split("line", "\t")).where(F.size("f") >= 2).where(F.col("line") != (head[0] if head else ""))
+    head = first_line(spark, path)
+    names = [x.strip() for x in head.split("\t")[1:]]
+    t = lines(spark, path).withColumn("f", F.split("line", "\t")).where(F.size("f") >= 2).where(F.col("line") != head)
     if strict:
         t = t.where(F.size("f") == len(names) + 1)
         if t.count() != len(names):

@@ -1,6 +1,6 @@
 import pytest
 
-from gapweave.plans import queries, reader_queries, text_queries
+from gapweave.plans import queries, reader_queries, source_queries, text_queries
 from tests.oracle import DATA, connect, same
 
 
@@ -27,3 +27,8 @@ def test_text_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(reader_queries.QUERIES))
 def test_reader_against_sql(spark, con, name):
     same(reader_queries.QUERIES[name](spark, DATA), con, reader_queries.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(source_queries.QUERIES))
+def test_source_against_sql(spark, con, name):
+    same(source_queries.QUERIES[name](spark, DATA), con, source_queries.ORACLES[name])
