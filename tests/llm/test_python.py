@@ -410,3 +410,22 @@ def test_nearest_at_any_magnitude(scale):
         order = [i for i in np.lexsort((ids, d)) if i != q][:10]
         hits += len(set(order) & set(got[q]))
     assert hits >= 0.9 * 300
+
+
+def test_page_names_inside_the_article(spark):
+    """Names of headings, paragraphs, list items and of a container with most of the text are no marks there."""
+    inside = '<article><h2 id="menu">Menu</h2><p>Soup</p><h2 id="comments">Comments on the law</h2><p>x</p><p class="copyright">C</p><section class="related">Rel</section><p id="notice">N</p><ul><li class="ad">L</ul><div class="comments">I disagree</div></article>'
+    assert html.main_text(inside) == "Menu\nSoup\nComments on the law\nx\nC\nRel\nN\nL"
+    assert html.main_text('<article><h1>T</h1><div class="ads"><p>A long story about adverts.</p></div></article>') == "T\nA long story about adverts."
+    assert html.main_text('<article><div class="ads" hidden>A long story.</div>B</article>') == "B"
+    assert html.main_text("<article>" + '<div class="ad">' * 20_000 + "x" + "</article>") == "x"
+
+
+def test_page_text_of_one_id_on_two_hosts(spark):
+    """Copies of a page under one page_id, templates on one of its hosts only: both ways of joining agree."""
+    page = "<body><div>Tell</div><p>Story {}</p></body>"
+    rows = [(i, f"http://{h}.org/{i}", page.format(i)) for i in range(6) for h in ("a", "b") if h == "a" or i == 0] + [(None, "http://a.org/0", page.format(0)), (7, "http://a.org/7", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted((str(r.page_id), r.url, r.text) for r in html.extract(d, broadcast_rows=bound).collect()) for bound in (1000, 0)]
+    assert got[0] == got[1]
+    assert ("0", "http://b.org/0", "Tell\nStory 0") in got[0] and ("0", "http://a.org/0", "Story 0") in got[0]
