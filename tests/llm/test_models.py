@@ -268,3 +268,24 @@ def test_stage_edges(spark, odd, k):
     want = {"language": ["1", "1", "4", "5", "None"], "near_duplicates": ["1", "1", "2", "3", "4", "5", "None"]}
     assert ids(out) == want.get(name, ["1", "1", "2", "3", "4", "5", "None"])
     assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_nearest_in_cells(spark, monkeypatch):
+    """Clustered vectors: few cells are visited, a crowded cell has several shards, stored graphs serve several blocks of queries."""
+    monkeypatch.setattr(ann, "QUERIES", 8)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 6)) * 10
+    x = np.concatenate([centres[rng.integers(0, 12, 2400)] + rng.normal(size=(2400, 6)), np.repeat(centres[:1], 600, 0)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cells = ann.fit_cells(ann.usable(rows), {6: len(x)}, 250, 10)[6]
+    assert len(cells.c) == 12 and cells.probes <= 6
+    got = collections.defaultdict(list)
+    for r in ann.nearest(rows, rows.where("vec_id % 50 = 0"), shard=250).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 50):
+        d = ann.exact_distances(x, x[q])
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        hits += len(set(order) & set(got[q]))
+    assert hits >= 0.95 * 10 * 60
+    assert got[2400][:3] == [2401, 2402, 2403]
