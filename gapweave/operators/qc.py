@@ -167,6 +167,13 @@ def content_duplicates(contigs: DataFrame) -> DataFrame:
     return d.join(first, "digest").select("sample", "digest", (F.col("sample") == F.col("_first")).alias("keep"))
 
 
+def duplicate_groups(found: DataFrame) -> DataFrame:
+    """(sample, n, samples) over ``content_duplicates``: each sample that is kept, with how many have its content and their names,
+    sorted and joined by commas.  A group's names are one row."""
+    g = found.groupBy("digest").agg(F.min("sample").alias("sample"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("sample")), ",").alias("samples"))
+    return g.select("sample", "n", "samples")
+
+
 def median_upper(values: str):
     """The upper median: the element at n div 2 of the sorted values."""
     return F.expr(f"element_at(array_sort(collect_list({values})), CAST(count({values}) div 2 AS INT) + 1)")

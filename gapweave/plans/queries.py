@@ -508,7 +508,7 @@ def affected_features(v):
 
 @query("features_in_gaps", " SELECT sample, name, feature_type, product, overlap_bp, overlap_pct FROM af", FEAT)
 def features_in_gaps(v):
-    return affected_features(v)
+    return affected_features(v).drop("start")
 
 
 @query("gene_zones", """ SELECT m.sample, count(*) FILTER (feature_type = 'gene') AS affected_genes, count(*) FILTER (feature_type = 'CDS') AS affected_cds, count(*) FILTER (feature_type = 'gene' AND overlap_pct >= 99.9) AS removed_genes,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
-from gapweave.operators import alignments, callsets, qc, sites, viewer
+from gapweave.operators import alignments, callsets, features, qc, viewer
 from gapweave.plans import convert
 from gapweave.plans import queries as core
 from gapweave.plans import text_queries as lines
@@ -85,6 +85,14 @@ def content_duplicates(v):
     return qc.content_duplicates(both)
 
 
+@query(
+    "duplicate_groups",
+    f"WITH d AS (SELECT s, least(a, b) || greatest(a, b) AS d FROM (SELECT s, md5(upper(x)) AS a, md5(y) AS b FROM ({_TWINS}))) SELECT lpad(CAST(min(s) AS VARCHAR), 9, '0') AS sample, count(*) AS n, string_agg(lpad(CAST(s AS VARCHAR), 9, '0'), ',' ORDER BY s) AS samples FROM d GROUP BY d",
+)
+def duplicate_groups(v):
+    return qc.duplicate_groups(content_duplicates(v))
+
+
 # Conversions.  Letters of sample i at the place of an order.
 
 _LETTER = "substr('ACGTN-', CAST(1 + (o_custkey + {i} * (o_orderkey % 3)) % 6 AS INT), 1)"
@@ -362,6 +370,18 @@ def next_page(v):
     return out
 
 
+GENES = """g1 AS (SELECT 'gene' AS sort, sample, name, CAST(row_number() OVER (ORDER BY lower(name), sample, name) - 1 AS BIGINT) AS place FROM af),
+g2 AS (SELECT 'overlap' AS sort, sample, name, CAST(row_number() OVER (ORDER BY overlap_pct DESC, sample, name) - 1 AS BIGINT) AS place FROM af)"""
+
+
+@query("gene_table_pages", " SELECT * FROM g1 WHERE place // 25 = 1 UNION ALL SELECT * FROM g2 WHERE place // 25 = 1", core.FEAT, GENES, plain=False)
+def gene_table_pages(v):
+    """The second page of the table of genes by name, and by overlap from the largest."""
+    hit = core.affected_features(v)
+    page = lambda by, up: features.table_pages(hit, by, up, 25).where("page = 1").select(F.lit(by).alias("sort"), "sample", "name", "place")
+    return page("gene", True).unionByName(page("overlap", False))
+
+
 # Shown values
 
 

@@ -15,10 +15,16 @@ from gapweave.functions import intervals as iv
 CHUNK = 1 << 16
 
 
-def numbered(spark: SparkSession, path, joined: bool = False) -> DataFrame:
+#: The files of a folder that hold sequences.
+SUFFIXES = ("fa", "fasta", "fna")
+GLOB = "*.{" + ",".join((*SUFFIXES, *(f"{s}.gz" for s in SUFFIXES))) + "}"
+
+
+def numbered(spark: SparkSession, path, joined: bool = False, glob: str | None = None) -> DataFrame:
     """(unit, seg, n, line): the lines of text files.  Within a unit, a file or with ``joined`` all files of a folder in the order of
     their names, lines are ordered by seg, the split, and n.  Spark numbers the splits of a file in their order."""
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+    t = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
     unit = F.regexp_replace("file", "/[^/]*$", "") if joined else F.col("file")
     return t.select(unit.alias("unit"), F.struct("file", F.shiftright("n", 33).alias("split")).alias("seg"), "n", "line")
 
@@ -40,10 +46,10 @@ def sample_of(unit: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"\.(fa|fasta|fna)$", "")
 
 
-def chunks(spark: SparkSession, path, upper: bool = True, joined: bool = False) -> DataFrame:
+def chunks(spark: SparkSession, path, upper: bool = True, joined: bool = False, glob: str | None = None) -> DataFrame:
     """(unit, sample, contig, title, contig_idx, at, bases): the records of FASTA files in chunks, ``at`` from 0 within a record, whose
     chunks are without gaps.  A record without bases has one empty chunk; lines before the first record are left out."""
-    rows = numbered(spark, path, joined)
+    rows = numbered(spark, path, joined, glob)
     head = F.startswith("line", F.lit(">"))
     rows = running(rows, ["unit"], head.cast("int"), "heads").withColumn("rec", F.col("heads") + head.cast("int"))
     names = rows.where(head).select("unit", "rec", F.trim(F.substring("line", 2, 1 << 30)).alias("title"))
@@ -59,6 +65,11 @@ def chunks(spark: SparkSession, path, upper: bool = True, joined: bool = False)
     )
 
 
+def folder(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
+    """Chunks of the sequence files of a folder, plain or compressed; a sample for each file, other files are left out."""
+    return chunks(spark, path, upper, glob=GLOB)
+
+
 def contigs(parts: DataFrame) -> DataFrame:
     """(sample, contig, contig_idx, length) of chunks."""
     return parts.groupBy("sample", "contig", "contig_idx").agg(F.sum(F.length("bases")).cast("long").alias("length"))

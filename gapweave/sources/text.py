@@ -269,6 +269,55 @@ def distance_matrix(spark: SparkSession, path, strict: bool = True) -> DataFrame
     return out.select(name(F.col("row")).alias("row"), name(F.col("x.c")).alias("col"), F.coalesce(F.trim("x.v").try_cast("long"), F.lit(0)).alias("distance"))
 
 
+def names_below(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, parent, depth) of all files below a folder; only names are read, depth is 1 in the folder itself."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
+    bare = F.regexp_replace("path", "^[a-z0-9]+:/*", "")
+    parts = F.split(bare, "/")
+    depth = F.size(parts) - len([p for p in root.split("/") if p])
+    return found.select("path", F.element_at(parts, -1).alias("name"), F.try_element_at(parts, F.lit(-2)).alias("parent"), depth.alias("depth"))
+
+
+def first_named(spark: SparkSession, folder: str, names: tuple[str, ...] | list[str]) -> str | None:
+    """The file of a folder that has the first of these names."""
+    order = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("name"))
+    row = names_below(spark, folder).where("depth = 1").withColumn("o", order).where("o > 0").orderBy("o").first()
+    return row.path if row else None
+
+
+#: Where callers put their matrices, and a report its reference, in the order in which they are looked for: fixed values.
+MATRIX_NAMES = {
+    "snippy": ("hamming_distances_vanilla.tsv", "hamming_distances_filtered.tsv", "core.dist.tsv"),
+    "cfsan": ("snp_distance_matrix.tsv", "snp_distance_matrix_preserved.tsv"),
+}
+REFERENCE_NAMES = ("reference.fa", "reference.fasta", "ref.fa", "ref.fasta")
+
+
+def find_matrix(spark: SparkSession, folder: str, caller: str) -> DataFrame | None:
+    """The distance matrix of a caller's folder, the first file by name, its shape unchecked; nothing without one."""
+    path = first_named(spark, folder, MATRIX_NAMES[caller])
+    return None if path is None else distance_matrix(spark, path, strict=False)
+
+
+def alignment_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample, path): of each folder with .bam files at any depth, whose name is the sample's, the file most processed by its name:
+    indelrealigned before deduped before sorted before others; ties go to the first path."""
+    from pyspark.sql import Window
+
+    n = F.col("name")
+    rank = F.when(F.contains(n, F.lit("indelrealigned")), 4).when(F.contains(n, F.lit("deduped")), 3).when(F.contains(n, F.lit("sorted")) & ~F.contains(n, F.lit("unsorted")), 2).otherwise(1)
+    found = names_below(spark, folder).where(F.endswith("name", F.lit(".bam"))).withColumn("rank", rank)
+    best = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("rank"), "path"))
+    return found.withColumn("r", best).where("r = 1").select(F.col("parent").alias("sample"), "path")
+
+
 def report(spark: SparkSession, path) -> DataFrame:
     """A finished report, one row."""
     return spark.read.json(path, multiLine=True)
+
+
+def report_reference(spark: SparkSession, path: str) -> DataFrame | None:
+    """Chunks of the reference beside a report, the first of REFERENCE_NAMES in its folder; nothing without one."""
+    found = first_named(spark, path.rsplit("/", 1)[0], REFERENCE_NAMES)
+    return None if found is None else fa.chunks(spark, found)

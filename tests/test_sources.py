@@ -130,3 +130,28 @@ def test_aligned_folders(spark, tmp_path):
     plain = fasta.aligned_files(spark, str(tmp_path), s)
     assert pairs(plain, "sample", "path")[0][1].endswith("s1_snippy/s1_snippy.aligned.fa")
     assert fasta.aligned_gaps(spark, plain.limit(0)).count() == 0
+
+
+def test_folders(spark, tmp_path):
+    """Sequence files by their endings, matrices and references by name, alignments by how far they are processed."""
+    import gzip
+
+    for name in ("a.fa", "b.fasta", "c.fna", "note.txt", "x.fa.bak"):
+        (tmp_path / name).write_text(f">{name}\nAC\n")
+    with gzip.open(tmp_path / "d.fa.gz", "wt") as f:
+        f.write(">d\nACG\n")
+    got = pairs(fasta.contigs(fasta.folder(spark, str(tmp_path))), "sample", "length")
+    assert got == [("a", 2), ("b", 2), ("c", 2), ("d", 3)]
+    assert text.find_matrix(spark, str(tmp_path), "snippy") is None
+    (tmp_path / "hamming_distances_filtered.tsv").write_text("\ta_snippy\tb\na_snippy\t0\t2\nb\t2\t0\n")
+    (tmp_path / "core.dist.tsv").write_text("\tz\nz\t9\n")
+    assert pairs(text.find_matrix(spark, str(tmp_path), "snippy"), "row", "col", "distance") == [("a", "a", 0), ("a", "b", 2), ("b", "a", 2), ("b", "b", 0)]
+    (tmp_path / "r.json").write_text("{}")
+    assert text.report_reference(spark, str(tmp_path / "r.json")) is None
+    (tmp_path / "ref.fa").write_text(">r\nACGT\n")
+    (tmp_path / "reference.fasta").write_text(">r\nACGTA\n")
+    assert fasta.contigs(text.report_reference(spark, str(tmp_path / "r.json"))).first().length == 5
+    for folder, name in (("s1", "reads.bam"), ("s1", "reads.sorted.bam"), ("s1", "reads.unsorted.bam"), ("deep/s2", "x.sorted.deduped.bam"), ("deep/s2", "x.indelrealigned.bam"), ("s3", "b.bam"), ("s3", "a.bam")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_text("x")
+    assert [(s, p.split("/")[-1]) for s, p in pairs(text.alignment_files(spark, str(tmp_path)), "sample", "path")] == [("s1", "reads.sorted.bam"), ("s2", "x.indelrealigned.bam"), ("s3", "a.bam")]
