@@ -32,12 +32,28 @@ def last_calls(calls: DataFrame, keys: tuple[str, ...] = ("pipeline", "sample",
     return last.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in calls.columns])
 
 
+#: Bits of the place in an MNP, and of a letter, in the order of calls.
+_PLACE, _LETTER = 1 << 31, 256
+
+
 def snps(calls: DataFrame, ref_base: DataFrame) -> DataFrame:
-    """Calls whose alt (its first character) differs from the reference base, with the base.  Positions
+    """(pipeline, sample, pos, alt, base) of the calls whose alt (its first character) differs from the reference base.  Positions
     outside the reference drop out.  Comparison is byte-exact.  Of the calls of a pipeline and sample that are left at a position
-    the last one counts."""
-    c = calls.withColumn("alt", F.coalesce(F.nullif(F.substring("alt", 1, 1), F.lit("")), F.lit("N")))
-    return last_calls(c.join(ref_base, "pos").where("alt != base"))
+    the last one counts, as in ``last_calls``.
+
+    Line, place and letter are one number, so its maximum is kept in a hash table and nothing is sorted; letters are of one
+    byte."""
+    letter = lambda c: F.ascii(c)
+    alt = F.coalesce(F.nullif(F.substring("alt", 1, 1), F.lit("")), F.lit("N"))
+    c = calls.select("pipeline", "sample", "pos", alt.alias("alt"), *[x for x in ("n", "i") if x in calls.columns])
+    hit = c.join(ref_base.select("pos", "base"), "pos").where("alt != base")
+    order = letter("alt").cast("long")
+    if "i" in calls.columns:
+        order = order + F.coalesce("i", F.lit(0)).cast("long") * _LETTER
+    if "n" in calls.columns:
+        order = F.coalesce("n", F.lit(0)).cast("decimal(20,0)") * F.lit(_PLACE * _LETTER).cast("decimal(13,0)") + order.cast("decimal(20,0)")
+    last = hit.groupBy("pipeline", "sample", "pos").agg(F.max(order).alias("_o"), F.max(letter("base")).alias("_b"))
+    return last.select("pipeline", "sample", "pos", F.char((F.col("_o") % _LETTER).cast("long")).alias("alt"), F.char(F.col("_b").cast("long")).alias("base"))
 
 
 def shifted(gaps: DataFrame, coord_compat: bool) -> DataFrame:
@@ -57,7 +73,9 @@ def site_table(calls: DataFrame, gaps: DataFrame, n_samples: int, cover: DataFra
 
     ``calls`` as from ``snps``; ``gaps`` merged per pipeline and sample."""
     marked = iv.locate(calls.select("pipeline", "sample", "pos", "alt", "base"), gaps, ["pipeline", "sample"], [])
-    sites = marked.groupBy("pipeline", "pos").agg(F.first("base").alias("base"), F.array_sort(F.collect_list(F.when(~F.col("inside"), F.struct("sample", "alt")))).alias("carriers"), F.array_sort(F.collect_list(F.struct("sample", "alt"))).alias("called"))
+    sites = marked.groupBy("pipeline", "pos").agg(F.first("base").alias("base"), F.array_sort(F.collect_list(F.struct("sample", "alt", "inside"))).alias("all"))
+    plain = lambda rows: F.transform(rows, lambda c: F.struct(c["sample"].alias("sample"), c["alt"].alias("alt")))
+    sites = sites.select("pipeline", "pos", "base", plain(F.filter("all", lambda c: ~c["inside"])).alias("carriers"), plain("all").alias("called"))
     out = iv.locate(sites, cover_of(gaps, cover), ["pipeline"], ["k"])
     return out.select("pipeline", "pos", "base", "carriers", "called", F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.lit(n_samples).cast("long").alias("n"))
 

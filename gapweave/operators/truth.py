@@ -36,24 +36,28 @@ def core_table(core: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     A position may stand on several lines (two contigs, a repeated line): ``lines`` counts them, the map is that of the last,
     and one line with different alleles makes the position discriminating.  Lines are told apart by ``n``, else by ``chrom``,
     where the table has such a column; of a sample named twice on a line the last column ``i`` counts, else the greatest allele."""
-    line = next((F.col(c) for c in ("n", "chrom") if c in core.columns), F.lit(0))
-    place = F.col("i") if "i" in core.columns else F.lit(0)
-    known = F.lit(True)
+    line = next((F.col(c) for c in ("n", "chrom") if c in core.columns), None)
+    fields = ["sample", "allele"]
     if samples is not None:
-        core = core.join(samples.select("sample", F.lit(True).alias("known")), "sample", "left")
-        known = F.coalesce("known", F.lit(False))
-    rows = core.groupBy("pipeline", "pos").agg(F.array_sort(F.collect_list(F.struct(line.alias("n"), place.alias("i"), "sample", "allele", known.alias("known")))).alias("rows"))
-    table = rows.withColumn("ns", F.array_distinct(F.col("rows.n")))
-    last = F.filter("rows", lambda r: (r["n"] == F.array_max("ns")) & r["known"])
+        core = core.join(samples.select("sample", F.lit(True).alias("known")), "sample", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        fields.append("known")
+    order = ([line.alias("n")] if line is not None else []) + (["i"] if "i" in core.columns else [])
+    table = core.groupBy("pipeline", "pos").agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("rows"))
+    valid = lambda rs: F.filter(rs, lambda r: ~r["allele"].isin("N", "-"))
+    differ = lambda rs: F.size(F.array_distinct(F.transform(valid(rs), lambda r: r["allele"]))) > 1
+    if line is None:
+        table = table.withColumn("lines", F.lit(1)).withColumn("core_disc", differ("rows"))
+    else:
+        table = table.withColumn("ns", F.array_distinct(F.col("rows.n"))).withColumn("lines", F.size("ns"))
+        table = table.withColumn("core_disc", F.when(F.col("lines") == 1, differ("rows")).otherwise(F.exists("ns", lambda n: differ(F.filter("rows", lambda r: r["n"] == n)))))
+        table = table.withColumn("rows", F.when(F.col("lines") == 1, F.col("rows")).otherwise(F.filter("rows", lambda r: r["n"] == F.array_max("ns"))))
+    last = F.col("rows") if samples is None else F.filter("rows", lambda r: r["known"])
     table = table.withColumn("last", F.transform(last, lambda r: F.struct(r["sample"].alias("s"), F.substring(r["allele"], 1, 1).alias("a"))))
     names = F.array_distinct(F.col("last.s"))
-    once = F.map_from_entries("last")
     # The rows are sorted, so the last entry of a repeated sample counts.
     repeated = F.map_from_arrays(names, F.transform(names, lambda s: F.element_at(F.filter("last", lambda r: r["s"] == s), -1)["a"]))
-    valid = F.filter("rows", lambda r: ~r["allele"].isin("N", "-"))
-    differ = lambda rs: F.size(F.array_distinct(F.transform(rs, lambda r: r["allele"]))) > 1
-    disc = F.when(F.size("ns") == 1, differ(valid)).otherwise(F.exists("ns", lambda n: differ(F.filter(valid, lambda r: r["n"] == n))))
-    return table.select("pipeline", "pos", F.when(F.size(names) == F.size("last"), once).otherwise(repeated).alias("m"), disc.alias("core_disc"), F.size("ns").cast("long").alias("lines"))
+    m = F.when(F.size(names) == F.size("last"), F.map_from_entries("last")).otherwise(repeated)
+    return table.select("pipeline", "pos", m.alias("m"), "core_disc", F.col("lines").cast("long").alias("lines"))
 
 
 def _agrees(names: Column, theirs: str, mine: str) -> Column:
@@ -61,16 +65,16 @@ def _agrees(names: Column, theirs: str, mine: str) -> Column:
     return F.expr(f"forall({names}, s -> coalesce(try_element_at({theirs}, s), base) = coalesce(try_element_at({mine}, s), base))")
 
 
-def core_details(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, pl_gaps: DataFrame, samples: DataFrame, cover: DataFrame | None = None, gt: str | None = None) -> DataFrame:
+def core_details(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, pl_gaps: DataFrame, samples: DataFrame, cover: DataFrame | None = None, gt: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """(pipeline, strategy, pos, status): every discriminating position of the truth as concordant,
     discordant, not_disc_in_pl, in_pl_gap or lost, and the pipeline's own as in_gt_gap or pl_only.
 
-    ``cover`` of all pipelines, with the name ``gt`` of the truth, saves sweeping the gaps again."""
+    ``cover`` of all pipelines, with the name ``gt`` of the truth, saves sweeping the gaps again, ``table`` the core table."""
     names = [r[0] for r in samples.orderBy("sample").collect()]
     n = len(names)
     everyone = F.array(*[F.lit(x) for x in names])
-    table = core_table(core)
-    pipelines = core.select("pipeline").distinct()
+    table = core_table(core) if table is None else table
+    pipelines = table.select("pipeline").distinct()
     if cover is None:
         pl_any, gt_cover = iv.sweep(pl_gaps, ["pipeline"]), iv.sweep(gt_gaps.select("start", "end"), [])
     else:
@@ -95,9 +99,9 @@ def core_details(gt_sites: DataFrame, gt_gaps: DataFrame, core: DataFrame, pl_ga
     return first.unionByName(own).unionByName(only)
 
 
-def core_summary(details: DataFrame, core: DataFrame) -> DataFrame:
+def core_summary(details: DataFrame, core: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """(pipeline, strategy, pl_total_core_snps, pl_disc, gt_disc, same_pos, concordant, pl_snps_in_gt_gaps)."""
-    size = core_table(core).groupBy("pipeline").agg(F.sum("lines").alias("pl_total_core_snps"), F.count_if("core_disc").alias("pl_disc"))
+    size = (core_table(core) if table is None else table).groupBy("pipeline").agg(F.sum("lines").alias("pl_total_core_snps"), F.count_if("core_disc").alias("pl_disc"))
     is_ = F.col("status")
     agg = details.groupBy("pipeline", "strategy").agg(
         F.count_if(~is_.isin("in_gt_gap", "pl_only")).alias("gt_disc"),

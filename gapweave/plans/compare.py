@@ -36,6 +36,7 @@ class Comparison:
         self.calls = stored(sites.snps(own, ref_base), "calls")
         self.gaps = stored(iv.merge(sites.shifted(gaps, coord_compat), ["pipeline", "sample"]), "gaps")
         self.cover = stored(iv.sweep(self.gaps, ["pipeline"]), "cover")
+        self.core_table = None if core is None else stored(truth.core_table(core), "core")
         self.sites = stored(sites.site_table(self.calls, self.gaps, self.n, self.cover), "sites")
 
     def kpis(self) -> DataFrame:
@@ -53,7 +54,7 @@ class Comparison:
             return None
         if self.core is None:
             return truth.calls_summary(self.sites, self.gaps, self.truth_id, self.samples, cover=self.cover)
-        return truth.core_summary(self.details(), self.core)
+        return truth.core_summary(self.details(), self.core, self.core_table)
 
     def breakdown(self) -> DataFrame | None:
         """Why the sites of each pipeline discriminate; nothing without a truth."""
@@ -61,7 +62,7 @@ class Comparison:
 
     def details(self) -> DataFrame:
         is_truth = F.col("pipeline") == self.truth_id
-        return truth.core_details(self.sites.where(is_truth), self.gaps.where(is_truth), self.core, self.gaps.where(~is_truth), self.samples, self.cover, self.truth_id)
+        return truth.core_details(self.sites.where(is_truth), self.gaps.where(is_truth), self.core, self.gaps.where(~is_truth), self.samples, self.cover, self.truth_id, self.core_table)
 
     def report(self) -> DataFrame:
         """One row: samples, pipelines, kpis, global_stats, pair_summary, per_sample and pairs as arrays of structs; truth,

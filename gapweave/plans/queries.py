@@ -57,6 +57,10 @@ def core(v: Views) -> DataFrame:
     return v.call().where("pipeline != 'gt'").select("pipeline", "pos", "sample", allele.alias("allele"))
 
 
+def core_table(v: Views) -> DataFrame:
+    return v.once("core", lambda: truth.core_table(core(v)))
+
+
 # Intervals
 
 ISLAND = """isl AS (
@@ -251,7 +255,7 @@ def gt_inputs(v):
 @query("truth_position_details", " SELECT * FROM det", GTD)
 def truth_position_details(v):
     s, g, p = gt_inputs(v)
-    return truth.core_details(s, g, core(v), p, v.samples(), v.cover(), "gt")
+    return truth.core_details(s, g, core(v), p, v.samples(), v.cover(), "gt", core_table(v))
 
 
 @query(
@@ -262,7 +266,7 @@ def truth_position_details(v):
     GTD,
 )
 def truth_vs_core(v):
-    return truth.core_summary(truth_position_details(v), core(v))
+    return truth.core_summary(truth_position_details(v), core(v), core_table(v))
 
 
 GTP = """pd AS (

@@ -68,7 +68,7 @@ class Views:
                 "CAST(l_linenumber * 7 AS BIGINT) AS dp",
             )
             .groupBy("pipeline", "sample", "pos")
-            .agg(F.min("alt").alias("alt"), F.max("qual").alias("qual"), F.max("dp").alias("dp"))
+            .agg(F.expr("char(min(ascii(alt)))").alias("alt"), F.max("qual").alias("qual"), F.max("dp").alias("dp"))
         )
 
     def samples(self) -> DataFrame:
