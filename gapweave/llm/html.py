@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import map_rows, materialize, table
+from gapweave.llm.common import discard, map_rows, materialize, table
 
 #: A subtree is template if it occurs on this many different pages of the host, and on this share of them; one
 #: inside the article needs more of both.
@@ -341,6 +341,8 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, broadcast_rows: int = BR
         by_host: dict[str, set[int]] = {}
         for host, h in templates.collect():
             by_host.setdefault(host, set()).add(h)
+        discard(subtrees)
+        discard(templates)
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def rows(batch):

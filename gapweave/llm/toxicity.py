@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import held, letter_words, map_rows, materialize, table
+from gapweave.llm.common import discard, held, letter_words, map_rows, materialize, table
 from gapweave.llm.langid import fold
 
 #: Prefix lengths, shortest first; the base rate stands above them.
@@ -50,6 +50,7 @@ def learn_units(rows: DataFrame) -> dict[str, float]:
     w = materialize(w, "toxic-words")
     all_t, all_c = w.agg(F.sum("t"), F.sum("c")).first()
     if not all_t or not all_c:
+        discard(w)
         return {}
     base = all_t / (all_t + all_c)
     t, c = F.col("t"), F.col("c")
@@ -70,6 +71,7 @@ def learn_units(rows: DataFrame) -> dict[str, float]:
         out |= {r.u + ("" if n is None else "*"): float(r.s) for r in found}
         covered = F.broadcast(w.sparkSession.createDataFrame([(r.u,) for r in found], "g string"))
         left = left.join(covered, (F.col("w") if n is None else F.substring("w", 1, n)) == F.col("g"), "left_anti")
+    discard(w)
     return out
 
 
@@ -183,7 +185,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Repeated labels of a doc_id count once, as toxic if one of them is.  Without labels of both
     kinds every score is 0.5.  Null and empty texts get the score of no evidence.  Texts count whole; a row
-    that repeats gives a row each with the same score, an empty table none; other columns are not read."""
+    that repeats gives a row each with the same score, an empty table none; other columns are not read.  Evidence on the
+    border of two steps counts for the higher one."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > LABELLED:
