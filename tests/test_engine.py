@@ -95,8 +95,8 @@ def test_pileup(spark):
 
 
 def test_mpileup(spark):
-    assert alignments.decode_bases(".,A^].", "g") == "GGAG"
-    assert alignments.decode_bases("A+1CTG", "a") == "AG"
+    text = frame(spark, [(".,A^].", "g"), ("A+1CTG", "a")], "bases string, ref string")
+    assert [r.d for r in text.select(alignments.decoded(F.col("bases"), F.col("ref")).alias("d")).collect()] == ["GGAG", "AG"]
     rows = frame(spark, [("s", "c", 5, "G", "..,A"), ("s", "c", 6, "G", "..")], "sample string, chrom string, pos long, ref string, bases string")
     assert pairs(alignments.mpileup_consensus(rows), "pos", "base") == [(5, "G"), (6, None)]
 
