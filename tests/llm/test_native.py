@@ -58,3 +58,23 @@ def test_secret_edges(spark):
     assert got[4].spans == "access:18:38"
     assert got[5].spans == "assign:70001:70015,hex:70016:70046"
     assert (got[5].n_assign, got[5].n_hex) == (1, 1)
+
+
+def test_both_sides_of_size_switches(spark, monkeypatch):
+    """Tables that are broadcast up to a bound are shuffled beyond it, with the same rows."""
+    from gapweave.llm import neardup
+    from gapweave.llm.common import table
+
+    docs, bench = table(spark, DATA, "documents"), table(spark, DATA, "benchmark")
+    rows = lambda d: sorted(map(str, d.collect()))
+    runs = (lambda: decontaminate.report(docs, bench), lambda: secrets.report(docs), lambda: neardup.groups(docs))
+    broadcast = [rows(f()) for f in runs]
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(decontaminate.report(docs, bench, broadcast_chars=0)) == broadcast[0]
+        assert [rows(f()) for f in runs[1:]] == broadcast[1:]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("contaminated=True" in r for r in broadcast[0]) and all(broadcast)
