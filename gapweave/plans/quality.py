@@ -19,6 +19,8 @@ class Quality:
     def __init__(self, gaps: DataFrame, contigs: DataFrame, aligned: DataFrame, ref_name: str, ref_len: int, min_identity: float = 0.95, samples: DataFrame | None = None):
         self.ref_name, self.ref_len, self.aligned = ref_name, ref_len, aligned
         self.samples = aligned.select("sample").distinct() if samples is None else samples
+        self.n = self.samples.count()
+        self.one = gaps.sparkSession.createDataFrame([(0,)], "x int").select()  # one row for all, without a key
         self.gaps = stored(iv.merge(gaps, ["sample"]), "gaps")
         self.pairs = stored(qc.pairwise_gaps(self.gaps, self.samples, [], ref_len), "pairs")
         self.pair_metrics = qc.pair_metrics(self.pairs, self.samples, [])
@@ -33,6 +35,21 @@ class Quality:
     def impact(self) -> DataFrame:
         return qc.impact(self.gaps, self.samples, self.pair_metrics, self.ref_len)
 
+    def empty_regions(self) -> DataFrame:
+        """(threshold, min_samples, start, end) of all thresholds; not in the report, as there may be many."""
+        return qc.empty_regions(self.gaps, self.one, [], self.n)
+
+    def thresholds(self) -> DataFrame:
+        return qc.threshold_summary(self.empty_regions(), self.one, [], self.n, self.ref_len)
+
+    def histogram(self) -> DataFrame:
+        """(covered, positions, position_pct): how many positions each number of samples covers."""
+        h = qc.full_histogram(self.gaps, self.one, [], self.n, self.ref_len)
+        return h.withColumn("position_pct", F.col("positions") / self.ref_len * 100)
+
+    def fragile(self) -> DataFrame:
+        return qc.fragile_regions(self.gaps, [], self.n)
+
     def outliers(self) -> DataFrame:
         mean = qc.dataset_quality(self.pairs, []).select("mean_quality")
         return qc.outliers(self.scored.select("sample", "ref_coverage", "avg_quality").crossJoin(F.broadcast(mean)))
@@ -44,10 +61,11 @@ class Quality:
         return sinks.quality_report(self.scored, self.pairs, self.reference(), self.samples)
 
     def report(self) -> DataFrame:
-        """One row: summary, reference, samples, pairs, impact, outliers and warnings as arrays of structs."""
+        """One row: summary, reference, samples, pairs, impact, outliers, warnings, thresholds, histogram and fragile regions as arrays
+        of structs."""
         rows = lambda d, name: d.groupBy().agg(F.sort_array(F.collect_list(F.struct(*d.columns))).alias(name))
         out = rows(qc.summary(self.scored), "summary")
-        parts = {"reference": self.reference(), "samples": self.scored, "pairs": self.pairs, "impact": self.impact(), "outliers": self.outliers(), "warnings": self.warnings()}
+        parts = {"reference": self.reference(), "samples": self.scored, "pairs": self.pairs, "impact": self.impact(), "outliers": self.outliers(), "warnings": self.warnings(), "thresholds": self.thresholds(), "histogram": self.histogram(), "fragile": self.fragile()}
         for name, d in parts.items():
             out = out.crossJoin(rows(d, name))
         return out

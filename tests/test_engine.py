@@ -291,6 +291,9 @@ def test_quality_report(spark, tmp_path):
     assert [(p["a"], p["b"]) for p in r["pairs"]] == [("s1", "s2"), ("s1", "s3"), ("s2", "s3")]
     assert r["pairs"][0]["quality"] == pytest.approx(1 / 3)
     assert {p["sample"] for p in r["impact"]} == {"s1", "s2", "s3"}
+    assert [(t["threshold"], t["core_size"], t["regions"], t["longest"]) for t in r["thresholds"] if t["threshold"] in (100.0, 50.0, 25.0)] == [(25.0, 100, 0, 0), (50.0, 95, 1, 5), (100.0, 85, 1, 15)]
+    assert [(h["covered"], h["positions"]) for h in r["histogram"]] == [(0, 0), (1, 5), (2, 10), (3, 85)]
+    assert r["fragile"] == []
     q.write(str(lines))
     (part,) = lines.glob("part-*")
     rows = part.read_text().splitlines()
