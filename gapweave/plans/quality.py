@@ -23,10 +23,10 @@ class Quality:
         self.one = gaps.sparkSession.createDataFrame([(0,)], "x int").select()  # one row for all, without a key
         self.gaps = stored(iv.merge(gaps, ["sample"]), "gaps")
         self.pairs = stored(qc.pairwise_gaps(self.gaps, self.samples, [], ref_len), "pairs")
-        self.pair_metrics = qc.pair_metrics(self.pairs, self.samples, [])
+        self.pair_metrics = stored(qc.pair_metrics(self.pairs, self.samples, []), "metrics")
         a = aligned.select("sample", F.col("identity").alias("ref_identity"), F.col("reference_coverage").alias("ref_coverage"))
         m = a.join(self.pair_metrics, "sample").join(qc.n50(contigs), "sample", "left").na.fill(0, ["n_contigs", "total_length", "n50"])
-        self.scored = qc.score(m.select("sample", "ref_identity", "ref_coverage", "avg_quality", "n50", "total_length", "total_unique", "n_contigs"), min_identity)
+        self.scored = stored(qc.score(m.select("sample", "ref_identity", "ref_coverage", "avg_quality", "n50", "total_length", "total_unique", "n_contigs"), min_identity), "scored")
 
     def reference(self) -> DataFrame:
         """(reference_name, reference_length, avg_identity, avg_sample_coverage, avg_reference_coverage)."""
