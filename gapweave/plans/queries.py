@@ -126,7 +126,7 @@ def gap_density(v):
 
 @query("calls_in_gaps", "SELECT c.pipeline, c.sample, CAST(count(*) AS BIGINT) AS calls, CAST(count(g.pos) AS BIGINT) AS in_gaps FROM call c LEFT JOIN gp g USING (pipeline, sample, pos) GROUP BY c.pipeline, c.sample")
 def calls_in_gaps(v):
-    hit = iv.locate(v.call(), merged(v), PS, [])
+    hit = iv.locate(v.call(), iv.merge(v.gap(), PS), PS, [])
     return hit.groupBy(*PS).agg(F.count(F.lit(1)).alias("calls"), F.count_if("inside").alias("in_gaps"))
 
 
@@ -190,7 +190,8 @@ def pipeline_kpis(v):
     CLS,
 )
 def disc_breakdown(v):
-    return sites.breakdown(snps(v), site_table(v), "gt", N)
+    calls = v.once("snps", lambda: snps(v))
+    return sites.breakdown(calls, sites.site_table(calls, merged(v), N, v.cover()), "gt", N)
 
 
 PAIRS = """pr AS (
@@ -402,7 +403,7 @@ cps AS (
 def callset_positions(v):
     call = v.call().select("pipeline", "sample", F.concat(F.lit("c"), (F.col("pos") % 3).cast("string")).alias("chrom"), "pos", "alt", "qual", F.col("dp").alias("depth"), ((F.col("pos") % 10).cast("double") / 10).alias("af"))
     a, b = call.where("pipeline = 'p1'"), call.where("pipeline = 'p2'")
-    return callsets.positions(a, b, merged(v).where("pipeline = 'gt'"), "p1", "p2")
+    return callsets.positions(a, b, iv.merge(v.gap().where("pipeline = 'gt'"), PS), "p1", "p2")
 
 
 @query(
@@ -736,7 +737,8 @@ vf AS (SELECT *, en AND NOT cons AND (alts > 0 OR variant = 'strict') AS disc FR
     V1S,
 )
 def v1_global_stats(v):
-    return reader_v1.global_stats(site_table(v), merged(v), snps(v), "gt", N, v.ref_len)
+    calls = v.once("snps", lambda: snps(v))
+    return reader_v1.global_stats(sites.site_table(calls, merged(v), N, v.cover()), merged(v), calls, "gt", N, v.ref_len)
 
 
 @query("what_if_core", """, a AS (SELECT pos, count(DISTINCT sample) AS k, min(sample) AS s FROM gp WHERE pipeline = 'gt' GROUP BY pos)
