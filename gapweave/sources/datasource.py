@@ -1,14 +1,16 @@
 """Text formats as Spark data sources: ``register(spark)``, then ``spark.read.format("core_alleles").load(path)``.
 
 A source plans partitions by ranges of bytes, reads the lines that begin in its range, and takes the filters on positions that Spark
-pushes to it.  Files are opened by Arrow's file systems, so paths may lie in any store that these reach.  Executors need this
-package installed."""
+pushes to it.  Files are opened by Arrow's file systems, so paths may lie in any store that these reach.  The classes
+go to the workers by value, so executors need not have this package."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
@@ -196,5 +198,6 @@ FORMATS: dict[str, type[LineSource]] = {x.name(): x for x in (CoreAlleles, Depth
 def register(spark: SparkSession) -> None:
     """Makes the formats known to a session; filters are pushed to them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     for kind in FORMATS.values():
         spark.dataSource.register(kind)

@@ -3,8 +3,11 @@
 import json
 import random
 import re
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gapweave.operators import alignments, callsets, qc, viewer
@@ -128,6 +131,15 @@ def test_data_sources(spark, tmp_path):
         spark.read.format("core_alleles").load(str(d / "b.txt")).collect()
 
 
+def test_data_sources_go_by_value(spark):
+    """A worker that can't import the package makes the sources from what Spark sends it."""
+    datasource.register(spark)
+    sent = cloudpickle.dumps(list(datasource.FORMATS.values()))
+    code = "import pickle, sys; print([x.name() for x in pickle.load(sys.stdin.buffer)], 'gapweave' in sys.modules)"
+    got = subprocess.run([sys.executable, "-I", "-c", code], input=sent, capture_output=True, cwd="/", timeout=120)
+    assert got.stdout.decode().strip() == "['core_alleles', 'depth_text'] False", got.stderr.decode()
+
+
 def test_content_duplicates(spark, monkeypatch):
     monkeypatch.setattr(qc, "PIECE", 4)
     whole = frame(spark, [("b", 0, "acgtacgtac"), ("b", 1, "TT"), ("a", 0, "TT"), ("a", 1, "ACGTACGTAC"), ("c", 0, "ACGTACGTACTT"), ("d", 0, ""), ("e", 0, "TT"), ("e", 1, "TT"), ("e", 2, "ACGTACGTAC")], "sample string, contig_idx int, sequence string")
