@@ -36,7 +36,8 @@ def learn(docs: DataFrame) -> dict:
     count LEAST or more is kept.
 
     Words are counted per task before they are shuffled; n-grams are taken from the distinct words.
-    Executors write the entries, so the driver holds none; the shared folder must be mounted on all."""
+    Executors write the entries, so the driver's memory holds none.  Where the shared folder is mounted, workers map
+    the files in it; else Spark ships the files to each machine that asks for them, the driver's too."""
     w = (
         docs.where("text IS NOT NULL AND lang IS NOT NULL")
         .select("lang", F.explode(F.split(letter_words(F.col("text")), " ")).alias("w"))
@@ -70,13 +71,12 @@ def learn(docs: DataFrame) -> dict:
     return out
 
 
-def write_entries(counts: DataFrame, langs: list[str]) -> tuple[str, int]:
-    """(folder, number of files) of the entries of (lang, w, c): w and a float32 for each language, dealt to
-    files by the hash of w and sorted by it."""
+def write_entries(counts: DataFrame, langs: list[str]) -> tuple[str, int, bool]:
+    """(folder, number of files, shipped) of the entries of (lang, w, c): w and a float32 for each language, dealt
+    to files by the hash of w and sorted by it."""
     spark = counts.sparkSession
     where = urlparse(shared_dir(spark))
-    if where.scheme not in ("", "file"):
-        raise ValueError("spark.checkpoint.dir must be a mounted folder: workers map the files of the model")
+    mounted = where.scheme in ("", "file")
     folder = f"{where.path}/gapweave/model-{uuid.uuid4().hex}"
     names = [f"c{i}" for i in range(len(langs))]
     by = [F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(c) for x, c in zip(langs, names, strict=True)]
@@ -96,20 +96,51 @@ def write_entries(counts: DataFrame, langs: list[str]) -> tuple[str, int]:
             order = np.argsort(h, kind="stable")
             rows = (p - p.mean(1, keepdims=True)).astype(np.float32)[order]
             out = pa.table({"h": h[order], "w": part["w"].combine_chunks().take(pa.array(order)), "row": pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(names))})
-            os.makedirs(folder, exist_ok=True)
-            path = f"{folder}/{key[0].as_py()}.arrow"
-            aside = f"{path}.{uuid.uuid4().hex}"
-            with pa.OSFile(aside, "wb") as f, pa.ipc.new_file(f, out.schema) as to:
-                to.write_table(out)
-            os.replace(aside, path)
-            return pa.table({"n": pa.array([len(words)], pa.int64())})
+            to = pa.BufferOutputStream()
+            with pa.ipc.new_file(to, out.schema) as f:
+                f.write_table(out)
+            packed = to.getvalue().to_pybytes()
+            if mounted:
+                put(f"{folder}/{key[0].as_py()}.arrow", packed)
+                packed = None
+            return pa.table({"file": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(words)], pa.int64()), "packed": pa.array([packed], pa.binary())})
 
         dealt = known.withColumn("file", F.pmod(F.xxhash64("w"), F.lit(files)).cast("int"))
-        wrote = dealt.groupBy("file").applyInArrow(write, "n long").agg(F.sum("n")).first()[0]
+        sent = dealt.groupBy("file").applyInArrow(write, "file int, n long, packed binary")
+        if not mounted:
+            sent = materialize(sent, "model")
+            path = sent.inputFiles()[0].rsplit("/", 1)[0]
+            spark.sparkContext.addFile(path, recursive=True)
+            folder = path.rsplit("/", 1)[1]
+        wrote = sent.agg(F.sum("n")).first()[0]
         if wrote != n:
             raise RuntimeError(f"{wrote} of {n} entries written")
     discard(known)
-    return folder, files
+    return folder, files, bool(n) and not mounted
+
+
+def put(path: str, content) -> None:
+    """Writes a file at once: others see it whole or not at all."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    aside = f"{path}.{uuid.uuid4().hex}"
+    with open(aside, "wb") as f:
+        f.write(content)
+    os.replace(aside, path)
+
+
+def unpacked(name: str) -> str:
+    """The folder of files that Spark shipped to this machine, unpacked by the first worker that asks."""
+    import pyarrow.parquet as pq
+    from pyspark import SparkFiles
+
+    folder = SparkFiles.get(name)
+    for part in sorted(p for p in os.listdir(folder) if p.endswith(".parquet")):
+        source = pq.ParquetFile(f"{folder}/{part}")
+        if all(os.path.exists(f"{folder}/{i}.arrow") for i in source.read(["file"])["file"].to_pylist()):
+            continue
+        for batch in source.iter_batches(batch_size=1):
+            put(f"{folder}/{batch['file'][0].as_py()}.arrow", batch["packed"][0].as_buffer())
+    return folder
 
 
 def hash_word(word: str) -> int:
@@ -122,9 +153,11 @@ def hash_word(word: str) -> int:
 class Entries:
     """Looks words up in the mapped files of a folder."""
 
-    def __init__(self, folder: str, files: int, k: int):
+    def __init__(self, folder: str, files: int, shipped: bool, k: int):
         import pyarrow as pa
 
+        if shipped:
+            folder = unpacked(folder)
         self.files, self.k, self.parts = files, k, {}
         for i in range(files):
             if os.path.exists(path := f"{folder}/{i}.arrow"):

@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from gapweave.llm import ann, bpe, graph, html, langid, lexicon, neardup, pii, toxicity
+from gapweave.llm import ann, bpe, common, graph, html, langid, lexicon, neardup, pii, toxicity
 from gapweave.llm.common import table
 from tests.oracle import DATA
 
@@ -160,6 +160,20 @@ def test_language_keeps_every_word(spark):
     assert all(r.lang_pred == r.lang for r in got)
 
 
+def test_language_without_a_mounted_folder(spark, tmp_path, monkeypatch):
+    """In a store that only Spark reads, the model's files come to the workers by Spark, with the same rows."""
+    monkeypatch.setattr(langid, "FILE_ROWS", 500)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    mounted = rows(langid.op8_language_id(spark, DATA))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.remote.link./shared", f"file://{tmp_path}")
+    for module in (common, langid):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: "viewfs://remote/shared")
+    assert rows(langid.op8_language_id(spark, DATA)) == mounted
+    none = spark.createDataFrame([(1, "some words", "a")], "doc_id long, text string, lang string")
+    assert rows(langid.identify(none, langid.learn(none))) == [(1, "a", 1.0)]
+    assert list(tmp_path.rglob("*.parquet"))
+
+
 def brute_segments(scores, drift):
     """The definition: the best segment, then the same on either side of it."""
     x = [s if s else -drift for s in scores]
