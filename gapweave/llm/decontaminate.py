@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The windows of the benchmark, normalised, form a hash table that is broadcast while its size
-is under a bound (beyond it the same join shuffles).  Every window of every document is looked
-up by hash and verified as a string; the hits of a document are merged into hit words.
+is under a bound.  Every window of every document is looked up by hash and verified as a string;
+the hits of a document are merged into hit words.  Beyond the bound only hashes of windows meet, by a
+shuffle, and the strings of those found are made from their documents anew.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = 2048
 #: Largest size of the benchmark's windows (characters) that is broadcast.
 BROADCAST_CHARS = 16 << 20
+#: Parts to which the rows of one window are dealt where the join shuffles.
+SALT = 16
 
 
 def words(text: Column) -> Column:
@@ -49,10 +52,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_char
     bench = materialize(benchmark_windows(benchmark, n), "windows")
     size = bench.agg(F.sum(F.length("win") + 32).alias("c"), F.collect_set("len").alias("l")).first()
     lengths = sorted(size["l"] or [])
-    if (size["c"] or 0) <= broadcast_chars:
-        bench = F.broadcast(bench)
     base = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     base = base.withColumn("n_words", F.size("w").cast("long"))
+    if (size["c"] or 0) <= broadcast_chars:
+        windows, bench, keys = every_window(base, lengths, n), F.broadcast(bench), []
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+        hashes = bench.select("h", "len").distinct().select("h", "len", parts)
+        windows = likely_windows(base, every_window(base, lengths, n, text=False), hashes).withColumn("salt", salt())
+        bench, keys = bench.select("*", parts), ["salt"]
+    windows = windows.withColumn("h", F.expr("IF(len = 0, xxhash64(doc_id, th), xxhash64(win))"))  # documents are spread if the join shuffles
+    keys = ["h", "win", "len", *keys]
+    b = bench.select("item_id", *[F.col(c).alias(f"b_{c}") for c in keys])
+    hit = windows.join(b, [windows[c] == b[f"b_{c}"] for c in keys], "left").where("b_h IS NOT NULL OR len = 0")
+    return hit.groupBy("doc_id", "th").agg(
+        F.max("n_words").alias("n_words"),
+        F.collect_set(F.when(F.col("len") > 0, F.struct("pos", "len"))).alias("hits"),
+        F.collect_set("item_id").alias("items"),
+    )
+
+
+def salt() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "th", "pos"), F.lit(SALT)).cast("int")
+
+
+def every_window(base: DataFrame, lengths: list[int], n: int, text: bool = True) -> DataFrame:
+    """(doc_id, th, n_words, pos, len, win) of the windows of the given lengths, and a row of length 0 for each
+    document; without ``text`` their hashes h in the place of win, and no such row."""
     blocks = base.select(
         "doc_id",
         "th",
@@ -64,27 +90,30 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_char
             )
         ).alias("k"),
     ).select("doc_id", "th", "n_words", "k.at", "k.b")
+    name, of = ("win", "{}") if text else ("h", "xxhash64({})")
     # The row with len 0 stands for the document itself.
-    parts = [F.expr("IF(at = 0, array(named_struct('i', -1, 'len', 0, 'win', '')), array())")]
+    parts = [F.expr("IF(at = 0, array(named_struct('i', -1, 'len', 0, 'win', '')), array())")] if text else []
     for m in lengths:
         last = f"least({BLOCK}, size(b) - {m} + 1)"
-        parts.append(
-            F.expr(
-                f"IF({last} >= 1, transform(sequence(1, {last}), i -> named_struct('i', i, 'len', {m}, 'win', array_join(slice(b, i, {m}), ' '))), array())"
-            )
-        )
-    windows = (
-        blocks.select("doc_id", "th", "n_words", "at", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("x"))
-        .select("doc_id", "th", "n_words", (F.col("at") + F.col("x.i")).cast("long").alias("pos"), F.col("x.len").alias("len"), F.col("x.win").alias("win"))
-        .withColumn("h", F.expr("IF(len = 0, xxhash64(doc_id, th), xxhash64(win))"))  # documents are spread if the join shuffles
+        cell = of.format(f"array_join(slice(b, i, {m}), ' ')")
+        parts.append(F.expr(f"IF({last} >= 1, transform(sequence(1, {last}), i -> named_struct('i', i, 'len', {m}, '{name}', {cell})), array())"))
+    return blocks.select("doc_id", "th", "n_words", "at", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("x")).select(
+        "doc_id", "th", "n_words", (F.col("at") + F.col("x.i")).cast("long").alias("pos"), F.col("x.len").alias("len"), F.col(f"x.{name}").alias(name)
     )
-    b = bench.select("item_id", F.col("len").alias("b_len"), F.col("win").alias("b_win"), F.col("h").alias("b_h"))
-    hit = windows.join(b, (windows.h == b.b_h) & (windows.win == b.b_win) & (windows.len == b.b_len), "left").where("b_h IS NOT NULL OR len = 0")
-    return hit.groupBy("doc_id", "th").agg(
-        F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(F.col("len") > 0, F.struct("pos", "len"))).alias("hits"),
-        F.collect_set("item_id").alias("items"),
+
+
+def likely_windows(base: DataFrame, hashed: DataFrame, hashes: DataFrame) -> DataFrame:
+    """As ``every_window`` gives, of the windows only those with a hash that the benchmark has.
+
+    The windows move as hashes, those of one window dealt to ``SALT`` parts; a document moves once, as words, to
+    meet the places found in it."""
+    found = hashed.withColumn("salt", salt()).join(hashes, ["h", "len", "salt"], "left_semi")
+    found = found.groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).agg(F.collect_set(F.struct("pos", "len")).alias("at"))
+    cells = F.expr(
+        "concat(array(named_struct('pos', -1L, 'len', 0, 'win', '')), coalesce(transform(at, x -> named_struct('pos', x.pos, 'len', x.len, 'win', array_join(slice(w, CAST(x.pos AS INT), x.len), ' '))), array()))"
     )
+    whole = base.join(found, base["doc_id"].eqNullSafe(found["f_id"]) & (base["th"] == found["f_th"]), "left")
+    return whole.select("doc_id", "th", "n_words", F.explode(cells).alias("x")).select("doc_id", "th", "n_words", "x.pos", "x.len", "x.win")
 
 
 def n_hit(hits: Column) -> Column:
@@ -105,8 +134,8 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_chars:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits; an empty benchmark hits nothing.  Rows that repeat doc_id and
-    text give one row; other columns are not read.  Over ``broadcast_chars`` characters of windows the same join
-    shuffles, with the same result."""
+    text give one row; other columns are not read.  Over ``broadcast_chars`` characters of windows the join is by
+    a shuffle of hashes, with the same result."""
     return find_hits(docs, benchmark, n, broadcast_chars).select(
         "doc_id",
         "n_words",

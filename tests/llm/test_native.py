@@ -23,6 +23,8 @@ def test_decontaminate_edges(spark):
     assert (got[3].n_words, got[3].n_hit, got[3].n_items) == (5, 2, 1)
     assert (got[4].n_words, got[4].n_hit, got[4].n_items) == (10_000, 13, 1)
     assert got[None].n_hit == 2
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(decontaminate.report(docs, bench, broadcast_chars=0)) == rows(decontaminate.report(docs, bench))
     clean = decontaminate.drop_contaminated(docs, bench)
     assert sorted(r.doc_id for r in clean.collect()) == [1, 2]
     assert clean.columns == docs.columns
@@ -33,6 +35,18 @@ def test_decontaminate_edges(spark):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("at", [2037, 2038, 2047, 2048, 2049, 4086])
+def test_shuffled_windows_at_block_borders(spark, at):
+    """Windows over the borders of blocks, one of them in each of many documents."""
+    filler = lambda i, k: [f"x{i}y{j}" for j in range(k)]
+    passage = [f"p{j}" for j in range(12)]
+    docs = [(i, " ".join(filler(i, at) + passage + filler(i, 3))) for i in range(20)] + [(20, " ".join(filler(20, 50)))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(docs, bench, broadcast_chars=0).collect()}
+    assert got == {i: (at + 15, 12, 1) for i in range(20)} | {20: (50, 0, 0)}
+
+
 def test_chat_edges(spark):
     t = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (5, 1, None, "z"), (None, 0, "user", "q")]
     d = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")
