@@ -21,14 +21,15 @@ def alignment_to_core(spark: SparkSession, positions: str, reference: str, align
     place: (pipeline, chrom, pos 0-based, ref, sample, allele).
 
     Letters stay as they are; a sample is named by its whole title, records of one title are joined.  Lines of the list under two
-    fields or without a position over 0 don't count.  Fails if a sequence has another length than the list.
+    fields or without a position over 0 don't count.  Fails if a sequence has another length than the list.  Each source is a file, or
+    a folder whose files in the order of their names are one text.
 
     The three sources meet by blocks of places, so no row holds a sequence or the list."""
-    pos = fasta.numbered(spark, positions).withColumn("f", F.split("line", "\t")).where("size(f) >= 2").withColumn("pos", F.get("f", F.lit(1)).try_cast("long")).where("pos >= 1")
+    pos = fasta.numbered(spark, positions, joined=True).withColumn("f", F.split("line", "\t")).where("size(f) >= 2").withColumn("pos", F.get("f", F.lit(1)).try_cast("long")).where("pos >= 1")
     pos = fasta.running(pos, ["unit"], F.lit(1), "i").select("i", F.get("f", F.lit(0)).alias("chrom"), (F.col("pos") - 1).alias("pos"))
     n = pos.count()
-    ref = fasta.placed(fasta.chunks(spark, reference, upper=False), [])
-    samples = fasta.placed(fasta.chunks(spark, aligned, upper=False), ["title"])
+    ref = fasta.placed(fasta.chunks(spark, reference, upper=False, joined=True), [])
+    samples = fasta.placed(fasta.chunks(spark, aligned, upper=False, joined=True), ["title"])
     sizes = ref.select(F.lit("").alias("title"), "bases").unionByName(samples.select("title", "bases")).groupBy("title").agg(F.sum(F.length("bases")).alias("size"))
     wrong = sizes.where(F.col("size") != n).orderBy("title").first()
     if wrong is not None:

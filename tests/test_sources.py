@@ -93,6 +93,17 @@ def test_alignment_to_core(spark, tmp_path, monkeypatch, splits):
         convert.alignment_to_core(spark, str(tmp_path / "list.txt"), written(tmp_path / "r.fa", [("r", ref[:-1])]), str(a))
 
 
+def test_alignment_to_core_of_folders(spark, tmp_path):
+    """Sources written by Spark are folders of several files: neither the list nor a record ends with a file."""
+    texts = {"list": ["c\t5", "c\t6", "c\t7", "c\t8"], "ref": [">r", "AC", "G", "T"], "a": [">s1", "AA", "C", "G", ">s2", "T", "TTT"]}
+    for name, rows in texts.items():
+        (tmp_path / name).mkdir()
+        for i in range(0, len(rows), 2):
+            (tmp_path / name / f"part-{i:05d}").write_text("\n".join(rows[i : i + 2]) + "\n")
+    got = pairs(convert.alignment_to_core(spark, *[str(tmp_path / x) for x in texts]), "sample", "pos", "ref", "allele")
+    assert got == sorted((s, 4 + i, "ACGT"[i], q[i]) for s, q in (("s1", "AACG"), ("s2", "TTTT")) for i in range(4))
+
+
 NEXUS = "#nexus\nbegin data;\ntaxlabels\tREF\ts1\ts2\ts3;\n1\tA\tC\tG\tT\nmatrix\n1\tA\tC\tG\tc\n\n2\tA\tC\tT\tCT\n3\tA\tN\tG\tG\nx\ty\n;\nend;\nbegin trees;\n9\tA\tC\tG\tT\nend;\n"
 
 
