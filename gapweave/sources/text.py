@@ -87,10 +87,11 @@ def vcf_calls(spark: SparkSession, path, min_qual: float = 0.0, include_indels:
 
 def vcf_variants(spark: SparkSession, path) -> DataFrame:
     """Calls for quality control: (sample, chrom, pos 1-based, ref, alt, qual, filter, info, depth, af, ro, ao, gq, gt, qa, abq, pval), MNPs
-    decomposed where the alt has no comma, and of each chrom and pos the last line."""
+    decomposed where the alt has no comma, and of each chrom and pos the last line.  Of lines with one number, which only tables of
+    lines have, the first as they are read counts, so the result doesn't hang on the order in which a shuffle delivers them."""
     from pyspark.sql import Window
 
-    v = vcf_rows(spark, path).withColumn("pos", F.col("pos_text").try_cast("long")).where("pos IS NOT NULL")
+    v = vcf_rows(spark, path).withColumn("_at", F.monotonically_increasing_id()).withColumn("pos", F.col("pos_text").try_cast("long")).where("pos IS NOT NULL")
     mnp = va.is_mnp("ref", "alt")
     parts = F.when(mnp, va.decompose("pos", "ref", "alt")).otherwise(F.array(F.struct("pos", "ref", "alt")))
     info = F.when(mnp, F.concat("info", F.lit(";DECOMPOSED_FROM_MNP="), "ref", F.lit(">"), "alt")).otherwise(F.col("info"))
@@ -98,7 +99,7 @@ def vcf_variants(spark: SparkSession, path) -> DataFrame:
     v = v.withColumn("f", va.format_fields("format", "call"))
     af = F.coalesce("f.af", va.info_number("info", "AF", "double"))
     depth = F.coalesce("f.depth", va.info_number("info", "DP"))
-    w = Window.partitionBy("file", "chrom", "x.pos").orderBy(F.desc("n"))
+    w = Window.partitionBy("file", "chrom", "x.pos").orderBy(F.desc("n"), "_at")
     v = v.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return v.select(
         sample_name(F.col("file")).alias("sample"), "chrom", F.col("x.pos").alias("pos"), F.col("x.ref").alias("ref"), F.col("x.alt").alias("alt"), va.quality("qual_text").alias("qual"), "filter", F.col("info2").alias("info"),

@@ -1,6 +1,7 @@
 """Repeated calls and core lines, and interval operators whose work is cut into bins."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,12 @@ def test_empty_regions_of_all_thresholds(spark):
     assert pairs(summary, "threshold", "core_size", "core_pct", "regions") == [(50.0, 100, 100.0, 0), (75.0, 95, 95.0, 1), (100.0, 65, 65.0, 2)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("AS d") <= 2  # the sum of steps of one sweep; both sides of the stitching share its exchange
+
+
+def test_lines_of_one_number(spark):
+    """Of lines with one number the first as they are read counts; the order is definite, so no shuffle decides it."""
+    lines = spark.range(0, 4000, 1, 16).selectExpr("'x/a.vcf' AS file", "id % 1000 AS n", "concat_ws('\t', 'c', 1 + id % 1000, '.', 'A', 'C', id div 1000, 'PASS', 'X') AS line")
+    got = text.vcf_variants(spark, lines)
+    assert got.count() == 1000
+    assert got.where("qual != 0").count() == 0
+    assert re.search(r"n#\d+L DESC NULLS LAST, _at#\d+L ASC NULLS FIRST", got._jdf.queryExecution().analyzed().toString())
