@@ -29,7 +29,9 @@ def first_line(spark: SparkSession, path: str) -> str:
 
 
 def _fields(df: DataFrame, least: int) -> DataFrame:
-    return df.withColumn("f", F.split("line", "\t")).where(F.size("f") >= least)
+    """Adds ``f``, the cells of the lines that have enough of them.  A generator makes it: a projected split would be copied into
+    every filter and cell that reads it, the making of the line along with it."""
+    return df.withColumn("f", F.explode(F.filter(F.array(F.split("line", "\t")), lambda f: F.size(f) >= least)))
 
 
 def _f(i: int) -> Column:

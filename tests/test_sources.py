@@ -166,3 +166,11 @@ def test_folders(spark, tmp_path):
         (tmp_path / folder).mkdir(parents=True, exist_ok=True)
         (tmp_path / folder / name).write_text("x")
     assert [(s, p.split("/")[-1]) for s, p in pairs(text.alignment_files(spark, str(tmp_path)), "sample", "path")] == [("s1", "reads.sorted.bam"), ("s2", "x.indelrealigned.bam"), ("s3", "a.bam")]
+
+
+@pytest.mark.parametrize("read", [text.paf, text.sam, text.gff, text.vcf_calls, lambda spark, rows: text.viewer_snps(spark, rows, "cfsan")])
+def test_lines_are_split_once(spark, read):
+    """The optimizer copies no split into the filters and cells that read it."""
+    line = spark.range(10).selectExpr("'f' AS file", "id AS n", "concat_ws('\t', id, repeat('1\t', 12)) AS line")
+    plan = read(spark, line)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(line") + plan.count("split(concat_ws") == 1
