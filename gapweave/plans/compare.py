@@ -66,12 +66,15 @@ class Comparison:
 
     def report(self) -> DataFrame:
         """One row: samples, pipelines, kpis, global_stats, pair_summary, per_sample and pairs as arrays of structs; truth,
-        breakdown, distances and warnings where there are some.  Its size follows the pairs of samples, never calls or gaps."""
+        breakdown, distances and warnings where there are some.  Its size follows the pairs of samples, never calls or gaps.
+
+        Each part that reads sites or gaps is planned and written by itself, so the driver never holds the plans and broadcasts of all."""
         rows = lambda d, name: d.groupBy().agg(F.sort_array(F.collect_list(F.struct(*d.columns))).alias(name))
-        pairs = self.pairs()
-        parts = {"samples": self.samples, "pipelines": self.about, "global_stats": self.global_stats(), "pair_summary": sites.pair_summary(pairs), "per_sample": sites.per_sample_pairs(pairs), "pairs": pairs}
-        parts |= {"truth": self.truth_results(), "breakdown": self.breakdown(), "distances": self.distances}
-        out = rows(self.kpis(), "kpis")
+        kept = lambda d, name: None if d is None else stored(d, name)
+        pairs = kept(self.pairs(), "pairs")
+        parts = {"samples": self.samples, "pipelines": kept(self.about, "about"), "global_stats": kept(self.global_stats(), "global_stats"), "pair_summary": sites.pair_summary(pairs), "per_sample": sites.per_sample_pairs(pairs), "pairs": pairs}
+        parts |= {"truth": kept(self.truth_results(), "truth"), "breakdown": kept(self.breakdown(), "breakdown"), "distances": self.distances}
+        out = rows(kept(self.kpis(), "kpis"), "kpis")
         for name, d in parts.items():
             if d is not None:
                 out = out.crossJoin(rows(d, name))

@@ -132,3 +132,11 @@ def test_lines_of_one_number(spark):
     assert got.count() == 1000
     assert got.where("qual != 0").count() == 0
     assert re.search(r"n#\d+L DESC NULLS LAST, _at#\d+L ASC NULLS FIRST", got._jdf.queryExecution().analyzed().toString())
+
+
+def test_report_parts_are_written(spark):
+    """The plan of a report reads its parts, each written by a plan of its own: it joins and broadcasts one row of each."""
+    x = inputs(spark, [("gt", "S0", 4, "C", 1, 0), ("p", "S1", 4, "C", 2, 0)])
+    out = x.report()
+    assert "sites" not in {part.rsplit("/", 2)[-2] for part in out.inputFiles()}
+    assert len(out.first().pairs) == 2
