@@ -28,38 +28,61 @@ def low_coverage(reads: DataFrame, ref_len: int, min_depth: int) -> DataFrame:
 #: Operations of a CIGAR that are walked in one go; a long one is walked in parts, so its cost stays in proportion.
 OPS = 128
 
+#: Letters of operations by what they take: M read and reference, D reference bases only, I read bases only, H none.
+_KINDS = "'M=XDNISHP', 'MMMDDIIHH'"
+
 
 def blocks(reads: DataFrame) -> DataFrame:
     """A row per aligned block of a read: its columns, r and q (0-based starts on reference and read) and len.  M, = and X
-    align; I and S take read bases only, D and N reference bases only, H and P none."""
+    align; I and S take read bases only, D and N reference bases only, H and P none.
+
+    A CIGAR is taken apart once: its operations come from a generator, which the optimizer doesn't copy into what reads them."""
+    op = lambda n, kind: f"named_struct('n', CAST({n} AS BIGINT), 'k', translate({kind}, {_KINDS}))"
+    plain = f"zip_with(split(translate(left(cigar, length(cigar) - 1), 'MIDNSHP=X', '         '), ' '), split(translate(cigar, '0123456789', ''), ''), (n, o) -> {op('n', 'o')})"
+    found = f"transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 0), x -> {op('substr(x, 1, length(x) - 1)', 'right(x, 1)')})"
+    out = reads.withColumn("ops", F.explode(F.array(F.expr(f"IF(cigar RLIKE '^([0-9]+[MIDNSHP=X])+$', {plain}, {found})")))).where("size(ops) > 0")
     place = "CAST(array() AS array<struct<r:bigint,q:bigint,len:bigint>>)"
-    step_r, step_q = "IF(x.op IN ('M', '=', 'X', 'D', 'N'), x.n, 0L)", "IF(x.op IN ('M', '=', 'X', 'I', 'S'), x.n, 0L)"
-    out = reads.withColumn("ops", F.expr("transform(regexp_extract_all(cigar, '([0-9]+)([MIDNSHP=X])', 0), x -> named_struct('n', CAST(substr(x, 1, length(x) - 1) AS BIGINT), 'op', right(x, 1)))"))
-    out = out.where("size(ops) > 0").withColumn("parts", F.expr(f"transform(sequence(0, (size(ops) - 1) div {OPS}), b -> slice(ops, CAST(b * {OPS} + 1 AS INT), {OPS}))"))
-    # Where each part begins, then its blocks from there.
-    sums = f"transform(parts, p -> named_struct('r', aggregate(p, 0L, (a, x) -> a + {step_r}), 'q', aggregate(p, 0L, (a, x) -> a + {step_q}), 'len', 0L))"
+    step_r, step_q = "IF(x.k = 'M' OR x.k = 'D', x.n, 0L)", "IF(x.k = 'M' OR x.k = 'I', x.n, 0L)"
+    walk = lambda ops, r, q: f"""aggregate({ops}, named_struct('r', {r}, 'q', {q}, 'out', {place}), (a, x) -> named_struct('r', a.r + {step_r}, 'q', a.q + {step_q},
+          'out', IF(x.k = 'M', array_append(a.out, named_struct('r', a.r, 'q', a.q, 'len', x.n)), a.out)), a -> a.out)"""
+    # Of a long one, where each part begins, then its blocks from there.
+    parts = f"transform(sequence(0, (size(ops) - 1) div {OPS}), b -> slice(ops, CAST(b * {OPS} + 1 AS INT), {OPS}))"
+    sums = f"transform({parts}, p -> named_struct('r', aggregate(p, 0L, (a, x) -> a + {step_r}), 'q', aggregate(p, 0L, (a, x) -> a + {step_q})))"
     starts = f"aggregate({sums}, named_struct('r', pos - 1, 'q', 0L, 'out', {place}), (a, s) -> named_struct('r', a.r + s.r, 'q', a.q + s.q, 'out', array_append(a.out, named_struct('r', a.r, 'q', a.q, 'len', 0L))), a -> a.out)"
-    walk = f"""flatten(zip_with(parts, starts, (p, s) -> aggregate(p, named_struct('r', s.r, 'q', s.q, 'out', {place}), (a, x) -> named_struct('r', a.r + {step_r}, 'q', a.q + {step_q},
-          'out', IF(x.op IN ('M', '=', 'X'), array_append(a.out, named_struct('r', a.r, 'q', a.q, 'len', x.n)), a.out)), a -> a.out)))"""
-    return out.withColumn("starts", F.expr(starts)).withColumn("b", F.explode(F.expr(walk))).select(*reads.columns, "b.r", "b.q", "b.len")
+    long = f"flatten(zip_with({parts}, {starts}, (p, s) -> {walk('p', 's.r', 's.q')}))"
+    return out.select(*reads.columns, F.inline(F.expr(f"IF(size(ops) <= {OPS}, {walk('ops', 'pos - 1', '0L')}, {long})")))
+
+
+#: Positions whose bases are counted together.
+COUNT_BIN = 256
 
 
 def base_counts(reads: DataFrame, keys: list[str] | None = None, positions: DataFrame | None = None) -> DataFrame:
-    """(keys, pos 0-based, base, n) of the read bases over the reference, N left out; every record counts.  With
-    ``positions`` (pos) only those."""
+    """(keys, bin, pos 0-based, base, n) of the read bases over the reference, N left out; every record counts.  With
+    ``positions`` (pos) only those.
+
+    Aligned blocks, cut to bins of positions, are shuffled, never single bases: a bin is counted where its blocks meet, and what
+    groups the counts by bin and position needs no other shuffle."""
     keys = keys or []
-    b = blocks(reads).where("len > 0").select(*keys, "r", F.expr("substr(seq, CAST(q + 1 AS INT), CAST(len AS INT))").alias("s"))
-    each = b.select(*keys, "r", F.posexplode(F.split(F.upper("s"), "")).alias("i", "base")).select(*keys, (F.col("r") + F.col("i")).alias("pos"), "base").where("base NOT IN ('', 'N')")
+    at = lambda pos: F.expr(f"({pos} - pmod({pos}, {COUNT_BIN})) div {COUNT_BIN}")
+    b = blocks(reads).where("len > 0").select(*keys, "r", F.expr("upper(substr(seq, CAST(q + 1 AS INT), CAST(len AS INT)))").alias("s")).where("s != ''")
+    b = b.select(*keys, "r", "s", F.explode(F.sequence(at("r"), at("(r + length(s) - 1)"))).alias("bin")).withColumn("from", F.greatest("r", F.col("bin") * COUNT_BIN))
+    b = b.select(*keys, "bin", "from", F.expr(f"substr(s, CAST(from - r + 1 AS INT), CAST((bin + 1) * {COUNT_BIN} - from AS INT))").alias("s")).repartition(*keys, "bin")
+    if positions is not None:
+        asked = positions.groupBy(at("pos").alias("bin")).agg(F.collect_set("pos").alias("asked"))
+        b = b.join(asked.hint("shuffle_hash"), "bin")
+    each = b.select("*", F.posexplode(F.split("s", "")).alias("i", "base")).withColumn("pos", F.col("from") + F.col("i")).where("base NOT IN ('', 'N')")
     if positions is not None:
-        each = each.join(positions.select("pos").distinct(), "pos", "left_semi")
-    return each.groupBy(*keys, "pos", "base").agg(F.count(F.lit(1)).alias("n"))
+        each = each.where("array_contains(asked, pos)")
+    return each.groupBy(*keys, "bin", "pos", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
 def base_calls(counts: DataFrame, min_depth: int, min_consensus: float = 0.8, keys: list[str] | None = None) -> DataFrame:
     """(keys, pos, call, depth, consensus): the most frequent base (ties: the last by letter), - for too little depth
     (consensus 0), N without enough agreement."""
     keys = keys or []
-    g = counts.groupBy(*keys, "pos").agg(F.sum("n").alias("depth"), F.max("n").alias("best"), F.max_by("base", F.struct("n", "base")).alias("base"))
+    bins = [c for c in counts.columns if c == "bin"]
+    g = counts.groupBy(*keys, *bins, "pos").agg(F.sum("n").alias("depth"), F.max("n").alias("best"), F.max_by("base", F.struct("n", "base")).alias("base"))
     call = va.base_call("depth", "best", "depth", "base", min_depth, min_consensus)
     return g.select(*keys, "pos", call.alias("call"), "depth", F.when(F.col("depth") < min_depth, 0.0).otherwise(F.col("best") / F.col("depth")).alias("consensus"))
 

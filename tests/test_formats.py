@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -198,3 +199,23 @@ def test_without_alignments(spark):
     one = frame(spark, [("s", "c", 0, 8, 4, 8), ("s", "c", 4, 10, 4, 8), ("s", "x", 0, 9, 1, 1)], "sample string, target string, target_start long, target_end long, matches long, block long")
     r = alignments.alignment_metrics(one, offsets, 12).first()
     assert (r.identity, r.coverage, r.merged_coverage) == (0.5, 1.0, pytest.approx(10 / 12))
+
+
+def test_bases_are_counted_in_bins(spark):
+    """Blocks over borders of bins, a long CIGAR and one with other letters; only blocks are shuffled, once."""
+    reads = [(250, "5M2D5M", "ACGTACGTAC"), (511, "2S3M", "TTAcN"), (1, "1M1I" * 300, "GT" * 300), (3, "2M4Y1M", "CCC"), (-1, "3M", "AAA")]
+    df = spark.createDataFrame(reads, "pos long, cigar string, seq string")
+    want = Counter()
+    for pos, cigar, seq in reads:
+        r, q = pos - 1, 0
+        for n, op in re.findall("([0-9]+)([MIDNSHP=X])", cigar):
+            for i in range(int(n) if op == "M" else 0):
+                want[r + i, seq[q + i].upper()] += 1
+            r, q = r + int(n) * (op in "MD"), q + int(n) * (op in "MIS")
+    want = {(p, b): n for (p, b), n in want.items() if b != "N"}
+    counts = alignments.base_counts(df)
+    assert pairs(counts, "pos", "base", "n") == sorted((p, b, n) for (p, b), n in want.items())
+    some = spark.createDataFrame([(0,), (255,), (256,), (900,), (255,)], "pos long")
+    assert pairs(alignments.base_counts(df, positions=some), "pos", "base", "n") == sorted((p, b, n) for (p, b), n in want.items() if p in (0, 255, 256))
+    plan = alignments.base_calls(counts, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
