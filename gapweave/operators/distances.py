@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,19 @@ def hamming(alleles: DataFrame, samples: DataFrame) -> DataFrame:
     ok = alleles.where(valid_base("allele"))
     left = ok.select("pos", F.col("sample").alias("x"), F.col("allele").alias("xa"))
     groups = ok.groupBy("pos", "allele").agg(F.collect_set("sample").alias("s"))
-    pairs = left.join(groups, "pos").where("xa < allele").select("x", F.explode("s").alias("y"))
+    return _counted(left.join(groups, "pos").where("xa < allele").select("x", F.explode("s").alias("y")), samples)
+
+
+def hamming_rows(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """``hamming`` of a table with a row for each position, whose ``cells`` (array<struct<sample, allele>>) are all of it: pairs are
+    made within a row, nothing but their counts is shuffled."""
+    of = lambda base: F.transform(F.filter("cells", lambda c: c["allele"] == base), lambda c: c["sample"])
+    each = F.array(*[F.struct(of(x).alias("xs"), F.array_distinct(of(y)).alias("ys")) for x, y in combinations("ACGT", 2)])
+    pairs = rows.select(F.inline(F.filter(each, lambda p: (F.size(p["xs"]) > 0) & (F.size(p["ys"]) > 0)))).select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    return _counted(pairs, samples)
+
+
+def _counted(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     d = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("distance"))
     grid = samples.select(F.col("sample").alias("a")).crossJoin(samples.select(F.col("sample").alias("b"))).where("a < b")
     return grid.join(d, ["a", "b"], "left").select("a", "b", F.coalesce("distance", F.lit(0)).cast("long").alias("distance"))

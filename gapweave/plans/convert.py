@@ -86,9 +86,9 @@ def nexus_to_distances(spark: SparkSession, path: str) -> DataFrame:
     """Pair distances of a Nexus matrix; REF is left out."""
     names, body = nexus_rows(spark, path)
     z = F.arrays_zip(F.array(*[F.lit(x) for x in names]).cast("array<string>").alias("s"), F.col("cells").alias("a"))
-    long = body.select(F.col("n").alias("pos"), F.explode(z).alias("x")).where("x.s != 'REF'")
+    cells = F.transform(F.filter(z, lambda x: x["s"] != "REF"), lambda x: F.struct(x["s"].alias("sample"), F.substring(x["a"], 1, 1).alias("allele")))
     known = spark.createDataFrame([(x,) for x in names if x != "REF"], "sample string")
-    return distances.hamming(long.select("pos", F.col("x.s").alias("sample"), F.substring("x.a", 1, 1).alias("allele")), known)
+    return distances.hamming_rows(body.select(cells.alias("cells")), known)
 
 
 def core_to_distances(spark: SparkSession, path: str) -> DataFrame:

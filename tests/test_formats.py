@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gapweave.operators import alignments, callsets, qc, viewer
+from gapweave.plans import convert
 from gapweave.sources import config, datasource, report, sinks
 from tests.test_engine import frame, pairs
 
@@ -219,3 +220,13 @@ def test_bases_are_counted_in_bins(spark):
     assert pairs(alignments.base_counts(df, positions=some), "pos", "base", "n") == sorted((p, b, n) for (p, b), n in want.items() if p in (0, 255, 256))
     plan = alignments.base_calls(counts, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_nexus_rows_are_not_shuffled(spark, tmp_path):
+    """Pairs are made within the rows of a matrix; what a base is none of, and the reference, count nowhere."""
+    rows = ["#NEXUS", "taxlabels\tREF\tA\tB\tC;", "matrix", "1\tA\tA\tC\tN", "2\tA\tG\tG\tT", "3\tC\tA\tC\tG", "4\tC\t-\tt\tG", ";", "end;"]
+    p = tmp_path / "x.nex"
+    p.write_text("\n".join(rows))
+    got = convert.nexus_to_distances(spark, str(p))
+    assert pairs(got, "a", "b", "distance") == [("A", "B", 2), ("A", "C", 2), ("B", "C", 2)]
+    assert not re.search(r"hashpartitioning\(n#|hashpartitioning\(pos#", got._jdf.queryExecution().executedPlan().toString())
