@@ -68,6 +68,11 @@ def merge(iv: DataFrame, keys: list[str], reach: int = 0) -> DataFrame:
     return _stitched(pieces, keys, reach, width)
 
 
+def closed(iv: DataFrame, keys: list[str]) -> DataFrame:
+    """The intervals with their ends inside, joined where they overlap or touch then: a point lies in one at most."""
+    return merge(iv.withColumn("end", F.col("end") + 1), keys)
+
+
 def regions(points: DataFrame, keys: list[str], max_gap: int = 0) -> DataFrame:
     """Positions to regions: a position joins the region before it if pos <= end + max_gap."""
     return merge(points.select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")).distinct(), keys, max_gap)

@@ -24,8 +24,7 @@ def positions(a: DataFrame, b: DataFrame, gaps: DataFrame | None, name_a: str, n
     if gaps is None:
         j = j.withColumn("in_gap", F.lit(False))
     else:
-        hit = iv.locate(j.select(*KEYS).distinct(), gaps, ["sample"], [], inclusive=True).groupBy(*KEYS).agg(F.max("inside").alias("in_gap"))
-        j = j.join(hit, KEYS)
+        j = iv.locate(j, iv.closed(gaps, ["sample"]), ["sample"], []).withColumnRenamed("inside", "in_gap")
     only_a = F.col("status") == "OnlyPipelineA"
     one = lambda c: F.when(only_a, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
     reasons = F.array_compact(

@@ -132,10 +132,7 @@ def calls_in_gaps(v):
 
 @query("calls_in_gaps_inclusive", "SELECT c.pipeline, c.sample, CAST(count(*) FILTER (EXISTS (SELECT 1 FROM gap g WHERE g.pipeline = c.pipeline AND g.sample = c.sample AND c.pos >= g.s AND c.pos <= g.e)) AS BIGINT) AS in_gaps FROM call c GROUP BY c.pipeline, c.sample")
 def calls_in_gaps_inclusive(v):
-    # Merged intervals that end where a next one would start are joined, so a point has one hit or
-    # two with shared ends; a point counts once.
-    hit = iv.locate(v.call(), merged(v), PS, [], inclusive=True).groupBy("pipeline", "sample", "pos").agg(F.max("inside").alias("inside"))
-    return hit.groupBy(*PS).agg(F.count_if("inside").alias("in_gaps"))
+    return iv.locate(v.call(), iv.closed(v.gap(), PS), PS, []).groupBy(*PS).agg(F.count_if("inside").alias("in_gaps"))
 
 
 @query(
@@ -334,7 +331,8 @@ _LINE_SQL = SQL.replace("snp AS (SELECT c.pipeline, c.sample, c.pos, c.alt, r.ba
 
 
 def line_calls(v: Views) -> DataFrame:
-    return v.table("lineitem").selectExpr(f"{PIPES.format(k='l_linenumber')} AS pipeline", "concat('S', CAST(l_suppkey % 6 AS STRING)) AS sample", "l_orderkey AS pos", "substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS alt", "CAST(l_linenumber AS BIGINT) AS n")
+    lines = v.table("lineitem").selectExpr(f"{PIPES.format(k='l_linenumber')} AS pipeline", "concat('S', CAST(l_suppkey % 6 AS STRING)) AS sample", "l_orderkey AS pos", "substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS alt", "CAST(l_linenumber AS BIGINT) AS n")
+    return v.dealt(lines)
 
 
 def line_sites(v: Views) -> DataFrame:
@@ -401,7 +399,7 @@ cps AS (
 
 
 def callset_positions(v):
-    call = v.call().select("pipeline", "sample", F.concat(F.lit("c"), (F.col("pos") % 3).cast("string")).alias("chrom"), "pos", "alt", "qual", F.col("dp").alias("depth"), ((F.col("pos") % 10).cast("double") / 10).alias("af"))
+    call = v.once("calls", v.call).select("pipeline", "sample", F.concat(F.lit("c"), (F.col("pos") % 3).cast("string")).alias("chrom"), "pos", "alt", "qual", F.col("dp").alias("depth"), ((F.col("pos") % 10).cast("double") / 10).alias("af"))
     a, b = call.where("pipeline = 'p1'"), call.where("pipeline = 'p2'")
     return callsets.positions(a, b, iv.merge(v.gap().where("pipeline = 'gt'"), PS), "p1", "p2")
 

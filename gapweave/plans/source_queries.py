@@ -349,7 +349,8 @@ POSITION = [("pos", False), ("status", True), ("sample", True), ("chrom", True)]
 
 
 def table(v: Views) -> DataFrame:
-    return core.callset_positions(v).withColumn("q", F.coalesce("a_qual", "b_qual"))
+    """The positions with the quality they are sorted by, written once for all orders and pages."""
+    return v.once("positions", lambda: core.callset_positions(v).withColumn("q", F.coalesce("a_qual", "b_qual")))
 
 
 @query("sorted_pages", " SELECT * FROM p1 WHERE place // 40 = 2 UNION ALL SELECT * FROM p2 WHERE place // 40 = 2", core.CALLSET, PAGED, plain=False)

@@ -13,6 +13,8 @@ from gapweave.functions import intervals as iv
 from gapweave.sources.store import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Calls of a part of a small table, and the most of one of a large table.
+PART, LARGEST_PART = 20_000, 400_000
 PIPES = "CASE {k} % 3 WHEN 0 THEN 'gt' WHEN 1 THEN 'p1' ELSE 'p2' END"
 
 
@@ -21,7 +23,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
-        self._n = None
+        self._n = self._lines = None
         self._once: dict[str, DataFrame] = {}
 
     def once(self, name: str, make) -> DataFrame:
@@ -50,6 +52,14 @@ class Views:
     def ref_base(self) -> DataFrame:
         return self.table("orders").selectExpr("o_orderkey AS pos", "substr('ACGT', CAST(1 + (o_orderkey * 7 + o_orderkey div 3) % 4 AS INT), 1) AS base")
 
+    def dealt(self, calls: DataFrame) -> DataFrame:
+        """Calls dealt by position to parts whose number grows with the table, so that a part, and the memory of its task, does
+        not.  What groups them by position and more stays in these parts."""
+        if self._lines is None:
+            self._lines = self.table("lineitem").count()
+        some = min(self.spark.sparkContext.defaultParallelism, self._lines // PART + 1)
+        return calls.repartition(max(some, self._lines // LARGEST_PART + 1), "pos")
+
     def gap(self) -> DataFrame:
         n = self.ref_len
         e = self.table("events")
@@ -57,19 +67,15 @@ class Views:
         return e.selectExpr(f"{PIPES.format(k='event_id')} AS pipeline", "concat('S', CAST(user_id % 6 AS STRING)) AS sample", f"{start} AS start", f"least({start} + 1 + event_id % 37, {n}) AS end")
 
     def call(self) -> DataFrame:
-        return (
-            self.table("lineitem")
-            .selectExpr(
-                f"{PIPES.format(k='l_linenumber')} AS pipeline",
-                "concat('S', CAST(l_suppkey % 6 AS STRING)) AS sample",
-                "l_orderkey AS pos",
-                "substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS alt",
-                "l_quantity * 4 AS qual",
-                "CAST(l_linenumber * 7 AS BIGINT) AS dp",
-            )
-            .groupBy("pipeline", "sample", "pos")
-            .agg(F.expr("char(min(ascii(alt)))").alias("alt"), F.max("qual").alias("qual"), F.max("dp").alias("dp"))
+        lines = self.table("lineitem").selectExpr(
+            f"{PIPES.format(k='l_linenumber')} AS pipeline",
+            "concat('S', CAST(l_suppkey % 6 AS STRING)) AS sample",
+            "l_orderkey AS pos",
+            "substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS alt",
+            "l_quantity * 4 AS qual",
+            "CAST(l_linenumber * 7 AS BIGINT) AS dp",
         )
+        return self.dealt(lines).groupBy("pipeline", "sample", "pos").agg(F.expr("char(min(ascii(alt)))").alias("alt"), F.max("qual").alias("qual"), F.max("dp").alias("dp"))
 
     def samples(self) -> DataFrame:
         return self.spark.createDataFrame([(f"S{i}",) for i in range(6)], "sample string")

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
-from gapweave.operators import qc, sites, truth
+from gapweave.operators import callsets, qc, sites, truth
+from gapweave.plans import source_queries, views
 from gapweave.plans.compare import Comparison
 from gapweave.sources import text
+from tests.oracle import DATA
 from tests.test_engine import frame, pairs
 
 CALL = "pipeline string, sample string, pos long, alt string, n long, i int"
@@ -140,3 +142,31 @@ def test_report_parts_are_written(spark):
     out = x.report()
     assert "sites" not in {part.rsplit("/", 2)[-2] for part in out.inputFiles()}
     assert len(out.first().pairs) == 2
+
+
+def test_parts_grow_with_the_calls(spark, monkeypatch):
+    """The number of parts follows the table, not the session, and what groups calls by position stays in them."""
+    monkeypatch.setattr(views, "LARGEST_PART", 100)
+    v = views.Views(spark, DATA)
+    n = v.table("lineitem").count() // 100 + 1
+    calls = v.call()
+    assert calls.rdd.getNumPartitions() == n > spark.sparkContext.defaultParallelism
+    grouped = calls.groupBy("sample", "pos").count()._jdf.queryExecution().executedPlan().toString()
+    assert grouped.count("Exchange hashpartitioning") == 1
+
+
+def test_gaps_with_their_ends(spark):
+    """A point at the shared border of two gaps lies in one, so positions need neither be told apart nor joined again."""
+    gaps = frame(spark, [("S0", 2, 4), ("S0", 5, 7), ("S0", 7, 7), ("S0", 20, 21)], "sample string, start long, end long")
+    assert pairs(iv.closed(gaps, ["sample"]), "start", "end") == [(2, 8), (20, 22)]
+    call = frame(spark, [("S0", "c", p, "A", 200.0, 20, 1.0) for p in (1, 2, 4, 5, 7, 8, 21, 22)], "sample string, chrom string, pos long, alt string, qual double, depth int, af double")
+    got = callsets.positions(call, call, gaps, "a", "b")
+    assert pairs(got, "pos", "in_gap") == [(1, False), (2, True), (4, True), (5, True), (7, True), (8, False), (21, True), (22, False)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 1
+
+
+def test_pages_read_one_table(spark):
+    """All orders and pages read the positions that one plan wrote."""
+    got = source_queries.QUERIES["next_page"](spark, DATA)
+    assert all("/positions/" in f for f in got.inputFiles())
+    assert got.count() == 80
