@@ -27,14 +27,14 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return length(F.greatest(a_start, b_start), F.least(a_end, b_end))
 
 
-def _bin(pos: str, width: int) -> Column:
+def bin_of(pos: str, width: int) -> Column:
     """The bin of a position; negative ones have bins of their own."""
     return F.expr(f"({pos} - pmod({pos}, {width})) div {width}")
 
 
 def binned(iv: DataFrame, width: int, clip: bool = False) -> DataFrame:
     """A row per bin that an interval touches; ``clip`` cuts it to the bin."""
-    out = nonempty(iv).withColumn("bin", F.explode(F.sequence(_bin("start", width), _bin("(end - 1)", width))))
+    out = nonempty(iv).withColumn("bin", F.explode(F.sequence(bin_of("start", width), bin_of("(end - 1)", width))))
     if clip:
         out = out.withColumn("start", F.greatest("start", F.col("bin") * width)).withColumn("end", F.least("end", (F.col("bin") + 1) * width))
     return out
@@ -88,7 +88,7 @@ def complement(iv: DataFrame, keys: list[str], length_col: DataFrame) -> DataFra
 
     The next interval is looked up within its bin; a row for each bin carries the last end on to the next bin that has an
     interval."""
-    merged = merge(iv, keys).withColumn("bin", _bin("start", MERGE_BIN))
+    merged = merge(iv, keys).withColumn("bin", bin_of("start", MERGE_BIN))
     inside = merged.select(*keys, F.col("end").alias("a"), F.lead("start").over(Window.partitionBy(*keys, "bin").orderBy("start")).alias("b")).where("b IS NOT NULL")
     bins = merged.groupBy(*keys, "bin").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     w = Window.partitionBy(*keys).orderBy("bin")
@@ -120,7 +120,7 @@ def level_runs(segments: DataFrame, keys: list[str], levels: list[int], width: i
 
     The runs of a higher level lie in those of a lower one, so all come from one pass: a segment begins the runs of the
     levels above the k of the segment that it touches, and ends those above the k of the next."""
-    seg = segments.withColumn("bin", _bin("start", width))
+    seg = segments.withColumn("bin", bin_of("start", width))
     w = Window.partitionBy(*keys, "bin").orderBy("start")
     before = F.when(F.lag("end").over(w) == F.col("start"), F.lag("k").over(w)).otherwise(0)
     after = F.when(F.lead("start").over(w) == F.col("end"), F.lead("k").over(w)).otherwise(0)
@@ -139,7 +139,7 @@ def locate(points: DataFrame, iv: DataFrame, keys: list[str], columns: list[str]
     ``inclusive`` counts the end as inside.  Disjoint intervals give a row per point."""
     right = iv.withColumn("end", F.col("end") + 1) if inclusive else iv
     right = binned(right, width).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("bin").alias("_bin"), F.col("start").alias("_s"), F.col("end").alias("_e"), *[F.col(c).alias(f"_v_{c}") for c in columns])
-    on = (_bin("pos", width) == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e"))
+    on = (bin_of("pos", width) == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     out = points.join(right, on, "left")
@@ -163,7 +163,7 @@ def overlapping(left: DataFrame, right: DataFrame, columns: list[str], width: in
     rb = binned(right, width).select(F.col("bin").alias("_bin"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), *columns)
     on = (F.col("bin") == F.col("_bin")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     # A pair meets in every bin both touch; it counts in the first of them.
-    first = _bin("greatest(start, r_start)", width) == F.col("bin")
+    first = bin_of("greatest(start, r_start)", width) == F.col("bin")
     return lb.join(rb, on & first).drop("bin", "_bin")
 
 

@@ -8,32 +8,57 @@ from pyspark.sql import functions as F
 from gapweave.functions import intervals as iv
 
 
-def core_positions(calls: DataFrame, ref_base: DataFrame) -> DataFrame:
-    """(pipeline, pos, consensus): positions that every sample having the pipeline calls, calls of the reference base
-    included; consensus if all of them differ from the reference in the same way."""
-    n = calls.groupBy("pipeline").agg(F.count_distinct("sample").alias("n"))
-    g = calls.join(ref_base, "pos").groupBy("pipeline", "pos").agg(F.count_distinct("sample").alias("m"), F.count_distinct("alt").alias("alts"), F.count_if(F.col("alt") == F.col("base")).alias("same"))
-    return g.join(F.broadcast(n), "pipeline").where("m = n").select("pipeline", "pos", ((F.col("alts") == 1) & (F.col("same") == 0)).alias("consensus"))
+#: Width of the bins in which calls, gaps and reference meet.
+BIN = 512
+
+
+def core_positions(marked: DataFrame, carriers: DataFrame) -> DataFrame:
+    """A row per (bin, pipeline, pos) of marked calls with their counts (calls, snps, called, inside) and whether the position is gapped;
+    core: every sample having the pipeline calls it, calls of the reference base included; consensus: core, and all of them
+    differ from the reference in the same way."""
+    named = F.col("sample").isNotNull() & F.col("pos").isNotNull()
+    at = marked.groupBy("bin", "pos", "pipeline").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("alt") != F.col("base")).alias("snps"), F.count_if(named & F.col("in_truth")).alias("called"), F.count_if(named & F.col("inside")).alias("inside"),
+        F.count_if(named & F.col("first")).alias("m"), F.min("alt").alias("least"), F.max("alt").alias("most"), F.max("base").alias("base"), F.max("gapped").alias("gapped"),
+    )
+    n = carriers.groupBy("pipeline").agg(F.count_distinct("sample").alias("n"))
+    core = F.coalesce(F.col("base").isNotNull() & (F.col("m") == F.col("n")), F.lit(False))
+    consensus = F.col("core") & F.coalesce((F.col("least") == F.col("most")) & (F.col("least") != F.col("base")), F.lit(False))
+    return at.join(F.broadcast(n), "pipeline", "left").withColumn("core", core).withColumn("consensus", consensus)
 
 
-def kpis(calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, pipelines: DataFrame, gt: str) -> DataFrame:
+def kpis(calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, pipelines: DataFrame, gt: str, carriers: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """A row per pipeline: snps, gaps, core_snps, consensus_snps, gt_snps_missing, gt_snps_called, core_gt_missing,
-    consensus_gt_missing, snps_in_gt_gaps_total, _core and _consensus; the comparisons are null for the truth itself."""
+    consensus_gt_missing, snps_in_gt_gaps_total, _core and _consensus; the comparisons are null for the truth itself.
+
+    Calls are read once and meet the gaps of the truth and the reference within bins of positions, without a join: the gaps
+    seen so far in the order of positions tell whether one reaches over a call.  Calls that come with their ``bin``, dealt by it
+    to so many ``parts``, stay there.  ``carriers`` has the (pipeline, sample) of the calls where a plainer table tells them."""
     is_gt = F.col("pipeline") == gt
+    dealt = lambda df: df if parts is None else df.repartition(parts, "bin")
     size = gaps.groupBy("pipeline").agg(F.sum(F.col("end") - F.col("start")).alias("gaps"))
-    truth = calls.where(is_gt).select("sample", "pos", F.lit(True).alias("in_truth")).distinct()
-    own = iv.merge(gaps.where(is_gt), ["sample"])
-    marked = iv.locate(calls.join(ref_base, "pos", "left").join(truth, ["sample", "pos"], "left"), own, ["sample"], [])
-    of_calls = marked.groupBy("pipeline").agg(F.count_if(F.col("alt") != F.col("base")).alias("snps"), F.count_if("in_truth").alias("gt_snps_called"), F.count_if("inside").alias("snps_in_gt_gaps_total"), F.count_if(is_gt).alias("t"))
-    # Core positions of all pipelines side by side: at most one row of each at a position.
-    at = core_positions(calls, ref_base).groupBy("pos").agg(F.collect_list(F.struct("pipeline", "consensus")).alias("rows"))
-    at = iv.locate(at, iv.sweep(own.select("start", "end"), []), [], []).withColumn("truth", F.get(F.filter("rows", lambda r: r["pipeline"] == gt), F.lit(0)))
-    core = at.select("inside", F.col("truth").isNotNull().alias("gc"), F.coalesce("truth.consensus", F.lit(False)).alias("gn"), F.inline("rows"))
-    of_core = core.groupBy("pipeline").agg(
-        F.count(F.lit(1)).alias("core_snps"), F.count_if("consensus").alias("consensus_snps"), F.count_if("gc").alias("cs"), F.count_if(F.col("consensus") & F.col("gn")).alias("ns"),
-        F.count_if("inside").alias("snps_in_gt_gaps_core"), F.count_if(F.col("inside") & F.col("consensus")).alias("snps_in_gt_gaps_consensus"),
+    if "bin" not in calls.columns:
+        calls = dealt(calls.withColumn("bin", iv.bin_of("pos", BIN)))
+    # Of the gaps that begin at one place the longest counts, so a bin holds no more of them than it has positions.
+    own = iv.binned(gaps.where(is_gt).select("sample", "start", "end"), BIN, clip=True).groupBy("bin", "sample", "start").agg(F.max("end").alias("end"))
+    own = dealt(own).select("bin", "sample", F.col("start").alias("pos"), "end")
+    rows = calls.select("bin", "sample", "pos", "pipeline", "alt").unionByName(own, allowMissingColumns=True)
+    again = F.lag("pipeline").over(Window.partitionBy("bin", "sample", "pos").orderBy("pipeline")).eqNullSafe(F.col("pipeline"))
+    mine = Window.partitionBy("bin", "sample").orderBy("pos")
+    at = Window.currentRow
+    rows = rows.withColumn("first", ~again).withColumn("in_truth", F.max(is_gt).over(mine.rangeBetween(at, at))).withColumn("inside", F.max("end").over(mine) > F.col("pos"))
+    ref = dealt(ref_base.where("pos IS NOT NULL").select(iv.bin_of("pos", BIN).alias("bin"), "pos", "base"))
+    everyone = Window.partitionBy("bin").orderBy("pos")
+    marked = rows.unionByName(ref, allowMissingColumns=True).withColumn("gapped", F.max("end").over(everyone) > F.col("pos")).withColumn("base", F.max("base").over(everyone.rangeBetween(at, at)))
+    core = core_positions(marked.where("pipeline IS NOT NULL"), calls if carriers is None else carriers)
+    here = Window.partitionBy("bin", "pos")
+    core = core.withColumn("gc", F.max(is_gt & F.col("core")).over(here)).withColumn("gn", F.max(is_gt & F.col("consensus")).over(here))
+    counts = core.groupBy("pipeline").agg(
+        F.sum("calls").alias("t"), F.sum("snps").alias("snps"), F.sum("called").alias("gt_snps_called"), F.sum("inside").alias("snps_in_gt_gaps_total"),
+        F.count_if("core").alias("core_snps"), F.count_if("consensus").alias("consensus_snps"), F.count_if(F.col("core") & F.col("gc")).alias("cs"), F.count_if(F.col("consensus") & F.col("gn")).alias("ns"),
+        F.count_if(F.col("core") & F.col("gapped")).alias("snps_in_gt_gaps_core"), F.count_if(F.col("consensus") & F.col("gapped")).alias("snps_in_gt_gaps_consensus"),
     )
-    out = pipelines.join(of_calls, "pipeline", "left").join(size, "pipeline", "left").join(of_core, "pipeline", "left")
+    out = pipelines.join(counts, "pipeline", "left").join(size, "pipeline", "left")
     all_rows = Window.partitionBy(F.lit(0))  # a row for each pipeline
     of_gt = lambda c: F.coalesce(F.max(F.when(is_gt, F.col(c))).over(all_rows), F.lit(0))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")

@@ -695,7 +695,7 @@ gg AS (SELECT DISTINCT pos FROM gp WHERE pipeline = 'gt')"""
     V1,
 )
 def v1_kpis(v):
-    return reader_v1.kpis(v.call(), iv.nonempty(v.gap()), v.ref_base(), pipelines(v), "gt")
+    return reader_v1.kpis(v.call(reader_v1.BIN), iv.nonempty(v.gap()), v.ref_base(), pipelines(v), "gt", v.carriers(), v.parts)
 
 
 @query("v1_concordance", """ SELECT x.pipeline AS a, y.pipeline AS b, (SELECT count(*) FROM call a JOIN call b ON a.sample = b.sample AND a.pos = b.pos AND a.pipeline = x.pipeline AND b.pipeline = y.pipeline) AS shared,

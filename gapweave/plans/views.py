@@ -52,13 +52,17 @@ class Views:
     def ref_base(self) -> DataFrame:
         return self.table("orders").selectExpr("o_orderkey AS pos", "substr('ACGT', CAST(1 + (o_orderkey * 7 + o_orderkey div 3) % 4 AS INT), 1) AS base")
 
-    def dealt(self, calls: DataFrame) -> DataFrame:
-        """Calls dealt by position to parts whose number grows with the table, so that a part, and the memory of its task, does
-        not.  What groups them by position and more stays in these parts."""
+    @property
+    def parts(self) -> int:
+        """Parts of the calls: their number grows with the table, so that a part, and the memory of its task, does not."""
         if self._lines is None:
             self._lines = self.table("lineitem").count()
         some = min(self.spark.sparkContext.defaultParallelism, self._lines // PART + 1)
-        return calls.repartition(max(some, self._lines // LARGEST_PART + 1), "pos")
+        return max(some, self._lines // LARGEST_PART + 1)
+
+    def dealt(self, calls: DataFrame, by: str = "pos") -> DataFrame:
+        """Calls dealt to parts, by position unless another column is named.  What groups them by it and more stays in these parts."""
+        return calls.repartition(self.parts, by)
 
     def gap(self) -> DataFrame:
         n = self.ref_len
@@ -66,7 +70,8 @@ class Views:
         start = f"CAST(floor(value * 100) AS BIGINT) % {n}"
         return e.selectExpr(f"{PIPES.format(k='event_id')} AS pipeline", "concat('S', CAST(user_id % 6 AS STRING)) AS sample", f"{start} AS start", f"least({start} + 1 + event_id % 37, {n}) AS end")
 
-    def call(self) -> DataFrame:
+    def call(self, width: int | None = None) -> DataFrame:
+        """The calls, dealt by position; with a ``width`` they have the ``bin`` of their position and are dealt by that."""
         lines = self.table("lineitem").selectExpr(
             f"{PIPES.format(k='l_linenumber')} AS pipeline",
             "concat('S', CAST(l_suppkey % 6 AS STRING)) AS sample",
@@ -75,7 +80,14 @@ class Views:
             "l_quantity * 4 AS qual",
             "CAST(l_linenumber * 7 AS BIGINT) AS dp",
         )
-        return self.dealt(lines).groupBy("pipeline", "sample", "pos").agg(F.expr("char(min(ascii(alt)))").alias("alt"), F.max("qual").alias("qual"), F.max("dp").alias("dp"))
+        by = ["pos"]
+        if width is not None:
+            lines, by = lines.withColumn("bin", iv.bin_of("pos", width)), ["bin", "pos"]
+        return self.dealt(lines, by[0]).groupBy("pipeline", "sample", *by).agg(F.expr("char(min(ascii(alt)))").alias("alt"), F.max("qual").alias("qual"), F.max("dp").alias("dp"))
+
+    def carriers(self) -> DataFrame:
+        """(pipeline, sample) of the calls."""
+        return self.table("lineitem").selectExpr(f"{PIPES.format(k='l_linenumber')} AS pipeline", "concat('S', CAST(l_suppkey % 6 AS STRING)) AS sample").distinct()
 
     def samples(self) -> DataFrame:
         return self.spark.createDataFrame([(f"S{i}",) for i in range(6)], "sample string")
