@@ -103,9 +103,16 @@ def letters(column: str) -> Column:
     return F.filter(F.split(column, ""), lambda x: x != "")
 
 
+def unpacked(parts: DataFrame) -> DataFrame:
+    """(pos, base) of chunks (start, bases), letters as they are.  Spark takes the size of the packed text for that of the rows, a
+    hundredth of what they need in a hash table, so a hint keeps joins from broadcasting them through the driver."""
+    rows = parts.select("start", F.posexplode(letters("bases")).alias("i", "base"))
+    return rows.select((F.col("start") + F.col("i")).alias("pos"), "base").hint("merge")
+
+
 def base_rows(parts: DataFrame) -> DataFrame:
     """(pos, base) over the concatenation, upper-cased."""
-    return placed(parts, []).select("start", F.posexplode(letters("bases")).alias("i", "base")).select((F.col("start") + F.col("i")).alias("pos"), F.upper("base").alias("base"))
+    return unpacked(placed(parts, [])).withColumn("base", F.upper("base"))
 
 
 def masked_positions(parts: DataFrame) -> DataFrame:

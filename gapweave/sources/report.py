@@ -78,7 +78,7 @@ def document(spark: SparkSession, path: str) -> Loaded:
     warnings = doc.select(F.explode("summary.warnings").alias("text"))
     files = each.select("sample", "pipeline", "d.vcf_path", "d.bam_path")
     # Letters stay as the report has them: comparison is byte-exact.
-    bases = fasta.placed(fasta.cut(ref), []).select("start", F.posexplode(fasta.letters("bases")).alias("i", "base")).select((F.col("start") + F.col("i")).alias("pos"), "base")
+    bases = fasta.unpacked(fasta.placed(fasta.cut(ref), []))
     return Loaded(samples, pipelines, calls, gaps, bases, warnings, files, _truth(pipelines), head.n if head else 0)
 
 
@@ -92,7 +92,7 @@ def written(spark: SparkSession, path: str) -> Loaded:
     calls = data.where("kind = 'snp'").select("pipeline", "sample", (F.col("start") - 1).alias("pos"), "ref", "alt", "qual", "dp", "n", "i")
     gaps = data.where("kind = 'gap'").select("pipeline", "sample", "start", "end")
     chunks = spark.read.schema("start long, bases string").json(f"{path}.reference")
-    ref_base = chunks.select("start", F.posexplode(fasta.letters("bases")).alias("i", "base")).select((F.col("start") + F.col("i")).alias("pos"), "base")
+    ref_base = fasta.unpacked(chunks)
     text = doc.select(F.explode("warnings").alias("text")) if "warnings" in doc.columns else spark.createDataFrame([], "text string")
     files = spark.createDataFrame([], "sample string, pipeline string, vcf_path string, bam_path string")
     return Loaded(samples, pipelines, calls, gaps, ref_base, text, files, _truth(pipelines), doc.select("ref_length").first()[0])

@@ -10,7 +10,7 @@ from gapweave.functions import intervals as iv
 from gapweave.operators import callsets, qc, sites, truth
 from gapweave.plans import source_queries, views
 from gapweave.plans.compare import Comparison
-from gapweave.sources import text
+from gapweave.sources import fasta, report, text
 from tests.oracle import DATA
 from tests.test_engine import frame, pairs
 
@@ -170,3 +170,19 @@ def test_pages_read_one_table(spark):
     got = source_queries.QUERIES["next_page"](spark, DATA)
     assert all("/positions/" in f for f in got.inputFiles())
     assert got.count() == 80
+
+
+def test_unpacked_reference_is_not_broadcast(spark, tmp_path):
+    """Bases out of chunks, a document or FASTA are many more bytes than their text, by which Spark decides what the driver may hold."""
+    path = str(tmp_path / "report.json")
+    x = inputs(spark, [("gt", "S0", 4, "C", 1, 0), ("p", "S1", 4, "C", 2, 0)])
+    x.write(path)
+    (tmp_path / "doc.json").write_text('{"reference": {"sequence": "ACGTACGTAC"}, "samples": {}, "pipelines": {}, "data": {}, "summary": {"warnings": []}}')
+    (tmp_path / "r.fa").write_text(">r\nacgtac\nGTAC\n")
+    want = list(enumerate("ACGTACGTAC"))
+    for ref in (report.written(spark, path).ref_base, report.document(spark, str(tmp_path / "doc.json")).ref_base, text.ref_base(fasta.chunks(spark, str(tmp_path / "r.fa"), joined=True))):
+        assert pairs(ref, "pos", "base") == want
+        hit = sites.snps(x.given_calls, ref)
+        assert pairs(hit, "sample", "pos", "alt") == [("S0", 4, "C"), ("S1", 4, "C")]
+        plan = hit._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and plan.index("SortMergeJoin") < (plan + "BroadcastHashJoin").index("BroadcastHashJoin")
