@@ -14,14 +14,16 @@ def _n(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
 
 
-def kpi_totals(calls: DataFrame, ref_base: DataFrame, samples: DataFrame, pipelines: DataFrame, gt: str, ref_len: int) -> DataFrame:
+def kpi_totals(calls: DataFrame, ref_base: DataFrame, samples: DataFrame, pipelines: DataFrame, gt: str, ref_len: int, carriers: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """One row, what the first reader version reports beside its counts by pipeline: gt_total_snps (calls alike the
-    reference included), core_gt_total, consensus_gt_total, samples, pipelines, ref_length."""
-    truth = calls.where(F.col("pipeline") == gt)
-    core = reader_v1.core_positions(truth, ref_base).agg(F.count(F.lit(1)).alias("core_gt_total"), F.count_if("consensus").alias("consensus_gt_total"))
-    total = truth.agg(F.count(F.lit(1)).alias("gt_total_snps"))
+    reference included), core_gt_total, consensus_gt_total, samples, pipelines, ref_length.  ``carriers`` and ``parts`` as in
+    ``reader_v1.kpis``."""
+    is_gt = F.col("pipeline") == gt
+    truth = calls.where(is_gt)
+    core = reader_v1.core_positions(reader_v1.marked(truth, ref_base, gt, parts=parts), truth if carriers is None else carriers.where(is_gt))
+    total = core.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("gt_total_snps"), F.count_if("core").alias("core_gt_total"), F.count_if("consensus").alias("consensus_gt_total"))
     size = lambda t, name: t.agg(F.count(F.lit(1)).alias(name))
-    return total.crossJoin(core).crossJoin(size(samples, "samples")).crossJoin(size(pipelines, "pipelines")).withColumn("ref_length", F.lit(ref_len).cast("long"))
+    return total.crossJoin(size(samples, "samples")).crossJoin(size(pipelines, "pipelines")).withColumn("ref_length", F.lit(ref_len).cast("long"))
 
 
 def pair_usable(pairs: DataFrame, pipelines: DataFrame, ref_len: int) -> DataFrame:

@@ -27,30 +27,42 @@ def core_positions(marked: DataFrame, carriers: DataFrame) -> DataFrame:
     return at.join(F.broadcast(n), "pipeline", "left").withColumn("core", core).withColumn("consensus", consensus)
 
 
-def kpis(calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, pipelines: DataFrame, gt: str, carriers: DataFrame | None = None, parts: int | None = None) -> DataFrame:
-    """A row per pipeline: snps, gaps, core_snps, consensus_snps, gt_snps_missing, gt_snps_called, core_gt_missing,
-    consensus_gt_missing, snps_in_gt_gaps_total, _core and _consensus; the comparisons are null for the truth itself.
+def marked(calls: DataFrame, ref_base: DataFrame, gt: str, gaps: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """Calls with what ``core_positions`` counts: the base of the reference, whether a call is the first of its pipeline and sample at its
+    position (first), whether the truth calls it (in_truth), whether a gap of the truth holds it (inside) or its position (gapped).
 
     Calls are read once and meet the gaps of the truth and the reference within bins of positions, without a join: the gaps
     seen so far in the order of positions tell whether one reaches over a call.  Calls that come with their ``bin``, dealt by it
-    to so many ``parts``, stay there.  ``carriers`` has the (pipeline, sample) of the calls where a plainer table tells them."""
+    to so many ``parts``, stay there."""
     is_gt = F.col("pipeline") == gt
     dealt = lambda df: df if parts is None else df.repartition(parts, "bin")
-    size = gaps.groupBy("pipeline").agg(F.sum(F.col("end") - F.col("start")).alias("gaps"))
     if "bin" not in calls.columns:
         calls = dealt(calls.withColumn("bin", iv.bin_of("pos", BIN)))
-    # Of the gaps that begin at one place the longest counts, so a bin holds no more of them than it has positions.
-    own = iv.binned(gaps.where(is_gt).select("sample", "start", "end"), BIN, clip=True).groupBy("bin", "sample", "start").agg(F.max("end").alias("end"))
-    own = dealt(own).select("bin", "sample", F.col("start").alias("pos"), "end")
-    rows = calls.select("bin", "sample", "pos", "pipeline", "alt").unionByName(own, allowMissingColumns=True)
+    rows = calls.select("bin", "sample", "pos", "pipeline", "alt")
+    if gaps is None:
+        rows = rows.withColumn("end", F.lit(None).cast("long"))
+    else:
+        # Of the gaps that begin at one place the longest counts, so a bin holds no more of them than it has positions.
+        own = iv.binned(gaps.where(is_gt).select("sample", "start", "end"), BIN, clip=True).groupBy("bin", "sample", "start").agg(F.max("end").alias("end"))
+        rows = rows.unionByName(dealt(own).select("bin", "sample", F.col("start").alias("pos"), "end"), allowMissingColumns=True)
     again = F.lag("pipeline").over(Window.partitionBy("bin", "sample", "pos").orderBy("pipeline")).eqNullSafe(F.col("pipeline"))
     mine = Window.partitionBy("bin", "sample").orderBy("pos")
     at = Window.currentRow
     rows = rows.withColumn("first", ~again).withColumn("in_truth", F.max(is_gt).over(mine.rangeBetween(at, at))).withColumn("inside", F.max("end").over(mine) > F.col("pos"))
     ref = dealt(ref_base.where("pos IS NOT NULL").select(iv.bin_of("pos", BIN).alias("bin"), "pos", "base"))
     everyone = Window.partitionBy("bin").orderBy("pos")
-    marked = rows.unionByName(ref, allowMissingColumns=True).withColumn("gapped", F.max("end").over(everyone) > F.col("pos")).withColumn("base", F.max("base").over(everyone.rangeBetween(at, at)))
-    core = core_positions(marked.where("pipeline IS NOT NULL"), calls if carriers is None else carriers)
+    out = rows.unionByName(ref, allowMissingColumns=True).withColumn("gapped", F.max("end").over(everyone) > F.col("pos")).withColumn("base", F.max("base").over(everyone.rangeBetween(at, at)))
+    return out.where("pipeline IS NOT NULL")
+
+
+def kpis(calls: DataFrame, gaps: DataFrame, ref_base: DataFrame, pipelines: DataFrame, gt: str, carriers: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """A row per pipeline: snps, gaps, core_snps, consensus_snps, gt_snps_missing, gt_snps_called, core_gt_missing,
+    consensus_gt_missing, snps_in_gt_gaps_total, _core and _consensus; the comparisons are null for the truth itself.
+
+    One pass, as ``marked`` has it.  ``carriers`` has the (pipeline, sample) of the calls where a plainer table tells them."""
+    is_gt = F.col("pipeline") == gt
+    size = gaps.groupBy("pipeline").agg(F.sum(F.col("end") - F.col("start")).alias("gaps"))
+    core = core_positions(marked(calls, ref_base, gt, gaps, parts), calls if carriers is None else carriers)
     here = Window.partitionBy("bin", "pos")
     core = core.withColumn("gc", F.max(is_gt & F.col("core")).over(here)).withColumn("gn", F.max(is_gt & F.col("consensus")).over(here))
     counts = core.groupBy("pipeline").agg(

@@ -51,7 +51,7 @@ PAIR = """pd AS (SELECT p.pipeline, x.sample AS a, y.sample AS b,
     core.V1,
 )
 def v1_kpi_totals(v):
-    return reader.kpi_totals(v.call(), v.ref_base(), v.samples(), core.pipelines(v), "gt", v.ref_len)
+    return reader.kpi_totals(v.call(reader_v1.BIN), v.ref_base(), v.samples(), core.pipelines(v), "gt", v.ref_len, v.carriers(), v.parts)
 
 
 @query(

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from gapweave.operators import reader_v1
+from gapweave.operators import reader, reader_v1
 from gapweave.plans import queries, views
 from tests.oracle import DATA
 from tests.test_engine import frame
@@ -59,3 +59,19 @@ def test_v1_kpis_calls_move_once(spark):
     # One by their number for calls, gaps and reference each; none after it holds calls.
     assert len(re.findall(r"Exchange hashpartitioning\(bin#\d+L?, 13\)", final)) == 3
     assert not re.search(r"Exchange hashpartitioning\([^)]*\bpos#", final)
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_kpi_totals_plain(spark, parts):
+    """The truth's totals are its counts among those by pipeline; repeated calls count each, and no call leaves zeros."""
+    calls = [("gt", s, x, "ACGT"[(x + 1) % 4]) for s in ("S0", "S1") for x in (511, 512, 600)] + [("gt", "S0", 512, "A"), ("gt", "S1", 700, "G"), ("gt", None, 600, "C"), ("gt", "S0", 9000, "A"), ("gt", "S1", 9000, "A"), ("p1", "S2", 511, "T")]
+    bases = {x: "ACGT"[x % 4] for x in (511, 512, 600, 700)}
+    ref, names = frame(spark, list(bases.items()), "pos long, base string"), frame(spark, [("gt",), ("p1",)], "pipeline string")
+    samples = frame(spark, [("S0",), ("S1",), ("S2",)], "sample string")
+    df = frame(spark, calls, "pipeline string, sample string, pos long, alt string")
+    want = plain_kpis(calls, [], bases, ["gt", "p1"])[0]
+    got = reader.kpi_totals(df, ref, samples, names, "gt", 1000, parts=parts)
+    assert [tuple(r) for r in got.collect()] == [(11, want[3], want[4], 3, 2, 1000)]
+    assert want[3] == 3 and want[4] == 2
+    none = reader.kpi_totals(df.where("pipeline = 'p1'"), ref, samples, names, "gt", 1000, parts=parts)
+    assert [tuple(r) for r in none.collect()] == [(0, 0, 0, 3, 2, 1000)]
