@@ -31,10 +31,10 @@ def scratch(v: Views, name: str) -> str:
     return shared_path(v.spark, name)
 
 
-def as_lines(rows: DataFrame, *cells: str, file: str = "'x/a.vcf'", order: str = "1L") -> DataFrame:
-    """Lines as the readers take them: (file, n, line)."""
+def as_lines(rows: DataFrame, *cells: str, file: str = "'x/a.vcf'", order: str = "1L", at: str | None = None) -> DataFrame:
+    """Lines as the readers take them: (file, n, line), and ``at`` to order those of one number."""
     parts = ", ".join(f"CAST({c} AS STRING)" for c in cells)
-    return rows.selectExpr(f"{file} AS file", f"{order} AS n", f"concat_ws('\t', {parts}) AS line")
+    return rows.selectExpr(f"{file} AS file", f"{order} AS n", f"concat_ws('\t', {parts}) AS line", *([] if at is None else [f"{at} AS at"]))
 
 
 # Variant calls.  ref has 1 to 3 letters, alt one more for every seventh order; the INFO and FORMAT columns vary.
@@ -47,7 +47,7 @@ _QUAL = "CASE WHEN l_orderkey % 5 = 0 THEN '.' ELSE CAST(l_partkey % 90 AS {stri
 def vcf_lines(v: Views) -> DataFrame:
     info = "CASE l_linenumber % 3 WHEN 0 THEN concat('AC=1;DP=', l_suppkey % 50, ';AF=0.25') WHEN 1 THEN concat('ADP=', l_suppkey % 50) ELSE 'NS=2' END"
     call = "concat('0/1:', l_partkey % 40, ':', l_suppkey % 9, ',', l_partkey % 9)"
-    return as_lines(v.table("lineitem"), "'c1'", "l_orderkey", "'.'", _REF, _ALT, _QUAL.format(string="STRING"), "'PASS'", info, "'GT:DP:AD'", call, order="l_orderkey * 8 + l_linenumber")
+    return as_lines(v.table("lineitem"), "'c1'", "l_orderkey", "'.'", _REF, _ALT, _QUAL.format(string="STRING"), "'PASS'", info, "'GT:DP:AD'", call, order="l_orderkey * 8 + l_linenumber", at="struct(_metadata.file_name, _metadata.row_index)")
 
 
 _VCF = f"""WITH t AS (

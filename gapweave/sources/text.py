@@ -64,10 +64,10 @@ def ref_base(contigs: DataFrame) -> DataFrame:
 
 
 def vcf_rows(spark: SparkSession, path) -> DataFrame:
-    """The columns of data lines with 8 fields or more, and the file and line number."""
+    """The columns of data lines with 8 fields or more, the file and line number, and ``at`` where tables of lines have it."""
     rows = _fields(lines(spark, path).where("NOT startswith(line, '#')"), 8)
     names = ("chrom", "pos_text", "id", "ref", "alt", "qual_text", "filter", "info")
-    return rows.select("file", "n", *[_f(i).alias(x) for i, x in enumerate(names)], _f(8).alias("format"), _f(9).alias("call"))
+    return rows.select("file", "n", *[c for c in rows.columns if c == "at"], *[_f(i).alias(x) for i, x in enumerate(names)], _f(8).alias("format"), _f(9).alias("call"))
 
 
 def vcf_calls(spark: SparkSession, path, min_qual: float = 0.0, include_indels: bool = False) -> DataFrame:
@@ -90,10 +90,12 @@ def vcf_calls(spark: SparkSession, path, min_qual: float = 0.0, include_indels:
 def vcf_variants(spark: SparkSession, path) -> DataFrame:
     """Calls for quality control: (sample, chrom, pos 1-based, ref, alt, qual, filter, info, depth, af, ro, ao, gq, gt, qa, abq, pval), MNPs
     decomposed where the alt has no comma, and of each chrom and pos the last line.  Of lines with one number, which only tables of
-    lines have, the first as they are read counts, so the result doesn't hang on the order in which a shuffle delivers them."""
+    lines have, the first by their column ``at`` counts, else the first as they are read, so the result doesn't hang on the order in
+    which a shuffle delivers them; Spark reads larger files first, so tables of several files need ``at``."""
     from pyspark.sql import Window
 
-    v = vcf_rows(spark, path).withColumn("_at", F.monotonically_increasing_id()).withColumn("pos", F.col("pos_text").try_cast("long")).where("pos IS NOT NULL")
+    v = vcf_rows(spark, path)
+    v = v.withColumn("_at", F.col("at") if "at" in v.columns else F.monotonically_increasing_id()).withColumn("pos", F.col("pos_text").try_cast("long")).where("pos IS NOT NULL")
     mnp = va.is_mnp("ref", "alt")
     parts = F.when(mnp, va.decompose("pos", "ref", "alt")).otherwise(F.array(F.struct("pos", "ref", "alt")))
     info = F.when(mnp, F.concat("info", F.lit(";DECOMPOSED_FROM_MNP="), "ref", F.lit(">"), "alt")).otherwise(F.col("info"))

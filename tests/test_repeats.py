@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from gapweave.functions import intervals as iv
 from gapweave.operators import callsets, qc, sites, truth
-from gapweave.plans import source_queries, views
+from gapweave.plans import source_queries, text_queries, views
 from gapweave.plans.compare import Comparison
 from gapweave.sources import fasta, report, text
-from tests.oracle import DATA
+from tests.oracle import DATA, connect, same
 from tests.test_engine import frame, pairs
 
 CALL = "pipeline string, sample string, pos long, alt string, n long, i int"
@@ -186,3 +186,13 @@ def test_unpacked_reference_is_not_broadcast(spark, tmp_path):
         assert pairs(hit, "sample", "pos", "alt") == [("S0", 4, "C"), ("S1", 4, "C")]
         plan = hit._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and plan.index("SortMergeJoin") < (plan + "BroadcastHashJoin").index("BroadcastHashJoin")
+
+
+def test_lines_of_one_number_in_several_files(spark, tmp_path):
+    """Lines come in the order of file names and rows, as DuckDB on one thread has them; Spark reads the larger file first."""
+    con, table = connect(), tmp_path / "lineitem.parquet"
+    table.mkdir()
+    con.execute(f"COPY (SELECT * FROM lineitem LIMIT 1000) TO '{table}/a.parquet'")
+    con.execute(f"COPY (SELECT * REPLACE (l_partkey + 1 AS l_partkey) FROM lineitem) TO '{table}/b.parquet'")
+    con.execute(f"SET threads = 1; CREATE OR REPLACE VIEW lineitem AS SELECT * FROM read_parquet('{table}/*.parquet')")
+    same(text_queries.QUERIES["vcf_quality_variants"](spark, str(tmp_path)), con, text_queries.ORACLES["vcf_quality_variants"])
